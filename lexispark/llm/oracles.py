@@ -1,8 +1,76 @@
-"""DuckDB SQL for the queries of this subpackage that SQL can express."""
+"""DuckDB SQL for the queries of this subpackage that SQL can express: brute force over all rows."""
 
+_WORDS = "coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), [])"
 _DOC_HASH = "('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint"
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_join": f"""
+with recursive words as (select doc_id, {_WORDS} as ws from documents),
+grams as (
+    select distinct doc_id, array_to_string(ws[i : i + 4], ' ') as g
+    from words, unnest(range(1, greatest(len(ws) - 3, 2))) as t(i) where len(ws) > 0
+), sized as (select doc_id, count(*) as n from grams group by doc_id),
+both_have as (
+    select a.doc_id as x, b.doc_id as y, count(*) as c from grams a join grams b using (g) where a.doc_id <> b.doc_id group by all
+), links as (
+    select x, y from both_have join sized s on s.doc_id = x join sized t on t.doc_id = y where 5 * c >= 4 * (s.n + t.n - c)
+), reach(x, y) as (
+    select doc_id, doc_id from documents union select r.x, l.y from reach r join links l on l.x = r.y
+), counted as (select x, count(*) as n from links group by x)
+select d.doc_id, coalesce(c.n, 0)::bigint as n_links, m.class_id
+from documents d left join counted c on c.x = d.doc_id
+join (select x, min(y) as class_id from reach group by x) m on m.x = d.doc_id
+""",
+    "op2_substring_dedup": f"""
+with words as (select doc_id, {_WORDS} as ws from documents),
+places as (
+    select doc_id, i, ws[i] as w, case when i + 12 <= len(ws) then array_to_string(ws[i : i + 12], ' ') end as g
+    from words, unnest(range(1, len(ws) + 1)) as t(i)
+), firsts as (select g, min(doc_id) as first_id from places where g is not null group by g),
+marked as (
+    select p.doc_id, i, w, coalesce(max(case when f.first_id < p.doc_id then 1 end)
+        over (partition by p.doc_id order by i rows between 12 preceding and current row), 0) as gone
+    from places p left join firsts f on f.g = p.g
+), kept as (
+    select doc_id, sum(gone) as n_removed, string_agg(w, ' ' order by i) filter (where gone = 0) as text from marked group by doc_id
+)
+select d.doc_id, len(d.ws)::bigint as n_words, coalesce(k.n_removed, 0)::bigint as n_removed, sha256(coalesce(k.text, '')) as kept_sha256
+from words d left join kept k on k.doc_id = d.doc_id
+""",
+    "op6_line_dedup": """
+with lines as (
+    select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i
+    from documents where text is not null
+), runs as (
+    select doc_id, i, line, case when lead(line, 2) over w is not null then [line, lead(line, 1) over w, lead(line, 2) over w] end as run
+    from lines window w as (partition by doc_id order by i)
+), ranked as (
+    select doc_id, i, line, case when run is not null and row_number() over (partition by run order by doc_id, i) > 1 then 1 else 0 end as again
+    from runs
+), marked as (
+    select doc_id, i, line, max(again) over (partition by doc_id order by i rows between 2 preceding and current row) as gone from ranked
+), kept as (
+    select doc_id, count(*) as n_lines, sum(gone) as n_removed, string_agg(line, chr(10) order by i) filter (where gone = 0) as text
+    from marked group by doc_id
+)
+select d.doc_id, coalesce(k.n_lines, 0)::bigint as n_lines, coalesce(k.n_removed, 0)::bigint as n_removed, sha256(coalesce(k.text, '')) as kept_sha256
+from documents d left join kept k on k.doc_id = d.doc_id
+""",
+    "op7_embedding_join": """
+with recursive good as (
+    select vec_id, label, embedding::double[] as v from embeddings
+    where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links as (
+    select a.vec_id as x, b.vec_id as y from good a join good b on a.label = b.label and a.vec_id <> b.vec_id
+    where list_cosine_similarity(a.v, b.v) >= 0.93
+), reach(x, y) as (
+    select vec_id, vec_id from embeddings union select r.x, l.y from reach r join links l on l.x = r.y
+), counted as (select x, count(*) as n from links group by x)
+select e.vec_id, coalesce(c.n, 0)::bigint as n_links, m.c as component_id, e.vec_id = m.c as kept
+from embeddings e left join counted c on c.x = e.vec_id
+join (select x, min(y) as c from reach group by x) m on m.x = e.vec_id
+""",
     "op9_mixing": f"""
 with base as (
     select doc_id, source, {_DOC_HASH} as h,
