@@ -139,17 +139,16 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
 
         def flush(rows: list[tuple]) -> pa.RecordBatch:
             own = [fingerprint(r[1]) for r in rows]
-            after = dict(zip((r[2] for r in rows), own))
-            prints = [own[i] for i in range(len(rows))]
+            known = dict(zip((r[1] for r in rows), own))
             made = [edited(r[1], r[2]) for r in rows]
-            changed = [p if e == r[1] else fingerprint(e) for p, e, r in zip(prints, made, rows)]
-            following = [after.get(r[2]) or fingerprint(r[2]) for r in rows]
-            near = likeness(list(zip(prints, changed)) + list(zip(prints, following)))
+            changed = [p if e == r[1] else fingerprint(e) for p, e, r in zip(own, made, rows)]
+            following = [known.get(r[2]) or fingerprint(r[2]) for r in rows]
+            near = likeness(list(zip(own, changed)) + list(zip(own, following)))
             cols = [
                 pa.array([r[0] for r in rows], pa.int64()),
                 pa.array([len(r[1]) for r in rows], pa.int64()),
                 pa.array([hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in made]),
-                pa.array(prints),
+                pa.array(own),
                 pa.array(changed),
                 pa.array(near[: len(rows)], pa.float64()),
                 pa.array(near[len(rows) :], pa.float64()),
