@@ -114,19 +114,24 @@ def fuzziness(assigned: DataFrame) -> DataFrame:
     return assigned.agg((F.count("*") / F.count_distinct("cogid", "pos")).alias("fuzziness"))
 
 
-def purity(clustered: DataFrame, edges: DataFrame, missing: str = MISSING) -> DataFrame:
+def purity(clustered: DataFrame, missing: str = MISSING) -> DataFrame:
     """One row: over all clustered sites, how uniform the clusters of their neighbours in the site graph are.
 
     Per column sqrt(sum of squared counts of sounds) / neighbours, missing entries counted in the neighbours only; the
-    mean over columns; a site without neighbours has 0. Sites are counted by (their neighbours', consensus) groups.
+    mean over columns; a site without neighbours has 0. Sites of one pattern have the same neighbours but for
+    themselves, so patterns are compared, with their numbers of sites, and no edge between sites is ever made.
     """
-    both = edges.unionByName(edges.select(F.col("cogid_b").alias("cogid_a"), F.col("pos_b").alias("pos_a"), F.col("cogid_a").alias("cogid_b"), F.col("pos_a").alias("pos_b")))
-    of = clustered.select(F.col("cogid").alias("cogid_b"), F.col("pos").alias("pos_b"), "consensus")
-    near = both.join(of, ["cogid_b", "pos_b"]).groupBy("cogid_a", "pos_a", "consensus").agg(F.count("*").alias("n"))
-    counts = near.select("cogid_a", "pos_a", "n", F.posexplode("consensus").alias("col", "sound")).groupBy("cogid_a", "pos_a", "col", "sound").agg(F.sum("n").alias("n"))
-    columns = counts.groupBy("cogid_a", "pos_a", "col").agg((F.sqrt(F.sum(F.when(F.col("sound") != missing, F.col("n") * F.col("n")).otherwise(0))) / F.sum("n")).alias("p"))
-    per = columns.groupBy(F.col("cogid_a").alias("cogid"), F.col("pos_a").alias("pos")).agg(F.avg("p").alias("p"))
-    return clustered.select("cogid", "pos").join(per, ["cogid", "pos"], "left").agg(F.avg(F.coalesce("p", F.lit(0.0))).alias("purity"))
+    kinds = clustered.groupBy("struct", "pattern", "consensus").agg(F.count("*").alias("n"))
+    left = kinds.select("struct", F.col("pattern").alias("l_pattern"))
+    right = kinds.select("struct", F.col("pattern").alias("r_pattern"), "consensus", "n")
+    pairs = compatible_pairs(left, right.select("struct", "r_pattern")).join(right, ["struct", "r_pattern"])
+    near = pairs.withColumn("n", F.col("n") - (F.col("l_pattern") == F.col("r_pattern")).cast("long")).where("n > 0")
+    near = near.groupBy("struct", "l_pattern", "consensus").agg(F.sum("n").alias("n"))
+    counts = near.select("struct", "l_pattern", "n", F.posexplode("consensus").alias("col", "sound")).groupBy("struct", "l_pattern", "col", "sound").agg(F.sum("n").alias("n"))
+    columns = counts.groupBy("struct", "l_pattern", "col").agg((F.sqrt(F.sum(F.when(F.col("sound") != missing, F.col("n") * F.col("n")).otherwise(0))) / F.sum("n")).alias("p"))
+    per = columns.groupBy("struct", F.col("l_pattern").alias("pattern")).agg(F.avg("p").alias("p"))
+    joined = kinds.join(per, ["struct", "pattern"], "left")
+    return joined.agg((F.sum(F.coalesce("p", F.lit(0.0)) * F.col("n")) / F.sum("n")).alias("purity"))
 
 
 def irregular_patterns(clustered: DataFrame, accepted: int = 2, limit: int = 1, missing: str = MISSING) -> DataFrame:

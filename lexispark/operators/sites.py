@@ -97,6 +97,16 @@ def site_graph(sites: DataFrame, missing: str = MISSING, gap: str = GAP) -> Data
     return both.where(F.struct("cogid_a", "pos_a") < F.struct("cogid_b", "pos_b")).select("cogid_a", "pos_a", "cogid_b", "pos_b")
 
 
+def site_degrees(sites: DataFrame, missing: str = MISSING, gap: str = GAP) -> DataFrame:
+    """(cogid, pos, neighbours) of the sites that have any in the site graph, counted pattern by pattern."""
+    kinds = sites.groupBy("struct", "pattern").agg(F.count("*").alias("n"))
+    left = kinds.select("struct", F.col("pattern").alias("l_pattern"))
+    right = kinds.select("struct", F.col("pattern").alias("r_pattern"), "n")
+    pairs = compatible_pairs(left, right.select("struct", "r_pattern"), 1, missing, gap).join(right, ["struct", "r_pattern"])
+    near = pairs.groupBy("struct", F.col("l_pattern").alias("pattern")).agg((F.sum("n") - F.max((F.col("l_pattern") == F.col("r_pattern")).cast("long"))).alias("neighbours"))
+    return sites.select("cogid", "pos", "struct", "pattern").join(near.where("neighbours > 0"), ["struct", "pattern"]).select("cogid", "pos", "neighbours")
+
+
 def density(words: DataFrame, ref: str = "cogid") -> DataFrame:
     """One row: 1 - the mean over concepts of distinct cognate sets per word."""
     per = words.groupBy("concept").agg((F.count_distinct(ref) / F.count("*")).alias("share"))

@@ -135,9 +135,7 @@ def compatible_patterns(spark, sf_dir):
 
 @query(_PAIRS + "select s.cogid, s.pos, (sum(k.n) - 1)::bigint as neighbours from sites s join pairs p on p.struct = s.struct and p.p = s.pattern join kinds k on k.struct = p.struct and k.pattern = p.q group by all having sum(k.n) > 1")
 def site_neighbours(spark, sf_dir):
-    edges = sites.site_graph(_sites(spark, sf_dir))
-    ends = edges.select(F.col("cogid_a").alias("cogid"), F.col("pos_a").alias("pos")).unionAll(edges.select("cogid_b", "pos_b"))
-    return ends.groupBy("cogid", F.col("pos").cast("long").alias("pos")).agg(F.count("*").alias("neighbours"))
+    return sites.site_degrees(_sites(spark, sf_dir)).select("cogid", F.col("pos").cast("long").alias("pos"), "neighbours")
 
 
 @query(
@@ -230,9 +228,9 @@ def clustered_sites(spark, sf_dir):
     return _clustered(spark, sf_dir).select("cogid", "pos", "struct", text("pattern").alias("pattern"), text("consensus").alias("consensus"))
 
 
-@query(_PAIRS + "select s.cogid, s.pos, s.struct, array_to_string(p.q, ' ') as consensus, p.matched::bigint as matches from sites s join pairs p on p.struct = s.struct and p.p = s.pattern where s.cogid % 20 = 0")
+@query(_PAIRS + "select s.cogid, s.pos, s.struct, array_to_string(p.q, ' ') as consensus, p.matched::bigint as matches from sites s join pairs p on p.struct = s.struct and p.p = s.pattern")
 def sites_to_patterns(spark, sf_dir):
-    found = clusters.sites_to_patterns(_plain_clusters(spark, sf_dir)).where("cogid % 20 = 0")
+    found = clusters.sites_to_patterns(_plain_clusters(spark, sf_dir))
     return found.select("cogid", F.col("pos").cast("long").alias("pos"), "struct", text("consensus").alias("consensus"), F.col("matches").cast("long").alias("matches"))
 
 
@@ -243,8 +241,7 @@ def fuzziness(spark, sf_dir):
 
 @query()
 def cluster_purity(spark, sf_dir):
-    found = _clustered(spark, sf_dir)
-    return clusters.purity(found, sites.site_graph(found))
+    return clusters.purity(_clustered(spark, sf_dir))
 
 
 @query()
