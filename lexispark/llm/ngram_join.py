@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = SIMILARITY, toleranc
     shingle; null texts and texts without words link with nothing; a null doc_id is no class's id unless all are null.
     """
     made = stored(sketches(docs), "sketches")
-    classes = made.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("one"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    classes = made.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("one"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     groups = candidate_groups(classes)
     wanted = classes.select("node", "copies", "one.doc_id", "one.mark")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = SIMILARITY, toleranc
     found = materialise(found)
     parts = connected_components(found.select("node", "root"), "node", "root")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    known = classes.select("node", "copies", "one.doc_id").join(links, "node", "left").join(parts, "node", "left")
+    known = classes.select("node", "copies", "doc_id").join(links, "node", "left").join(parts, "node", "left")
     known = known.withColumn("component", F.coalesce("component", "node"))
     least = known.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     known = known.join(least, "component").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "class_id")
