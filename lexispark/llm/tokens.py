@@ -66,7 +66,10 @@ class PieceCounter:
 
 
 def frequent_lengths(docs: DataFrame, model_file: str, rows: int = SAMPLE, size: int = TABLE) -> dict[str, int]:
-    """Lengths of the most frequent pre-tokens of at most `rows` documents. Only speed depends on it, no count."""
+    """Lengths of the most frequent pre-tokens of about `rows` documents, drawn by a hash of their ids.
+
+    Only speed depends on it, no count.
+    """
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from collections import Counter
@@ -78,7 +81,9 @@ def frequent_lengths(docs: DataFrame, model_file: str, rows: int = SAMPLE, size:
                     total.update(pre_tokens(text))
         yield pd.DataFrame(total.most_common(4 * size), columns=["key", "n"])
 
-    sample = docs.select("text").limit(rows).mapInPandas(counts, "key string, n long")
+    share = min(1.0, rows / max(1, docs.count()))
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = drawn.select("text").mapInPandas(counts, "key string, n long")
     top = sample.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(size).select("key")
     keys = [r.key for r in top.collect()]
     return dict(zip(keys, PieceCounter(model_file).lengths(keys))) if keys else {}
