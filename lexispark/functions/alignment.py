@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 from lexispark.functions.phonology import FRICATIVES, GLIDES, LIQUIDS, NASALS, TONES, VOWELS
 
@@ -18,6 +19,7 @@ def sound_kind(sound: str) -> str:
     return "P"
 
 
+@lru_cache(maxsize=1 << 16)
 def similarity(a: str, b: str) -> float:
     """1 for equal sounds, less for sounds of one kind, below 0 across vowels, consonants and tones."""
     if a == b:

@@ -25,6 +25,7 @@ def align_sets(morphemes: DataFrame, keys: list[str]) -> DataFrame:
     first = morphemes.groupBy(*keys, "doculect").agg(F.min_by("tokens", F.struct("id", "m_idx")).alias("tokens"), F.min("id").alias("id"))
     clean = first.withColumn("tokens", F.filter(F.transform("tokens", clean_sound), lambda t: t != GAP)).where(F.size("tokens") > 0)
     sets = clean.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("doculect", "id", "tokens"))).alias("rows"))
+    sets = sets.repartition(int(morphemes.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)  # few bytes, much work
 
     @F.pandas_udf("array<array<string>>")
     def aligned(groups: pd.Series) -> pd.Series:
@@ -70,7 +71,7 @@ def training_rows(morphemes: DataFrame, langs: list[str], target: str, keys: lis
     """feature_rows of every cognate set that has the target and another word; the target's extra columns are joined."""
     keys = keys or ["cogid"]
     sets = morphemes.groupBy(*keys).agg(F.max(F.col("doculect") == target).alias("t"), F.count_distinct("doculect").alias("n")).where("t and n > 1").select(*keys)
-    aligned = align_sets(morphemes.join(sets, keys, "left_semi"), keys)
+    aligned = materialise(align_sets(morphemes.join(sets, keys, "left_semi"), keys))
     if keys != ["cogid"]:
         named = aligned.withColumn("set", F.struct(*keys)).withColumnRenamed("cogid", "real")
         aligned = ungap(named.withColumnRenamed("set", "cogid"), target).select("cogid.*", "doculect", "id", "alignment")
