@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Runs of so many lines or more that stand at an earlier place are deleted; also the winnowing window.
@@ -55,14 +55,8 @@ def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
     return runs.join(firsts, "content").where(at > F.col("first")).select(*_KEY, "start")
 
 
-def drop_repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """All columns of docs with what is left in text (and n_chars, if there), and n_lines and n_removed.
-
-    Lines are what newlines part; a run of `run` lines or more goes if all of its lines, one after the other, stand
-    at an earlier place: in a document with a smaller id, or further up in the same one. Runs are judged on the
-    input, and may overlap. Null text has no lines and stays null; the empty text is one empty line. Equal rows
-    are one document and get the same result; null ids come first. An empty table gives no rows.
-    """
+def _cut(docs: DataFrame, run: int) -> DataFrame:
+    """(doc, left, n_lines, n_removed): each row as a struct with the text that is left of it."""
     cut = repeated_runs(docs, run).groupBy(*_KEY).agg(F.collect_set("start").alias("starts"))
     cut = cut.select(F.col("doc_id").alias("cut_id"), F.col("mark").alias("cut_mark"), "starts")
     rows = docs.select(F.struct("*").alias("doc"), F.xxhash64("text").alias("mark"))
@@ -73,8 +67,29 @@ def drop_repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     rows = rows.withColumn("kept", F.when(F.col("starts").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)))
     left = F.when(F.col("kept").isNull(), text).otherwise(F.array_join(F.transform("kept", lambda i: F.get(lines, i)), "\n"))
     total = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long")
-    rows = rows.withColumn("left", left).withColumn("n_lines", total)
-    rows = rows.withColumn("n_removed", F.when(F.col("kept").isNull(), 0).otherwise(F.col("n_lines") - F.size("kept")).cast("long"))
-    new = {"text": F.col("left"), "n_chars": F.when(F.col("kept").isNull(), F.col("doc").getField("n_chars")).otherwise(F.length("left").cast("long")) if "n_chars" in docs.columns else None}
-    columns = [(new[c] if new.get(c) is not None else F.col("doc").getField(c)).alias(c) for c in docs.columns]
-    return rows.select(*columns, *[c for c in ("n_lines", "n_removed") if c not in docs.columns])
+    removed = F.when(F.col("kept").isNull(), 0).otherwise(total - F.size("kept")).cast("long")
+    return rows.select("doc", left.alias("left"), total.alias("n_lines"), removed.alias("n_removed"))
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    """The columns of docs with what is left in text, and its length in n_chars, if there is such a column."""
+    chars = F.when(F.col("n_removed") > 0, F.length("left").cast("long")).otherwise(F.col("doc").getField("n_chars")) if "n_chars" in docs.columns else None
+    return [(F.col("left") if c == "text" else chars if c == "n_chars" else F.col("doc").getField(c)).alias(c) for c in docs.columns]
+
+
+def drop_repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
+    """All columns of docs with what is left in text (and n_chars, if there), and n_lines and n_removed.
+
+    Lines are what newlines part; a run of `run` lines or more goes if all of its lines, one after the other, stand
+    at an earlier place: in a document with a smaller id, or further up in the same one. Runs are judged on the
+    input, and may overlap. Null text has no lines and stays null; the empty text is one empty line. Equal rows
+    are one document and get the same result; null ids come first. An empty table gives no rows. Columns of docs
+    named n_lines or n_removed are replaced.
+    """
+    kept = [c for c, name in zip(_columns(docs), docs.columns) if name not in ("n_lines", "n_removed")]
+    return _cut(docs, run).select(*kept, "n_lines", "n_removed")
+
+
+def keep_what_is_left(docs: DataFrame, run: int = RUN) -> DataFrame:
+    """The documents, with their columns, without the lines that drop_repeated_lines takes; those that lose all go."""
+    return _cut(docs, run).where("left is null or n_removed < n_lines").select(*_columns(docs))

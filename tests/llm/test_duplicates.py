@@ -10,7 +10,7 @@ import pytest
 
 from lexispark.llm import embedding_join as E
 from lexispark.llm import ngram_join as N
-from lexispark.llm.line_dedup import drop_repeated_lines
+from lexispark.llm.line_dedup import drop_repeated_lines, keep_what_is_left
 from lexispark.llm.substring_dedup import cut_repeats
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, mark string, node string"
@@ -105,6 +105,14 @@ def test_lines_of_odd_tables(spark):
     assert sorted((str(r.doc_id), r.n_removed) for r in twice.collect()) == [("1", 3), ("1", 3), ("None", 0)]
 
 
+def test_lines_with_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "a\nb\nc", 9, "x", 7), (2, "a\nb\nc", 9, "y", 7), (3, "a\nb\nc\nd", 9, "z", 7)], "doc_id long, text string, n_lines int, starts string, n_removed int")
+    found = sorted(drop_repeated_lines(rows).collect())
+    assert [(r.doc_id, r.text, r.n_lines, r.n_removed, r.starts) for r in found] == [(1, "a\nb\nc", 3, 0, "x"), (2, "", 3, 3, "y"), (3, "d", 4, 3, "z")]
+    kept = keep_what_is_left(rows)
+    assert kept.columns == rows.columns and sorted((r.doc_id, r.text, r.n_lines) for r in kept.collect()) == [(1, "a\nb\nc", 9), (3, "d", 9)]
+
+
 def components(nodes, links):
     low = {x: x for x in nodes}
     changed = True
