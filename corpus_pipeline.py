@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexispark.llm.lang_id import keep_identified
-from lexispark.llm.line_dedup import drop_repeated_lines
+from lexispark.llm.line_dedup import keep_what_is_left
 from lexispark.llm.mixing import apply_mix
 from lexispark.llm.ngram_join import keep_one_each
 from lexispark.llm.packing import pack
@@ -24,7 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of lines that stand at an earlier place go; documents of which nothing is left go too."""
-    return drop_repeated_lines(docs).where("text is null or n_removed < n_lines").select(*docs.columns)
+    return keep_what_is_left(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
