@@ -13,9 +13,11 @@ from lexispark.functions.storage import materialise, stored
 from lexispark.llm.blocks import by_group, least_labels, tiled
 from lexispark.operators.components import connected_components
 
-#: Least cosine, dimensions of a block, coordinates of a block that place a vector on its grid, rows of a tile.
-COSINE, WIDTH, GRID, TILE = 0.93, 16, 2, 1024
-_SLACK = 1e-6
+#: Least cosine, dimensions of a block, coordinates of a block that place a vector on its grid, rows of a tile when
+#: vectors are verified, and when block coordinates are compared.
+COSINE, WIDTH, GRID, TILE, CELL = 0.93, 16, 2, 1024, 4096
+#: Added to each budget: block coordinates are single precision.
+_SLACK = 1e-4
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> DataFrame:
@@ -61,21 +63,33 @@ def rotation(rows: DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _near(key: tuple, rows: list[tuple], budgets: list[float]) -> list[tuple]:
-    """(vec_id, root): a spanning forest of the pairs in a grid cell that keep to the block's distance budget."""
+    """(vec_id, root): a spanning forest of the pairs in a grid cell that keep to the block's distance budget.
+
+    With x' = (x, -|x|^2 / 2, 1) and y' = (y, 1, -|y|^2 / 2), x'.y' is -|x - y|^2 / 2: one product compares the
+    vectors at home in the cell with all that are there.
+    """
     _, block, *_, tile_a, tile_b = key
     ids, tiles, home, parts = zip(*rows)
-    x, tiles, home = np.array(parts), np.array(tiles), np.array(home)
-    norm = (x * x).sum(1)
-    far = norm[:, None] + norm[None, :] - 2 * x @ x.T
-    ok = (far <= budgets[block] + _SLACK) & (home[:, None] | home[None, :])
+    x = np.frombuffer(b"".join(parts), "<f4").reshape(len(ids), -1)
+    half = (x * x).sum(1, keepdims=True) / 2
+    ones = np.ones_like(half)
+    left, right = np.hstack([x, -half, ones]), np.hstack([x, ones, -half]).T
+    at, least = np.flatnonzero(home), np.float32(-(budgets[block] + _SLACK) / 2)
+    found = []
+    for low in range(0, len(at), 512):
+        i, j = np.nonzero(left[at[low : low + 512]] @ right >= least)
+        found.append((at[low + i], j))
+    a, b = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
+    fine = a != b
     if tile_a != tile_b:
-        ok &= tiles[:, None] != tiles[None, :]
-    a, b = np.nonzero(np.triu(ok, 1))
+        tiles = np.array(tiles)
+        fine &= tiles[a] != tiles[b]
+    a, b = a[fine], b[fine]
     order = np.argsort(np.array(ids), kind="stable")
     rank = np.empty(len(ids), np.int64)
     rank[order] = np.arange(len(ids))
     roots = least_labels(len(ids), rank[a], rank[b])
-    return [(ids[i], ids[order[roots[rank[i]]]]) for i in range(len(ids)) if roots[rank[i]] != rank[i]]
+    return [(ids[i], ids[order[roots[rank[i]]]]) for i in np.flatnonzero(roots[rank] != rank)]
 
 
 def _verify(key: tuple, rows: list[tuple], cosine: float) -> list[tuple]:
@@ -145,26 +159,25 @@ def _links(rows: DataFrame, dims: int, cosine: float) -> DataFrame:
             if not batch.num_rows:
                 continue
             x = _unit(np.array(batch.column("v").to_pylist())) @ axes
-            take, block, cells, home, parts = [], [], [], [], []
+            n, out = len(x), []
             for b in range(blocks):
-                part = x[:, cuts[b] : cuts[b + 1]]
+                part = np.ascontiguousarray(x[:, cuts[b] : cuts[b + 1]], "<f4")
+                held, size = part.tobytes(), part.itemsize * part.shape[1]
+                parts = [held[i * size : (i + 1) * size] for i in range(n)]
                 cell = np.floor(part[:, : grid[b]] / np.sqrt(budgets[b] + _SLACK)).astype(np.int64)
                 for s in shifts[grid[b]]:
-                    at = cell + np.array(s) - 1
-                    take += range(len(x))
-                    block += [b] * len(x)
-                    cells += [":".join(map(str, c)) for c in at.tolist()]
-                    home += [all(k == 1 for k in s)] * len(x)
-                    parts += list(part)
-            index = pa.array(take, pa.int64())
+                    place = ((cell + np.array(s) - 1 + (1 << 20)) << (21 * np.arange(grid[b]))).sum(1)
+                    out.append((np.full(n, b, np.int32), place, np.full(n, all(k == 1 for k in s)), parts))
+            index = pa.array(np.tile(np.arange(n), len(out)))
+            block, place, home, parts = zip(*out)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("label").take(index), pa.array(block, pa.int32()), pa.array(cells), batch.column("vec_id").take(index), pa.array(home), pa.array(parts, pa.list_(pa.float64()))],
+                [batch.column("label").take(index), pa.array(np.concatenate(block)), pa.array(np.concatenate(place)), batch.column("vec_id").take(index), pa.array(np.concatenate(home)), pa.array([p for ps in parts for p in ps], pa.binary())],
                 ["label", "block", "cell", "vec_id", "home", "part"],
             )
 
     kind = rows.schema["label"].dataType.simpleString()
-    cells = rows.select("label", "vec_id", "v").where("vec_id is not null").mapInArrow(place, f"label {kind}, block int, cell string, vec_id long, home boolean, part array<double>")
-    cells = tiled(cells, ["label", "block", "cell"], "vec_id", TILE)
+    cells = rows.select("label", "vec_id", "v").where("vec_id is not null").mapInArrow(place, f"label {kind}, block int, cell long, vec_id long, home boolean, part binary")
+    cells = tiled(cells, ["label", "block", "cell"], "vec_id", CELL)
     keys = ["label", "block", "cell", "tile_a", "tile_b"]
     near = by_group(cells.select(*keys, "vec_id", "tile", "home", "part"), keys, lambda k, r: _near(k, r, budgets), "vec_id long, root long")
     trees = connected_components(near, "vec_id", "root").withColumnRenamed("node", "vec_id")
