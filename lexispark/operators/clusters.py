@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexispark.functions.numbering import number_rows
 from lexispark.functions.sequences import GAP, MISSING, mismatches
 from lexispark.operators.sites import compatible_pairs, score_patterns
 
@@ -96,9 +97,8 @@ def cluster_sites(sites: DataFrame, threshold: int = 1, mode: str = "pairs", mis
 
 
 def clusters(clustered: DataFrame) -> DataFrame:
-    """(struct, consensus, size, rank): rank 1 is the largest; ties by the smallest (cogid, pos)."""
-    sizes = clustered.groupBy("struct", "consensus").agg(F.count("*").alias("size"), F.min(F.struct("cogid", "pos")).alias("first"))
-    return sizes.select("struct", "consensus", "size", F.row_number().over(Window.orderBy(F.desc("size"), "first", "struct")).alias("rank"))
+    """(struct, consensus, size, first): the clusters with their number of sites and their smallest (cogid, pos)."""
+    return clustered.groupBy("struct", "consensus").agg(F.count("*").alias("size"), F.min(F.struct("cogid", "pos")).alias("first"))
 
 
 def sites_to_patterns(clustered: DataFrame, threshold: int = 1) -> DataFrame:
@@ -142,11 +142,12 @@ def irregular_patterns(clustered: DataFrame, accepted: int = 2, limit: int = 1,
     """
     sizes = clusters(clustered)
     lone = clustered.join(sizes.where("size = 1").select("struct", "consensus"), ["struct", "consensus"]).select("cogid", "pos", "struct", "pattern")
-    good = sizes.where(F.col("size") >= accepted).select("consensus", "rank")
+    good = sizes.where(F.col("size") >= accepted).select("consensus", F.struct((-F.col("size")).alias("size"), "first", "struct").alias("rank"))
     cell = lambda df, c: df.select(c, F.posexplode(c).alias("lang", "sound")).where(~F.col("sound").isin(missing, GAP)).distinct()
     near = cell(lone.select("pattern").distinct(), "pattern").join(cell(good.select("consensus"), "consensus"), ["lang", "sound"])
     near = near.groupBy("pattern", "consensus").agg(F.count("*").alias("n")).where(F.col("n") > limit)
-    near = near.where(mismatches(F.col("pattern"), F.col("consensus"), missing) <= limit).join(good, "consensus")
+    near = near.where(mismatches(F.col("pattern"), F.col("consensus"), missing) <= limit)
+    near = near.join(good.groupBy("consensus").agg(F.min("rank").alias("rank")), "consensus")
     best = near.groupBy("pattern").agg(F.min_by("consensus", "rank").alias("consensus"))
     return lone.join(best, "pattern", "left").select("cogid", "pos", "struct", "pattern", "consensus")
 
@@ -174,9 +175,13 @@ def mark_irregular(morphemes: DataFrame, irregular: DataFrame, langs: list[str],
 
 
 def pattern_ids(clustered: DataFrame, langs: list[str], proto: str | None = None) -> DataFrame:
-    """(struct, consensus, size, rank, pattern_id): 'rank-size/reflex of the proto-language (or first doculect)'."""
+    """(struct, consensus, size, rank, pattern_id): 'rank-size/reflex of the proto-language (or first doculect)'.
+
+    Rank 1 is the largest; ties by the smallest (cogid, pos).
+    """
     at = langs.index(proto) if proto else 0
-    return clusters(clustered).withColumn("pattern_id", F.concat(F.col("rank").cast("string"), F.lit("-"), F.col("size").cast("string"), F.lit("/"), F.get("consensus", F.lit(at))))
+    ranked = number_rows(clusters(clustered).withColumn("down", -F.col("size")), ["down", "first", "struct"], "rank").drop("down", "first")
+    return ranked.withColumn("pattern_id", F.concat(F.col("rank").cast("string"), F.lit("-"), F.col("size").cast("string"), F.lit("/"), F.get("consensus", F.lit(at))))
 
 
 def add_patterns(morphemes: DataFrame, clustered: DataFrame, langs: list[str], proto: str | None = None, irregular: DataFrame | None = None) -> DataFrame:

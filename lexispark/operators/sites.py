@@ -173,13 +173,16 @@ def upper_bound(sites: DataFrame, missing: str = MISSING) -> DataFrame:
     """One row: the largest number of sites that conflict with a site (mismatch or other structure), among those that
     have a partner of their structure without a mismatch.
 
-    Counted over different patterns with their numbers of sites; a pattern is a partner of its own copies.
+    Two patterns don't mismatch if they are equal where both are attested. So each pattern is cut down to every set of
+    doculects that some pattern of its structure attests, and equal cuts are counted: patterns times sets of rows, not
+    patterns squared. A pattern is a partner of its own copies.
     """
-    kinds = sites.groupBy("struct", "pattern").agg(F.count("*").alias("n"))
+    mask = F.transform("pattern", lambda x: x != missing)
+    kinds = sites.groupBy("struct", "pattern").agg(F.count("*").alias("n")).withColumn("mask", mask)
+    masks = kinds.select("struct", F.col("mask").alias("other")).distinct()
+    cut = F.zip_with("pattern", "other", lambda x, seen: F.when(seen, x).otherwise(missing))
+    cuts = kinds.join(masks, "struct").select("struct", "pattern", "n", "mask", "other", cut.alias("cut"))
+    held = cuts.groupBy("struct", F.col("mask").alias("other"), F.col("other").alias("mask"), "cut").agg(F.sum("n").alias("partners"))
+    fine = cuts.join(held, ["struct", "mask", "other", "cut"]).groupBy("struct", "pattern").agg(F.sum("partners").alias("fine"))
     total = kinds.agg(F.sum("n").alias("total"))
-    per = kinds.groupBy("struct").agg(F.sum("n").alias("held"))
-    other = kinds.select("struct", F.col("pattern").alias("p2"), F.col("n").alias("n2"))
-    clash = kinds.join(other, "struct").withColumn("bad", mismatches(F.col("pattern"), F.col("p2"), missing) > 0)
-    sums = clash.groupBy("struct", "pattern", "n").agg(F.sum(F.when(F.col("bad"), F.col("n2")).otherwise(0)).alias("bad"), (F.sum(F.when(~F.col("bad"), F.col("n2")).otherwise(0)) - 1).alias("fine"))
-    ends = sums.join(per, "struct").join(total).where("fine > 0")
-    return ends.agg(F.max(F.col("bad") + F.col("total") - F.col("held")).alias("upper_bound"))
+    return fine.where("fine > 1").join(total).agg(F.max(F.col("total") - F.col("fine")).alias("upper_bound"))
