@@ -199,8 +199,8 @@ def random_splits(morphemes: DataFrame, target: str, splits: int = 10, retain: f
     return kept.unionByName(morphemes.where(F.col("doculect") == target).join(left, "cogid"), allowMissingColumns=True)
 
 
-def fuzzy_reconstruct(morphemes: DataFrame, langs: list[str], target: str, splits: int = 10, retain: float = 0.9, seed: int = 0, **features: bool) -> DataFrame:
-    """(cogid, pos, percentiles): each split's model votes on every column: 'sound:percent' by votes, joined by ¦.
+def fuzzy_reconstruct(morphemes: DataFrame, langs: list[str], target: str, splits: int = 10, retain: float = 0.9, seed: int = 0, output: str = "percentiles", **features: bool) -> DataFrame:
+    """(cogid, pos, percentiles), or (cogid, split, word) if output is words: each split's model votes on every column: 'sound:percent' by votes, joined by ¦.
 
     All splits are fitted at once, with split as a key of every join.
     """
@@ -208,7 +208,8 @@ def fuzzy_reconstruct(morphemes: DataFrame, langs: list[str], target: str, split
     model = fit(training_rows(drawn, langs, target, ["split", "cogid"], **features), ["split"])
     aligned = align_sets(morphemes.where(F.col("doculect") != target), ["cogid"])
     rows = feature_rows(aligned, langs, ["cogid"], **features).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-    return percentiles(predict(rows, model, ["split", "cogid"], ["split"]))
+    votes = predict(rows, model, ["split", "cogid"], ["split"])
+    return words_of(votes, ["cogid", "split"], desegment=False) if output == "words" else percentiles(votes)
 
 
 def percentiles(votes: DataFrame, keys: list[str] | None = None, either: str = "¦", score: str = ":") -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.functions.storage import materialise
-from lexispark.operators.clusters import cluster_sites, predict_words
-from lexispark.operators.metrics import hit_rate
+from lexispark.operators.clusters import cluster_sites, fuzziness, mean_site_score, predict_words, purity, sites_to_patterns
+from lexispark.operators.metrics import alphabet, dataset_summary, hit_rate
 from lexispark.operators.prepare import shrink_alignments
-from lexispark.operators.sites import get_sites
+from lexispark.operators.sites import density, get_sites, upper_bound
 
 
 def correspondence_patterns(morphemes: DataFrame, langs: list[str], minrefs: int = 3, threshold: int = 1, mode: str = "pairs") -> DataFrame:
@@ -17,26 +19,64 @@ def correspondence_patterns(morphemes: DataFrame, langs: list[str], minrefs: int
     return materialise(cluster_sites(get_sites(morphemes, langs, minrefs), threshold, mode))
 
 
+def prediction_report(morphemes: DataFrame, langs: list[str], minrefs: int = 3) -> DataFrame:
+    """(cogid, doculect, concepts, cognates, one_best, two_best, three_best, purity, flag): predicted words for reading.
+
+    cognates are the words of the set; flag is '?' where some sound can't be predicted.
+    """
+    found = correspondence_patterns(morphemes, langs, minrefs)
+    out = None
+    for n, name in ((1, "one_best"), (2, "two_best"), (3, "three_best")):
+        words = predict_words(found, langs, n)
+        part = words.select("cogid", "doculect", F.array_join("word", " ").alias(name), *(["purity", F.when(F.array_contains("word", "Ø"), "?").otherwise("").alias("flag")] if n == 1 else []))
+        out = part if out is None else out.join(part, ["cogid", "doculect"])
+    said = F.concat(F.col("doculect"), F.lit(" "), F.array_join("tokens", " "))
+    about = morphemes.groupBy("cogid").agg(F.array_join(F.array_sort(F.collect_set("concept")), " / ").alias("concepts"), F.array_join(F.array_sort(F.collect_set(said)), ", ").alias("cognates"))
+    return out.join(about, "cogid").select("cogid", "doculect", "concepts", "cognates", "one_best", "two_best", "three_best", "purity", "flag")
+
+
+def _split(morphemes: DataFrame, ratio: float, run: int, seed: int) -> DataFrame:
+    out = F.pmod(F.xxhash64(F.lit(seed), F.lit(run), "id", "cogid"), F.lit(1 << 30)) < int(ratio * (1 << 30))
+    return morphemes.withColumn("out", out)
+
+
 def leave_out(morphemes: DataFrame, langs: list[str], ratio: float = 0.25, runs: int = 2, minrefs: int = 2, samples: int = 1, mode: str = "pairs", seed: int = 0) -> DataFrame:
     """(run, doculect, accuracy, words): how well words that are taken out are predicted from the rest.
 
     Per run a seeded hash takes that share of all words. Columns that then hold gaps only vanish from the alignments, and
-    from the words looked for. A cognate set of a run is a cognate set of its own, so all runs go through one plan.
+    from the words looked for.
     """
-    each = morphemes.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
-    out = F.pmod(F.xxhash64(F.lit(seed), "run", "id", "cogid"), F.lit(1 << 30)) < int(ratio * (1 << 30))
-    each = each.withColumn("out", out).withColumn("real", F.col("cogid")).withColumn("cogid", F.col("cogid") * runs + F.col("run"))
+    found = [_one_run(morphemes, langs, ratio, run, minrefs, samples, mode, seed)[0] for run in range(runs)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _one_run(morphemes: DataFrame, langs: list[str], ratio: float, run: int, minrefs: int, samples: int, mode: str, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(accuracy by doculect, clustered sites, words with the mark whether they are out) of one run."""
+    each = _split(morphemes, ratio, run, seed)
     rest = each.where("not out")
-    shorter = shrink_alignments(rest, ["cogid"])
     cells = rest.select("cogid", F.posexplode("alignment").alias("pos", "x")).groupBy("cogid", "pos").agg(F.max(F.col("x") != "-").alias("used")).where("used")
     used = cells.groupBy("cogid").agg(F.array_sort(F.collect_list("pos")).alias("used"))
     gold = each.where("out").join(used, "cogid").select("cogid", "doculect", F.transform("used", lambda p: F.get("alignment", p)).alias("alignment"))
-    found = []
+    found = correspondence_patterns(shrink_alignments(rest.drop("out"), ["cogid"]), langs, minrefs, 1, mode)
+    rate = hit_rate(predict_words(found, langs, samples), gold)
+    return rate.select(F.lit(run).alias("run"), "doculect", "accuracy", "words"), found, each
+
+
+def leave_out_summary(morphemes: DataFrame, langs: list[str], ratio: float = 0.25, runs: int = 2, minrefs: int = 2, samples: int = 1, mode: str = "pairs", seed: int = 0) -> DataFrame:
+    """One row a run: accuracy, predictable and removed words, share of words kept, density, fuzziness, mean site score,
+    purity of predictions and of the cluster graph, sounds per doculect, missing share, words per set, sites, clusters,
+    share of sites in clusters of several, and clusters by their upper bound."""
+    out = []
     for run in range(runs):
-        part = shorter.where(F.col("run") == run).drop("run", "out", "real")
-        words = predict_words(correspondence_patterns(part, langs, minrefs, 1, mode), langs, samples)
-        found.append(hit_rate(words, gold).select(F.lit(run).alias("run"), "doculect", "accuracy", "words"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+        rate, found, each = _one_run(morphemes, langs, ratio, run, minrefs, samples, mode, seed)
+        rest = each.where("not out")
+        words = rate.agg((F.sum(F.col("accuracy") * F.col("words")) / F.sum("words")).alias("accuracy"), F.sum("words").alias("predictable"))
+        counts = each.agg(F.count_if("out").alias("removed"), F.avg((~F.col("out")).cast("int")).alias("kept"), (F.count_if(~F.col("out")) / F.count_distinct(F.when(~F.col("out"), F.col("cogid")))).alias("words_per_set"))
+        missing = found.select(F.explode("pattern").alias("x")).agg(F.avg((F.col("x") == "Ø").cast("int")).alias("missing"))
+        predicted = predict_words(found, langs, samples).agg(F.avg("purity").alias("prediction_purity"))
+        sounds = alphabet(rest).agg(F.avg("sounds").alias("sounds"))
+        summary = dataset_summary(found).select("sites", F.col("patterns").alias("clusters"), F.col("coverage").alias("shared_sites"))
+        parts = [words, counts, density(rest), fuzziness(sites_to_patterns(found)), mean_site_score(found, found, mode).withColumnRenamed("score", "site_score"), predicted, purity(found), sounds, missing, summary, upper_bound(found)]
+        row = reduce(lambda a, b: a.join(b), parts).withColumn("clusters_by_bound", F.try_divide(F.col("clusters").cast("double"), F.col("upper_bound")))
+        out.append(row.select(F.lit(run).alias("run"), *row.columns))
+    return reduce(DataFrame.unionByName, out)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexispark.functions.sequences import alignment_to_tokens, bleu, clean_sound, gap_count, is_subsequence, matches, mismatches, unjoin
 from lexispark.operators import borrowing, clusters, cognates, metrics, prepare, reconstruct, sites, trimming
 from lexispark.plans.derived import LANGS, SQL, morphemes, partial, words
-from lexispark.plans.experiments import correspondence_patterns, leave_out
+from lexispark.plans.experiments import correspondence_patterns, leave_out, leave_out_summary, prediction_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -282,6 +282,16 @@ def leave_out_accuracy(spark, sf_dir):
     return leave_out(morphemes(spark, sf_dir), LANGS)
 
 
+@query()
+def leave_out_statistics(spark, sf_dir):
+    return leave_out_summary(morphemes(spark, sf_dir), LANGS)
+
+
+@query()
+def reported_predictions(spark, sf_dir):
+    return prediction_report(morphemes(spark, sf_dir), LANGS)
+
+
 _SIZES = ", sizes as (select struct, pattern, count(*) as n from sites group by all)\n"
 
 
@@ -505,6 +515,11 @@ def fuzzy_reconstructions(spark, sf_dir):
     return reconstruct.fuzzy_reconstruct(_some_sets(spark, sf_dir), LANGS[1:], "L0", splits=2)
 
 
+@query()
+def reconstructions_by_split(spark, sf_dir):
+    return reconstruct.fuzzy_reconstruct(_some_sets(spark, sf_dir), LANGS[1:], "L0", splits=2, output="words").select("cogid", "split", text("word").alias("word"))
+
+
 @query()
 def feature_matrix(spark, sf_dir):
     rows = reconstruct.training_rows(morphemes(spark, sf_dir), LANGS[1:], "L0", position=True, startend=True, prosodic=True, firstlast=True)

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from lexispark.plans.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"fuzzy_reconstructions", "reconstructed_words", "feature_matrix"}
+SLOW = {"fuzzy_reconstructions", "reconstructions_by_split", "reconstructed_words", "feature_matrix"}
 
 
 def rows(values):
