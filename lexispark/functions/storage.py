@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,3 +34,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Most rows of a table that is sent to every executor.
+BROADCAST_ROWS = 50_000
+
+
+def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows, written down once and counted; marked for broadcast only if there are few enough of them.
+
+    For tables of a few narrow columns. A larger one is joined as Spark sees fit.
+    """
+    held = materialise(df)
+    return F.broadcast(held) if held.count() <= rows else held
