@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.functions.storage import stored
+from lexispark.functions.storage import small_enough, stored
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: The hash has 60 bits, in LEVELS digits of BITS bits each.
@@ -82,16 +82,19 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     same hash and are taken together. An empty table gives no rows. The same table gives the same mix again.
     """
     base = sized(docs)
-    marks = thresholds(base, targets(base, weights, share, max_repeats))
+    marks = small_enough(thresholds(base, targets(base, weights, share, max_repeats)))
     both = base.alias("b").join(marks.alias("m"), F.col("b.source").eqNullSafe(F.col("m.source")))
     taken = F.col("size") * (F.col("repeats") + _extra(F.col("h")).cast("int"))
     return both.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_repeats: int = 2) -> DataFrame:
-    """The documents of the mix with all their columns, each as often as it is taken."""
+    """The documents of the mix with all their columns, each as often as it is taken.
+
+    The texts stay where they are: the thresholds, a row a source, go to them if there are few enough sources.
+    """
     base = sized(docs)
-    marks = thresholds(base, targets(base, weights, share, max_repeats)).withColumnRenamed("source", "mark_source")
+    marks = small_enough(thresholds(base, targets(base, weights, share, max_repeats)).withColumnRenamed("source", "mark_source"))
     rows = docs.select(F.struct("*").alias("doc"))
     rows = rows.join(marks, F.col("doc.source").eqNullSafe(F.col("mark_source")))
     times = F.col("repeats") + _extra(doc_hash(F.col("doc.doc_id"))).cast("int")
