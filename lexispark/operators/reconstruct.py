@@ -20,18 +20,21 @@ from lexispark.operators.prepare import ungap
 def align_sets(morphemes: DataFrame, keys: list[str]) -> DataFrame:
     """The first morpheme per group and doculect with clean tokens and an alignment computed group by group.
 
-    A group is one cognate set: its size is the number of doculects, not of rows.
+    A group is one cognate set: its size is the number of doculects, not of rows. Groups with equal lists of tokens
+    are aligned once.
     """
     first = morphemes.groupBy(*keys, "doculect").agg(F.min_by("tokens", F.struct("id", "m_idx")).alias("tokens"), F.min("id").alias("id"))
     clean = first.withColumn("tokens", F.filter(F.transform("tokens", clean_sound), lambda t: t != GAP)).where(F.size("tokens") > 0)
     sets = clean.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("doculect", "id", "tokens"))).alias("rows"))
-    sets = sets.repartition(int(morphemes.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)  # few bytes, much work
+    sets = sets.withColumn("lists", F.transform("rows", lambda r: r["tokens"]))
+    kinds = sets.select("lists").distinct()
+    kinds = kinds.repartition(int(morphemes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lists")  # few bytes, much work
 
     @F.pandas_udf("array<array<string>>")
     def aligned(groups: pd.Series) -> pd.Series:
-        return groups.map(lambda rows: kernels.align_many([list(r) for r in rows]))
+        return groups.map(lambda lists: kernels.align_many([list(r) for r in lists]))
 
-    made = sets.withColumn("alms", aligned(F.transform("rows", lambda r: r["tokens"])))
+    made = sets.join(kinds.withColumn("alms", aligned("lists")), "lists")
     cells = made.select(*keys, F.posexplode(F.arrays_zip("rows", "alms")).alias("i", "z"))
     return cells.select(*keys, F.col("z.rows.doculect").alias("doculect"), F.col("z.rows.id").alias("id"), F.col("z.alms").alias("alignment"))
 

@@ -497,27 +497,19 @@ def alphabets(spark, sf_dir):
 # Reconstruction
 
 
-def _some_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One set per different list of words: what several cognate sets have in common need not be learned twice."""
-    rows = morphemes(spark, sf_dir)
-    kind = rows.groupBy("cogid").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "doculect", F.array_join("tokens", "")))), " ").alias("kind"))
-    return rows.join(kind.groupBy("kind").agg(F.min("cogid").alias("cogid")), "cogid", "left_semi")
-
-
 @query()
 def reconstructed_words(spark, sf_dir):
-    rows = _some_sets(spark, sf_dir)
-    return reconstruct.reconstruct(rows, LANGS[1:], "L0").select("cogid", text("word").alias("word"))
+    return reconstruct.reconstruct(morphemes(spark, sf_dir), LANGS[1:], "L0").select("cogid", text("word").alias("word"))
 
 
 @query()
 def fuzzy_reconstructions(spark, sf_dir):
-    return reconstruct.fuzzy_reconstruct(_some_sets(spark, sf_dir), LANGS[1:], "L0", splits=2)
+    return reconstruct.fuzzy_reconstruct(morphemes(spark, sf_dir), LANGS[1:], "L0", splits=2)
 
 
 @query()
 def reconstructions_by_split(spark, sf_dir):
-    return reconstruct.fuzzy_reconstruct(_some_sets(spark, sf_dir), LANGS[1:], "L0", splits=2, output="words").select("cogid", "split", text("word").alias("word"))
+    return reconstruct.fuzzy_reconstruct(morphemes(spark, sf_dir), LANGS[1:], "L0", splits=2, output="words").select("cogid", "split", text("word").alias("word"))
 
 
 @query()
