@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Runs of so many lines or more that stand at an earlier place are deleted; also the winnowing window.
 RUN = 3
+#: In the pipeline a shorter run is judged as well if it has so many words or characters.
+WORDS, CHARS = 50, 400
 _KEY = ["doc_id", "mark"]
 
 
@@ -31,8 +36,36 @@ def fingerprints(docs: DataFrame, run: int = RUN) -> DataFrame:
     return rows.select(F.col("m.value").alias("value"), *_KEY, pos.alias("pos"), low.alias("low"), around.alias("around"))
 
 
-def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc_id, mark, start) of each run of `run` lines that is also found at an earlier place.
+def short_runs(docs: DataFrame, run: int = RUN, words: int = WORDS, chars: int = CHARS) -> DataFrame:
+    """(content, doc_id, mark, start, n): runs of fewer than `run` lines that are long, and whole documents that are so short.
+
+    A run is long if it has so many words or characters. One whose lines are all long is left to its lines.
+    """
+    line = lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.filter(F.split(x, r"\s+"), lambda w: w != "")).alias("w"), F.length(x).alias("c"))
+    rows = _marked(docs).where("text is not null").select(*_KEY, F.transform(F.split("text", "\n"), line).alias("lines"))
+    total = F.size("lines")
+    hashes = F.transform("lines", lambda x: x["h"])
+    is_long = lambda w, c: (w >= words) | (c >= chars)
+
+    def windows(n: int) -> Column:
+        def one(s: Column) -> Column:
+            held = [F.get("lines", s + k) for k in range(n)]
+            judged = is_long(sum(x["w"] for x in held), sum(x["c"] for x in held))
+            if n > 1:
+                judged = judged & ~reduce(and_, [is_long(x["w"], x["c"]) for x in held])
+            content = F.xxhash64(F.array(*[x["h"] for x in held]))
+            return F.struct(content.alias("content"), s.cast("int").alias("start"), F.lit(n).alias("n"), judged.alias("judged"))
+
+        return F.filter(F.transform(F.when(total >= n, F.sequence(F.lit(0), total - n)).otherwise(F.array().cast("array<int>")), one), lambda z: z["judged"])
+
+    whole = F.struct(F.xxhash64(F.lit("whole"), hashes).alias("content"), F.lit(0).alias("start"), total.alias("n"), (total < run).alias("judged"))
+    found = rows.select(*_KEY, F.explode(F.concat(F.filter(F.array(whole), lambda z: z["judged"]), *[windows(n) for n in range(1, run)])).alias("z"))
+    return found.select("z.content", *_KEY, "z.start", "z.n")
+
+
+def repeated_runs(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+    """(doc_id, mark, start, n) of each run of `run` lines that is also found at an earlier place; with words, also of
+    shorter ones (see short_runs).
 
     Equal runs choose the same fingerprint, so a fingerprint that stands at one place only can go. Around the
     others the match is extended both ways: of each run that chose the fingerprint, the first place is found by
@@ -49,21 +82,23 @@ def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
     offset = F.col("pos") - F.col("start") + 1
     later = F.slice(inside, offset + 1, run)
     chosen = (F.array_min(inside) == F.col("value")) & (F.coalesce(F.array_min(later) > F.col("value"), F.lit(True)))
-    runs = near.where(chosen).select(F.xxhash64(inside).alias("content"), *_KEY, "start")
+    runs = near.where(chosen).select(F.xxhash64(inside).alias("content"), *_KEY, "start", F.lit(run).alias("n"))
+    if words is not None:
+        runs = runs.unionByName(short_runs(docs, run, words))
     at = F.struct(*_KEY, "start")
     firsts = runs.groupBy("content").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("content", "first")
-    return runs.join(firsts, "content").where(at > F.col("first")).select(*_KEY, "start")
+    return runs.join(firsts, "content").where(at > F.col("first")).select(*_KEY, "start", "n")
 
 
-def _cut(docs: DataFrame, run: int) -> DataFrame:
+def _cut(docs: DataFrame, run: int, words: int | None = None) -> DataFrame:
     """(doc, left, n_lines, n_removed): each row as a struct with the text that is left of it."""
-    cut = repeated_runs(docs, run).groupBy(*_KEY).agg(F.collect_set("start").alias("starts"))
+    cut = repeated_runs(docs, run, words).groupBy(*_KEY).agg(F.collect_set(F.struct("start", "n")).alias("starts"))
     cut = cut.select(F.col("doc_id").alias("cut_id"), F.col("mark").alias("cut_mark"), "starts")
     rows = docs.select(F.struct("*").alias("doc"), F.xxhash64("text").alias("mark"))
     rows = rows.join(cut, F.col("doc.doc_id").eqNullSafe(F.col("cut_id")) & (F.col("mark") == F.col("cut_mark")), "left")
     text = F.col("doc.text")
     lines = F.split(text, "\n")
-    gone = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (run - 1))))
+    gone = F.flatten(F.transform("starts", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))
     rows = rows.withColumn("kept", F.when(F.col("starts").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)))
     left = F.when(F.col("kept").isNull(), text).otherwise(F.array_join(F.transform("kept", lambda i: F.get(lines, i)), "\n"))
     total = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long")
@@ -90,6 +125,10 @@ def drop_repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     return _cut(docs, run).select(*kept, "n_lines", "n_removed")
 
 
-def keep_what_is_left(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """The documents, with their columns, without the lines that drop_repeated_lines takes; those that lose all go."""
-    return _cut(docs, run).where("left is null or n_removed < n_lines").select(*_columns(docs))
+def keep_what_is_left(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
+    """The documents, with their columns, without the lines that drop_repeated_lines takes; those that lose all go.
+
+    Shorter runs go too if they stand at an earlier place and have `words` words or CHARS characters, and so do documents of
+    fewer than `run` lines that equal an earlier one as a whole.
+    """
+    return _cut(docs, run, words).where("left is null or n_removed < n_lines").select(*_columns(docs))

@@ -215,3 +215,35 @@ def test_hash_of_kept_words(spark):
 
     r = cut_repeats(table(spark, [(1, "a \n b\t")])).select(F.sha2("text", 256).alias("h")).first()
     assert r.h == hashlib.sha256(b"a b").hexdigest()
+
+
+def plain_kept(rows, run=3, words=50, chars=400):
+    """{doc_id: text left}: repeated runs, short ones if long in words or characters, and copies of short documents."""
+    split_rows = [(i, t.split("\n")) for i, t in sorted(rows) if t is not None]
+    seen, gone = set(), {i: set() for i, _ in split_rows}
+    for i, lines in split_rows:
+        spans = [(k, n) for n in range(1, run + 1) for k in range(len(lines) - n + 1)]
+        for k, n in spans:
+            held = lines[k : k + n]
+            if n < run and sum(len(x.split()) for x in held) < words and sum(map(len, held)) < chars:
+                continue
+            if tuple(held) in seen:
+                gone[i] |= set(range(k, k + n))
+            seen.add(tuple(held))
+        if len(lines) < run:
+            if ("whole", *lines) in seen:
+                gone[i] = set(range(len(lines)))
+            seen.add(("whole", *lines))
+    out = {i: "\n".join(x for k, x in enumerate(lines) if k not in gone[i]) for i, lines in split_rows if len(gone[i]) < len(lines)}
+    return out | {i: None for i, t in rows if t is None}
+
+
+def test_short_runs_that_are_long_in_words(spark):
+    rng = random.Random(5)
+    pool = [" ".join(rng.choice("abcdefgh") for _ in range(n)) for n in (1, 2, 24, 26, 30, 49, 50, 51, 80)] + ["", "z" * 399, "z" * 400, "\t" + "w " * 49]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 5)))) for i in range(80)] + [(200, None), (201, ""), (202, "")]
+    found = keep_what_is_left(table(spark, rows)).collect()
+    assert {r.doc_id: r.text for r in found} == plain_kept(rows)
+    one = " ".join(f"word{i}" for i in range(51))
+    found = keep_what_is_left(table(spark, [(1, f"a\n{one}\nb"), (2, f"c\n{one}\nd"), (3, one), (4, "x\ny"), (5, "x\ny")]))
+    assert {r.doc_id: r.text for r in found.collect()} == {1: f"a\n{one}\nb", 2: "c\nd", 4: "x\ny"}
