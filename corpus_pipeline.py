@@ -18,7 +18,7 @@ from lexispark.llm.queries import tokenizer
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of which no language claims three tenths, go."""
+    """Documents without a letter, of which no language claims three tenths, or whose words are unfamiliar, go."""
     return keep_identified(docs)
 
 

@@ -18,6 +18,8 @@ from lexispark.llm.textnum import mix, span_hashes
 CHAIN, FEATURES, CACHE = 64, 1 << 16, 300_000
 #: The training sample: at most so many languages, documents of each, and chains of a document.
 LANGUAGES, DOCS, CHAINS = 64, 150, 4
+#: Hashed pieces of four letters that the sample has; words taken as familiar on top of those of a text.
+PIECES, GIVEN = 1 << 22, 4
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _EDGES = "".join(map(chr, range(33, 65))) + "[\\]^_`{|}~¡¿«»“”„’‘…–—"
@@ -31,20 +33,77 @@ def _plain(word: str) -> str:
     return "^" + word.strip(_EDGES).lower()[:40] + "$"
 
 
+def _laid_out(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(whether a word has a letter, the words that have, these plain, their characters in a row, starts, lengths)."""
+    lettered = np.fromiter((_LETTER.search(w) is not None for w in words), bool, len(words))
+    rows = np.flatnonzero(lettered)
+    plain = [_plain(words[i]) for i in rows]
+    chars = np.frombuffer(("\n".join(plain) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, plain), np.int64, len(plain))
+    return lettered, rows, plain, chars, np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]).astype(np.int64), lengths
+
+
+def _pieces(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(piece ids, the word each belongs to): four characters in a row with both edges, or a shorter word as a whole."""
+    _, rows, plain, chars, starts, lengths = _laid_out(words)
+    if not plain:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    count = np.maximum(lengths - 3, 1)
+    at = np.repeat(starts - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+    chars = np.concatenate([chars, np.zeros(1, np.uint64)])
+    h = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(4):
+            h = h * np.uint64(0x100000001B3) + chars[at + j]
+    return (mix(h) & np.uint64(PIECES - 1)).astype(np.int64), np.repeat(rows, count)
+
+
+def _familiar(words: list[str], known: np.ndarray) -> np.ndarray:
+    """The share of each word's pieces that are known."""
+    ids, owners = _pieces(words)
+    return np.bincount(owners, known[ids], len(words)) / np.maximum(np.bincount(owners, minlength=len(words)), 1)
+
+
+def _known(words: list[str]) -> np.ndarray:
+    known = np.zeros(PIECES, bool)
+    known[_pieces(words)[0]] = True
+    return known
+
+
+def calibrate(samples: list[tuple[str, list[str]]], quantile: float = 0.01) -> tuple[np.ndarray, float]:
+    """(known pieces, the least familiarity of a text in a learned language).
+
+    Each half of a language's chains is judged by the pieces of the other halves; twice what the hundredth part that is
+    least familiar lacks, in the language where that is most, may be lacking.
+    """
+    place: dict[str, int] = {}
+    half = []
+    size = Counter(lang for lang, _ in samples)
+    for lang, _ in samples:
+        half.append(2 * place.get(lang, 0) >= size[lang])
+        place[lang] = place.get(lang, 0) + 1
+    lack: dict[str, list[float]] = {}
+    for side in (False, True):
+        known = _known(list({w for h, (_, ws) in zip(half, samples) if h != side for w in ws}))
+        types = list({w for h, (_, ws) in zip(half, samples) if h == side for w in ws})
+        share = dict(zip(types, _familiar(types, known)))
+        for h, (lang, ws) in zip(half, samples):
+            held = [share[w] for w in ws if _LETTER.search(w)] if h == side else []
+            if held:
+                lack.setdefault(lang, []).append(1 - (sum(held) + GIVEN) / (len(held) + GIVEN))
+    most = max((float(np.quantile(x, 1 - quantile)) for x in lack.values()), default=1.0)
+    return _known(list({w for _, ws in samples for w in ws})), max(0.0, 1 - 2 * most)
+
+
 def _features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(feature ids, the word each belongs to, whether a word has a letter), of all words at once.
 
     A word has its character pairs and triples with both edges, its first and last three and four characters,
     itself, and its lexicon entry; a word without a letter has none.
     """
-    lettered = np.fromiter((_LETTER.search(w) is not None for w in words), bool, len(words))
-    rows = np.flatnonzero(lettered)
-    plain = [_plain(words[i]) for i in rows]
+    lettered, rows, plain, chars, starts, lengths = _laid_out(words)
     if not plain:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), lettered
-    chars = np.frombuffer(("\n".join(plain) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    lengths = np.fromiter(map(len, plain), np.int64, len(plain))
-    starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
     owner = np.repeat(rows, lengths + 1)
     ids, owners = [], []
 
@@ -113,9 +172,12 @@ class Tagger:
     step: np.ndarray
     first: np.ndarray
     lexicon: dict[str, int]
+    known: np.ndarray | None = None
+    least: float = 0.0
     _index: dict[str, int] = field(default_factory=dict)
     _emit: np.ndarray | None = None
     _lettered: np.ndarray | None = None
+    _share: np.ndarray | None = None
 
     def _look_up(self, docs: list[list[str]]) -> None:
         index = self._index
@@ -124,6 +186,7 @@ class Tagger:
             index.clear()
             new = list(dict.fromkeys(w for d in docs for w in d))
             self._emit, self._lettered = np.ones((1, len(self.labels)), np.float32), np.zeros(1, bool)
+            self._share = np.zeros(1)
         if new:
             index.update(zip(new, range(len(index) + 1, len(index) + 1 + len(new))))
             for at in range(0, len(new), 50_000):
@@ -131,11 +194,17 @@ class Tagger:
                 score = _sums(ids, owners, len(lettered), self.weights)
                 self._emit = np.concatenate([self._emit, np.exp(np.clip(score - score.max(1, keepdims=True), -30, 0)).astype(np.float32)])
                 self._lettered = np.concatenate([self._lettered, lettered])
+                if self.known is not None:
+                    self._share = np.concatenate([self._share, _familiar(new[at : at + 50_000], self.known)])
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(label, its share of the posterior mass of the words that have letters) for each text."""
+        return [(x, y) for x, y, _ in self.judge(texts)]
+
+    def judge(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """predict, and how familiar the words that have letters are, GIVEN more of them taken as known (1 without known)."""
         docs = [words_of(t) if t and self.labels and _LETTER.search(t) else [] for t in texts]
-        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(docs)
+        out: list[tuple[str, float, float]] = [(UNKNOWN, 0.0, 1.0)] * len(docs)
         full = [i for i, d in enumerate(docs) if d]
         if not full:
             return out
@@ -153,10 +222,15 @@ class Tagger:
             part = at[k : k + 4096]
             post = forward_backward(self._emit[part], part > 0, step, first)
             found[k : k + 4096] = (post * self._lettered[part][:, :, None]).sum(1)
-        mass = np.add.reduceat(found, np.concatenate([[0], np.cumsum(chains)[:-1]]), axis=0)
-        for i, m in zip(full, mass):
+        first_rows = np.concatenate([[0], np.cumsum(chains)[:-1]])
+        mass = np.add.reduceat(found, first_rows, axis=0)
+        near = np.ones(len(full))
+        if self.known is not None:
+            held, n = (np.add.reduceat(x[at].sum(1), first_rows) for x in (self._share, self._lettered))
+            near = (held + GIVEN) / (n + GIVEN)
+        for i, m, f in zip(full, mass, near):
             best = int(m.argmax())
-            out[i] = (self.labels[best], float(min(1.0, m[best] / max(m.sum(), 1e-9))))
+            out[i] = (self.labels[best], float(min(1.0, m[best] / max(m.sum(), 1e-9))), float(f))
         return out
 
 
@@ -267,7 +341,8 @@ def _tag(docs: DataFrame, tagger) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = model.predict(part.column(names.index("text")).to_pylist())
+                judged = model.judge(part.column(names.index("text")).to_pylist())
+                found = [(x, y) if f >= model.least else (UNKNOWN, 0.0) for x, y, f in judged]
                 more = [pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], [*names, "lang_pred", "score"])
 
@@ -276,9 +351,15 @@ def _tag(docs: DataFrame, tagger) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The documents, with their columns, whose language is known with at least that share of their words."""
+    """The documents, with their columns, whose language is known with at least that share of their words.
+
+    The shares are of the learned languages alone, so a text must also be as familiar as calibrate asks: lettered junk
+    and texts in other languages go, whatever their share.
+    """
     names = docs.columns
     whole = docs.select("doc_id", "text", "lang", F.struct("*").alias("doc"))
-    tagger = docs.sparkSession.sparkContext.broadcast(train(training_chains(docs)))
-    found = _tag(whole, tagger).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    samples = training_chains(docs)
+    model = train(samples)
+    model.known, model.least = calibrate(samples)
+    found = _tag(whole, docs.sparkSession.sparkContext.broadcast(model)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return found.select(*[F.col("doc").getField(n).alias(n) for n in names])

@@ -108,3 +108,18 @@ def test_pipeline(spark, docs, tmp_path):
     assert counts[1] == 300 and counts[2] <= 300 and counts[3] < counts[2] and counts[5] > 0
     full = docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n < 2048").count()
     assert full <= 1
+
+
+def test_junk_and_unlearned_languages_go(spark, docs):
+    import random
+
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    junk = spark.createDataFrame([(10_000_000 + i, " ".join(word() for _ in range(60)), None) for i in range(40)], "doc_id long, text string, lang string")
+    rows = docs.select("doc_id", "text", F.when(F.col("lang") != "de", F.col("lang")).alias("lang"))
+    kept = {r.doc_id for r in L.keep_identified(rows.unionByName(junk)).select("doc_id").collect()}
+    clean = {r.doc_id for r in rows.where("lang is not null").collect()}
+    new = {r.doc_id for r in rows.where("lang is null").collect()}
+    assert clean <= kept and len(new & kept) < 0.05 * len(new) and not any(i >= 10_000_000 for i in kept)
+    few = rows.where("lang = 'en' or lang is null").unionByName(junk)
+    assert not any(r.doc_id >= 10_000_000 for r in L.keep_identified(few).select("doc_id").collect())
