@@ -16,6 +16,8 @@ from lexispark.llm.textnum import mix, span_hashes
 
 #: Words in one chain; hashed features; most words in a worker's cache.
 CHAIN, FEATURES, CACHE = 64, 1 << 16, 300_000
+#: A longer word, as in text without spaces, is several words in the chain.
+LONGEST = 40
 #: The training sample: at most so many languages, documents of each, and chains of a document.
 LANGUAGES, DOCS, CHAINS = 64, 150, 4
 #: Hashed pieces of four letters that the sample has; words taken as familiar on top of those of a text.
@@ -26,11 +28,14 @@ _EDGES = "".join(map(chr, range(33, 65))) + "[\\]^_`{|}~¡¿«»“”„’‘
 
 
 def words_of(text: str) -> list[str]:
-    return text.split()
+    words = text.split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
 
 
 def _plain(word: str) -> str:
-    return "^" + word.strip(_EDGES).lower()[:40] + "$"
+    return "^" + word.strip(_EDGES).lower() + "$"
 
 
 def _laid_out(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -324,7 +329,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
     Null text and text without a letter: und, score 0; the same for every text if no labelled document may be
     learned from. With one language learned, every text with a letter gets it. Repeated rows are judged each;
-    a null doc_id is not held out, but nothing is learned from it. Long texts are chains of CHAIN words. Columns of
+    a null doc_id is not held out, but nothing is learned from it. Long texts are chains of CHAIN words, and long
+    words are several words of LONGEST characters. Columns of
     docs named held_out, lang_pred or score are replaced.
     """
     docs = docs.drop("held_out", "lang_pred", "score")

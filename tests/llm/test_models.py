@@ -123,3 +123,11 @@ def test_junk_and_unlearned_languages_go(spark, docs):
     assert clean <= kept and len(new & kept) < 0.05 * len(new) and not any(i >= 10_000_000 for i in kept)
     few = rows.where("lang = 'en' or lang is null").unionByName(junk)
     assert not any(r.doc_id >= 10_000_000 for r in L.keep_identified(few).select("doc_id").collect())
+
+
+def test_text_without_spaces_counts_as_a_whole():
+    de, en = ["der", "hund", "schläft", "nicht", "und", "ich"], ["the", "dog", "sleeps", "where", "and", "why"]
+    model = L.train([("de", de * 8)] * 8 + [("en", en * 8)] * 8)
+    found = model.predict(["".join(en * 2) + "".join(de * 20), "".join(de * 20), "".join(de * 2) + "".join(en * 20)])
+    assert [x for x, _ in found] == ["de", "de", "en"] and all(y > 0.8 for _, y in found)
+    assert "".join(L.words_of("x" * 95 + " y")) == "x" * 95 + "y"
