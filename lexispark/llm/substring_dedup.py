@@ -1,4 +1,4 @@
-"""Substring dedup: documents are parsed against an index of all reference blocks."""
+"""Substring dedup: a hash join of all windows of words with the smallest document that has each."""
 
 from __future__ import annotations
 
@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from lexispark.llm.textnum import window_hashes, word_hashes
 
-#: Words of the shortest factor that counts, and bytes of text in a block.
+#: Words of a window, and bytes of text in a block.
 SPAN, BLOCK = 13, 6 << 20
 
 
 class _Block:
-    """The factors' starting points of a block of documents: window hashes and the first document of each."""
+    """The windows of a block of documents: their hashes and the first document of each."""
 
     def __init__(self, docs: pd.DataFrame, span: int) -> None:
         parts = [window_hashes(word_hashes(t), span) if h else np.zeros(0, np.uint64) for t, h in zip(docs["text"], docs["known"])]
@@ -50,9 +50,8 @@ def cut_repeats(docs: DataFrame, span: int = SPAN, block_bytes: int = BLOCK) ->
 
     A word goes if a window of `span` words over it also starts in a document with a smaller doc_id; text is
     what stays, joined by single spaces. Windows are judged on the input. Documents lie in reference blocks; the
-    index of all blocks is dealt out by window hash. Each document is parsed greedily: a factor starts at the first
-    window that an earlier document has, and runs as long as the next window has one too; the windows across a
-    factor's end are looked up as well, so nothing is lost where two factors meet.
+    index of all blocks is dealt out by window hash. Every window of a document is looked up there, and runs of those
+    that an earlier document has are cut; no source position or longest match is sought.
 
     The index is asked twice. First each block names its windows by 32 bits of their hash, once each; only those
     that other blocks name too are asked again, with 64 bits and the block's first document. A window that a third
