@@ -10,6 +10,7 @@ import pytest
 
 from lexispark.llm import embedding_join as E
 from lexispark.llm import ngram_join as N
+from lexispark.llm import substring_dedup as D
 from lexispark.llm.line_dedup import drop_repeated_lines, keep_what_is_left
 from lexispark.llm.substring_dedup import cut_repeats
 
@@ -50,7 +51,7 @@ def split(text):
 
 
 def test_substrings(spark):
-    for seed, block in ((1, 6 << 20), (2, 2000)):
+    for seed, block, bits in ((1, 6 << 20, 64), (2, 2000, 64), (3, 2000, 7)):
         rows = documents(seed)
         first = {}
         for i, t in rows:
@@ -62,10 +63,35 @@ def test_substrings(spark):
             w = split(t)
             gone = {j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for j in range(k, k + 13)}
             want.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
-        found = cut_repeats(table(spark, rows), block_bytes=block).collect()
+        found = cut_repeats(table(spark, rows), block_bytes=block, bucket_bytes=2 * block, bits=bits).collect()
         assert sorted((r.doc_id, r.n_words, r.n_removed, r.text) for r in found) == sorted(want)
         for r in found:
-            assert sum(s.length for s in r.spans) == r.n_removed and all(s.length >= 13 for s in r.spans)
+            words, of = split(dict(rows)[r.doc_id]), dict(rows)
+            assert len({k for s in r.spans for k in range(s.start, s.start + s.length)}) == r.n_removed
+            for s in r.spans:
+                there = split(of[s.source])[s.position : s.position + s.length]
+                assert s.length >= 13 and s.source < r.doc_id and there == words[s.start : s.start + s.length]
+
+
+@pytest.mark.parametrize("few", [0, 32])
+def test_greedy_factors_are_the_longest(monkeypatch, few):
+    monkeypatch.setattr(D, "FEW", few)
+    rng = random.Random(few)
+    for k in range(60):
+        pool = [b"a", b"b"] if k % 2 else [b"a", b"b", b"c", b"\xff"]
+        source = [rng.choice(pool) for _ in range(rng.randint(0, 60))] if k % 3 else [b"a"] * rng.randint(0, 90)
+        words = [rng.choice(pool) for _ in range(rng.randint(0, 40))] + source[5:30] + [b"z"] + source[10:50]
+        have = {tuple(source[i : i + n]) for i in range(len(source)) for n in range(1, len(source) - i + 1)}
+        want, i = [], 0
+        while i + 4 <= len(words):
+            n = max((n for n in range(4, len(words) - i + 1) if tuple(words[i : i + n]) in have), default=0)
+            if n:
+                want.append((i, n))
+                i += n - 4
+            i += 1
+        found = D.Reference(source, 4).factors(words)
+        assert [(a, n) for a, n, _ in found] == want
+        assert all(source[p : p + n] == words[a : a + n] for a, n, p in found)
 
 
 def test_substrings_of_odd_tables(spark):
