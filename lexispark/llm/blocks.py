@@ -29,7 +29,7 @@ def by_group(df: DataFrame, keys: list[str], work: Callable[[tuple, list[tuple]]
     """
     rest = [c for c in df.columns if c not in keys]
     names, types = zip(*[part.strip().split(" ", 1) for part in schema.split(",")])
-    arrow = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "int": pa.int32()}
+    arrow = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple]) -> pa.RecordBatch:

@@ -207,7 +207,6 @@ def vectors(spark, rows):
 
 @pytest.mark.parametrize("tile", [1024, 16])
 def test_vectors(spark, monkeypatch, tile):
-    monkeypatch.setattr(E, "TILE", tile)
     monkeypatch.setattr(E, "CELL", tile)
     rng = np.random.default_rng(7)
     rows, held = [], []
