@@ -27,11 +27,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_rounds: int = 60) -> DataFrame:
     """(node, component) for each node with at least one edge to another node; component is its smallest reachable id.
 
-    Loops, repeated edges and either direction are allowed; rows with a null end are ignored. An empty
+    Both ends are of one type that can be ordered (numbers, binary). Loops, repeated edges and either direction are allowed; rows with a null end are ignored. An empty
     input gives an empty result. Each round ends in a checkpoint, so the plan does not grow.
     """
     now = (
-        edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v"))
+        edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
         .where("u is not null and v is not null and u <> v")
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
