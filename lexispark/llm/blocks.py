@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 
 
 def tiled(df: DataFrame, group: list[str], member: str, size: int) -> DataFrame:
-    """The rows with tile, tile_a and tile_b: each group is dealt into tiles of about `size` members.
+    """The rows with tile, tile_a and tile_b: each group is dealt into tiles of about `size` members."""
+    tiles = df.groupBy(*group).agg(F.ceil(F.count("*") / size).cast("int").alias("tiles"))
+    return dealt(df.join(tiles, group), member)
+
+
+def dealt(rows: DataFrame, member: str) -> DataFrame:
+    """Rows with a column tiles, the number of tiles of their group, as rows with tile, tile_a and tile_b.
 
     A row comes once for each tile of its group, keyed by the two tiles in order, so each pair of members meets under
     exactly one key (tile_a, tile_b): under (t, t) if they share a tile.
     """
-    tiles = df.groupBy(*group).agg(F.ceil(F.count("*") / size).cast("int").alias("tiles"))
-    rows = df.join(tiles, group)
     rows = rows.withColumn("tile", F.pmod(F.xxhash64(member, F.lit("tile")), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     return rows.withColumn("tile_a", F.least("tile", "other")).withColumn("tile_b", F.greatest("tile", "other")).drop("tiles", "other")

@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.functions.storage import materialise, stored
-from lexispark.llm.blocks import by_group, least_labels, tiled
+from lexispark.llm.blocks import by_group, dealt, least_labels
 from lexispark.llm.textnum import mix, window_hashes, word_hashes
 from lexispark.operators.components import connected_components
 
 #: Words of a shingle, similarity, MinHash values, values of a band, values compared at a time, tolerance, rows of a tile.
 WORDS, SIMILARITY, VALUES, ROWS, STEP, TOLERANCE, TILE = 5, Fraction(4, 5), 128, 4, 16, 1e-9, 512
+#: Tasks among which the rows of a group are split while its tiles are told.
+SALTS = 16
 _A = mix(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(1, VALUES + 1, dtype=np.uint64) << np.uint64(20))
 
@@ -29,6 +31,14 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(window_hashes(found, min(words, len(found)))) if len(found) else np.zeros(0, np.uint64)
 
 
+def _name(grams: np.ndarray) -> bytes:
+    """128 bits that name a set of shingles."""
+    with np.errstate(over="ignore"):
+        a = mix(mix(grams).sum(dtype=np.uint64)[None] + np.uint64(len(grams)))
+        b = mix(mix(grams * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)[None] + np.uint64(len(grams)))
+    return a.tobytes() + b.tobytes()
+
+
 def minhash(grams: np.ndarray) -> np.ndarray:
     out = np.full(VALUES, ~np.uint64(0), np.uint64)
     with np.errstate(over="ignore"):
@@ -53,7 +63,7 @@ def fewest_matches(n: int, similarity: Fraction = SIMILARITY, tolerance: float =
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, node, bands): node names the shingle set, null for texts without words."""
+    """(doc_id, mark, node, bands): node names the shingle set (128 bits), null for texts without words."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = np.arange(VALUES // ROWS, dtype=np.uint64)
@@ -66,34 +76,37 @@ def sketches(docs: DataFrame) -> DataFrame:
                     bands.append(None)
                     continue
                 with np.errstate(over="ignore"):
-                    nodes.append(int(mix(mix(grams).sum(dtype=np.uint64)[None] + np.uint64(len(grams)))[0].view(np.int64)))
+                    nodes.append(_name(grams))
                     low = minhash(grams).reshape(-1, ROWS)
                     key = number.copy()
                     for j in range(ROWS):
                         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low[:, j])
                 bands.append(key.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("mark"), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "mark", "node", "bands"]
+                [batch.column("doc_id"), batch.column("mark"), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "mark", "node", "bands"]
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(sketch, "doc_id long, mark long, node long, bands array<long>")
+    return rows.mapInArrow(sketch, "doc_id long, mark long, node binary, bands array<long>")
 
 
-def candidate_groups(classes: DataFrame) -> DataFrame:
-    """(leader, node, leaders): nodes that share a band key get its smallest node as a leader.
+def candidate_groups(classes: DataFrame, tile: int | None = None) -> DataFrame:
+    """(leader, node, leaders, tile, tile_a, tile_b): nodes that share a band key get its smallest node as a leader.
 
     Two nodes with a common leader are compared in the group of their smallest common one, and in no other. A group
     in which all have the same smallest leader, not its own, has nothing to compare and is left out; so a family of
-    near copies meets in one or two groups, however many bands they share.
+    near copies meets in one or two groups, however many bands they share. Groups are dealt into tiles as tiled() does; the
+    rows of a large group lie in SALTS tasks when they learn how many tiles it has.
     """
     bands = classes.select("node", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader <> other").select("key", "leader")
     led = bands.join(shared, "key").groupBy("node").agg(F.array_sort(F.collect_set("leader")).alias("leaders"))
     led = led.select("node", "leaders", F.explode("leaders").alias("leader"), F.col("leaders")[0].alias("lowest"))
     useful = led.groupBy("leader").agg(F.min("lowest").alias("a"), F.max("lowest").alias("b"), F.count("*").alias("n"))
-    useful = useful.where("n > 1 and (a <> b or a = leader)").select("leader")
-    return led.join(useful, "leader").select("leader", "node", "leaders")
+    useful = useful.where("n > 1 and (a <> b or a = leader)")
+    useful = useful.select("leader", F.ceil(F.col("n") / (tile or TILE)).cast("int").alias("tiles"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    led = led.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    return dealt(led.join(useful, ["leader", "salt"]), "node").select("leader", "node", "leaders", "tile", "tile_a", "tile_b")
 
 
 def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -168,7 +181,7 @@ def _compare(key: tuple, rows: list[tuple], similarity: Fraction, tolerance: flo
     a, b = a[linked], b[linked]
     copies = np.array(copies, np.int64)
     links = np.bincount(a, copies[b], len(rows)) + np.bincount(b, copies[a], len(rows))
-    order = np.argsort(np.array(nodes))
+    order = np.array(sorted(range(len(rows)), key=nodes.__getitem__))
     rank = np.empty(len(rows), np.int64)
     rank[order] = np.arange(len(rows))
     roots = least_labels(len(rows), rank[a], rank[b])
@@ -176,45 +189,53 @@ def _compare(key: tuple, rows: list[tuple], similarity: Fraction, tolerance: flo
 
 
 def near_duplicates(docs: DataFrame, similarity: Fraction = SIMILARITY, tolerance: float = TOLERANCE) -> DataFrame:
-    """One row per row of docs: doc_id, mark (a hash of its text), n_links, class_id.
+    """One row per row of docs: doc_id, mark (a hash of its text), n_links, class_id, class_mark.
 
     n_links counts the other rows whose shingle sets have at least that Jaccard similarity; class_id is the smallest
-    doc_id that links reach. Rows with equal shingle sets are joined as one class of copies with their number, so they
+    doc_id that links reach, and class_mark the mark of the row that has it (the smallest, if several do). Rows with equal shingle sets are joined as one class of copies with their number, so they
     aren't paired; classes are paired only inside tasks, which return counts and a spanning forest. A pair at the
     threshold shares no band with a chance of (1 - 0.8**4)**32, under 1e-7, and is pruned with a chance below the
     tolerance; every link is verified on whole shingle sets (64-bit hashes). Texts of one to four words are one
     shingle; null texts and texts without words link with nothing; a null doc_id is no class's id unless all are null.
     """
     made = stored(sketches(docs), "sketches")
-    classes = made.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("one"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    classes = made.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("one"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     groups = candidate_groups(classes)
     wanted = classes.select("node", "copies", "one.doc_id", "one.mark")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     needed = groups.select("node").distinct().join(wanted, "node")
     texts = needed.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.xxhash64("text"))).select("node", "copies", "text")
-    rows = tiled(groups, ["leader"], "node", TILE).join(texts, "node").select("leader", "tile_a", "tile_b", "node", "tile", "copies", "leaders", "text")
-    found = by_group(rows, ["leader", "tile_a", "tile_b"], lambda k, r: _compare(k, r, similarity, tolerance), "node long, links long, root long")
+    rows = groups.join(texts, "node").select("leader", "tile_a", "tile_b", "node", "tile", "copies", "leaders", "text")
+    found = by_group(rows, ["leader", "tile_a", "tile_b"], lambda k, r: _compare(k, r, similarity, tolerance), "node binary, links long, root binary")
     found = materialise(found)
     parts = connected_components(found.select("node", "root"), "node", "root")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    known = classes.select("node", "copies", "doc_id").join(links, "node", "left").join(parts, "node", "left")
+    known = classes.select("node", "copies", "one").join(links, "node", "left").join(parts, "node", "left")
     known = known.withColumn("component", F.coalesce("component", "node"))
-    least = known.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    known = known.join(least, "component").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "class_id")
+    least = known.groupBy("component").agg(F.min("one").alias("least"))
+    known = known.join(least, "component").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("least.doc_id").alias("class_id"), F.col("least.mark").alias("class_mark"))
     out = made.select("doc_id", "mark", "node").join(known, "node", "left")
-    return out.select("doc_id", "mark", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    alone = F.col("node").isNull()
+    return out.select(
+        "doc_id", "mark", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("mark")).otherwise(F.col("class_mark")).alias("class_mark"),
+    )
 
 
 def keep_one_each(docs: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
-    """The documents, with their columns, without those that a class keeps another one of (the smallest doc_id).
+    """The documents, with their columns, without those that a class keeps another one of: the row with the smallest doc_id
+    (then the smallest hash of its text) stays.
 
-    Of equal rows one stays.
+    Of rows with equal id and text one stays, that with the smallest columns as JSON; near copies under one id are a class
+    like any other. Null texts and texts without words are classes of their own, so of those only repeated rows go. A null
+    doc_id stays if its class has no other. An empty table gives no rows.
     """
-    found = near_duplicates(docs, similarity).select("doc_id", "mark", "class_id")
-    found = materialise(found.groupBy("doc_id", "mark").agg(F.first("class_id").alias("class_id"), F.count("*").alias("n")))
-    drop = found.where("not doc_id <=> class_id or n > 1").select(F.col("doc_id").alias("drop_id"), F.col("mark").alias("drop_mark"), F.expr("doc_id <=> class_id").alias("again"))
+    found = near_duplicates(docs, similarity).groupBy("doc_id", "mark").agg(F.first("class_id").alias("class_id"), F.first("class_mark").alias("class_mark"), F.count("*").alias("n"))
+    found = materialise(found)
+    stays = F.expr("doc_id <=> class_id and mark <=> class_mark")
+    drop = found.where(~stays | (F.col("n") > 1)).select(F.col("doc_id").alias("drop_id"), F.col("mark").alias("drop_mark"), stays.alias("again"))
     rows = docs.select(F.struct("*").alias("doc"), F.xxhash64("text").alias("mark"))
     rows = rows.join(drop, F.col("doc.doc_id").eqNullSafe(F.col("drop_id")) & (F.col("mark") == F.col("drop_mark")), "left")
     single = rows.where("again is null").select("doc.*")
-    twice = rows.where("again").select("doc").dropDuplicates(["doc"]) if "map<" not in docs.schema.simpleString() else rows.where("again").select("doc")
+    twice = rows.where("again").groupBy("drop_id", "mark").agg(F.min_by("doc", F.to_json("doc")).alias("doc"))
     return single.unionByName(twice.select("doc.*"))

@@ -182,6 +182,15 @@ def test_near_duplicates_of_odd_tables(spark):
     assert sorted(str(r.doc_id) for r in N.keep_one_each(table(spark, rows)).collect()) == ["5", "8"]
 
 
+def test_one_of_near_copies_under_one_id_and_rows_with_maps(spark):
+    long = " ".join(f"w{i}" for i in range(50))
+    rows = spark.createDataFrame([(5, long, {"a": 1}), (5, long, {"a": 1}), (5, long + " end", {"a": 2}), (6, "other words", {}), (6, "other words", {}), (6, "more text", {}), (7, None, {}), (7, None, {}), (None, "alone", {})], "doc_id long, text string, m map<string,int>")
+    kept = N.keep_one_each(rows)
+    assert kept.columns == rows.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert len([r for r in got if r[0] == 5]) == 1 and [r for r in got if r[0] != 5] == sorted([(6, "other words"), (6, "more text"), (7, None), (None, "alone")], key=str)
+
+
 def test_posterior_bound():
     for n in (16, 64, 128):
         m = N.fewest_matches(n)
