@@ -20,20 +20,35 @@ def _marked(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
 
 
+def _hashed(line: Column) -> Column:
+    """Two hashes of a line: lines are equal if both are (128 bits); the first one also chooses fingerprints."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b"))
+
+
+def _content(lines: Column) -> Column:
+    """128 bits of the hashes of the lines of a run."""
+    return F.struct(F.xxhash64(lines).alias("a"), F.xxhash64(F.lit("run"), lines).alias("b"))
+
+
 def fingerprints(docs: DataFrame, run: int = RUN) -> DataFrame:
     """(value, doc_id, mark, pos, around): the last smallest line hash of each window of `run` lines, once per place.
 
-    around holds the hashes of up to run - 1 lines on either side, so that matches can be extended where they meet.
+    around holds the hashes of up to run - 1 lines on either side, so that matches can be extended where they meet. A
+    minimum stands for windows side by side, so each window is only compared with the one before it.
     """
-    rows = _marked(docs).select(*_KEY, F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)).alias("lines"))
+    rows = _marked(docs).select(*_KEY, F.transform(F.split("text", "\n"), _hashed).alias("lines"))
     rows = rows.where(F.size("lines") >= run)
-    rows = rows.withColumn("ranked", F.transform("lines", lambda x, i: F.struct(x.alias("value"), (-i).alias("back"))))
-    minima = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("lines") - run + 1), lambda j: F.array_min(F.slice("ranked", j, run))))
-    rows = rows.select(*_KEY, "lines", F.explode(minima).alias("m"))
-    pos = -F.col("m.back")
-    low = F.greatest(pos - (run - 1), F.lit(0))
-    around = F.slice("lines", low + 1, pos - low + run)
-    return rows.select(F.col("m.value").alias("value"), *_KEY, pos.alias("pos"), low.alias("low"), around.alias("around"))
+    value = lambda k: F.get("lines", k)["a"]
+    place = lambda j: reduce(lambda x, y: F.when(value(y) <= value(x), y).otherwise(x), [j + k for k in range(run)])
+    rows = rows.withColumn("places", F.transform(F.sequence(F.lit(0), F.size("lines") - run), place))
+    rows = rows.withColumn("places", F.filter("places", lambda p, i: (i == 0) | (p != F.get("places", i - 1))))
+
+    def entry(pos: Column) -> Column:
+        low = F.greatest(pos - (run - 1), F.lit(0))
+        return F.struct(value(pos).alias("value"), pos.alias("pos"), low.alias("low"), F.slice("lines", low + 1, pos - low + run).alias("around"))
+
+    found = rows.select(*_KEY, F.explode(F.transform("places", entry)).alias("e"))
+    return found.select("e.value", *_KEY, "e.pos", "e.low", "e.around")
 
 
 def short_runs(docs: DataFrame, run: int = RUN, words: int = WORDS, chars: int = CHARS) -> DataFrame:
@@ -41,7 +56,7 @@ def short_runs(docs: DataFrame, run: int = RUN, words: int = WORDS, chars: int =
 
     A run is long if it has so many words or characters. One whose lines are all long is left to its lines.
     """
-    line = lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.filter(F.split(x, r"\s+"), lambda w: w != "")).alias("w"), F.length(x).alias("c"))
+    line = lambda x: F.struct(_hashed(x).alias("h"), F.size(F.filter(F.split(x, r"\s+"), lambda w: w != "")).alias("w"), F.length(x).alias("c"))
     rows = _marked(docs).where("text is not null").select(*_KEY, F.transform(F.split("text", "\n"), line).alias("lines"))
     total = F.size("lines")
     hashes = F.transform("lines", lambda x: x["h"])
@@ -53,12 +68,12 @@ def short_runs(docs: DataFrame, run: int = RUN, words: int = WORDS, chars: int =
             judged = is_long(sum(x["w"] for x in held), sum(x["c"] for x in held))
             if n > 1:
                 judged = judged & ~reduce(and_, [is_long(x["w"], x["c"]) for x in held])
-            content = F.xxhash64(F.array(*[x["h"] for x in held]))
+            content = _content(F.array(*[x["h"] for x in held]))
             return F.struct(content.alias("content"), s.cast("int").alias("start"), F.lit(n).alias("n"), judged.alias("judged"))
 
         return F.filter(F.transform(F.when(total >= n, F.sequence(F.lit(0), total - n)).otherwise(F.array().cast("array<int>")), one), lambda z: z["judged"])
 
-    whole = F.struct(F.xxhash64(F.lit("whole"), hashes).alias("content"), F.lit(0).alias("start"), total.alias("n"), (total < run).alias("judged"))
+    whole = F.struct(_content(F.concat(hashes, F.array(_hashed(F.lit("whole"))))).alias("content"), F.lit(0).alias("start"), total.alias("n"), (total < run).alias("judged"))
     found = rows.select(*_KEY, F.explode(F.concat(F.filter(F.array(whole), lambda z: z["judged"]), *[windows(n) for n in range(1, run)])).alias("z"))
     return found.select("z.content", *_KEY, "z.start", "z.n")
 
@@ -81,8 +96,9 @@ def repeated_runs(docs: DataFrame, run: int = RUN, words: int | None = None) ->
     inside = F.slice("around", F.col("start") - F.col("low") + 1, run)
     offset = F.col("pos") - F.col("start") + 1
     later = F.slice(inside, offset + 1, run)
-    chosen = (F.array_min(inside) == F.col("value")) & (F.coalesce(F.array_min(later) > F.col("value"), F.lit(True)))
-    runs = near.where(chosen).select(F.xxhash64(inside).alias("content"), *_KEY, "start", F.lit(run).alias("n"))
+    least = lambda lines: F.array_min(F.transform(lines, lambda x: x["a"]))
+    chosen = (least(inside) == F.col("value")) & (F.coalesce(least(later) > F.col("value"), F.lit(True)))
+    runs = near.where(chosen).select(_content(inside).alias("content"), *_KEY, "start", F.lit(run).alias("n"))
     if words is not None:
         runs = runs.unionByName(short_runs(docs, run, words))
     at = F.struct(*_KEY, "start")
@@ -96,8 +112,8 @@ def _cut(docs: DataFrame, run: int, words: int | None = None) -> DataFrame:
     cut = cut.select(F.col("doc_id").alias("cut_id"), F.col("mark").alias("cut_mark"), "starts")
     rows = docs.select(F.struct("*").alias("doc"), F.xxhash64("text").alias("mark"))
     rows = rows.join(cut, F.col("doc.doc_id").eqNullSafe(F.col("cut_id")) & (F.col("mark") == F.col("cut_mark")), "left")
-    text = F.col("doc.text")
-    lines = F.split(text, "\n")
+    text, lines = F.col("doc.text"), F.col("lines")
+    rows = rows.withColumn("lines", F.split(text, "\n"))
     gone = F.flatten(F.transform("starts", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))
     rows = rows.withColumn("kept", F.when(F.col("starts").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)))
     left = F.when(F.col("kept").isNull(), text).otherwise(F.array_join(F.transform("kept", lambda i: F.get(lines, i)), "\n"))
@@ -129,6 +145,8 @@ def keep_what_is_left(docs: DataFrame, run: int = RUN, words: int = WORDS) -> Da
     """The documents, with their columns, without the lines that drop_repeated_lines takes; those that lose all go.
 
     Shorter runs go too if they stand at an earlier place and have `words` words or CHARS characters, and so do documents of
-    fewer than `run` lines that equal an earlier one as a whole.
+    fewer than `run` lines that equal an earlier one as a whole. Null text stays null and is kept; the empty text is
+    one empty line, so only the first empty document stays. Rows equal in id and text are one document and share its
+    fate; null ids come first. n_chars, if there, is the length of what is left. An empty table gives no rows.
     """
-    return _cut(docs, run, words).where("left is null or n_removed < n_lines").select(*_columns(docs))
+    return _cut(docs, run, words).where("n_lines = 0 or n_removed < n_lines").select(*_columns(docs))

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexispark.llm import embedding_join as E
 from lexispark.llm import ngram_join as N
@@ -131,6 +132,19 @@ def test_lines_of_odd_tables(spark):
     assert sorted((str(r.doc_id), r.n_removed) for r in twice.collect()) == [("1", 3), ("1", 3), ("None", 0)]
 
 
+def test_lines_of_a_very_long_text(spark):
+    """200,000 lines in one document: work in proportion to the lines."""
+    import time
+
+    lines = [f"line {i}" for i in range(100_000)]
+    text = "\n".join(lines + lines)
+    rows = spark.createDataFrame([(1, text), (2, "\n".join(lines[5:9] + ["own"]))], "doc_id long, text string")
+    began = time.time()
+    found = {r.doc_id: (r.n_lines, r.n_removed) for r in drop_repeated_lines(rows).select("doc_id", "n_lines", "n_removed").collect()}
+    assert found == {1: (200_000, 100_000), 2: (5, 4)} and time.time() - began < 60
+    assert {r.doc_id: r.n_chars for r in keep_what_is_left(rows.withColumn("n_chars", F.length("text").cast("long"))).collect()} == {1: len("\n".join(lines)), 2: 3}
+
+
 def test_lines_with_clashing_names(spark):
     rows = spark.createDataFrame([(1, "a\nb\nc", 9, "x", 7), (2, "a\nb\nc", 9, "y", 7), (3, "a\nb\nc\nd", 9, "z", 7)], "doc_id long, text string, n_lines int, starts string, n_removed int")
     found = sorted(drop_repeated_lines(rows).collect())
@@ -245,8 +259,6 @@ def test_no_vectors(spark):
 
 
 def test_hash_of_kept_words(spark):
-    from pyspark.sql import functions as F
-
     r = cut_repeats(table(spark, [(1, "a \n b\t")])).select(F.sha2("text", 256).alias("h")).first()
     assert r.h == hashlib.sha256(b"a b").hexdigest()
 
