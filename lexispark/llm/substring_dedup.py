@@ -16,6 +16,7 @@ from lexispark.llm.textnum import window_hashes, word_hashes
 SPAN, BLOCK, BUCKET = 13, 6 << 20, 24 << 20
 #: Bytes of passages compared with a source in one task, and places of a window up to which they are tried one by one.
 PART, FEW = 4 << 20, 32
+PLACES = "places array<struct<doc:long,mark:long,start:int>>"
 
 
 def _windows(text: str | None, span: int, bits: int) -> np.ndarray:
@@ -234,8 +235,8 @@ def cut_repeats(docs: DataFrame, span: int = SPAN, block_bytes: int = BLOCK, buc
         return pd.DataFrame([(int(number[i]), h, f, b) for i, h, f, b in parts], columns=["block", "hashes", "firsts", "homes"])
 
     def propose(frame: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        """Passages of the block's documents all of whose windows are first seen in one earlier document."""
-        columns = ["home", "source", "block", "doc", "mark", "start", "passage"]
+        """Passages of the block's documents all of whose windows are first seen in one earlier document, once each."""
+        columns = ["home", "source", "block", "passage", "places"]
         if not len(frame):
             return pd.DataFrame([], columns=columns)
         frame = frame.drop_duplicates(["known", "doc", "mark"])
@@ -250,7 +251,8 @@ def cut_repeats(docs: DataFrame, span: int = SPAN, block_bytes: int = BLOCK, buc
             first[at[nearer]], home[at[nearer]] = low[nearer], where[nearer]
         at = np.searchsorted(block.unique, block.hashes)
         source, home = first[at], home[at]
-        later, end, out = source < block.owner, 0, []
+        later, end = source < block.owner, 0
+        out: dict[tuple, list[dict]] = {}
         for doc, mark, text, size in zip(frame["doc"], frame["mark"], frame["text"], block.sizes):
             begin, end = end, end + size
             if not later[begin:end].any():
@@ -258,8 +260,9 @@ def cut_repeats(docs: DataFrame, span: int = SPAN, block_bytes: int = BLOCK, buc
             words = _words(text)
             for a, b in _runs(np.where(later[begin:end], source[begin:end], doc)):
                 if later[begin + a]:
-                    out.append((int(home[begin + a]), int(source[begin + a]), number, int(doc), int(mark), a, _text(words[a : b + span - 1])))
-        return pd.DataFrame(out, columns=columns)
+                    key = int(home[begin + a]), int(source[begin + a]), number, _text(words[a : b + span - 1])
+                    out.setdefault(key, []).append({"doc": int(doc), "mark": int(mark), "start": a})
+        return pd.DataFrame([(*k, v) for k, v in out.items()], columns=columns)
 
     def serve(frame: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         """The texts of the block's documents that passages are compared with, once for each part."""
@@ -292,8 +295,9 @@ def cut_repeats(docs: DataFrame, span: int = SPAN, block_bytes: int = BLOCK, buc
     def cut(frame: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         columns = ["doc_id", "n_words", "n_removed", "spans", "text"]
         out, of = [], {}
-        for doc, mark, start, source, factors in zip(*(found[c] for c in ("doc", "mark", "start", "source", "factors"))) if len(found) else ():
-            of.setdefault((doc, mark), []).extend((start + f["start"], f["length"], source, f["position"]) for f in factors)
+        for places, source, factors in zip(found["places"], found["source"], found["factors"]) if len(found) else ():
+            for at in places:
+                of.setdefault((at["doc"], at["mark"]), []).extend((at["start"] + f["start"], f["length"], source, f["position"]) for f in factors)
         for doc, known, mark, text in zip(frame["doc"], frame["known"], frame["mark"], frame["text"]) if len(frame) else ():
             words, spans = _words(text), sorted(of.get((doc, mark), ())) if known else []
             kept, last = [], 0
@@ -310,7 +314,7 @@ def cut_repeats(docs: DataFrame, span: int = SPAN, block_bytes: int = BLOCK, buc
     replies = asked.groupBy("bucket").applyInPandas(shared, "block int, bucket int, data binary")
     asked = held.cogroup(replies.groupBy("block")).applyInPandas(ask_again, "bucket int, block int, hashes binary, firsts binary")
     replies = asked.groupBy("bucket").applyInPandas(earliest, "block int, hashes binary, firsts binary, homes binary")
-    proposed = held.cogroup(replies.groupBy("block")).applyInPandas(propose, "home int, source long, block int, doc long, mark long, start int, passage string")
+    proposed = held.cogroup(replies.groupBy("block")).applyInPandas(propose, f"home int, source long, block int, passage string, {PLACES}")
     proposed = stored(proposed.withColumn("key", F.substring(F.sha2("passage", 256), 1, 32)), "passages")
 
     passages = proposed.groupBy("home", "source", "key").agg(F.first("passage").alias("passage"))
@@ -323,7 +327,7 @@ def cut_repeats(docs: DataFrame, span: int = SPAN, block_bytes: int = BLOCK, buc
     schema = "source long, key string, factors array<struct<start:int,length:int,position:int>>, missed array<long>"
     factors = stored(both.mapInPandas(factor, schema), "factors")
     found = proposed.drop("passage", "home").join(factors.select("source", "key", "factors"), ["source", "key"])
-    found = found.select("block", "doc", "mark", "start", "source", "factors")
+    found = found.select("block", "places", "source", "factors")
     again = factors.select(F.explode("missed").alias("hash")).distinct()
     if not again.isEmpty():
         found = found.unionByName(_by_words(rows, again, span, bits))
@@ -332,7 +336,7 @@ def cut_repeats(docs: DataFrame, span: int = SPAN, block_bytes: int = BLOCK, buc
 
 
 def _by_words(rows: DataFrame, hashes: DataFrame, span: int, bits: int) -> DataFrame:
-    """(block, doc, mark, start, source, factors) of the windows with one of the hashes, compared by their words."""
+    """(block, places, source, factors) of the windows with one of the hashes, compared by their words."""
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -346,4 +350,5 @@ def _by_words(rows: DataFrame, hashes: DataFrame, span: int, bits: int) -> DataF
     some = all_.join(hashes, "hash").drop("hash").distinct()
     first = some.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("first"))
     one = F.array(F.struct(F.lit(0).alias("start"), F.lit(span).alias("length"), F.col("first.start").alias("position")))
-    return some.join(first, "window").where("first.doc < doc").select("block", "doc", "mark", "start", F.col("first.doc").alias("source"), one.alias("factors"))
+    places = F.array(F.struct("doc", "mark", "start"))
+    return some.join(first, "window").where("first.doc < doc").select("block", places.alias("places"), F.col("first.doc").alias("source"), one.alias("factors"))
