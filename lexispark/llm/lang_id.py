@@ -18,8 +18,11 @@ from lexispark.llm.textnum import mix, span_hashes
 CHAIN, FEATURES, CACHE = 64, 1 << 16, 300_000
 #: A longer word, as in text without spaces, is several words in the chain.
 LONGEST = 40
-#: The training sample: at most so many languages, documents of each, and chains of a document.
-LANGUAGES, DOCS, CHAINS = 64, 150, 4
+#: The training sample: at most so many documents of a language, and chains of a document. With many languages each has
+#: fewer, SHARED documents in all, but FEWEST or more: every language is learned.
+DOCS, CHAINS, SHARED, FEWEST = 150, 4, 3_000, 12
+#: Up to so many labels the messages between the chains of a long text come from products of whole chains.
+PRODUCTS = 16
 #: Hashed pieces of four letters that the sample has; words taken as familiar on top of those of a text.
 PIECES, GIVEN = 1 << 22, 4
 UNKNOWN = "und"
@@ -27,6 +30,12 @@ _LETTER = re.compile(r"[^\W\d_]")
 _EDGES = "".join(map(chr, range(33, 65))) + "[\\]^_`{|}~¡¿«»“”„’‘…–—"
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (Unicode category L); number signs such as ½ or ② are none."""
+    found = _LETTER.search(text)
+    return found is not None and (found[0].isalpha() or any(map(str.isalpha, text[found.start() :])))
+
+
 def words_of(text: str) -> list[str]:
     words = text.split()
     if max(map(len, words), default=0) <= LONGEST:
@@ -40,7 +49,7 @@ def _plain(word: str) -> str:
 
 def _laid_out(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
     """(whether a word has a letter, the words that have, these plain, their characters in a row, starts, lengths)."""
-    lettered = np.fromiter((_LETTER.search(w) is not None for w in words), bool, len(words))
+    lettered = np.fromiter((has_letter(w) for w in words), bool, len(words))
     rows = np.flatnonzero(lettered)
     plain = [_plain(words[i]) for i in rows]
     chars = np.frombuffer(("\n".join(plain) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -93,7 +102,7 @@ def calibrate(samples: list[tuple[str, list[str]]], quantile: float = 0.01) -> t
         types = list({w for h, (_, ws) in zip(half, samples) if h == side for w in ws})
         share = dict(zip(types, _familiar(types, known)))
         for h, (lang, ws) in zip(half, samples):
-            held = [share[w] for w in ws if _LETTER.search(w)] if h == side else []
+            held = [share[w] for w in ws if has_letter(w)] if h == side else []
             if held:
                 lack.setdefault(lang, []).append(1 - (sum(held) + GIVEN) / (len(held) + GIVEN))
     most = max((float(np.quantile(x, 1 - quantile)) for x in lack.values()), default=1.0)
@@ -141,14 +150,17 @@ def _sums(ids: np.ndarray, owners: np.ndarray, n: int, weights: np.ndarray) -> n
     return np.stack([np.bincount(owners, weights[ids, j], n) for j in range(weights.shape[1])], 1)
 
 
-def forward_backward(emit: np.ndarray, real: np.ndarray, step: np.ndarray, first: np.ndarray, pairs: bool = False):
+def forward_backward(emit: np.ndarray, real: np.ndarray, step: np.ndarray, first: np.ndarray, pairs: bool = False, after: np.ndarray | None = None):
     """Posterior label probabilities of each position of many chains at once.
 
     emit (chains, CHAIN, labels) and step (labels, labels) hold exponentials; real marks positions that aren't
-    padding (padding only follows). With pairs also the summed posteriors of label pairs.
+    padding (padding only follows); first is the message into each chain (or one for all), after the one from behind its end
+    (1 if nothing follows). With pairs also the summed posteriors of label pairs.
     """
     n, t, k = emit.shape
     forward, back = np.empty_like(emit), np.ones_like(emit)
+    if after is not None:
+        back[:, -1] = after
     now = emit[:, 0] * first
     forward[:, 0] = now = now / now.sum(1, keepdims=True)
     for i in range(1, t):
@@ -158,9 +170,9 @@ def forward_backward(emit: np.ndarray, real: np.ndarray, step: np.ndarray, first
     for i in range(t - 2, -1, -1):
         right = emit[:, i + 1] * back[:, i + 1]
         if pairs:
-            joint = forward[:, i, :, None] * step * right[:, None, :]
-            joint /= joint.sum((1, 2), keepdims=True)
-            total += joint[real[:, i + 1]].sum(0)
+            some = real[:, i + 1]
+            left = forward[some, i]
+            total += step * (left.T @ (right[some] / ((left @ step) * right[some]).sum(1, keepdims=True)))
         now = right @ step.T
         back[:, i] = np.where(real[:, i + 1, None], now / now.sum(1, keepdims=True), 1.0)
     out = forward * back
@@ -168,6 +180,58 @@ def forward_backward(emit: np.ndarray, real: np.ndarray, step: np.ndarray, first
     return (out, total) if pairs else out
 
 
+def messages(emit: np.ndarray, real: np.ndarray, counts: np.ndarray, step: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(into, behind) for each chain, where each text is counts[i] chains one after the other: the forward message that its
+    first word meets, and the backward message behind its last word, so that a text is one field however long.
+
+    Chains are taken in the order of their place in the text, all texts at once. With few labels a chain is first multiplied out
+    to one matrix; with many its words are gone through.
+    """
+    n, t, k = emit.shape
+    into, behind = np.tile(first.astype(emit.dtype), (n, 1)), np.ones((n, k), emit.dtype)
+    if counts.max(initial=0) < 2:
+        return into, behind
+    order = np.argsort(-counts, kind="stable")
+    starts, counts = (np.cumsum(counts) - counts)[order], counts[order]
+    longer = lambda b: starts[: np.searchsorted(-counts, -b, side="left")]  # noqa: E731  texts of more than b chains
+    whole = None
+    if k <= PRODUCTS:
+        rows = np.concatenate([s + np.arange(c) for s, c in zip(longer(1), counts)])
+        made = np.zeros((len(rows), k, k), emit.dtype)
+        made[:, np.arange(k), np.arange(k)] = emit[rows, 0]
+        for i in range(1, t):
+            new = (made @ step) * emit[rows, i][:, None, :]
+            made = np.where(real[rows, i][:, None, None], new / new.sum((1, 2), keepdims=True), made)
+        whole = np.zeros((n, k, k), emit.dtype)
+        whole[rows] = made
+
+    def through(rows: np.ndarray, now: np.ndarray) -> np.ndarray:
+        if whole is not None:
+            return (now[:, None, :] @ whole[rows])[:, 0]
+        now = now * emit[rows, 0]
+        for i in range(1, t):
+            now = ((now / now.sum(1, keepdims=True)) @ step) * emit[rows, i]
+        return now
+
+    def back(rows: np.ndarray, now: np.ndarray) -> np.ndarray:
+        if whole is not None:
+            return (whole[rows] @ now[:, :, None])[:, :, 0]
+        for i in range(t - 1, 0, -1):
+            new = (emit[rows, i] * now) @ step.T
+            now = np.where(real[rows, i][:, None], new / new.sum(1, keepdims=True), now)
+        return now * emit[rows, 0]
+
+    for b in range(1, int(counts[0])):
+        rows = longer(b) + b
+        now = through(rows - 1, into[rows - 1]) @ step
+        into[rows] = now / now.sum(1, keepdims=True)
+    for b in range(int(counts[0]) - 2, -1, -1):
+        rows = longer(b + 1) + b
+        now = back(rows + 1, behind[rows + 1]) @ step.T
+        behind[rows] = now / now.sum(1, keepdims=True)
+    return into, behind
+
+
 @dataclass
 class Tagger:
     """The learned field: labels, feature weights, transitions, first-word weights and the lexicon."""
@@ -208,7 +272,7 @@ class Tagger:
 
     def judge(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
         """predict, and how familiar the words that have letters are, GIVEN more of them taken as known (1 without known)."""
-        docs = [words_of(t) if t and self.labels and _LETTER.search(t) else [] for t in texts]
+        docs = [words_of(t) if t and self.labels and has_letter(t) else [] for t in texts]
         out: list[tuple[str, float, float]] = [(UNKNOWN, 0.0, 1.0)] * len(docs)
         full = [i for i, d in enumerate(docs) if d]
         if not full:
@@ -221,12 +285,7 @@ class Tagger:
         for i, n in zip(full, chains):
             flat[row * CHAIN : row * CHAIN + len(docs[i])] = np.fromiter(map(get, docs[i]), np.int64, len(docs[i]))
             row += n
-        found = np.empty((len(at), len(self.labels)))
-        step, first = np.exp(self.step).astype(np.float32), np.exp(self.first).astype(np.float32)
-        for k in range(0, len(at), 4096):
-            part = at[k : k + 4096]
-            post = forward_backward(self._emit[part], part > 0, step, first)
-            found[k : k + 4096] = (post * self._lettered[part][:, :, None]).sum(1)
+        found = self._posteriors(at, np.array(chains))
         first_rows = np.concatenate([[0], np.cumsum(chains)[:-1]])
         mass = np.add.reduceat(found, first_rows, axis=0)
         near = np.ones(len(full))
@@ -239,6 +298,23 @@ class Tagger:
         return out
 
 
+    def _posteriors(self, at: np.ndarray, chains: np.ndarray) -> np.ndarray:
+        """The summed posteriors of the lettered words of each chain; texts are whole in a piece of about 4096 chains."""
+        step, first = np.exp(self.step).astype(np.float32), np.exp(self.first).astype(np.float32)
+        found, ends = np.empty((len(at), len(self.labels))), np.cumsum(chains)
+        low = text = 0
+        while low < len(at):
+            upto = max(text + 1, int(np.searchsorted(ends, low + 4096, side="right")))
+            high = int(ends[upto - 1])
+            part = at[low:high]
+            emit = self._emit[part]
+            into, behind = messages(emit, part > 0, chains[text:upto], step, first)
+            post = forward_backward(emit, part > 0, step, into, after=behind)
+            found[low:high] = (post * self._lettered[part][:, :, None]).sum(1)
+            low, text = high, upto
+        return found
+
+
 def train(samples: list[tuple[str, list[str]]], rounds: int = 50, rate: float = 0.25, decay: float = 1e-3, seed: int = 7) -> Tagger:
     """Fit the field to chains of (language, words) by Adam steps on the likelihood.
 
@@ -273,10 +349,11 @@ def train(samples: list[tuple[str, list[str]]], rounds: int = 50, rate: float =
         at[r, : len(ws)], tag[r, : len(ws)] = [place[w] for w in ws], ts
     real = at > 0
     flat, owner, _ = _features(types, lexicon)
+    used, flat = np.unique(flat, return_inverse=True)  # the others keep the weight 0
     gold = np.zeros((k, k))
     np.add.at(gold, (tag[:, :-1][real[:, 1:]], tag[:, 1:][real[:, 1:]]), 1)
     truth = np.eye(k)[tag] * real[:, :, None]
-    values = [np.zeros((FEATURES, k)), np.zeros((k, k)), np.zeros(k)]
+    values = [np.zeros((len(used), k)), np.zeros((k, k)), np.zeros(k)]
     m, v = [np.zeros_like(x) for x in values], [np.zeros_like(x) for x in values]
     for r in range(1, rounds + 1):
         score = _sums(flat, owner, len(types), values[0])
@@ -285,7 +362,7 @@ def train(samples: list[tuple[str, list[str]]], rounds: int = 50, rate: float =
         miss = post * real[:, :, None] - truth
         by_type = np.stack([np.bincount(at.ravel(), miss[:, :, j].ravel(), len(types) + 1)[1:] for j in range(k)], 1)
         slope = [
-            np.stack([np.bincount(flat, by_type[owner, j], FEATURES) for j in range(k)], 1),
+            np.stack([np.bincount(flat, by_type[owner, j], len(used)) for j in range(k)], 1),
             pairs - gold,
             (post[:, 0] - truth[:, 0]).sum(0),
         ]
@@ -293,7 +370,9 @@ def train(samples: list[tuple[str, list[str]]], rounds: int = 50, rate: float =
             g = g / real.sum() + decay * values[j] / len(labels) / 10
             m[j], v[j] = 0.9 * m[j] + 0.1 * g, 0.99 * v[j] + 0.01 * g * g
             values[j] -= rate / (1 + r / 40) * (m[j] / (1 - 0.9**r)) / (np.sqrt(v[j] / (1 - 0.99**r)) + 1e-8)
-    return Tagger(labels, values[0].astype(np.float32), values[1], values[2], lexicon)
+    weights = np.zeros((FEATURES, k), np.float32)
+    weights[used] = values[0]
+    return Tagger(labels, weights, values[1], values[2], lexicon)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -301,13 +380,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_chains(docs: DataFrame, languages: int = LANGUAGES, per_language: int = DOCS, per_doc: int = CHAINS) -> list[tuple[str, list[str]]]:
-    """A bounded sample of labelled documents that aren't held out, as chains spread over each whole text."""
+def training_chains(docs: DataFrame, per_language: int = DOCS, per_doc: int = CHAINS) -> list[tuple[str, list[str]]]:
+    """A bounded sample of labelled documents that aren't held out, as chains spread over each whole text.
+
+    Every language gets into it, a rare one with all its documents; the driver holds a count for each.
+    """
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return []
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_language / r["count"]))) for r in counts], F.lit(0.0))
+    wanted = min(per_language, max(FEWEST, SHARED // len(counts)))
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, wanted / n))]), F.col("lang"))
     picked = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share
 
     def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,8 +412,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
     Null text and text without a letter: und, score 0; the same for every text if no labelled document may be
     learned from. With one language learned, every text with a letter gets it. Repeated rows are judged each;
-    a null doc_id is not held out, but nothing is learned from it. Long texts are chains of CHAIN words, and long
-    words are several words of LONGEST characters. Columns of
+    a null doc_id is not held out, but nothing is learned from it. A text is one chain, however long, worked
+    on CHAIN words at a time; long words are several words of LONGEST characters. Columns of
     docs named held_out, lang_pred or score are replaced.
     """
     docs = docs.drop("held_out", "lang_pred", "score")
@@ -360,7 +443,9 @@ def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The documents, with their columns, whose language is known with at least that share of their words.
 
     The shares are of the learned languages alone, so a text must also be as familiar as calibrate asks: lettered junk
-    and texts in other languages go, whatever their share.
+    and texts in other languages go, whatever their share. Null texts and texts without a letter go; with no document that
+    may be learned from all go. Repeated rows are judged each; a null doc_id is judged like any other. An empty table gives
+    no rows.
     """
     names = docs.columns
     whole = docs.select("doc_id", "text", "lang", F.struct("*").alias("doc"))

@@ -13,23 +13,39 @@ from pyspark.sql import functions as F
 from lexispark.functions.storage import stored
 from lexispark.llm.textnum import word_hashes
 
-#: Most labelled rows the classifier is fitted on.
-SAMPLE = 4_000
-FEATURES = ["upper", "digit", "mark", "symbol", "space", "other", "length", "word", "fresh", "again", "top", "line", "same_lines", "bars"]
+#: Most labelled ids the classifier is fitted on; most words whose odds it learns, and the fewest documents these are in.
+SAMPLE, TABLE, SEEN = 4_000, 20_000, 5
+FEATURES = ["upper", "digit", "mark", "symbol", "space", "other", "length", "word", "fresh", "again", "top", "line", "same_lines", "bars", "words"]
 _KIND = np.zeros(256, np.int64)
 for _c in range(256):
     _KIND[_c] = 6 if _c >= 128 else 0 if chr(_c).isupper() else 1 if chr(_c).isdigit() else 5 if chr(_c).islower() else 4 if chr(_c).isspace() else 2 if chr(_c) in ".,;:'\"-?()" else 3
 
 
-def features(text: str | None) -> list[float]:
-    """Shares of character classes, lengths, and how much words and lines repeat, over the whole text."""
+class Odds:
+    """Log odds of words by their hashes."""
+
+    def __init__(self, words: list[str], odds: list[float]) -> None:
+        hashes = np.array([word_hashes(w)[0] for w in words], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.odds = hashes[order], np.array(odds, float)[order]
+
+    def mean(self, hashes: np.ndarray) -> float:
+        """The mean odds of different words, unknown ones counting 0."""
+        if not len(self.hashes) or not len(hashes):
+            return 0.0
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return float(np.where(self.hashes[at] == hashes, self.odds[at], 0.0).mean())
+
+
+def features(text: str | None, odds: Odds) -> list[float]:
+    """Shares of character classes, lengths, how much words and lines repeat, and the odds of the words, over the whole text."""
     if not text:
         return [0.0] * len(FEATURES)
     data = text.encode("utf-8", "surrogatepass")
     kinds = np.bincount(_KIND[np.frombuffer(data, np.uint8)], minlength=7) / len(data)
     words = word_hashes(text)
     n = max(1, len(words))
-    _, counts = np.unique(words, return_counts=True)
+    different, counts = np.unique(words, return_counts=True)
     lines = text.split("\n")
     repeated = sum(v - 1 for v in Counter(lines).values())
     after = float((words[1:] == words[:-1]).mean()) if len(words) > 1 else 0.0
@@ -43,15 +59,39 @@ def features(text: str | None) -> list[float]:
         float(np.log1p(n / len(lines))),
         repeated / len(lines),
         data.count(b" | ") / n,
+        odds.mean(different),
     ]
 
 
-def described(docs: DataFrame, host: str, path: str) -> DataFrame:
+def drawn(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, good, side) of the `sample` labelled ids with the smallest hashes: a top-k that each task keeps short.
+
+    One half (side 0) teaches the odds of words, the other the classifier.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("good")).where("good is not null and doc_id is not null")
+    return known.groupBy("doc_id").agg(F.max("good").alias("good")).orderBy(F.xxhash64("doc_id", F.lit("fit")), "doc_id").limit(sample).withColumn("side", F.pmod(F.xxhash64("doc_id", F.lit("side")), F.lit(2)))
+
+
+def word_odds(docs: DataFrame, sample: DataFrame) -> Odds:
+    """The log odds of good for the TABLE most frequent words of the sample's first half that are in SEEN documents or more."""
+    half = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample.where("side = 0")), "doc_id")
+    words = half.select("good", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))).alias("word"))
+    counts = words.groupBy("word").agg(F.sum("good").alias("good"), F.count("*").alias("n")).where(F.col("n") >= SEEN)
+    total = half.agg(F.sum("good").alias("good"), F.count("*").alias("n")).first()
+    if not total.n:
+        return Odds([], [])
+    found = counts.orderBy(F.desc("n"), "word").limit(TABLE).collect()
+    rate = (total.good + 1) / (total.n + 2)
+    return Odds([r.word for r in found], [float(np.log((r.good + rate) / (r.n - r.good + 1 - rate)) - np.log(rate / (1 - rate))) for r in found])
+
+
+def described(docs: DataFrame, host: str, path: str, odds: Odds) -> DataFrame:
     """(doc_id, host, path and the features), stored: the texts are read once."""
+    held = docs.sparkSession.sparkContext.broadcast(odds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.array([features(t) for t in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
+            rows = np.array([features(t, held.value) for t in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "host", "path")] + [pa.array(c) for c in rows.T], ["doc_id", "host", "path", *FEATURES])
 
     section = F.concat_ws("/", F.coalesce(F.col(host).cast("string"), F.lit("")), F.coalesce(F.col(path).cast("string"), F.lit("")))
@@ -71,13 +111,10 @@ def fit(rows: np.ndarray, good: np.ndarray, ridge: float = 1.0, rounds: int = 25
     return w, mean, scale
 
 
-def classifier(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Column:
-    """The chance that a document is good, as an expression over the features."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("good")).where("good is not null and doc_id is not null")
-    n = known.count()
-    share = min(1.0, sample / max(1, n))
-    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * sample)
-    found = rows.join(picked.groupBy("doc_id").agg(F.max("good").alias("good")), "doc_id").select(*FEATURES, "good").collect()
+def classifier(rows: DataFrame, sample: DataFrame) -> Column:
+    """The chance that a document is good, as an expression over the features; fitted on the sample's second half, a row an id."""
+    one = rows.join(F.broadcast(sample.where("side = 1")), "doc_id").groupBy("doc_id").agg(F.min(F.struct(*FEATURES)).alias("f"), F.max("good").alias("good"))
+    found = one.orderBy("doc_id").select("f.*", "good").collect()
     good = np.array([r.good for r in found])
     if len(set(good.tolist())) < 2:
         return F.lit(float((good.sum() + 1) / (len(good) + 2)))
@@ -111,12 +148,14 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     the path's evidence to the text's: logit(p_doc) + logit(p_path) - logit(global mean). Sparse sites so follow the
     prior. Everything but the classifier's bounded sample is summed over all documents by partial aggregates.
 
-    Null host is a host; null or empty text has all features 0; with labels of one kind or none p_doc is constant;
+    Null host is a host, and so is the empty one; a null path counts as an empty one. Null or empty text has all
+    features 0; with labels of one kind or none p_doc is constant; of several labels of a document the best counts;
     repeated rows count each; an empty table gives no rows.
     """
-    rows = described(docs, host, path)
+    sample = drawn(labels)
+    rows = described(docs, host, path, word_odds(docs, sample))
     known = labels.groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max(F.col("quality").cast("double")).alias("label"))
-    rows = rows.withColumn("p_doc", classifier(rows, labels)).select("doc_id", "host", "path", "p_doc")
+    rows = rows.withColumn("p_doc", classifier(rows, sample)).select("doc_id", "host", "path", "p_doc")
     rows = rows.join(known, F.col("doc_id") == F.col("label_id"), "left")
     rows = stored(rows.select("doc_id", "host", "path", "p_doc", F.coalesce("label", "p_doc").alias("e")), "evidence")
 

@@ -34,6 +34,44 @@ def test_forward_backward_against_all_paths():
     assert np.allclose(post[0, :4], marginal / total) and np.allclose(pairs, joint / total)
 
 
+@pytest.mark.parametrize("products", [0, 16])
+def test_whole_predictions_against_all_paths(monkeypatch, products):
+    """A field of three labels with random weights: texts of one to eight words over chains of three, by all labellings."""
+    monkeypatch.setattr(L, "CHAIN", 3)
+    monkeypatch.setattr(L, "PRODUCTS", products)
+    rng = np.random.default_rng(products)
+    words = ["ab", "abc", "12", "xyz", "é", "ab,", "q1"]
+    model = L.Tagger(["a", "b", "c"], rng.normal(size=(L.FEATURES, 3)).astype(np.float32), rng.normal(size=(3, 3)), rng.normal(size=3), {"^xyz$": 1})
+    texts = [" ".join(rng.choice(words, n)) + " ab" for n in range(0, 8) for _ in range(3)]
+    for text, (label, score) in zip(texts, model.predict(texts)):
+        ws = text.split()
+        ids, owners, lettered = L._features(ws, model.lexicon)
+        score_of = L._sums(ids, owners, len(ws), model.weights).astype(float)
+        total, mass = 0.0, np.zeros(3)
+        for path in itertools.product(range(3), repeat=len(ws)):
+            p = np.exp(model.first[path[0]] + sum(model.step[a, b] for a, b in zip(path, path[1:])) + sum(max(score_of[i, k] - score_of[i].max(), -30) for i, k in enumerate(path)))
+            total += p
+            for i, k in enumerate(path):
+                mass[k] += p * lettered[i]
+        mass /= total
+        assert label == model.labels[int(mass.argmax())] and score == pytest.approx(mass.max() / mass.sum(), abs=1e-4)
+
+
+def test_number_signs_are_no_letters():
+    assert [L.has_letter(x) for x in ("½ ² ①", "12 Ⅷ _", "½a", "²é", "漢", "")] == [False, False, True, True, True, False]
+
+
+def test_many_languages_and_a_very_long_word(spark):
+    """Seventy languages with letters of their own: all are learned. A word of a thousand letters counts as a whole."""
+    rng = np.random.default_rng(2)
+    sets = [[chr(0x4E00 + 40 * k + j) for j in range(6)] for k in range(70)]
+    rows = [(i, " ".join("".join(rng.choice(sets[i % 70], 4)) for _ in range(20)), f"l{i % 70:02d}") for i in range(350)]
+    rows += [(1000 + k, "".join(rng.choice(sets[k], 41)) + "".join(rng.choice(sets[k + 1], 1000)), None) for k in (3, 60)]
+    found = {r.doc_id: r.lang_pred for r in L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sum(found[i] == f"l{i % 70:02d}" for i in range(350)) > 345
+    assert found[1003] == "l04" and found[1060] == "l61"
+
+
 def test_language_accuracy(spark, docs):
     found = L.identify(docs).where("held_out")
     right = found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
@@ -86,6 +124,65 @@ def test_sparse_hosts_are_shrunk(spark):
     assert rate["bad"] < rate["new"] < rate["good"] and abs(rate["new"] - whole) < 0.1
 
 
+def plain_rates(rows, known):
+    """{row number: (p_host, p_path, score)} of rows (doc_id, host, path, p_doc) by loops over hosts and paths."""
+    e = [known.get(i, p) for i, _, _, p in rows]
+    clip = lambda p: min(max(p, 1e-6), 1 - 1e-6)
+    logit = lambda p: np.log(clip(p) / (1 - clip(p)))
+    mean = clip(sum(e) / len(e))
+
+    def groups(key):
+        out = {}
+        for k, r in enumerate(rows):
+            n, t = out.get(key(r), (0, 0.0))
+            out[key(r)] = n + 1, t + e[k]
+        return out
+
+    def worth(held, prior):
+        noise = sum(prior[g] * (1 - prior[g]) for g in held)
+        excess = sum(n * (t / n - prior[g]) ** 2 for g, (n, t) in held.items()) - noise
+        total = sum(n for n, _ in held.values())
+        spread = excess / max(total - sum(n * n for n, _ in held.values()) / total, 1.0)
+        return min(max(noise / len(held) / max(spread, 1e-9) - 1, 1.0), 1e6)
+
+    hosts, paths = groups(lambda r: r[1]), groups(lambda r: (r[1], r[2]))
+    a = worth(hosts, {h: mean for h in hosts})
+    prior = {h: (a * mean + t) / (a + n) for h, (n, t) in hosts.items()}
+    b = worth(paths, {g: prior[g[0]] for g in paths})
+    out = []
+    for k, (_, h, p, doc) in enumerate(rows):
+        of_host = (a * mean + hosts[h][1] - e[k]) / (a + hosts[h][0] - 1)
+        of_path = (b * of_host + paths[h, p][1] - e[k]) / (b + paths[h, p][0] - 1)
+        out.append((of_host, of_path, 1 / (1 + np.exp(-(logit(doc) + logit(of_path) - logit(mean))))))
+    return out
+
+
+def test_quality_against_plain_rates(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i if i % 9 else i // 2, " ".join(rng.choice(["good", "fine", "###", "$$"], rng.integers(1, 30))), [None, "", "a", "b"][rng.integers(4)], ["x", None, "y"][rng.integers(3)]) for i in range(300)]
+    labels = [(int(i), int(rng.random() < 0.6)) for i in rng.integers(0, 300, 150)] + [(3, None), (None, 1)]
+    known = {}
+    for i, q in labels:
+        if q is not None:
+            known[i] = max(q, known.get(i, 0))
+    found = Q.judge(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    want = plain_rates([(r.doc_id, r.host, r.path, r.p_doc) for r in found], known)
+    assert len(found) == 300 and len({r.p_doc for r in found}) > 100
+    for r, w in zip(found, want):
+        assert (r.p_host, r.p_path, r.score) == pytest.approx(w, abs=1e-9) and r.keep == (r.score >= 0.5)
+    assert sorted(str((r.doc_id, r.host)) for r in found) == sorted(str((i, h)) for i, _, h, _ in rows)
+
+
+def test_odds_of_words(spark):
+    rows = [(i, "the nice words here" if i % 2 else "spam spam the casino", "s", "en") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    odds = Q.word_odds(docs, Q.drawn(labels))
+    of = lambda w: odds.mean(np.unique(Q.word_hashes(w)))
+    assert of("nice") > 1 and of("casino") < -1 and abs(of("the")) < 0.1 and of("never") == of("") == 0
+    assert Q.drawn(labels, 50).count() == 50
+
+
 def test_quality_of_odd_tables(spark):
     docs = spark.createDataFrame([(1, None, None, None, 0.5), (1, "", "a", "b", 0.5), (None, "x" * 100_000, "a", None, 0.5)], "doc_id long, text string, source string, lang string, score double")
     none = spark.createDataFrame([], "doc_id long, quality int")
