@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexispark.functions.numbering import number_rows, running_total
 from lexispark.functions.storage import small_enough, stored
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -12,9 +13,10 @@ WORDS = r"[^\x20\x09-\x0D]+"
 BITS, LEVELS = 12, 5
 
 
-def doc_hash(doc_id: Column) -> Column:
-    """60 bits of the md5 of the id as text (null: of the empty text)."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def doc_hash(doc_id: Column, text: Column) -> Column:
+    """60 bits of the md5 of the id as text and the md5 of the text (null: of the empty text), so texts under one id differ."""
+    both = F.concat_ws(" ", F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(both), 1, 15), 16, 10).cast("long")
 
 
 def _digits(upto: int) -> Column:
@@ -30,17 +32,16 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     by weight until none is above its limit. That is a water level: each target is the smaller of the
     limit and level x weight, and the level is the largest one that any set of full sources leaves.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (rank % len(weights) + 1).cast("int"))
-    per = per.withColumn("weight", weight).withColumn("limit", F.col("source_size") * max_repeats)
-    whole = Window.partitionBy()
-    filled = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    before = lambda c: F.coalesce(F.sum(c).over(filled), F.lit(0))
-    budget = F.sum("source_size").over(whole) * F.lit(float(share))
-    per = per.withColumn("level", (budget - before("limit")) / (F.sum("weight").over(whole) - before("weight")))
-    level = F.max("level").over(whole)
-    return per.select("source", "source_size", F.least(F.col("limit").cast("double"), level * F.col("weight")).alias("target"))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("last", F.col("source").isNull())
+    per = number_rows(per, ["last", "source"], "place", 0)
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    per = per.withColumn("weight", weight).withColumn("limit", F.col("source_size") * max_repeats).withColumn("fills", F.col("limit") / F.col("weight"))
+    for c in ("limit", "weight"):
+        per = running_total(per, ["fills", "place"], c, f"{c}_before")
+    whole = per.agg((F.sum("source_size") * F.lit(float(share))).alias("budget"), F.sum("weight").alias("weights"))
+    per = per.join(whole).withColumn("level", (F.col("budget") - F.col("limit_before")) / (F.col("weights") - F.col("weight_before")))
+    level = per.agg(F.max("level").alias("top"))
+    return per.join(level).select("source", "source_size", F.least(F.col("limit").cast("double"), F.col("top") * F.col("weight")).alias("target"))
 
 
 def thresholds(base: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -72,14 +73,14 @@ def _extra(h: Column) -> Column:
 def sized(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, source, size, h), stored: the texts are read once."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long")
-    return stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), doc_hash(F.col(doc_id)).alias("h")), "sizes")
+    return stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), doc_hash(F.col(doc_id), F.col(text)).alias("h")), "sizes")
 
 
 def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_repeats: int = 2) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken.
 
-    Null text has size 0; null source is a source of its own (the last). Rows with the same doc_id have the
-    same hash and are taken together. An empty table gives no rows. The same table gives the same mix again.
+    Null text has size 0; null source is a source of its own (the last). Rows equal in id and text have the same
+    hash and are taken together. An empty table gives no rows. The same table gives the same mix again.
     """
     base = sized(docs)
     marks = small_enough(thresholds(base, targets(base, weights, share, max_repeats)))
@@ -89,13 +90,14 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
 
 
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_repeats: int = 2) -> DataFrame:
-    """The documents of the mix with all their columns, each as often as it is taken.
+    """The documents of the mix with all their columns, each as often as it is taken, at most max_repeats times.
 
-    The texts stay where they are: the thresholds, a row a source, go to them if there are few enough sources.
+    Null and empty texts have size 0, fill nothing, and come as often as others of their hash in their source; null source is
+    a source of its own. Rows equal in id and text are taken together. An empty table gives no rows. The texts stay where they are: the thresholds, a row a source, go to them if there are few enough sources.
     """
     base = sized(docs)
     marks = small_enough(thresholds(base, targets(base, weights, share, max_repeats)).withColumnRenamed("source", "mark_source"))
     rows = docs.select(F.struct("*").alias("doc"))
     rows = rows.join(marks, F.col("doc.source").eqNullSafe(F.col("mark_source")))
-    times = F.col("repeats") + _extra(doc_hash(F.col("doc.doc_id"))).cast("int")
+    times = F.least(F.col("repeats") + _extra(doc_hash(F.col("doc.doc_id"), F.col("doc.text"))).cast("int"), F.lit(max_repeats))
     return rows.where(times > 0).select("doc", F.explode(F.sequence(F.lit(1), times)).alias("copy")).select("doc.*")

@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express: brute force over all rows."""
 
 _WORDS = "coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), [])"
-_DOC_HASH = "('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint"
+_DOC_HASH = "('0x' || substr(md5(coalesce(doc_id::varchar, '') || ' ' || md5(coalesce(text, ''))), 1, 15))::bigint"
 
 ORACLES: dict[str, str] = {
     "op1_ngram_join": f"""

@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from lexispark.functions.storage import small_enough, stored
 
 END, SPECIAL = 1, "<|endoftext|>"
-#: Most source queues (more sources share queues by hash).
-QUEUES = 1024
 #: The byte-level pattern (a fixed value), and texts for which every version of Unicode agrees about it.
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PLAIN = re.compile("[\t\n\r -~\u00a1-\u024f\u0391-\u03a1\u03a3-\u03c9\u0400-\u045f\u2010-\u2027\u2030-\u205e\u20ac]*")
@@ -142,8 +140,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, window_sequences:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every window of window_sequences sequences holds the sources in the proportions of weights (by default
-    their shares of all tokens, so that all queues end together; sources without a weight get their token count),
-    as long as they last. Sequences are cut from the stream without padding; only the very last one may be
+    their shares of all tokens, so that all queues end together; with weights, a source without one has weight 1),
+    as long as they last. Each source is a queue of its own, however many there are; the driver holds a row a source. Sequences are cut from the stream without padding; only the very last one may be
     short. A null or empty text is its end token alone; null source is a source; repeated rows are packed each;
     an empty table gives no rows.
 
@@ -154,19 +152,17 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, window_sequences:
     ids = stored(tokenised(docs, tokenizer), "ids")
     parts = ids.groupBy("source", "task").agg(F.sum("n").alias("n"))
     sums = parts.groupBy("source").agg(F.sum("n").alias("n"))
-    n_sources = sums.count()
-    queue = F.col("source") if n_sources <= QUEUES else F.pmod(F.xxhash64("source"), F.lit(QUEUES)).cast("string")
-    totals = sorted(((r.queue, r.n) for r in sums.groupBy(queue.alias("queue")).agg(F.sum("n").alias("n")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
-    shares = [(weights or {}).get(q, n) for q, n in totals]
+    totals = sorted(((r.source, r.n) for r in sums.collect()), key=lambda r: (r[0] is None, r[0] or ""))
+    shares = [n if weights is None else weights.get(q, 1) for q, n in totals]
     scale = 1 if all(isinstance(x, int) for x in shares) else 10**9
     number = {q: k for k, (q, _) in enumerate(totals)}
     plan = spark.sparkContext.broadcast(([n for _, n in totals], [max(1, round(x * scale)) for x in shares], number))
 
-    order = Window.partitionBy("queue").orderBy("task", "source").rowsBetween(Window.unboundedPreceding, -1)
-    bases = parts.withColumn("queue", queue).withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0)))
-    bases = small_enough(bases.select("queue", F.col("source").alias("s"), F.col("task").alias("t"), "base"))
+    order = Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    bases = small_enough(bases.select(F.col("source").alias("s"), F.col("task").alias("t"), "base"))
     rows = ids.join(bases, F.col("source").eqNullSafe(F.col("s")) & (F.col("task") == F.col("t")))
-    rows = rows.select("doc_id", "queue", (F.col("base") + F.col("first")).alias("first"), "n", "ids")
+    rows = rows.select("doc_id", "source", (F.col("base") + F.col("first")).alias("first"), "n", "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, part_of, numbers = plan.value

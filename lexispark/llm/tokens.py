@@ -68,7 +68,8 @@ class PieceCounter:
 def frequent_lengths(docs: DataFrame, model_file: str, rows: int = SAMPLE, size: int = TABLE) -> dict[str, int]:
     """Lengths of the most frequent pre-tokens of about `rows` documents, drawn by a hash of their ids.
 
-    Only speed depends on it, no count.
+    Only speed depends on it, no count. The sample's counts, of about `rows` documents however large the table, are summed by
+    a small aggregate.
     """
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,7 +95,8 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096) -> DataFra
 
     Null and empty texts have 0 bytes and 0 tokens; repeated rows are counted each; null ids stay null.
     The table of frequent pre-tokens has at most TABLE entries and is sent to the workers; the rest is encoded
-    where it occurs and kept in a worker's cache of at most CACHE entries. Nothing is shuffled.
+    where it occurs and kept in a worker's cache of at most CACHE entries. No pre-token of the table is shuffled, only the
+    counts of the sample that fills the table (see frequent_lengths).
     """
     table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, model_file))
 

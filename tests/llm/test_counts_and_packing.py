@@ -95,6 +95,18 @@ def test_packing_with_weights_and_nothing(spark):
     assert pack(table(spark, rows).where("doc_id < 0"), tokenizer("byte_bpe_50k.json")).count() == 0
 
 
+def test_many_sources_with_weights(spark):
+    """2,000 sources: each keeps its own weight, so early windows hold what the weights say."""
+    rows = [(i, "a b c d " * 25, f"s{i % 2000}") for i in range(4000)]
+    heavy = {f"s{k}": 9 for k in range(0, 2000, 2)}
+    found = pack(table(spark, rows), tokenizer("byte_bpe_50k.json"), 128, 256, heavy)
+    found = found.join(table(spark, rows).select("doc_id", "source"), "doc_id").collect()
+    check_pieces(rows, found, 128)
+    early = [r for r in found if r.sequence_id < 200]
+    share = sum(r.length for r in early if r.source in heavy) / sum(r.length for r in early)
+    assert abs(share - 0.9) < 0.02
+
+
 def test_windows_keep_the_proportions():
     totals, window = [70_000, 20_000, 9_990, 10], 1000
     plan = Schedule(totals, totals, window)
@@ -166,6 +178,16 @@ def test_mixing(spark):
     assert all(got.get(r.doc_id, 0) * r.size == r.taken for r in found if r.size)
 
 
+def test_texts_under_one_id_and_empty_ones(spark):
+    """Texts under one id, or none, are taken one by one, so their source comes near its target; empty ones at most twice."""
+    rows = [(i, " ".join(f"w{k}" for k in range(5 + k % 7)), "a") for k, i in enumerate([None] * 200 + [7] * 200)] + [(900 + k, "", "a") for k in range(50)] + [(1000 + k, "x y z " * 9, "b") for k in range(300)]
+    rows = [(i, t + f" {k}" if t else t, s) for k, (i, t, s) in enumerate(rows)]
+    for r in plan_mix(table(spark, rows)).groupBy(F.when(F.col("source_size") > 0, F.col("target")).alias("target")).agg(F.sum("taken").alias("taken")).collect():
+        assert abs(r.taken - r.target) <= 30
+    n = {r.doc_id: r.n for r in apply_mix(table(spark, rows)).where("text = ''").groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert all(x <= 2 for x in n.values())
+
+
 def test_mixing_of_nothing(spark):
     assert plan_mix(table(spark, [])).count() == 0
     blank = plan_mix(table(spark, [(1, None, None), (2, " ", "a")])).collect()
