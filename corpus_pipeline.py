@@ -2,13 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return the
 columns of documents; no stage needs SQL beyond DataFrames, but language ID is a trained model, so the whole has no
-SQL counterpart (ORACLE_SQL is None) and is tested stage by stage against brute force.
+SQL counterpart (ORACLE_SQL is None) and is tested stage by stage against brute force. What a stage keeps is written to the
+shared folder once and read from there, so no stage runs twice.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexispark.functions.storage import stored
 from lexispark.llm.lang_id import keep_identified
 from lexispark.llm.line_dedup import keep_what_is_left
 from lexispark.llm.mixing import apply_mix
@@ -53,8 +55,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents, one after the other."""
+    """Apply the stages to documents, one after the other, each on what the one before it has written down."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)
