@@ -5,6 +5,8 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
+
 from lexispark.functions.phonology import FRICATIVES, GLIDES, LIQUIDS, NASALS, TONES, VOWELS
 
 
@@ -106,16 +108,31 @@ def align_many(sequences: list[list[str]], gap: float = -0.5) -> list[list[str]]
     return rows
 
 
-def upgma(items: int, far: dict[tuple[int, int], float], threshold: float) -> list[int]:
-    """Flat clusters by average distance: the closest two clusters are joined while they are within the threshold."""
-    groups = [[i] for i in range(items)]
-    while len(groups) > 1:
-        mean = lambda g, h: sum(far[max(x, y), min(x, y)] for x in g for y in h) / (len(g) * len(h))
-        d, i, j = min((mean(groups[i], groups[j]), i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
-        if d > threshold:
+def average_linkage(far: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """For items of some size each, with a matrix of distances, the first item of their flat cluster.
+
+    The closest two clusters are joined, ties by first items, while their mean distance is within the threshold.
+    """
+    far, sizes, head = far.astype(float).copy(), sizes.astype(float).copy(), np.arange(len(far))
+    np.fill_diagonal(far, np.inf)
+    near = far.argmin(1) if len(far) else head
+    while len(far) > 1:
+        low = far[np.arange(len(far)), near]
+        i = int(low.argmin())
+        if not low[i] <= threshold:
             break
-        groups[i] += groups.pop(j)
-    return [k for _, k in sorted((i, k) for k, g in enumerate(groups) for i in g)]
+        i, j = sorted((i, int(near[i])))
+        mean = (sizes[i] * far[i] + sizes[j] * far[j]) / (sizes[i] + sizes[j])
+        sizes[i] += sizes[j]
+        head[head == j] = i
+        far[i], far[:, i] = mean, mean
+        far[j], far[:, j], far[i, i] = np.inf, np.inf, np.inf
+        stale = (near == i) | (near == j)
+        stale[[i, j]] = True
+        near[stale] = far[stale].argmin(1)
+        closer = far[:, i] < far[np.arange(len(far)), near]
+        near[closer] = i
+    return head
 
 
 def maximal_cliques(nodes: list[int], edges: dict[int, set[int]]):

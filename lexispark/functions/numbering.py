@@ -18,3 +18,15 @@ def number_rows(df: DataFrame, order: list[str], name: str = "number", start: in
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return parted.join(before, "_part").withColumn(name, inside + F.col("_before") + (start - 1)).drop("_part", "_before")
+
+
+def running_total(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """The rows with the sum of value over all rows before them in the order of the given columns (unique together).
+
+    Like number_rows: sums inside ranges, and one row for each range in a window over ranges.
+    """
+    parted = materialise(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sums = parted.groupBy("_part").agg(F.sum(value).alias("_n"))
+    before = sums.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parted.join(before, "_part").withColumn(name, inside + F.col("_before")).drop("_part", "_before")

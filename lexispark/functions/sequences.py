@@ -151,3 +151,14 @@ def shrink(tokens: Column, structure: Column, converter: dict[str, str]) -> Colu
 def gap_count(sounds: Column, gap: str = GAP) -> Column:
     """How many entries are gaps."""
     return F.size(F.filter(sounds, lambda x: x == gap))
+
+
+def sound_edit_distance(a: str, b: str, normalized: bool = False) -> Column:
+    """Levenshtein distance over sounds of two columns, if wanted divided by the longer length.
+
+    The different sounds of the two are written as one letter each, so that the built-in distance of texts counts sounds.
+    """
+    known = F.array_distinct(F.concat(F.col(a), F.col(b)))
+    letters = lambda c: F.array_join(F.transform(F.col(c), lambda x: F.format_string("%c", F.array_position(known, x).cast("int") + 0x4E00)), "")
+    far = F.levenshtein(letters(a), letters(b))
+    return far / F.greatest(F.size(a), F.size(b), F.lit(1)) if normalized else far

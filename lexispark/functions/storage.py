@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,13 +12,21 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests, local runs) a new temporary one."""
+    """The folder in spark.checkpoint.dir; only where that is unset, and Spark runs on one machine, a new temporary one.
+
+    On a cluster a folder of the driver's would hold other rows on each machine, so there it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             return current
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        path = tempfile.mkdtemp(prefix="spark-shared-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        folder = f"file://{path}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -29,9 +39,13 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Like materialise, but as Parquet, so that later readers can skip columns they don't need."""
+    """Like materialise, but as Parquet, so that later readers can skip columns they don't need.
+
+    The tables of an application lie in one folder, spark-<application id>, which goes with a temporary folder at exit; in
+    a folder that was set, it is left to whoever set it, as a result may still be read from there.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/spark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

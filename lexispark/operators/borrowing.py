@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lexispark.functions import alignment as kernels
 from lexispark.functions.numbering import number_rows
+from lexispark.functions.sequences import sound_edit_distance
 from lexispark.functions.storage import materialise
 from lexispark.operators.components import connected_components
 
+#: Parts into which the word pairs of two doculects are dealt.
+PARTS = 8
+_PAIR = ["family", "da", "db"]
+
 
 def _distances(pairs: DataFrame, gop: float = -1.0, ends_free: bool = True) -> DataFrame:
     """pairs (…, a, b) with far: the alignment distance of two sound sequences."""
@@ -24,12 +29,13 @@ def _distances(pairs: DataFrame, gop: float = -1.0, ends_free: bool = True) -> D
     return pairs.withColumn("far", far("a", "b"))
 
 
-def correspondences(pairs: DataFrame, runs: int = 20, seed: int = 0, ratio: tuple[float, float] = (2.0, 1.0), smooth: float = 1.0, threshold: float = 0.7) -> DataFrame:
+def correspondences(pairs: DataFrame, kinds: DataFrame, runs: int = 20, seed: int = 0, ratio: tuple[float, float] = (2.0, 1.0), smooth: float = 1.0, threshold: float = 0.7) -> DataFrame:
     """(family, da, db, x, y, weight): how much more often sounds of two doculects stand together than by chance.
 
-    Attested counts come from aligned words of one meaning that aren't too far apart; expected ones from aligning
-    each word with words of other meanings, drawn by a seeded hash, `runs` a word. The weight is the mean, by ratio,
-    of log2(attested / expected) and the similarity of the two sounds.
+    pairs (family, da, db, a, b, n) are the different word pairs of one meaning with their number, kinds (family, doculect,
+    tokens, n) the different words. Attested counts come from aligned pairs that aren't too far apart, and of each doculect
+    with itself from its words; expected ones from aligning each word with `runs` words drawn by a seeded hash. The
+    weight is the mean, by ratio, of log2(attested / expected) and the similarity of the two sounds.
     """
 
     @F.pandas_udf("array<struct<x:string,y:string>>")
@@ -37,85 +43,121 @@ def correspondences(pairs: DataFrame, runs: int = 20, seed: int = 0, ratio: tupl
         return pd.Series([[{"x": s, "y": t} for s, t in zip(*kernels.align(list(x), list(y))[:2])] for x, y in zip(a, b)])
 
     def counted(rows: DataFrame, name: str) -> DataFrame:
-        cells = rows.select("family", "da", "db", F.explode(columns("a", "b")).alias("c"))
-        return cells.groupBy("family", "da", "db", F.col("c.x").alias("x"), F.col("c.y").alias("y")).agg(F.count("*").alias(name))
-
-    attested = counted(_distances(pairs, -0.5, False).where(F.col("far") <= threshold), "attested")
-    left = pairs.select("family", "concept", "da", "db", "a", "ia").distinct()
-    right = pairs.select("family", "da", "db", F.col("b").alias("b2"), F.col("ib").alias("ib2")).distinct()
-    slots = right.withColumn("slot", F.row_number().over(Window.partitionBy("family", "da", "db").orderBy(F.xxhash64(F.lit(seed), "ib2"), "ib2")) - 1)
-    size = right.groupBy("family", "da", "db").agg(F.count("*").alias("n"))
-    drawn = left.join(size, ["family", "da", "db"]).withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
-    drawn = drawn.withColumn("slot", F.pmod(F.xxhash64(F.lit(seed), "ia", "run"), F.col("n")).cast("int"))
-    expected = counted(drawn.join(slots, ["family", "da", "db", "slot"]).select("family", "da", "db", "a", F.col("b2").alias("b")), "expected")
-    cells = attested.join(expected, ["family", "da", "db", "x", "y"], "left")
-    totals = attested.groupBy("family", "da", "db").agg(F.sum("attested").alias("ta"))
-    chance = expected.groupBy("family", "da", "db").agg(F.sum("expected").alias("te"))
-    cells = cells.join(totals, ["family", "da", "db"]).join(chance, ["family", "da", "db"])
+        cells = rows.select(*_PAIR, "n", F.explode(columns("a", "b")).alias("c"))
+        return cells.groupBy(*_PAIR, F.col("c.x").alias("x"), F.col("c.y").alias("y")).agg(F.sum("n").alias(name))
+
+    words = kinds.groupBy("family", "doculect", "tokens").agg(F.sum("n").alias("n"))
+    same = words.select("family", F.col("doculect").alias("da"), F.col("doculect").alias("db"), F.col("tokens").alias("a"), F.col("tokens").alias("b"), "n")
+    near = _distances(pairs.where("da <> db"), -0.5, False).where(F.col("far") <= threshold).drop("far")
+    attested = counted(near.select(*same.columns).unionByName(same), "attested")
+
+    order = Window.partitionBy("family", "doculect").orderBy(F.xxhash64(F.lit(seed), "tokens"), "tokens")
+    slots = words.select("family", F.col("doculect").alias("db"), F.col("tokens").alias("b"), (F.row_number().over(order) - 1).alias("slot"))
+    size = words.groupBy("family", F.col("doculect").alias("db")).agg(F.count("*").alias("size"))
+    asked = attested.select(*_PAIR).distinct().join(size, ["family", "db"])
+    drawn = words.select("family", F.col("doculect").alias("da"), F.col("tokens").alias("a"), "n").join(asked, ["family", "da"])
+    drawn = drawn.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
+    drawn = drawn.withColumn("slot", F.pmod(F.xxhash64(F.lit(seed), "a", "db", "run"), F.col("size")).cast("int")).groupBy(*_PAIR, "a", "slot").agg(F.sum("n").alias("n"))
+    expected = counted(drawn.join(slots, ["family", "db", "slot"]), "expected")
+
+    cells = attested.join(expected, [*_PAIR, "x", "y"], "left")
+    totals = attested.groupBy(*_PAIR).agg(F.sum("attested").alias("ta"))
+    chance = expected.groupBy(*_PAIR).agg(F.sum("expected").alias("te"))
+    cells = cells.join(totals, _PAIR).join(chance, _PAIR)
     odds = F.log2(((F.col("attested") + smooth) / (F.col("ta") + smooth)) / ((F.coalesce("expected", F.lit(0)) + smooth) / (F.col("te") + smooth)))
 
     @F.pandas_udf("double")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([-0.5 if "-" in (s, t) else kernels.similarity(s, t) for s, t in zip(x, y)])
 
+    sounds = cells.select("x", "y").distinct().withColumn("alike", alike("x", "y"))
     a, b = ratio
-    return cells.select("family", "da", "db", "x", "y", ((a * odds + b * alike("x", "y")) / (a + b)).alias("weight"))
+    return cells.withColumn("odds", odds).join(sounds, ["x", "y"]).select(*_PAIR, "x", "y", ((a * F.col("odds") + b * F.col("alike")) / (a + b)).alias("weight"))
+
 
+def _by_correspondences(pairs: DataFrame, kinds: DataFrame, runs: int, seed: int) -> DataFrame:
+    """pairs with far: 1 - 2 x score of the alignment by correspondences / what the two words score with themselves.
 
-def internal_cognates(words: DataFrame, method: str = "lexstat", threshold: float = 0.5, ref: str = "autocogid", runs: int = 20, seed: int = 0) -> DataFrame:
+    Equal words have 0, whatever their scores; words that score nothing with themselves have 1.
+    """
+    table = materialise(correspondences(pairs, kinds, runs, seed))
+    of_self = table.where("da = db and x = y").select("family", F.col("da").alias("doculect"), F.col("x").alias("sound"), "weight")
+    words = kinds.select("family", "doculect", "tokens").distinct()
+    own = words.select("*", F.explode("tokens").alias("sound")).join(of_self, ["family", "doculect", "sound"], "left")
+    own = own.groupBy("family", "doculect", "tokens").agg(F.sum(F.greatest(F.coalesce("weight", F.lit(0.5)), F.lit(0.0))).alias("own"))
+    for side in ("a", "b"):
+        pairs = pairs.join(own.select("family", F.col("doculect").alias(f"d{side}"), F.col("tokens").alias(side), F.col("own").alias(f"own_{side}")), ["family", f"d{side}", side], "left")
+
+    def score(rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        held = dict(zip(zip(table["x"], table["y"]), table["weight"]))
+        weight = lambda u, v: held.get((u, v), kernels.similarity(u, v) - 0.5)
+        rows["score"] = [kernels.align(list(x), list(y), weight)[2] for x, y in zip(rows["a"], rows["b"])]
+        return rows
+
+    keys = [*_PAIR, "part"]
+    asked = materialise(pairs.withColumn("part", F.pmod(F.xxhash64("a", "b"), F.lit(PARTS)).cast("int")))
+    known = table.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    schema = StructType([*asked.schema.fields, StructField("score", DoubleType())])
+    scored = asked.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInPandas(score, schema).drop("part")
+    own = F.coalesce("own_a", F.lit(0.0)) + F.coalesce("own_b", F.lit(0.0))
+    far = F.when(F.col("a") == F.col("b"), 0.0).when(own <= 0, 1.0).otherwise(F.least(F.greatest(1 - 2 * F.col("score") / own, F.lit(0.0)), F.lit(1.0)))
+    return scored.withColumn("far", far).drop("score", "own_a", "own_b")
+
+
+def internal_cognates(words: DataFrame, method: str = "lexstat", threshold: float = 0.5, ref: str | None = None, runs: int = 20, seed: int = 0, partial: bool = False) -> DataFrame:
     """The words (id, doculect, concept, family, tokens) with cognate ids, found per family and concept.
 
     sca: distance of alignments scored by sound kinds; edit: normalised edit distance; lexstat: alignments scored by
-    the regular correspondences of each two doculects (see correspondences). Words of a concept in a family are clustered
-    by average distance. Ids are numbered in the order of first words and never cross a concept or a family.
+    the regular correspondences of each two doculects (see correspondences). With partial each morpheme (tokens between
+    +) has an id of its own, in an array. What is compared are the different words of a doculect under a meaning, and the
+    distance of two words is found once, under however many meanings they stand. Words of a concept in a family are
+    clustered by average distance; a pair within the threshold is needed to join two clusters, so each connected part
+    of such pairs is clustered by itself. Ids (autocogid; autocogids if partial) are numbered in the order of first words and
+    never cross a concept or a family. Equal words of a concept in a family always share an id.
     """
     if method not in ("sca", "edit", "lexstat"):
         raise ValueError("method must be sca, edit or lexstat")
-    a = words.select("family", "concept", F.col("id").alias("ia"), F.col("doculect").alias("da"), F.col("tokens").alias("a"))
-    b = words.select("family", "concept", F.col("id").alias("ib"), F.col("doculect").alias("db"), F.col("tokens").alias("b"))
-    pairs = a.join(b, ["family", "concept"]).where("ia < ib")
+    ref = ref or ("autocogids" if partial else "autocogid")
+    key = ["family", "concept", "doculect", "tokens"]
+    if partial:
+        parts = F.transform(F.split(F.array_join("tokens", " "), r"(?:^| )[+](?: |$)"), lambda x: F.filter(F.split(x, " "), lambda t: t != ""))
+        items = words.select("id", *key[:3], F.posexplode(parts).alias("m", "tokens"))
+    else:
+        items = words.select("id", *key[:3], F.lit(0).alias("m"), "tokens")
+    kinds = number_rows(items.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("id", "m")).alias("first")), ["first", "family", "concept"], "kind")
+    kinds = materialise(kinds)
+    side = lambda s: kinds.select("family", "concept", F.col("doculect").alias(f"d{s}"), F.col("tokens").alias(s), F.col("n").alias(f"n{s}"), F.col("kind").alias(f"k{s}"))
+    pairs = side("a").join(side("b"), ["family", "concept"]).where(F.struct("da", "ka") < F.struct("db", "kb"))
+    different = pairs.groupBy(*_PAIR, "a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("n"))
     if method == "lexstat":
-        table = correspondences(pairs.where("da <> db"), runs, seed)
-        table = table.groupBy("family", "da", "db").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\t", "x", "y"), "weight"))).alias("scorer"))
-
-        @F.pandas_udf("double")
-        def far(x: pd.Series, y: pd.Series, scorer: pd.Series) -> pd.Series:
-            out = []
-            for s, t, table in zip(x, y, scorer):
-                held = dict(table) if table is not None else {}
-                own = [kernels.similarity(u, u) * 2 for u in (*s, *t)]
-                score = lambda u, v: held.get(f"{u}\t{v}", kernels.similarity(u, v) - 0.5)  # noqa: E731, B023
-                out.append(max(0.0, 1 - 2 * kernels.align(list(s), list(t), score)[2] / max(1e-9, sum(own))))
-            return pd.Series([min(1.0, v) if not math.isnan(v) else 1.0 for v in out])
-
-        pairs = pairs.join(table, ["family", "da", "db"], "left").withColumn("far", far("a", "b", "scorer"))
+        far = _by_correspondences(materialise(different), kinds, runs, seed)
     elif method == "sca":
-        pairs = _distances(pairs, -0.5, False)
+        far = _distances(different, -0.5, False)
     else:
-
-        @F.pandas_udf("double")
-        def edit(x: pd.Series, y: pd.Series) -> pd.Series:
-            return pd.Series([float(kernels.edit_distance(list(s), list(t), True)) for s, t in zip(x, y)])
-
-        pairs = pairs.withColumn("far", edit("a", "b"))
-    held = words.groupBy("family", "concept").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    near = pairs.groupBy("family", "concept").agg(F.collect_list(F.struct("ia", "ib", "far")).alias("pairs"))
-
-    @F.pandas_udf("array<int>")
-    def cluster(ids: pd.Series, pairs: pd.Series) -> pd.Series:
-        out = []
-        for names, found in zip(ids, pairs):
-            at = {n: i for i, n in enumerate(names)}
-            far = {(at[p["ib"]], at[p["ia"]]): p["far"] for p in (found if found is not None else [])}
-            out.append(kernels.upgma(len(names), far, threshold))
-        return pd.Series(out)
-
-    made = held.join(near, ["family", "concept"], "left").withColumn("groups", cluster("ids", "pairs"))
-    flat = made.select("family", "concept", F.explode(F.arrays_zip("ids", "groups")).alias("z")).select("family", "concept", F.col("z.ids").alias("id"), F.col("z.groups").alias("group"))
-    flat = materialise(flat)
-    first = number_rows(flat.groupBy("family", "concept", "group").agg(F.min("id").alias("first")), ["first"], ref)
-    numbered = flat.join(first.select("family", "concept", "group", ref), ["family", "concept", "group"]).select("id", ref)
-    return words.join(numbered, "id")
+        far = different.withColumn("far", sound_edit_distance("a", "b", normalized=True))
+    far = materialise(far.select(*_PAIR, "a", "b", "far"))
+    pairs = materialise(pairs.join(far, [*_PAIR, "a", "b"]).select("ka", "kb", "na", "nb", "far"))
+    parts = connected_components(pairs.where(F.col("far") <= threshold), "ka", "kb")
+    whose = lambda s: parts.select(F.col("node").alias(f"k{s}"), F.col("component").alias(f"c{s}"))
+    inside = pairs.join(whose("a"), "ka").join(whose("b"), "kb").where("ca = cb").drop("cb")
+
+    def cluster(rows: pd.DataFrame) -> pd.DataFrame:
+        names = np.unique(np.concatenate([rows["ka"], rows["kb"]]))
+        a, b = np.searchsorted(names, rows["ka"]), np.searchsorted(names, rows["kb"])
+        sizes = np.ones(len(names))
+        sizes[a], sizes[b] = rows["na"], rows["nb"]
+        far = np.zeros((len(names), len(names)))
+        far[a, b] = far[b, a] = rows["far"]
+        return pd.DataFrame({"kind": names, "head": names[kernels.average_linkage(far, sizes, threshold)]})
+
+    heads = inside.groupBy("ca").applyInPandas(cluster, "kind long, head long")
+    flat = materialise(kinds.join(heads, "kind", "left").select(*key, "first", F.coalesce("head", "kind").alias("head")))
+    order = number_rows(flat.groupBy("head").agg(F.min("first").alias("first")), ["first"], "number")
+    found = flat.join(order.select("head", "number"), "head").select(*key, "number")
+    if not partial:
+        return words.join(found.withColumnRenamed("number", ref), key)
+    ids = items.join(found, key).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "number"))), lambda z: z["number"]).alias(ref))
+    return words.join(ids, "id")
 
 
 def external_cognates(words: DataFrame, cognates: str = "autocogid", ref: str = "autoborid", threshold: float = 0.3, gop: float = -1.0) -> DataFrame:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.functions.numbering import number_rows
+from lexispark.functions.numbering import number_rows, running_total
 from lexispark.functions.sequences import GAP, MISSING, second_of_slash
 from lexispark.operators.components import connected_components
 
@@ -28,7 +28,7 @@ def common_morpheme_cognates(words: DataFrame, cognates: str = "cogids", ref: st
     counts = long.groupBy("concept", "cogid").agg(F.count("*").alias("n"), F.min(F.struct("id", "m")).alias("first"))
     counts = counts.withColumn("rank", F.row_number().over(Window.partitionBy("concept").orderBy(F.desc("n"), "first")))
     sizes = counts.groupBy("concept").agg(F.count("*").alias("size"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("concept").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = running_total(sizes, ["concept"], "size", "before")
     best = long.join(counts.select("concept", "cogid", "rank"), ["concept", "cogid"]).groupBy("id", "concept").agg(F.min("rank").alias("rank"), F.min_by("m", F.struct("rank", "m")).alias("m"))
     best = best.join(before.select("concept", "before"), "concept").select("id", (F.col("before") + F.col("rank")).alias(ref), "m")
     gloss = F.transform(cognates, lambda c, i: F.when(i == F.col("m"), concept_base(F.col("concept"))).otherwise(F.concat(F.lit("_"), F.lower(concept_base(F.col("concept"))))))

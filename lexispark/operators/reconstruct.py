@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions import alignment as kernels
+from lexispark.functions.numbering import number_rows
 from lexispark.functions.phonology import prosody
-from lexispark.functions.sequences import GAP, MISSING, UNKNOWN, alignment_to_tokens, clean_sound, spread_classes
+from lexispark.functions.sequences import GAP, MISSING, UNKNOWN, alignment_to_tokens, clean_sound, sound_edit_distance, spread_classes
 from lexispark.functions.storage import materialise
 from lexispark.operators.components import connected_components
 from lexispark.operators.metrics import bcubed
@@ -185,7 +186,7 @@ def one_hot(rows: DataFrame, width: int, column: str = "row") -> DataFrame:
         hits = F.transform(values, lambda v: (v == x).cast("int"))
         return F.concat(hits, F.array((~F.array_contains(values, x)).cast("int")))
 
-    return rows.join(F.broadcast(book)).withColumn("onehot", F.flatten(F.transform(column, encode))).drop("book")
+    return rows.join(book).withColumn("onehot", F.flatten(F.transform(column, encode))).drop("book")
 
 
 def random_splits(morphemes: DataFrame, target: str, splits: int = 10, retain: float = 0.9, seed: int = 0) -> DataFrame:
@@ -195,8 +196,8 @@ def random_splits(morphemes: DataFrame, target: str, splits: int = 10, retain: f
     words = rest.select("id").distinct()
     n = words.count()
     each = words.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-    order = Window.partitionBy("split").orderBy(F.xxhash64(F.lit(seed), "split", "id"), "id")
-    drawn = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= int(retain * n + 0.5)).select("split", "id")
+    each = number_rows(each.withColumn("draw", F.xxhash64(F.lit(seed), "split", "id")), ["split", "draw", "id"], "rank")
+    drawn = each.where(F.col("rank") - F.col("split") * n <= int(retain * n + 0.5)).select("split", "id")
     kept = rest.join(drawn, "id")
     left = kept.select("split", "cogid").distinct()
     return kept.unionByName(morphemes.where(F.col("doculect") == target).join(left, "cogid"), allowMissingColumns=True)
@@ -252,12 +253,8 @@ def ntile(rows: DataFrame, keys: list[str], n: int = 5, gap: str = GAP, missing:
 def mean_distance(pairs: DataFrame, normalized: bool = False, predicted: str = "predicted", attested: str = "attested") -> DataFrame:
     """One row: the mean edit distance over sounds; an empty word counts as one unknown sound."""
 
-    @F.pandas_udf("double")
-    def far(a: pd.Series, b: pd.Series) -> pd.Series:
-        fill = lambda x: [UNKNOWN] if x is None or not len(x) else list(x)
-        return pd.Series([float(kernels.edit_distance(fill(x), fill(y), normalized)) for x, y in zip(a, b)])
-
-    return pairs.agg(F.avg(far(predicted, attested)).alias("distance"))
+    filled = pairs.select(*[F.when(F.coalesce(F.size(c), F.lit(0)) <= 0, F.array(F.lit(UNKNOWN))).otherwise(F.col(c)).alias(k) for c, k in ((predicted, "p"), (attested, "a"))])
+    return filled.agg(F.avg(sound_edit_distance("p", "a", normalized)).alias("distance"))
 
 
 def bcubed_f(pairs: DataFrame, predicted: str = "predicted", attested: str = "attested") -> DataFrame:

@@ -2,13 +2,16 @@
 
 import itertools
 import random
+from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lexispark.functions import alignment as A
 from lexispark.functions.numbering import number_rows
+from lexispark.functions.sequences import sound_edit_distance
 from lexispark.operators import borrowing, cognates, prepare, reconstruct, trimming
 from lexispark.operators.sites import alignments
 from lexispark.sources.wordlists import morphemes, wordlist_from_rows
@@ -192,6 +195,64 @@ def test_cognates_and_borrowings(spark):
         borrowing.internal_cognates(rows, "none")
 
 
+def test_equal_words_share_a_set(spark):
+    """Words, meanings and doculects drawn at random: with any method equal words of a concept and family share an id."""
+    rng = random.Random(3)
+    pool = [" ".join(rng.choice("ptkaiusmn") for _ in range(rng.randint(1, 5))) for _ in range(12)] + ["p a + t i", "t i + p a"]
+    words = {0: ["doculect", "concept", "family", "tokens"]}
+    for i in range(150):
+        words[i + 1] = [rng.choice("ABCD"), rng.choice("xyz"), rng.choice("FG"), rng.choice(pool)]
+    rows = wordlist_from_rows(spark, words)
+    for method in ("sca", "edit", "lexstat"):
+        found = borrowing.internal_cognates(rows, method).collect()
+        assert len(found) == 150
+        by_word, by_set = defaultdict(set), defaultdict(set)
+        for r in found:
+            by_word[r.family, r.concept, tuple(r.tokens)].add(r.autocogid)
+            by_set[r.autocogid].add((r.family, r.concept))
+        assert all(len(x) == 1 for x in by_word.values()) and all(len(x) == 1 for x in by_set.values())
+        firsts = {}
+        for r in sorted(found, key=lambda r: r.id):
+            firsts.setdefault(r.autocogid, len(firsts) + 1)
+        assert all(k == n for k, n in firsts.items())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_average_linkage_against_single_items(seed):
+    """Items that stand for several equal ones give the clusters of these, joined one by one."""
+    rng = random.Random(seed)
+    sizes = [rng.randint(1, 4) for _ in range(15)]
+    far = [[0.0] * 15 for _ in range(15)]
+    for i, j in itertools.combinations(range(15), 2):
+        far[i][j] = far[j][i] = rng.random()
+    groups = [[i] * n for i, n in enumerate(sizes)]
+    while len(groups) > 1:
+        mean = lambda g, h: sum(far[x][y] for x in g for y in h) / len(g) / len(h)
+        d, a, b = min((mean(g, h), i, j) for i, g in enumerate(groups) for j, h in enumerate(groups) if i < j)
+        if d > 0.4:
+            break
+        groups[a] += groups.pop(b)
+    want = sorted({tuple(sorted(set(g))) for g in groups})
+    heads = A.average_linkage(np.array(far), np.array(sizes), 0.4)
+    assert sorted({tuple(np.flatnonzero(heads == h).tolist()) for h in heads}) == want
+    assert A.average_linkage(np.zeros((0, 0)), np.zeros(0), 0.4).tolist() == []
+
+
+def test_partial_cognates_have_an_id_for_each_morpheme(spark):
+    forms = ["p a t + k u", "p a t", "k u + p a t", "s i m + n o"]
+    words = {0: ["doculect", "concept", "family", "tokens"]} | {i + 1: ["ABCD"[i], "x", "F", w] for i, w in enumerate(forms)}
+    for method in ("sca", "edit", "lexstat"):
+        ids = {r.id: list(r.autocogids) for r in borrowing.internal_cognates(wordlist_from_rows(spark, words), method, partial=True).collect()}
+        assert [len(ids[i]) for i in (1, 2, 3, 4)] == [2, 1, 2, 2]
+        assert ids[1][0] == ids[2][0] == ids[3][1] and ids[1][1] == ids[3][0] and not set(ids[4]) & set(ids[1])
+
+
+def test_sound_edit_distance(spark):
+    rows = spark.createDataFrame([(["ts", "a", "x"], ["t", "a"]), ([], ["a"]), (["a"], ["a"])], "a array<string>, b array<string>")
+    assert [r[0] for r in rows.select(sound_edit_distance("a", "b")).collect()] == [2, 1, 0]
+    assert [r[0] for r in rows.select(sound_edit_distance("a", "b", True)).collect()] == [2 / 3, 1, 0]
+
+
 def test_alignments_need_two_words(spark):
     words = spark.createDataFrame([(1, 0, "a", 1), (2, 0, "b", 1), (3, 0, "a", 2)], "id long, m_idx int, doculect string, cogid long")
     assert {r.id for r in alignments(words).collect()} == {1, 2}
