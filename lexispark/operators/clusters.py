@@ -9,31 +9,30 @@ from pyspark.sql import functions as F
 
 from lexispark.functions.numbering import number_rows
 from lexispark.functions.sequences import GAP, MISSING, mismatches
-from lexispark.operators.sites import compatible_pairs, score_patterns
-
-
-def _cover(codes: np.ndarray, gaps: np.ndarray, order: np.ndarray, threshold: int) -> list[tuple[list[int], np.ndarray]]:
-    """Greedy cover: the first pattern takes in every later one that fits what it has become. 0 is missing."""
-    left, out = order, []
-    while len(left):
-        now, taken, at = codes[left[0]].copy(), [left[0]], 1
-        keep = np.ones(len(left), bool)
-        keep[0] = False
-        while at < len(left):
-            rest = codes[left[at:]]
-            known = (rest > 0) & (now > 0)
-            fits = ~((rest != now) & known).any(1) & (((rest == now) & known & (now != gaps)).sum(1) >= threshold)
-            hits = np.flatnonzero(fits)
-            if not len(hits):
-                break
-            i = at + int(hits[0])
-            now = np.where(now > 0, now, codes[left[i]])
-            taken.append(left[i])
-            keep[i] = False
-            at = i + 1
-        out.append((taken, now))
-        left = left[keep]
-    return out
+from lexispark.operators.sites import compatible_pairs, fitting, score_patterns
+
+
+def _cover(codes: np.ndarray, gap: int, order: np.ndarray, threshold: int) -> list[tuple[list[int], np.ndarray]]:
+    """Greedy cover: the first pattern takes in every later one that fits what it has become, then the next, and so on.
+
+    So each pattern goes to the first head before it that it fits: patterns times heads, all heads at once. 0 is missing.
+    """
+    heads, taken = np.zeros((64, codes.shape[1]), codes.dtype), []
+    for i in order:
+        row, now = codes[i], heads[: len(taken)]
+        same = now == row
+        known = (now > 0) & (row > 0)
+        fits = (same | ~known).all(1) & ((same & known & (row != gap)).sum(1) >= threshold)
+        at = int(fits.argmax()) if len(taken) else 0
+        if len(taken) and fits[at]:
+            heads[at] = np.where(now[at] > 0, now[at], row)
+            taken[at].append(i)
+            continue
+        if len(taken) == len(heads):
+            heads = np.concatenate([heads, np.zeros_like(heads)])
+        heads[len(taken)] = row
+        taken.append([i])
+    return [(m, heads[k]) for k, m in enumerate(taken)]
 
 
 def _fill_score(rows: np.ndarray, weights: np.ndarray, mode: str) -> float:
@@ -75,11 +74,10 @@ def cluster_sites(sites: DataFrame, threshold: int = 1, mode: str = "pairs", mis
         base = np.array([[code[x] for x in r] for r in rows])
         weights = frame["n"].to_numpy()
         members, heads = [[i] for i in range(len(rows))], base
-        gaps = np.ones(base.shape[1], base.dtype)
         while True:
             score = [(_fill_score(base[m], weights[m], mode), weights[m].sum()) for m in members]
             order = np.array(sorted(range(len(members)), key=lambda i: (-score[i][0], -score[i][1])), int)
-            found = _cover(heads, gaps, order, threshold)
+            found = _cover(heads, 1, order, threshold)
             joined: dict[tuple, list[int]] = {}
             for taken, now in found:
                 joined.setdefault(tuple(now), []).extend(j for i in taken for j in members[i])
@@ -109,9 +107,12 @@ def sites_to_patterns(clustered: DataFrame, threshold: int = 1) -> DataFrame:
     return clustered.select("cogid", "pos", "struct", F.col("pattern").alias("l_pattern")).join(pairs, ["struct", "l_pattern"]).select("cogid", "pos", "struct", F.col("r_pattern").alias("consensus"), "matches")
 
 
-def fuzziness(assigned: DataFrame) -> DataFrame:
-    """One row: assignments per assigned site."""
-    return assigned.agg((F.count("*") / F.count_distinct("cogid", "pos")).alias("fuzziness"))
+def fuzziness(clustered: DataFrame, threshold: int = 1) -> DataFrame:
+    """One row: clusters that a site fits (see sites_to_patterns), per site that fits any; counted pattern by pattern."""
+    kinds = clustered.groupBy("struct", "pattern").agg(F.count("*").alias("n"))
+    heads = clustered.select("struct", F.col("consensus").alias("pattern")).distinct()
+    held = fitting(kinds, heads, {"heads": F.count("*")}, threshold).groupBy("struct", "pattern").agg(F.sum("heads").alias("heads"))
+    return held.join(kinds, ["struct", "pattern"]).agg((F.sum(F.col("heads") * F.col("n")) / F.sum("n")).alias("fuzziness"))
 
 
 def purity(clustered: DataFrame, missing: str = MISSING) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.operators.sites import fitting
+
 
 def bcubed(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """(keys, precision, recall, f): B-cubed of two labellings of the same items; the mean over items of the share of
@@ -40,11 +42,12 @@ def cross_semantic_statistics(words: DataFrame, ref: str = "cogids", glosses: st
     return per_word.groupBy("concept").agg(F.avg("score").alias("score")).orderBy("score", "concept")
 
 
-def regularity(clustered: DataFrame, assigned: DataFrame, threshold: int = 3, word_threshold: float = 0.75, missing: str = "Ø") -> DataFrame:
+def regularity(clustered: DataFrame, threshold: int = 3, word_threshold: float = 0.75, missing: str = "Ø") -> DataFrame:
     """One row: regular and irregular patterns, sites and words, with their totals and unrounded shares.
 
     A pattern is regular with at least `threshold` sites. A word is regular if at least word_threshold of the sites of
-    its cognate set are assigned to some regular pattern; each set counts with its doculects.
+    its cognate set fit some regular pattern; each set counts with its doculects. Sites that fit none are left out. The
+    largest cluster that fits is found once for each different pattern.
     """
     sizes = clustered.groupBy("struct", "consensus").agg(F.count("*").alias("size"))
     big = F.col("size") >= threshold
@@ -52,7 +55,8 @@ def regularity(clustered: DataFrame, assigned: DataFrame, threshold: int = 3, wo
         F.count_if(big).alias("regular_patterns"), F.count_if(~big).alias("irregular_patterns"), F.count("*").alias("patterns"),
         F.coalesce(F.sum(F.when(big, F.col("size"))), F.lit(0)).alias("regular_sites"), F.coalesce(F.sum(F.when(~big, F.col("size"))), F.lit(0)).alias("irregular_sites"), F.sum("size").alias("sites"),
     )
-    best = assigned.join(sizes, ["struct", "consensus"]).groupBy("cogid", "pos").agg(F.max("size").alias("size"))
+    best = fitting(clustered, sizes.withColumnRenamed("consensus", "pattern"), {"size": F.max("size")}).groupBy("struct", "pattern").agg(F.max("size").alias("size"))
+    best = clustered.select("cogid", "pos", "struct", "pattern").join(best, ["struct", "pattern"])
     sets = best.groupBy("cogid").agg(F.avg(big.cast("double")).alias("share"))
     width = clustered.select("cogid", F.posexplode("pattern").alias("lang", "x")).where(F.col("x") != missing).groupBy("cogid").agg(F.count_distinct("lang").alias("refs"))
     good = F.col("share") >= word_threshold

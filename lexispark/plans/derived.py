@@ -2,6 +2,7 @@
 
 A part is a cognate set, a customer's nation modulo 8 a doculect, and the first word of the part's name the form, with
 regular sound changes per doculect, an irregular first sound in one of eleven words, and a gap at the end of one in five.
+A doculect has the word if its customers ordered the part ATTESTED times or more, in whatever lines of their orders.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 LANGS = [f"L{i}" for i in range(8)]
 #: Letters of each doculect and what they become.
 CHANGES = [("", ""), ("ae", "ea"), ("bdg", "ptk"), ("st", "zd"), ("aou", "oua"), ("lr", "rl"), ("mn", "nm"), ("ei", "ie")]
-CONCEPTS, FAMILIES = 97, 2
+CONCEPTS, FAMILIES, ATTESTED = 97, 2, 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,12 +30,13 @@ def _changed(word: Column, lang: Column) -> Column:
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, doculect, lang, concept, family, cogid, word, tokens, alignment, structure), one row per (cogid, doculect)."""
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customers = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_nationkey") % 8).cast("int").alias("lang"))
     parts = table(spark, sf_dir, "part").select("p_partkey", F.substring_index("p_name", " ", 1).alias("word"))
     rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    rows = rows.select(F.col("l_partkey").alias("cogid"), "lang").distinct().join(parts, F.col("cogid") == F.col("p_partkey"))
+    rows = rows.groupBy(F.col("l_partkey").alias("cogid"), "lang").agg(F.count("*").alias("lines")).where(F.col("lines") >= ATTESTED)
+    rows = rows.join(parts, F.col("cogid") == F.col("p_partkey"))
     form = _changed(F.col("word"), F.col("lang"))
     rows = rows.withColumn("form", form)
     rows = rows.withColumn("form", F.when((F.col("cogid") * 7 + F.col("lang") * 3) % 11 == 0, F.concat(F.lit("x"), F.expr("substring(form, 2)"))).otherwise(F.col("form")))
@@ -79,9 +81,9 @@ def _sql_form() -> str:
 #: The same words in DuckDB SQL: CTEs words (id, doculect, lang, concept, family, cogid, word, form) and cells (one row per sound).
 SQL = f"""
 raw as (
-    select distinct l_partkey as cogid, (c_nationkey % 8)::int as lang, split_part(p_name, ' ', 1) as word
+    select l_partkey as cogid, (c_nationkey % 8)::int as lang, split_part(any_value(p_name), ' ', 1) as word
     from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join part on l_partkey = p_partkey
-    where l_linenumber = 1
+    group by all having count(*) >= {ATTESTED}
 ), formed as (select *, {_sql_form()} as f0 from raw),
 broken as (select *, case when (cogid * 7 + lang * 3) % 11 = 0 then 'x' || substr(f0, 2) else f0 end as f1 from formed),
 words as (
@@ -104,3 +106,43 @@ words as (
     from site_cells s group by s.cogid, s.pos
 ), sites as (select cogid, pos, struct, pattern from site_rows where refs >= 3)
 """
+
+_FITS = """len(list_filter(range(1, 9), lambda j: {a}[j] <> {b}[j] and {a}[j] <> 'Ø' and {b}[j] <> 'Ø')) = 0
+    and len(list_filter(range(1, 9), lambda j: {a}[j] = {b}[j] and {a}[j] <> 'Ø' and {a}[j] <> '-')) > 0"""
+
+
+def fits(a: str, b: str) -> str:
+    """SQL: two patterns have a sound in common and conflict nowhere."""
+    return _FITS.format(a=a, b=b)
+
+
+#: The clusters of sites in DuckDB SQL: CTE clustered (cogid, pos, struct, pattern, consensus). A pass goes through the clusters
+#: in their order, each to the first one before it that it fits; passes repeat while any two come together.
+CLUSTERS = f"""
+, one_each as (select struct, pattern, count(*) as n, min((cogid, pos)) as first, len(list_filter(pattern, lambda x: x <> 'Ø')) as fill from sites group by all),
+pass_start as (
+    select struct, list({{'cons': pattern, 'members': [pattern], 'n': n, 'rp': n * fill * (fill - 1) / 2.0::double,
+        'cols': list_transform(pattern, lambda x: case when x = 'Ø' then 0::bigint else n end)}} order by first) as cl
+    from one_each group by struct
+), passes as (
+    with recursive r(k, struct, cl, stable) as (
+        select 0, struct, cl, false from pass_start
+        union all
+        select k + 1, struct, new, len(new) = len(cl) from (
+            select k, struct, cl, list_reduce(list_transform(list_sort(list_transform(cl, lambda c, i: {{
+                    'a': case when c.n <= 1 then 1.0::double
+                        else -((c.rp + list_sum(list_transform(c.cols, lambda v: v * (v - 1) / 2.0::double))) / c.n / greatest(1, len(list_filter(c.cols, lambda v: v > 0))) / 8) end,
+                    'b': -c.n, 'i': i, 'c': c}})), lambda z: {{'cl': [z.c]}}),
+                lambda x, y: {{'cl': list_transform([coalesce(list_position(list_transform(x.cl, lambda c: {fits('c.cons', 'y.cl[1].cons')}), true), 0)],
+                    lambda p: case when p = 0 then list_append(x.cl, y.cl[1]) else list_transform(x.cl, lambda c, i: case when i = p then {{
+                        'cons': list_transform(range(1, 9), lambda j: case when c.cons[j] = 'Ø' then y.cl[1].cons[j] else c.cons[j] end),
+                        'members': list_concat(c.members, y.cl[1].members), 'n': c.n + y.cl[1].n, 'rp': c.rp + y.cl[1].rp,
+                        'cols': list_transform(range(1, 9), lambda j: c.cols[j] + y.cl[1].cols[j])}} else c end) end)[1]}}).cl as new
+            from r where not stable
+        )
+    ) select struct, cl from r where stable
+), heads as (
+    select struct, c.cons as consensus, unnest(c.members) as pattern from (select struct, unnest(cl) as c from passes)
+), clustered as (select s.cogid, s.pos, s.struct, s.pattern, h.consensus from sites s join heads h using (struct, pattern)),
+sizes as (select struct, consensus, count(*) as size, min((cogid, pos)) as first from clustered group by all)
+"""

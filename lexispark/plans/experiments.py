@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.functions.storage import materialise
-from lexispark.operators.clusters import cluster_sites, fuzziness, mean_site_score, predict_words, purity, sites_to_patterns
+from lexispark.operators.clusters import cluster_sites, fuzziness, mean_site_score, predict_words, purity
 from lexispark.operators.metrics import alphabet, dataset_summary, hit_rate
 from lexispark.operators.prepare import shrink_alignments
 from lexispark.operators.sites import density, get_sites, upper_bound
@@ -40,7 +40,7 @@ def _split(morphemes: DataFrame, ratio: float, run: int, seed: int) -> DataFrame
     return morphemes.withColumn("out", out)
 
 
-def leave_out(morphemes: DataFrame, langs: list[str], ratio: float = 0.25, runs: int = 2, minrefs: int = 2, samples: int = 1, mode: str = "pairs", seed: int = 0) -> DataFrame:
+def leave_out(morphemes: DataFrame, langs: list[str], ratio: float = 0.25, runs: int = 10, minrefs: int = 2, samples: int = 1, mode: str = "pairs", seed: int = 0) -> DataFrame:
     """(run, doculect, accuracy, words): how well words that are taken out are predicted from the rest.
 
     Per run a seeded hash takes that share of all words. Columns that then hold gaps only vanish from the alignments, and
@@ -62,7 +62,7 @@ def _one_run(morphemes: DataFrame, langs: list[str], ratio: float, run: int, min
     return rate.select(F.lit(run).alias("run"), "doculect", "accuracy", "words"), found, each
 
 
-def leave_out_summary(morphemes: DataFrame, langs: list[str], ratio: float = 0.25, runs: int = 2, minrefs: int = 2, samples: int = 1, mode: str = "pairs", seed: int = 0) -> DataFrame:
+def leave_out_summary(morphemes: DataFrame, langs: list[str], ratio: float = 0.25, runs: int = 10, minrefs: int = 2, samples: int = 1, mode: str = "pairs", seed: int = 0) -> DataFrame:
     """One row a run: accuracy, predictable and removed words, share of words kept, density, fuzziness, mean site score,
     purity of predictions and of the cluster graph, sounds per doculect, missing share, words per set, sites, clusters,
     share of sites in clusters of several, and clusters by their upper bound."""
@@ -76,7 +76,7 @@ def leave_out_summary(morphemes: DataFrame, langs: list[str], ratio: float = 0.2
         predicted = predict_words(found, langs, samples).agg(F.avg("purity").alias("prediction_purity"))
         sounds = alphabet(rest).agg(F.avg("sounds").alias("sounds"))
         summary = dataset_summary(found).select("sites", F.col("patterns").alias("clusters"), F.col("coverage").alias("shared_sites"))
-        parts = [words, counts, density(rest), fuzziness(sites_to_patterns(found)), mean_site_score(found, found, mode).withColumnRenamed("score", "site_score"), predicted, purity(found), sounds, missing, summary, upper_bound(found)]
+        parts = [words, counts, density(rest), fuzziness(found), mean_site_score(found, found, mode).withColumnRenamed("score", "site_score"), predicted, purity(found), sounds, missing, summary, upper_bound(found)]
         row = reduce(lambda a, b: a.join(b), parts).withColumn("clusters_by_bound", F.try_divide(F.col("clusters").cast("double"), F.col("upper_bound")))
         out.append(row.select(F.lit(run).alias("run"), *row.columns))
     return reduce(DataFrame.unionByName, out)

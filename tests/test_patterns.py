@@ -80,7 +80,7 @@ def test_predictions(four):
 def test_regularity(spark):
     _, _, sites = prepared(spark, THREE, 3)
     found = K.cluster_sites(sites)
-    r = M.regularity(found, K.sites_to_patterns(found), 2, 0.5).first()
+    r = M.regularity(found, 2, 0.5).first()
     assert (r.regular_patterns, r.irregular_patterns, r.patterns) == (2, 5, 7)
     assert (r.regular_sites, r.irregular_sites, r.sites) == (4, 5, 9)
     assert (r.regular_words, r.irregular_words, r.words) == (3, 4, 7)
@@ -172,6 +172,22 @@ def test_clusters_against_plain_cover(spark):
     assert got == naive_clusters(rows)
 
 
+def test_fitting_against_all_pairs(spark):
+    """Sets of doculects and cuts give what comparing every pattern with every other gives."""
+    rng = random.Random(6)
+    rows = [(rng.choice("cv"), tuple(rng.choice(["a", "b", GAP, MISSING, MISSING]) for _ in range(5)), rng.randint(1, 9)) for _ in range(200)]
+    frame = spark.createDataFrame([(s, list(p), n) for s, p, n in rows], "struct string, pattern array<string>, n long")
+    for threshold in (1, 2):
+        found = S.fitting(frame, frame, {"n": F.sum("n"), "top": F.max("n")}, threshold).groupBy("struct", "pattern").agg(F.sum("n").alias("n"), F.max("top").alias("top"), F.sum(F.col("matches") * 0 + 1))
+        got = {(r.struct, tuple(r.pattern)): (r.n, r.top) for r in found.collect()}
+        want = {}
+        for s, p, _ in rows:
+            near = [n for t, q, n in rows if s == t and all(a == b or MISSING in (a, b) for a, b in zip(p, q)) and sum(a == b and a not in (MISSING, GAP) for a, b in zip(p, q)) >= threshold]
+            if near:
+                want[s, p] = (sum(near), max(near))
+        assert got == want
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)] + [(7, 7), (None, 3)]
