@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexispark.functions.sequences import alignment_to_tokens, bleu, clean_sound, gap_count, is_subsequence, matches, mismatches, unjoin
 from lexispark.operators import borrowing, clusters, cognates, metrics, prepare, reconstruct, sites, trimming
-from lexispark.plans.derived import LANGS, SQL, morphemes, partial, words
+from lexispark.plans.derived import CLUSTERS, LANGS, SQL, fits, morphemes, partial, words
 from lexispark.plans.experiments import correspondence_patterns, leave_out, leave_out_summary, prediction_report
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,11 +35,6 @@ def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.get_sites(morphemes(spark, sf_dir), LANGS)
 
 
-def _plain_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sites with their own pattern as the cluster: what needs clusters can be followed in SQL."""
-    return _sites(spark, sf_dir).withColumn("consensus", F.col("pattern"))
-
-
 def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correspondence_patterns(morphemes(spark, sf_dir), LANGS)
 
@@ -81,11 +76,25 @@ def skeleton_in_word(spark, sf_dir):
     return words(spark, sf_dir).select("id", is_subsequence(F.array(F.lit("C"), F.lit("V"), F.lit("C")), kinds).alias("holds"))
 
 
-@query()
+_TOKENS = "string_split(replace(form, '-', ''), '')"
+_PAIRED = "from words a join words b on a.cogid = b.cogid and a.id < b.id"
+
+
+@query(
+    f""", t as (select id, cogid, {_TOKENS} as w from words), p as (
+    select a.id as id_a, b.id as id_b, a.w as w, b.w as r,
+        list_transform(range(1, len(a.w)), lambda i: a.w[i] || a.w[i + 1]) as w2, list_transform(range(1, len(b.w)), lambda i: b.w[i] || b.w[i + 1]) as r2
+    from t a join t b on a.cogid = b.cogid and a.id < b.id
+)
+select id_a, id_b, round(case when len(w) > len(r) then 1.0 else exp(1 - len(r)::double / len(w)) end
+    * sqrt(len(list_filter(r, lambda x: list_contains(w, x)))::double / len(w)) * sqrt(len(list_filter(r2, lambda x: list_contains(w2, x)))::double / len(w2)), 9) as bleu
+from p
+"""
+)
 def bleu_scores(spark, sf_dir):
     w = words(spark, sf_dir)
     a, b = w.select("cogid", F.col("id").alias("id_a"), F.col("tokens").alias("a")), w.select("cogid", F.col("id").alias("id_b"), F.col("tokens").alias("b"))
-    return a.join(b, "cogid").where("id_a < id_b").select("id_a", "id_b", bleu(F.col("a"), F.col("b"), n=2).alias("bleu"))
+    return a.join(b, "cogid").where("id_a < id_b").select("id_a", "id_b", F.round(bleu(F.col("a"), F.col("b"), n=2), 9).alias("bleu"))
 
 
 @query("select id, (length(form) - length(replace(form, '-', '')))::bigint as gaps from words")
@@ -128,9 +137,9 @@ near as (
 
 @query(_PAIRS + "select struct, array_to_string(p, ' ') as pattern, count(*)::bigint as partners, sum(matched)::bigint as matched from pairs group by all")
 def compatible_patterns(spark, sf_dir):
-    kinds = _sites(spark, sf_dir).select("struct", F.col("pattern").alias("l_pattern"))
-    pairs = sites.compatible_pairs(kinds, kinds.withColumnRenamed("l_pattern", "r_pattern"))
-    return pairs.groupBy("struct", text("l_pattern").alias("pattern")).agg(F.count("*").alias("partners"), F.sum("matches").alias("matched"))
+    kinds = _sites(spark, sf_dir).select("struct", "pattern").distinct()
+    near = sites.fitting(kinds, kinds, {"n": F.count("*")})
+    return near.groupBy("struct", text("pattern").alias("pattern")).agg(F.sum("n").alias("partners"), F.sum(F.col("n") * F.col("matches")).alias("matched"))
 
 
 @query(_PAIRS + "select s.cogid, s.pos, (sum(k.n) - 1)::bigint as neighbours from sites s join pairs p on p.struct = s.struct and p.p = s.pattern join kinds k on k.struct = p.struct and k.pattern = p.q group by all having sum(k.n) > 1")
@@ -172,32 +181,31 @@ def pattern_score_squared(spark, sf_dir):
     return sites.score_patterns(_sites(spark, sf_dir), ["cogid"], "squared").select("cogid", F.round("score", 9).alias("score"))
 
 
-_GROUPED = """, members as (select cogid % 50 as g, struct, list_transform(pattern, lambda x: case when x = 'Ø' then x else 'a' end) as pattern from sites),
+_GROUPED = """, members as (select struct, array_to_string(pattern[1:4], ' ') as g, pattern from sites),
 mrows as (select g, struct, pattern, len(list_filter(pattern, lambda x: x <> 'Ø')) as fill from members),
-mcols as (select g, struct, i, count(*) filter (where pattern[i] <> 'Ø') as fill from members, unnest(range(1, 9)) as t(i) group by all),
+mcols as (select g, struct, i, count(*) filter (where pattern[i] <> 'Ø') as fill, count(distinct nullif(pattern[i], 'Ø')) as kinds from members, unnest(range(1, 9)) as t(i) group by all),
 ranked as (select *, 9 - row_number() over (partition by g, struct order by fill desc, i) as rank from mcols),
 scores as (
-    select r.g, r.struct, r.n, (r.rp + c.cp) / r.n / c.covered / 8 as pairs, c.ranked / r.n as ranked
+    select r.g, r.struct, case when r.n <= 1 or c.kinds > 1 then -1.0 else (r.rp + c.cp) / r.n / c.covered / 8 end as pairs, case when r.n <= 1 or c.kinds > 1 then -1.0 else c.ranked / r.n end as ranked
     from (select g, struct, count(*) as n, sum(fill * (fill - 1) / 2.0) as rp from mrows group by all) r
-    join (select g, struct, sum(fill * (fill - 1) / 2.0) as cp, count(*) filter (where fill > 0) as covered, sum(rank * fill) / sum(rank)::double as ranked from ranked group by all) c using (g, struct)
+    join (select g, struct, max(kinds) as kinds, sum(fill * (fill - 1) / 2.0) as cp, count(*) filter (where fill > 0) as covered, sum(rank * fill) / sum(rank)::double as ranked from ranked group by all) c using (g, struct)
 )
 """
 
 
-def _filled_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sites in groups, every sound made the same, so that no group conflicts."""
-    plain = F.transform("pattern", lambda x: F.when(x == "Ø", x).otherwise("a"))
-    return _sites(spark, sf_dir).select((F.col("cogid") % 50).alias("g"), "struct", plain.alias("pattern"))
+def _like_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites in groups that agree in the first four doculects; some groups conflict in the others, some don't."""
+    return _sites(spark, sf_dir).select("struct", text(F.slice("pattern", 1, 4)).alias("g"), "pattern")
 
 
-@query(_GROUPED + "select g, struct, round(case when n <= 1 then -1.0 else pairs end, 9) as score from scores")
+@query(_GROUPED + "select g, struct, round(pairs, 9) as score from scores")
 def pattern_score_pairs(spark, sf_dir):
-    return sites.score_patterns(_filled_groups(spark, sf_dir), ["g", "struct"], "pairs").select("g", "struct", F.round("score", 9).alias("score"))
+    return sites.score_patterns(_like_groups(spark, sf_dir), ["g", "struct"], "pairs").select("g", "struct", F.round("score", 9).alias("score"))
 
 
-@query(_GROUPED + "select g, struct, round(case when n <= 1 then -1.0 else ranked end, 9) as score from scores")
+@query(_GROUPED + "select g, struct, round(ranked, 9) as score from scores")
 def pattern_score_ranked(spark, sf_dir):
-    return sites.score_patterns(_filled_groups(spark, sf_dir), ["g", "struct"], "ranked").select("g", "struct", F.round("score", 9).alias("score"))
+    return sites.score_patterns(_like_groups(spark, sf_dir), ["g", "struct"], "ranked").select("g", "struct", F.round("score", 9).alias("score"))
 
 
 @query(
@@ -215,66 +223,153 @@ def density(spark, sf_dir):
     return sites.density(words(spark, sf_dir)).select(F.round("density", 12).alias("density"))
 
 
-@query("select id from words where false")
+@query("select id from words where form like '%-'")
 def badly_structured_words(spark, sf_dir):
-    return sites.bad_structures(morphemes(spark, sf_dir)).select("id")
+    """Words whose classes are those of the part's name, which has a sound more where the last one is a gap."""
+    kinds = F.transform(F.filter(F.split("word", ""), lambda x: x != ""), lambda x: F.when(x.isin(*"aeiou"), "v").otherwise("c"))
+    return sites.bad_structures(words(spark, sf_dir).withColumn("structure", kinds).withColumn("m_idx", F.lit(0))).select("id")
 
 
 # Clusters
 
+_FITTING = CLUSTERS + f""", heads_of as (
+    select k.struct, k.pattern, z.consensus, z.size, len(list_filter(range(1, 9), lambda j: k.pattern[j] = z.consensus[j] and k.pattern[j] <> 'Ø' and k.pattern[j] <> '-')) as matches
+    from one_each k join sizes z on k.struct = z.struct and {fits('k.pattern', 'z.consensus')}
+)
+"""
 
-@query()
+
+@query(CLUSTERS + "select cogid, pos, struct, array_to_string(pattern, ' ') as pattern, array_to_string(consensus, ' ') as consensus from clustered")
 def clustered_sites(spark, sf_dir):
-    return _clustered(spark, sf_dir).select("cogid", "pos", "struct", text("pattern").alias("pattern"), text("consensus").alias("consensus"))
+    return _clustered(spark, sf_dir).select("cogid", F.col("pos").cast("long").alias("pos"), "struct", text("pattern").alias("pattern"), text("consensus").alias("consensus"))
 
 
-@query(_PAIRS + "select s.cogid, s.pos, s.struct, array_to_string(p.q, ' ') as consensus, p.matched::bigint as matches from sites s join pairs p on p.struct = s.struct and p.p = s.pattern")
+@query(_FITTING + "select s.cogid, s.pos, s.struct, array_to_string(h.consensus, ' ') as consensus, h.matches::bigint as matches from sites s join heads_of h using (struct, pattern)")
 def sites_to_patterns(spark, sf_dir):
-    found = clusters.sites_to_patterns(_plain_clusters(spark, sf_dir))
+    found = clusters.sites_to_patterns(_clustered(spark, sf_dir))
     return found.select("cogid", F.col("pos").cast("long").alias("pos"), "struct", text("consensus").alias("consensus"), F.col("matches").cast("long").alias("matches"))
 
 
-@query(_PAIRS + "select round(count(*)::double / count(distinct (s.cogid, s.pos)), 9) as fuzziness from sites s join pairs p on p.struct = s.struct and p.p = s.pattern")
+@query(_FITTING + "select round(count(*)::double / count(distinct (s.cogid, s.pos)), 9) as fuzziness from sites s join heads_of h using (struct, pattern)")
 def fuzziness(spark, sf_dir):
-    return clusters.fuzziness(clusters.sites_to_patterns(_plain_clusters(spark, sf_dir))).select(F.round("fuzziness", 9).alias("fuzziness"))
+    return clusters.fuzziness(_clustered(spark, sf_dir)).select(F.round("fuzziness", 9).alias("fuzziness"))
 
 
-@query()
+@query(
+    CLUSTERS + _PAIRS + """, of as (select distinct struct, pattern, consensus from clustered),
+beside as (
+    select p.struct, p.p as pattern, o.consensus, sum(k.n - (p.p = p.q)::int) as n
+    from pairs p join of o on o.struct = p.struct and o.pattern = p.q join kinds k on k.struct = p.struct and k.pattern = p.q where k.n > (p.p = p.q)::int group by all
+), counts as (select struct, pattern, i, consensus[i] as sound, sum(n) as n from beside, unnest(range(1, 9)) as t(i) group by all),
+cols as (select struct, pattern, i, sqrt(sum(case when sound <> 'Ø' then n * n else 0 end)) / sum(n) as p from counts group by all),
+per as (select struct, pattern, avg(p) as p from cols group by all)
+select round(sum(coalesce(p.p, 0) * k.n) / sum(k.n), 9) as purity from kinds k left join per p using (struct, pattern)
+"""
+)
 def cluster_purity(spark, sf_dir):
-    return clusters.purity(_clustered(spark, sf_dir))
+    return clusters.purity(_clustered(spark, sf_dir)).select(F.round("purity", 9).alias("purity"))
 
 
-@query()
+_IRREGULAR = CLUSTERS + """, lone as (select c.* from clustered c join sizes z using (struct, consensus) where z.size = 1),
+closest as (
+    select l.pattern, arg_min(g.consensus, (-g.size, g.first, g.struct)) as consensus
+    from (select distinct pattern from lone) l join (select * from sizes where size >= 2) g
+        on len(list_filter(range(1, 9), lambda j: l.pattern[j] = g.consensus[j] and l.pattern[j] <> 'Ø' and l.pattern[j] <> '-')) > 1
+        and len(list_filter(range(1, 9), lambda j: l.pattern[j] <> g.consensus[j] and l.pattern[j] <> 'Ø' and g.consensus[j] <> 'Ø')) <= 1
+    group by l.pattern
+), irregular as (select l.cogid, l.pos, l.struct, l.pattern, c.consensus from lone l left join closest c using (pattern))
+"""
+
+
+@query(_IRREGULAR + "select cogid, pos, struct, array_to_string(pattern, ' ') as pattern, array_to_string(consensus, ' ') as consensus from irregular")
 def irregular_sites(spark, sf_dir):
-    return clusters.irregular_patterns(_clustered(spark, sf_dir)).select("cogid", "pos", "struct", text("pattern").alias("pattern"), text("consensus").alias("consensus"))
+    found = clusters.irregular_patterns(_clustered(spark, sf_dir))
+    return found.select("cogid", F.col("pos").cast("long").alias("pos"), "struct", text("pattern").alias("pattern"), text("consensus").alias("consensus"))
 
 
-@query()
+@query(
+    _IRREGULAR + """, marked as (
+    select c.id, c.pos, case when r.cogid is null then c.sound when r.consensus is null then '!' || c.sound
+        when r.consensus[c.lang + 1] <> c.sound and r.consensus[c.lang + 1] <> 'Ø' then '!' || c.sound || '/' || r.consensus[c.lang + 1] else c.sound end as sound
+    from cells c left join irregular r on r.cogid = c.cogid and r.pos = c.pos
+)
+select id, string_agg(sound, ' ' order by pos) as alignment from marked group by id
+"""
+)
 def marked_irregular_words(spark, sf_dir):
     found = clusters.irregular_patterns(_clustered(spark, sf_dir))
     return clusters.mark_irregular(morphemes(spark, sf_dir), found, LANGS, mark_rest=True).select("id", text("alignment").alias("alignment"))
 
 
-@query()
+_NAMED = CLUSTERS + """, ranked as (select *, row_number() over (order by -size, first, struct) as rank from sizes),
+names as (select struct, consensus, size, rank, rank || '-' || size || '/' || consensus[1] as pattern_id from ranked),
+labelled as (
+    select c.id, c.cogid, c.lang, c.pos, c.sound, coalesce(n.pattern_id, '0/n') as pattern_id
+    from cells c left join clustered s on s.cogid = c.cogid and s.pos = c.pos left join names n on n.struct = s.struct and n.consensus = s.consensus
+)
+"""
+
+
+@query(_NAMED + "select id, string_agg(pattern_id, ' ' order by pos) as patterns from labelled group by id")
 def words_with_patterns(spark, sf_dir):
     return clusters.add_patterns(morphemes(spark, sf_dir), _clustered(spark, sf_dir), LANGS).select("id", text("patterns").alias("patterns"))
 
 
-@query()
+@query(
+    _NAMED + """, firsts as (select pattern_id, lang, arg_min(sound, (id, pos)) as sound from labelled where pattern_id <> '0/n' and sound <> 'Ø' group by all)
+select pattern_id, string_agg(coalesce(f.sound, 'Ø'), ' ' order by l.lang) as pattern, any_value(n.sites)::bigint as sites
+from (select pattern_id, count(distinct (cogid, pos)) as sites from labelled where pattern_id <> '0/n' group by all) n
+cross join (select unnest(range(8)) as lang) l left join firsts f using (pattern_id, lang) group by pattern_id
+"""
+)
 def loaded_patterns(spark, sf_dir):
     rows = clusters.add_patterns(morphemes(spark, sf_dir), _clustered(spark, sf_dir), LANGS)
     return clusters.load_patterns(rows, LANGS).select("pattern_id", text("pattern").alias("pattern"), "sites")
 
 
-@query()
+_SHOWN = ", ".join(f"shown[{i + 1}] as {t}" for i, t in enumerate(LANGS))
+
+
+@query(
+    _IRREGULAR + _NAMED.removeprefix(CLUSTERS) + f""", of as (
+    select c.cogid, c.pos, c.struct, coalesce(r.consensus, c.consensus) as consensus, case when r.consensus is null then c.consensus
+        else list_transform(range(1, 9), lambda j: case when r.consensus[j] <> c.consensus[j] and c.consensus[j] <> 'Ø' then r.consensus[j] || '/' || c.consensus[j] else c.consensus[j] end) end as shown
+    from clustered c left join irregular r on r.cogid = c.cogid and r.pos = c.pos
+), owners as (select consensus, arg_min(pattern_id, rank) as pattern_id from names group by consensus),
+shown_rows as (select o.*, w.pattern_id from of o join owners w using (consensus)),
+meanings as (
+    select pattern_id, struct, shown, string_agg(distinct concept, ' / ' order by concept) as concepts
+    from shown_rows r join (select distinct cogid, concept from words) m using (cogid) group by all
+)
+select split_part(pattern_id, '/', 1) as id, struct as structure, count(*)::bigint as frequency, {_SHOWN}, string_agg(cogid || ':' || pos, ', ' order by cogid, pos) as cognatesets, any_value(concepts) as concepts
+from shown_rows join meanings using (pattern_id, struct, shown) group by pattern_id, struct, shown
+"""
+)
 def table_of_patterns(spark, sf_dir):
     found = _clustered(spark, sf_dir)
     return clusters.pattern_table(morphemes(spark, sf_dir), found, LANGS, irregular=clusters.irregular_patterns(found))
 
 
-@query()
+_PREDICTED = _FITTING + """, votes as (
+    select struct, pattern, j - 1 as lang, consensus[j] as sound, sum(size) as weight from heads_of, unnest(range(1, 9)) as t(j) where pattern[j] = 'Ø' and consensus[j] <> 'Ø' group by all
+), shares as (
+    select *, weight / sum(weight) over (partition by struct, pattern, lang) as share, row_number() over (partition by struct, pattern, lang order by weight desc, sound) as rank from votes
+), best as (
+    select struct, pattern, lang, sqrt(sum(share * share)) as purity, max(sound) filter (where rank = 1) as one,
+        string_agg(sound, '|' order by rank) filter (where rank <= 2) as two, string_agg(sound, '|' order by rank) filter (where rank <= 3) as three
+    from shares group by all
+), absent as (select cogid, l.lang from clustered c cross join (select unnest(range(8)) as lang) l group by all having bool_and(c.pattern[l.lang + 1] = 'Ø')),
+predicted as (
+    select c.cogid, a.lang, 'L' || a.lang as doculect, string_agg(coalesce(b.one, 'Ø'), ' ' order by c.pos) as one, string_agg(coalesce(b.two, 'Ø'), ' ' order by c.pos) as two,
+        string_agg(coalesce(b.three, 'Ø'), ' ' order by c.pos) as three, avg(coalesce(b.purity, 0.0)) as purity, bool_or(b.one is null) as unsure
+    from clustered c join absent a using (cogid) left join best b on b.struct = c.struct and b.pattern = c.pattern and b.lang = a.lang group by all
+)
+"""
+
+
+@query(_PREDICTED + "select cogid, doculect, three as word, round(purity, 9) as purity from predicted")
 def predicted_words(spark, sf_dir):
-    return clusters.predict_words(_clustered(spark, sf_dir), LANGS).select("cogid", "doculect", text("word").alias("word"), "purity")
+    return clusters.predict_words(_clustered(spark, sf_dir), LANGS).select("cogid", "doculect", text("word").alias("word"), F.round("purity", 9).alias("purity"))
 
 
 @query()
@@ -287,44 +382,68 @@ def leave_out_statistics(spark, sf_dir):
     return leave_out_summary(morphemes(spark, sf_dir), LANGS)
 
 
-@query()
+@query(
+    _PREDICTED + """, about as (
+    select cogid, string_agg(distinct concept, ' / ' order by concept) as concepts,
+        array_to_string(list_sort(list(distinct doculect || ' ' || array_to_string(list_filter(string_split(form, ''), lambda x: x <> '-'), ' '))), ', ') as cognates
+    from words group by cogid
+)
+select cogid, doculect, concepts, cognates, one as one_best, two as two_best, three as three_best, round(purity, 9) as purity, case when unsure then '?' else '' end as flag from predicted join about using (cogid)
+"""
+)
 def reported_predictions(spark, sf_dir):
-    return prediction_report(morphemes(spark, sf_dir), LANGS)
+    return prediction_report(morphemes(spark, sf_dir), LANGS).withColumn("purity", F.round("purity", 9))
 
 
-_SIZES = ", sizes as (select struct, pattern, count(*) as n from sites group by all)\n"
-
-
-@query(_SIZES + "select struct, count(*) filter (where n > 1)::bigint as regular, count(*) filter (where n = 1)::bigint as singletons from sizes group by struct")
+@query(CLUSTERS + "select struct, count(*) filter (where size > 1)::bigint as regular, count(*) filter (where size = 1)::bigint as singletons from sizes group by struct")
 def patterns_by_structure(spark, sf_dir):
-    return metrics.structure_summary(_plain_clusters(spark, sf_dir))
+    return metrics.structure_summary(_clustered(spark, sf_dir))
 
 
-@query(_SIZES + "select sum(n)::bigint as sites, count(*)::bigint as patterns, count(*) filter (where n = 1)::bigint as singletons, round((sum(n) - count(*) filter (where n = 1)) / sum(n)::double, 9) as coverage from sizes")
+@query(
+    CLUSTERS + "select sum(size)::bigint as sites, count(*)::bigint as patterns, count(*) filter (where size = 1)::bigint as singletons, "
+    "round((sum(size) - count(*) filter (where size = 1)) / sum(size)::double, 9) as coverage from sizes"
+)
 def dataset_summary(spark, sf_dir):
-    return metrics.dataset_summary(_plain_clusters(spark, sf_dir)).withColumn("coverage", F.round("coverage", 9))
+    return metrics.dataset_summary(_clustered(spark, sf_dir)).withColumn("coverage", F.round("coverage", 9))
 
 
-@query(
-    _PAIRS
-    + """, best as (select s.cogid, s.pos, max(k.n) as n from sites s join pairs p on p.struct = s.struct and p.p = s.pattern join kinds k on k.struct = p.struct and k.pattern = p.q group by all),
+_REGULAR = """, best as (select s.cogid, s.pos, max(h.size) as n from sites s join heads_of h using (struct, pattern) group by all),
 sets as (select cogid, avg((n >= 3)::int) as share from best group by cogid),
 refs as (select cogid, max(refs) as refs from site_rows group by cogid)
-select (select count(*) from kinds where n >= 3)::bigint as regular_patterns, (select count(*) from kinds)::bigint as patterns,
-    (select sum(n) from kinds where n >= 3)::bigint as regular_sites, (select sum(n) from kinds)::bigint as sites,
+select (select count(*) from sizes where size >= 3)::bigint as regular_patterns, (select count(*) from sizes)::bigint as patterns,
+    (select sum(size) from sizes where size >= 3)::bigint as regular_sites, (select sum(size) from sizes)::bigint as sites,
     coalesce(sum(refs) filter (where share >= 0.75), 0)::bigint as regular_words, sum(refs)::bigint as words
 from sets join refs using (cogid)
 """
-)
+
+
+@query(_FITTING + _REGULAR)
 def regularity(spark, sf_dir):
-    found = _plain_clusters(spark, sf_dir)
-    return metrics.regularity(found, clusters.sites_to_patterns(found)).select("regular_patterns", "patterns", "regular_sites", "sites", "regular_words", "words")
+    return metrics.regularity(_clustered(spark, sf_dir)).select("regular_patterns", "patterns", "regular_sites", "sites", "regular_words", "words")
 
 
-@query()
+@query(
+    _PAIRS + ", sizes as (select struct, pattern as consensus, n as size from kinds), heads_of as (select p.struct, p.p as pattern, z.size from pairs p join sizes z on z.struct = p.struct and z.consensus = p.q)" + _REGULAR
+)
+def regularity_of_unclustered_sites(spark, sf_dir):
+    """Each different pattern as a cluster of its own: many more heads than clustering leaves."""
+    found = _sites(spark, sf_dir).withColumn("consensus", F.col("pattern"))
+    return metrics.regularity(found).select("regular_patterns", "patterns", "regular_sites", "sites", "regular_words", "words")
+
+
+@query(
+    CLUSTERS + """, filled as (select struct, consensus, count(*) as n, sum(f * (f - 1) / 2.0) as rp from (select *, len(list_filter(pattern, lambda x: x <> 'Ø')) as f from clustered) group by all),
+cols as (select struct, consensus, i, count(*) filter (where pattern[i] <> 'Ø') as fill from clustered, unnest(range(1, 9)) as t(i) group by all),
+scores as (
+    select f.struct, f.consensus, max(f.n) as n, case when max(f.n) <= 1 then 0.0 else (max(f.rp) + sum(c.fill * (c.fill - 1) / 2.0)) / max(f.n) / count(*) filter (where c.fill > 0) / 8 end as score
+    from filled f join cols c using (struct, consensus) group by f.struct, f.consensus
+) select round(sum(n * score) / sum(n), 9) as score from scores
+"""
+)
 def mean_site_score(spark, sf_dir):
     found = _clustered(spark, sf_dir)
-    return clusters.mean_site_score(found, found)
+    return clusters.mean_site_score(found, found).select(F.round("score", 9).alias("score"))
 
 
 # Preparation, templates, trimming
@@ -342,15 +461,45 @@ def _structures(model: str) -> Query:
 for _model in ("cv", "c", "CcV", "ps", "nogap"):
     QUERIES[f"structure_{_model.lower()}"] = _structures(_model)
 ORACLES["structure_cv"] = f"with {SQL} select id, regexp_replace(regexp_replace(replace(form, '-', ''), '[^aeiouy]', 'c', 'g'), '[aeiouy]', 'v', 'g') as structure from words"
+_SONORITY = "list_transform(string_split(replace(form, '-', ''), ''), lambda x: case when x in ('a','e','i','o','u','y') then 7 when x in ('j','w') then 5 when x in ('l','r') then 4 when x in ('m','n') then 3 when x in ('s','z','f','v','x','h') then 2 else 1 end)"
+_SOUNDED = f"""with {SQL}, s as (select id, {_SONORITY} as s from words), around as (
+    select id, list_transform(range(1, len(s) + 1), lambda i: {{'here': s[i], 'rising': coalesce(s[i + 1] >= s[i], false), 'first': i = 1, 'last': i = len(s)}}) as z from s
+) select id, array_to_string(list_transform(z, lambda c: """
+ORACLES["structure_ccv"] = _SOUNDED + "case when c.here = 7 then 'V' when c.rising or (c.first and not c.last) then 'C' else 'c' end), '') as structure from around"
+ORACLES["structure_ps"] = (
+    _SOUNDED + "case when c.here = 7 then case when c.first then 'X' when c.last then 'Z' else 'Y' end "
+    "when c.rising and c.first then 'A' when c.rising then 'B' when c.last then 'N' when c.first then 'L' else 'M' end), '') as structure from around"
+)
+ORACLES["structure_nogap"] = f"""with {SQL}, n as (select cogid, pos, sound, count(*) as n from cells group by all),
+modes as (select cogid, pos, arg_max(sound, (n, sound <> '-', sound)) as mode from n group by all), many as (select cogid from words group by cogid having count(*) >= 2)
+select c.id, string_agg(case when m.cogid is null or o.mode <> '-' then 'c' else '-' end, '' order by c.pos) as structure
+from cells c join modes o using (cogid, pos) left join many m using (cogid) where c.sound <> '-' group by c.id
+"""
 ORACLES["structure_c"] = f"with {SQL} select id, regexp_replace(replace(form, '-', ''), '.', 'c', 'g') as structure from words"
 
 
-@query()
+_KINDS = "list_transform(string_split(substr(word, 1, len(replace(form, '-', ''))), ''), lambda x: case when x in ('a','e','i','o','u') then 'v' else 'c' end)"
+
+
+@query(
+    f""", t as (select id, cogid, {_TOKENS} as w, {_KINDS} as k from words),
+placed as (
+    select id, cogid, i, w[i] as token, sum(case when i = 1 then case when k[1] = 'c' then 1 else 2 end when k[i] = k[i - 1] then 2 else 1 end) over (partition by id order by i) as place
+    from t, unnest(range(1, len(w) + 1)) as u(i)
+), used as (select distinct cogid, place from placed), ids as (select distinct id, cogid from placed)
+select d.id, string_agg(coalesce(p.token, '-'), ' ' order by u.place) as alignment from ids d join used u using (cogid) left join placed p on p.id = d.id and p.place = u.place group by d.id
+"""
+)
 def aligned_to_template(spark, sf_dir):
     return prepare.template_alignment(morphemes(spark, sf_dir).drop("alignment"), "cv" * 10 + "c").select("id", text("alignment").alias("alignment"))
 
 
-@query()
+@query(
+    f""", t as (select id, {_TOKENS} as w, {_KINDS} as k from words), pairs as (select id, w, k, list_transform(range(1, len(w) + 1), lambda i: i < len(w) and k[i] = 'c' and k[i + 1] = 'v') as m from t),
+steps as (select id, i, m[i] as merged, w[i] || case when m[i] then w[i + 1] else '' end as token, case when m[i] then 'S' when k[i] = 'c' then 'K' else k[i] end as kind from pairs, unnest(range(1, len(w) + 1)) as u(i) where m[i] or i = 1 or not m[i - 1])
+select id, string_agg(token, ' ' order by i) as tokens, string_agg(kind, ' ' order by i) as structure from steps group by id
+"""
+)
 def shrunk_words(spark, sf_dir):
     made = prepare.shrink_template(words(spark, sf_dir), {"c v": "S", "c": "K"})
     return made.select("id", text("tokens2").alias("tokens"), text("structure2").alias("structure"))
@@ -361,12 +510,25 @@ def shrunk_alignments(spark, sf_dir):
     return prepare.shrink_alignments(words(spark, sf_dir), ["cogid"]).select("id", F.array_join("alignment", "").alias("alignment"))
 
 
-@query()
+_SPACED = "array_to_string(string_split({}, ''), ' ')"
+
+
+@query(
+    f""", empty as (select cogid from words where lang <> 0 group by cogid having bool_and(form like '%-'))
+select id, case when e.cogid is null then {_SPACED.format('form')} when form like '%-' then {_SPACED.format('substr(form, 1, len(form) - 1)')}
+    else {_SPACED.format('substr(form, 1, len(form) - 1)')} || '.' || right(form, 1) end as alignment
+from words left join empty e using (cogid)
+"""
+)
 def ungapped(spark, sf_dir):
     return prepare.ungap(morphemes(spark, sf_dir), "L0").select("id", text("alignment").alias("alignment"))
 
 
-@query()
+@query(
+    f"""select a.id as id_a, b.id as id_b, case when b.form like '%-' then {_SPACED.format('substr(a.form, 1, len(a.form) - 1)')} || '<' || right(a.form, 1) else {_SPACED.format('a.form')} end as a,
+    {_SPACED.format("replace(b.form, '-', '')")} as b {_PAIRED}
+"""
+)
 def gap_free_pairs(spark, sf_dir):
     w = words(spark, sf_dir)
     a, b = w.select("cogid", F.col("id").alias("id_a"), F.col("alignment").alias("a")), w.select("cogid", F.col("id").alias("id_b"), F.col("alignment").alias("b"))
@@ -379,12 +541,25 @@ def gap_ratios(spark, sf_dir):
     return trimming.site_table(morphemes(spark, sf_dir)).select("cogid", F.col("pos").cast("long").alias("pos"), F.round("ratio", 9).alias("ratio"))
 
 
-@query()
+#: Only last columns have gaps here. One goes if a quarter of it are gaps and the classes before it still hold CV or VC, or if
+#: it holds nothing else.
+_LETTERS = "case when arg_min(sound, id) filter (where sound <> '-') is null then '+' when arg_min(sound, id) filter (where sound <> '-') in ('a','e','i','o','u','y') then 'V' else 'C' end"
+_TRIMMED = f""", columns as (select cogid, pos, avg((sound = '-')::int) as ratio, {_LETTERS} as class from cells group by all),
+whole as (
+    select cogid, max(pos) as last, arg_max(ratio, pos) as ratio, arg_max(class, pos) as class, string_agg(class, '' order by pos) as skeleton from columns group by cogid
+), cut as (
+    select cogid, class = '+' or (ratio >= 0.25 and (regexp_matches(left(skeleton, last::int), 'C.*V') or regexp_matches(left(skeleton, last::int), 'V.*C'))) as gone from whole
+)
+select id, {_SPACED.format('case when gone then substr(form, 1, len(form) - 1) else form end')} as alignment from words join cut using (cogid)
+"""
+
+
+@query(_TRIMMED)
 def trimmed_gaps(spark, sf_dir):
     return trimming.trim(morphemes(spark, sf_dir), threshold=0.25).select("id", text("alignment").alias("alignment"))
 
 
-@query()
+@query(_TRIMMED)
 def trimmed_core(spark, sf_dir):
     return trimming.trim(morphemes(spark, sf_dir), "core-oriented", 0.25).select("id", text("alignment").alias("alignment"))
 
@@ -394,7 +569,13 @@ def trimmed_at_random(spark, sf_dir):
     return trimming.trim_random(morphemes(spark, sf_dir), threshold=0.25).select("id", text("alignment").alias("alignment"))
 
 
-@query()
+@query(
+    f""", columns as (select cogid, pos, {_LETTERS} as class from cells group by all), whole as (select cogid, string_agg(class, '' order by pos) as skeleton from columns group by cogid),
+many as (select cogid from words group by cogid having count(*) > 1)
+select id, regexp_replace(regexp_replace(replace(form, '-', ''), '[^aeiouy]', 'C', 'g'), '[aeiouy]', 'V', 'g') as structure
+from words join many using (cogid) join whole using (cogid) where regexp_matches(skeleton, 'C.*V') or regexp_matches(skeleton, 'V.*C')
+"""
+)
 def aligned_with_syllables(spark, sf_dir):
     return prepare.prep_alignments(morphemes(spark, sf_dir)).select("id", F.array_join("structure", "").alias("structure"))
 
@@ -448,13 +629,12 @@ def colexified_sets(spark, sf_dir):
 
 @query()
 def internal_cognates(spark, sf_dir):
-    rows = words(spark, sf_dir).withColumn("concept", F.concat_ws(".", "concept", (F.col("cogid") % 101).cast("string")))
-    return borrowing.internal_cognates(rows, "lexstat", runs=2).select("id", "autocogid")
+    return borrowing.internal_cognates(words(spark, sf_dir), "lexstat").select("id", "autocogid")
 
 
 @query()
 def borrowed_sets(spark, sf_dir):
-    rows = words(spark, sf_dir).withColumn("concept", F.concat_ws(".", "concept", (F.col("cogid") % 101).cast("string")))
+    rows = words(spark, sf_dir)
     return borrowing.external_cognates(borrowing.internal_cognates(rows, "sca")).select("id", "autocogid", "autoborid")
 
 
@@ -504,12 +684,12 @@ def reconstructed_words(spark, sf_dir):
 
 @query()
 def fuzzy_reconstructions(spark, sf_dir):
-    return reconstruct.fuzzy_reconstruct(morphemes(spark, sf_dir), LANGS[1:], "L0", splits=2)
+    return reconstruct.fuzzy_reconstruct(morphemes(spark, sf_dir), LANGS[1:], "L0")
 
 
 @query()
 def reconstructions_by_split(spark, sf_dir):
-    return reconstruct.fuzzy_reconstruct(morphemes(spark, sf_dir), LANGS[1:], "L0", splits=2, output="words").select("cogid", "split", text("word").alias("word"))
+    return reconstruct.fuzzy_reconstruct(morphemes(spark, sf_dir), LANGS[1:], "L0", output="words").select("cogid", "split", text("word").alias("word"))
 
 
 @query()
@@ -518,10 +698,14 @@ def feature_matrix(spark, sf_dir):
     return rows.select("cogid", "pos", text("row").alias("row"), "target")
 
 
-@query()
+@query(
+    """, seen as (select i, list(distinct pattern[i] order by pattern[i]) as held from sites, unnest(range(1, 9)) as t(i) group by i)
+select cogid, pos, string_agg(array_to_string(list_transform(held, lambda v: case when v = pattern[i] then '1' else '0' end), '') || '0', '' order by i) as onehot from sites join seen on true group by cogid, pos
+"""
+)
 def one_hot_rows(spark, sf_dir):
     rows = _sites(spark, sf_dir).withColumnRenamed("pattern", "row")
-    return reconstruct.one_hot(rows, 8).select("cogid", "pos", F.array_join(F.col("onehot").cast("array<string>"), "").alias("onehot"))
+    return reconstruct.one_hot(rows, 8).select("cogid", F.col("pos").cast("long").alias("pos"), F.array_join(F.col("onehot").cast("array<string>"), "").alias("onehot"))
 
 
 @query()
