@@ -75,7 +75,7 @@ def trim_random(alignments: DataFrame, seed: int = 0, strategy: str = "gap-orien
     sites = site_table(alignments, gap)
     kept = kept_sites(sites, strategy, threshold, skeletons, True, exclude).select("cogid", F.explode("kept").alias("pos"))
     quota = kept.join(sites, ["cogid", "pos"]).groupBy("cogid", "class").agg(F.count("*").alias("quota"))
-    order = Window.partitionBy("cogid", "class").orderBy(F.xxhash64(F.lit(seed), "cogid", "pos"), "pos")
+    order = Window.partitionBy("cogid", "class").orderBy(F.md5(F.concat_ws(" ", F.lit(str(seed)), F.col("cogid").cast("string"), F.col("pos").cast("string"))), "pos")
     drawn = sites.withColumn("rank", F.row_number().over(order)).join(quota, ["cogid", "class"]).where("rank <= quota")
     drawn = drawn.groupBy("cogid").agg(F.array_sort(F.collect_list("pos")).alias("kept"))
     return alignments.join(drawn, "cogid").withColumn("alignment", F.transform("kept", lambda p: F.get("alignment", p))).drop("kept")

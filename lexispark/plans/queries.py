@@ -564,7 +564,17 @@ def trimmed_core(spark, sf_dir):
     return trimming.trim(morphemes(spark, sf_dir), "core-oriented", 0.25).select("id", text("alignment").alias("alignment"))
 
 
-@query()
+_LAID = "array_to_string(list_transform(kept, lambda p: form[p + 1]), ' ')"
+
+
+@query(
+    _TRIMMED[: _TRIMMED.index("select id, array_to_string")] + f""", left_over as (select c.cogid, c.pos, c.class from columns c join whole w using (cogid) join cut using (cogid) where not (gone and c.pos = w.last)),
+quota as (select cogid, class, count(*) as quota from left_over group by all),
+drawn as (select *, row_number() over (partition by cogid, class order by md5('0 ' || cogid || ' ' || pos), pos) as rank from columns),
+chosen as (select d.cogid, list(d.pos order by d.pos) as kept from drawn d join quota q using (cogid, class) where d.rank <= q.quota group by d.cogid)
+select id, {_LAID} as alignment from words join chosen using (cogid)
+"""
+)
 def trimmed_at_random(spark, sf_dir):
     return trimming.trim_random(morphemes(spark, sf_dir), threshold=0.25).select("id", text("alignment").alias("alignment"))
 
@@ -708,7 +718,18 @@ def one_hot_rows(spark, sf_dir):
     return reconstruct.one_hot(rows, 8).select("cogid", F.col("pos").cast("long").alias("pos"), F.array_join(F.col("onehot").cast("array<string>"), "").alias("onehot"))
 
 
-@query()
+@query(
+    """, counted as (select cogid, pos, sound as x, count(*) as c, sum(count(*)) over (partition by cogid, pos) as m from cells group by cogid, pos, sound),
+slots as (select *, floor(c / (m / 5.0::double) + 0.5)::bigint as s from counted),
+filled as (select cogid, pos, flatten(list(list_transform(range(s), lambda k: x) order by -s, x) filter (where s > 0)) as f from slots group by all),
+five as (select cogid, pos, case when len(coalesce(f, [])) = 0 then ['Ø', 'Ø', 'Ø', 'Ø', 'Ø'] else list_slice(flatten([f, f, f, f, f]), 1, 5) end as f from filled),
+tiles as (
+    select cogid, pos, array_to_string(list_transform(list_sort(list_transform(f, lambda y, i: {'c': -len(list_filter(f, lambda z: z = y)), 'i': i, 's': y})), lambda q: q.s), '|') as t
+    from five where len(list_filter(f, lambda z: z = '-')) <> 4
+), joined as (select cogid, string_agg(t, ' ' order by pos) as t from tiles group by cogid), sets as (select cogid, count(*) as n, any_value(form) as form from words group by cogid)
+select cogid, case when n = 1 then array_to_string(string_split(replace(form, '-', ''), ''), ' ') else coalesce(t, '') end as ntile from sets left join joined using (cogid)
+"""
+)
 def ntiles(spark, sf_dir):
     return reconstruct.ntile(words(spark, sf_dir), ["cogid"], 5)
 
