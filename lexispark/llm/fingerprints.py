@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,11 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.functions.numbering import running_total
+from lexispark.functions.storage import stored
 from lexispark.llm.textnum import PrefixSums
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 #: Code points under the rolling hash, the smallest block size, the pieces aimed at, and the most pieces of a signature.
 WINDOW, LEAST, PIECES, MOST = 7, 3, 48, 64
+#: Bytes of text in a part of the ordered documents, and the most parts.
+PART, MOST_PARTS = 16 << 20, 50_000
 _LETTERS = np.frombuffer(ALPHABET.encode(), np.uint8)
 
 
@@ -100,30 +105,57 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - k] + after[:k]
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """Rows (part, guest, doc_id, text) such that, in a part sorted by these, each row but a guest has its successor next.
+def with_next(docs: DataFrame, part_bytes: int = PART) -> DataFrame:
+    """Rows (part, guest, doc_id, text, n) such that, in a part sorted by these, each row but a guest has its successor next.
 
-    Parts are ranges of doc_id; the first document of each part is also the guest at the end of the part before it
-    (of the last part, for the first). Only the ids are looked at to find the ranges; each text moves once.
+    Documents are ordered by doc_id and a hash of their text, and cut into parts of about part_bytes (more, if there were over
+    MOST_PARTS of them); the first document of each part is also the guest at the end of the part before it (of the last
+    part, for the first). Only the ids and lengths are looked at to find the cuts, of which the driver holds one a part;
+    each text moves once, and each part to a task of its own. n counts equal rows: those of a document whose copies fill a
+    part or more are counted where they are read, and sent as one row a task.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    part = F.coalesce(F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: c <= F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
-    part = F.when(F.col("doc_id").isNull(), 0).otherwise(part)
-    placed = docs.withColumn("part", part)
-    firsts = sorted((r.part, r.doc_id) for r in placed.groupBy("part").agg(F.expr("if(count(*) > count(doc_id), null, min(doc_id)) as doc_id")).collect())
-    before = {p: firsts[i - 1][0] for i, (p, _) in enumerate(firsts)}
-    table = F.create_map(*[F.lit(x) for p in before.items() for x in p]) if before else F.create_map(F.lit(0), F.lit(0))
-    heads = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(d).cast("long").alias("d")) for p, d in firsts]) if firsts else None
-    if heads is None:
-        return placed.select("part", F.lit(False).alias("guest"), "doc_id", "text")
-    first = F.exists(heads, lambda h: (h["p"] == F.col("part")) & h["d"].eqNullSafe(F.col("doc_id")))
-    homes = F.when(first, F.array(F.struct(F.col("part"), F.lit(False).alias("guest")), F.struct(F.element_at(table, F.col("part")).alias("part"), F.lit(True).alias("guest"))))
-    homes = F.coalesce(homes, F.array(F.struct(F.col("part"), F.lit(False).alias("guest"))))
-    rows = placed.withColumn("home", F.explode(homes)).select("home.part", "home.guest", "doc_id", "text")
-    return rows.repartition("part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    per = docs.groupBy("doc_id", "mark").agg(F.sum(F.octet_length("text") + 64).alias("bytes"), F.max(F.octet_length("text") + 64).alias("one"))
+    per = stored(per, "lengths")
+    total = per.agg(F.sum("bytes")).first()[0] or 0
+    size = max(part_bytes, total // MOST_PARTS)
+    large = F.col("bytes") >= size
+    sized = running_total(per.withColumn("sent", F.when(large, F.col("one")).otherwise(F.col("bytes"))), ["doc_id", "mark"], "sent", "before")
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "mark")
+    firsts = sized.groupBy(F.floor(F.col("before") / size).alias("part")).agg(F.min(key).alias("k")).collect()
+    cuts = sorted((r.k.known, r.k.doc_id or 0, r.k.mark) for r in firsts)
+    hot = {(r.doc_id is not None, r.doc_id or 0, r.mark) for r in per.where(large).select("doc_id", "mark").collect()}
+    held = docs.sparkSession.sparkContext.broadcast((cuts, hot))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts, hot = held.value
+        seen: dict[tuple, list] = {}
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            made = []
+            for known, doc_id, mark, text, n in rows:
+                part = bisect_right(cuts, (known, doc_id, mark)) - 1
+                made.append((part, False, doc_id if known else None, text, n))
+                if (known, doc_id, mark) == cuts[part]:
+                    made.append(((part - 1) % len(cuts), True, doc_id if known else None, text, 1))
+            kinds = (pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made) if made else [[]] * 5, kinds)], ["part", "guest", "doc_id", "text", "n"])
+
+        for batch in batches:
+            rows = []
+            for doc_id, mark, text in zip(*(c.to_pylist() for c in batch.columns)):
+                key = (doc_id is not None, doc_id or 0, mark)
+                if key in hot:
+                    seen.setdefault(key, [text, 0])[1] += 1
+                else:
+                    rows.append((*key, text, 1))
+            for at in range(0, len(rows), 256):
+                yield out(rows[at : at + 256])
+        yield out([(*key, *x) for key, x in seen.items()])
+
+    rows = docs.mapInArrow(place, "part int, guest boolean, doc_id long, text string, n long")
+    return rows.repartitionById(max(1, len(cuts)), F.col("part")).sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
@@ -135,7 +167,7 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the row whose successor isn't known yet
+        held = None  # [part, doc_id, text, n] of the document whose successor isn't known yet
 
         def flush(rows: list[tuple]) -> pa.RecordBatch:
             own = [fingerprint(r[1]) for r in rows]
@@ -152,21 +184,31 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
                 pa.array(changed),
                 pa.array(near[: len(rows)], pa.float64()),
                 pa.array(near[len(rows) :], pa.float64()),
+                pa.array([r[3] for r in rows], pa.int64()),
             ]
-            return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n"])
+
+        def followed(held: list, text: str) -> list[tuple]:
+            """Of equal rows all but the last follow each other."""
+            _, doc_id, own, n = held
+            return [(doc_id, own, own, n - 1)] * (n > 1) + [(doc_id, own, text, 1)]
 
         for batch in batches:
-            rows = []
-            for part, guest, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and held[0] == part:
-                    rows.append((held[1], held[2], text))
-                if guest and held and held[0] == part:
-                    held = (part, None, text, True) if held[3] else (None, None, "", True)
-                    continue
-                if not guest:
-                    held = (part, doc_id, text, False)
+            rows: list[tuple] = []
+            for part, guest, doc_id, text, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if guest:
+                    if held and held[0] == part:
+                        rows += followed(held, text)
+                        held = None
+                elif held and held[:3] == [part, doc_id, text]:
+                    held[3] += n
+                else:
+                    if held and held[0] == part:
+                        rows += followed(held, text)
+                    held = [part, doc_id, text, n]
             for at in range(0, len(rows), 256):
                 yield flush(rows[at : at + 256])
 
     columns = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs).mapInArrow(run, columns)
+    found = with_next(docs).mapInArrow(run, columns + ", n long")
+    return found.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n")

@@ -233,6 +233,24 @@ def test_fingerprints(spark):
     assert [x for r in got for x in r[5:]] == pytest.approx([x for r in want for x in r[5:]])
 
 
+def test_fingerprints_of_repeated_rows_and_small_parts(spark, monkeypatch):
+    """Rows with one id, null ids and a text that fills parts with its copies, over parts of a few rows."""
+    monkeypatch.setattr(P.with_next, "__defaults__", (400,))
+    rng = random.Random(3)
+    rows = [(None, f"none {k} " * 9, "a") for k in range(30)] + [(5, f"five {k} " * 9, "a") for k in range(30)] + [(6, "the same text over and over", "a")] * 40
+    rows += [(i, "".join(rng.choice("abc ") for _ in range(rng.randint(0, 90))), "a") for i in range(7, 60)] + [(60, "", "a"), (61, None, "a")]
+    found = P.compare_with_edits(table(spark, rows).repartition(5)).collect()
+    plain = lambda rs: sorted(map(str, rs))
+    assert len(found) == len(rows) and sum(r.doc_id == 6 and r.near_next == 1.0 for r in found) == 39
+    own = lambda rs: plain((i, n, f) for i, n, f in rs)
+    assert own((r.doc_id, r.n_chars, r.fingerprint) for r in found) == own((i, len(t or ""), P.fingerprint(t or "")) for i, t, _ in rows)
+    want = {r[0]: r for r in plain_fingerprints([r for r in rows if (r[0] or 0) > 6])}
+    last = max(want)
+    for r in found:
+        if r.doc_id in want and r.doc_id != last:
+            assert r.edited_sha256 == want[r.doc_id][2] and (r.near_edited, r.near_next) == pytest.approx(want[r.doc_id][5:])
+
+
 def test_fingerprints_of_few(spark):
     assert P.compare_with_edits(table(spark, [])).count() == 0
     (r,) = P.compare_with_edits(table(spark, [(4, "abcdefgh", "a")])).collect()
