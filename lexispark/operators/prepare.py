@@ -9,6 +9,7 @@ from lexispark.functions.phonology import sound_class
 from lexispark.functions.phonology import structure as structure_of
 from lexispark.functions.sequences import GAP, align_to_template, is_subsequence, shrink
 from lexispark.operators.sites import alignments
+from lexispark.sources.wordlists import morphemes as morphemes_of
 
 TEMPLATE = "CCCCVVccccT_CCCCVVccccT_CCCCVVccccT_CCCCVVccccT_CCCCvvT"
 
@@ -84,6 +85,20 @@ def template_alignment(morphemes: DataFrame, template: str = TEMPLATE, gap: str
     return shrink_alignments(placed, ["cogid"], gap=gap)
 
 
+def fuzzy_template_alignment(words: DataFrame, ref: str = "cogids", template: str = TEMPLATE, gap: str = GAP) -> DataFrame:
+    """The words with alignments to a template, morpheme by morpheme, put together again.
+
+    Each morpheme is aligned in its cognate set, and a word's are joined by +. Of a cogid that a word has twice the first
+    morpheme's alignment stands for both; one whose sounds the word doesn't have is ?.
+    """
+    placed = template_alignment(morphemes_of(words.drop("alignment"), ref), template, gap)
+    asked = words.select("id", F.posexplode(ref).alias("m", "cogid")).withColumn("cogid", F.col("cogid").cast("long"))
+    cells = asked.join(placed.select("id", "cogid", "alignment"), ["id", "cogid"], "left").withColumn("part", F.when(F.size("alignment") > 0, F.col("alignment")).otherwise(F.array(F.lit("?"))))
+    whole = cells.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("m", "part"))).alias("parts"))
+    joined = F.flatten(F.transform("parts", lambda z, i: F.when(i == 0, z["part"]).otherwise(F.concat(F.array(F.lit("+")), z["part"]))))
+    return words.drop("alignment").join(whole.select("id", joined.alias("alignment")), "id", "left")
+
+
 def ungap(morphemes: DataFrame, proto: str, gap: str = GAP) -> DataFrame:
     """Alignments in which columns that only the proto-language fills are joined to the sound before, with a dot.
 

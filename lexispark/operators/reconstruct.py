@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -71,9 +72,9 @@ def feature_rows(aligned: DataFrame, langs: list[str], keys: list[str], target:
     return rows.select(*keys, "pos", F.concat(sounds, *extra).alias("row"), "target")
 
 
-def training_rows(morphemes: DataFrame, langs: list[str], target: str, keys: list[str] | None = None, **features: bool) -> DataFrame:
+def training_rows(morphemes: DataFrame, langs: list[str], target: str, keys: list[str] | None = None, rows_of: Callable[..., DataFrame] | None = None, **features: bool) -> DataFrame:
     """feature_rows of every cognate set that has the target and another word; the target's extra columns are joined."""
-    keys = keys or ["cogid"]
+    keys, rows_of = keys or ["cogid"], rows_of or feature_rows
     sets = morphemes.groupBy(*keys).agg(F.max(F.col("doculect") == target).alias("t"), F.count_distinct("doculect").alias("n")).where("t and n > 1").select(*keys)
     aligned = materialise(align_sets(morphemes.join(sets, keys, "left_semi"), keys))
     if keys != ["cogid"]:
@@ -81,7 +82,7 @@ def training_rows(morphemes: DataFrame, langs: list[str], target: str, keys: lis
         aligned = ungap(named.withColumnRenamed("set", "cogid"), target).select("cogid.*", "doculect", "id", "alignment")
     else:
         aligned = ungap(aligned, target)
-    return feature_rows(aligned, langs, keys, target, **features)
+    return rows_of(aligned, langs, keys, target, **features)
 
 
 def fit(rows: DataFrame, keys: list[str] | None = None, threshold: int = 1, missing: str = MISSING, max_nodes: int = 5000) -> DataFrame:
@@ -169,11 +170,77 @@ def words_of(predicted: DataFrame, keys: list[str] | None = None, desegment: boo
     return out.select(*keys, (alignment_to_tokens(word) if desegment else word).alias("word"))
 
 
-def reconstruct(morphemes: DataFrame, langs: list[str], target: str, **features: bool) -> DataFrame:
-    """(cogid, word): words of the target for every cognate set, from the patterns of those that have one."""
-    model = fit(training_rows(morphemes, langs, target, **features))
+class Patterns:
+    """The classifier by patterns (see fit and predict). Any object with these two methods can take its place."""
+
+    def __init__(self, threshold: int = 1) -> None:
+        self.threshold = threshold
+
+    def fit(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        return fit(rows, keys, self.threshold)
+
+    def predict(self, rows: DataFrame, model: DataFrame, keys: list[str], model_keys: list[str]) -> DataFrame:
+        return predict(rows, model, keys, model_keys)
+
+
+class Estimator:
+    """A classifier of pyspark.ml over codes of the sounds of a row, one-hot if wanted.
+
+    `make` gives a new estimator with the columns features and label. Sounds that training hasn't seen have a code of
+    their own. With keys (the splits of a fuzzy reconstruction) one model is fitted for each of their values.
+    """
+
+    def __init__(self, make: Callable[[], object], onehot: bool = True) -> None:
+        self.make, self.onehot = make, onehot
+
+    def _stages(self, width: int) -> list:
+        from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+
+        cells, codes = [f"x{i}" for i in range(width)], [f"c{i}" for i in range(width)]
+        stages = [StringIndexer(inputCols=cells, outputCols=codes, handleInvalid="keep", stringOrderType="alphabetAsc")]
+        if self.onehot:
+            stages.append(OneHotEncoder(inputCols=codes, outputCols=[f"o{i}" for i in range(width)], handleInvalid="keep", dropLast=False))
+            codes = [f"o{i}" for i in range(width)]
+        return [*stages, VectorAssembler(inputCols=codes, outputCol="features")]
+
+    def fit(self, rows: DataFrame, keys: list[str]) -> list[tuple]:
+        from pyspark.ml import Pipeline
+        from pyspark.ml.feature import StringIndexer
+
+        rows = materialise(rows.where("target is not null"))
+        out = []
+        for r in rows.select(*keys, F.size("row").alias("width")).distinct().collect():
+            some = rows
+            for k in keys:
+                some = some.where(F.col(k) == r[k])
+            wide = some.select("target", *[F.col("row")[i].alias(f"x{i}") for i in range(r.width)])
+            label = StringIndexer(inputCol="target", outputCol="label", stringOrderType="alphabetAsc").fit(wide)
+            model = Pipeline(stages=[*self._stages(r.width), self.make()]).fit(label.transform(wide))
+            out.append(({k: r[k] for k in keys}, r.width, model, label.labels))
+        return out
+
+    def predict(self, rows: DataFrame, model: list[tuple], keys: list[str], model_keys: list[str]) -> DataFrame:
+        parts = []
+        for values, width, fitted, labels in model:
+            some = rows
+            for k in model_keys:
+                some = some.where(F.col(k) == values[k])
+            wide = some.select(*keys, "pos", "row", *[F.col("row")[i].alias(f"x{i}") for i in range(width)])
+            name = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1)
+            parts.append(fitted.transform(wide).select(*keys, "pos", "row", name.alias("prediction")))
+        return reduce(DataFrame.unionByName, parts)
+
+
+def reconstruct(morphemes: DataFrame, langs: list[str], target: str, classifier=None, rows_of: Callable[..., DataFrame] | None = None, **features: bool) -> DataFrame:
+    """(cogid, word): words of the target for every cognate set, from the patterns of those that have one.
+
+    classifier is an object with fit and predict (by default Patterns), rows_of a function like feature_rows that makes
+    rows of alignments, for training and for what is asked.
+    """
+    classifier, rows_of = classifier or Patterns(), rows_of or feature_rows
+    model = classifier.fit(training_rows(morphemes, langs, target, rows_of=rows_of, **features), [])
     aligned = align_sets(morphemes.where(F.col("doculect") != target), ["cogid"])
-    return words_of(predict(feature_rows(aligned, langs, ["cogid"], **features), model))
+    return words_of(classifier.predict(rows_of(aligned, langs, ["cogid"], **features), model, ["cogid"], []))
 
 
 def one_hot(rows: DataFrame, width: int, column: str = "row") -> DataFrame:
@@ -203,17 +270,29 @@ def random_splits(morphemes: DataFrame, target: str, splits: int = 10, retain: f
     return kept.unionByName(morphemes.where(F.col("doculect") == target).join(left, "cogid"), allowMissingColumns=True)
 
 
-def fuzzy_reconstruct(morphemes: DataFrame, langs: list[str], target: str, splits: int = 10, retain: float = 0.9, seed: int = 0, output: str = "percentiles", **features: bool) -> DataFrame:
-    """(cogid, pos, percentiles), or (cogid, split, word) if output is words: each split's model votes on every column: 'sound:percent' by votes, joined by ¦.
+def fuzzy_reconstruct(morphemes: DataFrame, langs: list[str], target: str, splits: int = 10, retain: float = 0.9, seed: int = 0, output: str = "percentiles", classifier=None, rows_of: Callable[..., DataFrame] | None = None, **features: bool) -> DataFrame:
+    """Each split's model votes on every column. By output: percentiles: (cogid, pos, percentiles), 'sound:percent' by votes,
+    joined by ¦; words: (cogid, split, word); wp: (cogid, words, percentiles), the words by split and the percentiles by place.
 
-    All splits are fitted at once, with split as a key of every join.
+    All splits are fitted at once, with split as a key of every join. classifier and rows_of are as in reconstruct.
     """
+    if output not in ("percentiles", "words", "wp"):
+        raise ValueError("output must be percentiles, words or wp")
+    classifier, rows_of = classifier or Patterns(), rows_of or feature_rows
     drawn = random_splits(morphemes, target, splits, retain, seed)
-    model = fit(training_rows(drawn, langs, target, ["split", "cogid"], **features), ["split"])
+    model = classifier.fit(training_rows(drawn, langs, target, ["split", "cogid"], rows_of=rows_of, **features), ["split"])
     aligned = align_sets(morphemes.where(F.col("doculect") != target), ["cogid"])
-    rows = feature_rows(aligned, langs, ["cogid"], **features).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-    votes = predict(rows, model, ["split", "cogid"], ["split"])
-    return words_of(votes, ["cogid", "split"], desegment=False) if output == "words" else percentiles(votes)
+    rows = rows_of(aligned, langs, ["cogid"], **features).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+    votes = classifier.predict(rows, model, ["split", "cogid"], ["split"])
+    if output == "percentiles":
+        return percentiles(votes)
+    votes = materialise(votes) if output == "wp" else votes
+    words = words_of(votes, ["cogid", "split"], desegment=False)
+    if output == "words":
+        return words
+    by_split = words.groupBy("cogid").agg(F.transform(F.array_sort(F.collect_list(F.struct("split", "word"))), lambda z: z["word"]).alias("words"))
+    by_place = percentiles(votes).groupBy("cogid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "percentiles"))), lambda z: z["percentiles"]).alias("percentiles"))
+    return by_split.join(by_place, "cogid")
 
 
 def percentiles(votes: DataFrame, keys: list[str] | None = None, either: str = "¦", score: str = ":") -> DataFrame:
@@ -250,11 +329,12 @@ def ntile(rows: DataFrame, keys: list[str], n: int = 5, gap: str = GAP, missing:
     return out.select(*keys, F.when(F.col("words") == 1, F.array_join(F.filter("only", lambda x: x != gap), " ")).otherwise(F.coalesce("t", F.lit(""))).alias("ntile"))
 
 
-def mean_distance(pairs: DataFrame, normalized: bool = False, predicted: str = "predicted", attested: str = "attested") -> DataFrame:
-    """One row: the mean edit distance over sounds; an empty word counts as one unknown sound."""
+def mean_distance(pairs: DataFrame, normalized: bool = False, predicted: str = "predicted", attested: str = "attested", distance: Callable[[str, str], Column] | None = None) -> DataFrame:
+    """One row: the mean distance of two words, by default the edit distance over sounds; an empty word counts as one unknown
+    sound. distance takes the names of the two columns of sounds."""
 
     filled = pairs.select(*[F.when(F.coalesce(F.size(c), F.lit(0)) <= 0, F.array(F.lit(UNKNOWN))).otherwise(F.col(c)).alias(k) for c, k in ((predicted, "p"), (attested, "a"))])
-    return filled.agg(F.avg(sound_edit_distance("p", "a", normalized)).alias("distance"))
+    return filled.agg(F.avg(distance("p", "a") if distance else sound_edit_distance("p", "a", normalized)).alias("distance"))
 
 
 def bcubed_f(pairs: DataFrame, predicted: str = "predicted", attested: str = "attested") -> DataFrame:

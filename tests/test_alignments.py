@@ -22,6 +22,7 @@ def rows_of(spark, matrix):
     return spark.createDataFrame([(1, i, f"L{i}", r) for i, r in enumerate(split)], "cogid long, id long, doculect string, alignment array<string>")
 
 
+# The alignments of the trimming cases below with their known results.
 NINE = ["- - n u - - 'b/b a", "- - - - d ù/u - -", "- - - - d ú/u - -", "- - - - d ù/u - -", "ɾ u 'w/w a s i ɾ a", "- - - - s u - e", "- - n u - - 'b/b a", "- - - - d u l -", "- - n u k - w ɔ"]
 
 
@@ -77,6 +78,12 @@ def test_template_alignment(spark):
     assert {r.id: r.alignment for r in got.collect()} == {1: ["b", "-", "au", "-"], 2: ["b", "-", "o", "k"], 3: ["b", "w", "a", "k"]}
 
 
+def test_fuzzy_template_alignment(spark):
+    words = {0: ["doculect", "concept", "tokens", "structure", "cogids"], 1: ["a", "x", "b au + t a", "i n + i n", [1, 2]], 2: ["b", "x", "b o k + b o k", "i n c + i n c", [1, 1]], 3: ["c", "y", "t w a", "i m n", [2, 7]]}
+    got = {r.id: " ".join(r.alignment) for r in prepare.fuzzy_template_alignment(wordlist_from_rows(spark, words), template="imnc").collect()}
+    assert got == {1: "b au - + t - a", 2: "b o k + b o k", 3: "t w a + ?"}
+
+
 def test_fuzzy_wordlist_uses_first_morpheme(spark):
     words = {0: ["doculect", "concept", "tokens", "cogids"], 1: ["a", "a", "k a + k a + t u", [1, 1, 2]]}
     got = {r.cogid: (r.m_idx, r.tokens) for r in morphemes(wordlist_from_rows(spark, words), "cogids").collect()}
@@ -247,6 +254,38 @@ def test_partial_cognates_have_an_id_for_each_morpheme(spark):
         assert ids[1][0] == ids[2][0] == ids[3][1] and ids[1][1] == ids[3][0] and not set(ids[4]) & set(ids[1])
 
 
+def regular_words(n=60):
+    """Two doculects and their source, in which p, t, k became b, d, g in A; a third of A's words are missing."""
+    rng = random.Random(1)
+    rows = {0: ["doculect", "concept", "tokens", "cogid"]}
+    for c in range(n):
+        word = [rng.choice("ptk"), rng.choice("aiu"), rng.choice("ptk")]
+        for k, (d, w) in enumerate((("P", word), ("A", [dict(zip("ptk", "bdg")).get(x, x) for x in word]), ("B", word))):
+            if (d != "P" or c % 4) and (d != "A" or c % 3):
+                rows[3 * c + k + 1] = [d, f"c{c}", " ".join(w), c + 1]
+    return rows
+
+
+def test_classifiers_rows_and_distances_can_be_given(spark):
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    words = morphemes(wordlist_from_rows(spark, regular_words()))
+    gold = {r.cogid: r.tokens for r in words.where("doculect = 'B'").collect()}
+    for onehot in (True, False):
+        tree = reconstruct.Estimator(lambda: DecisionTreeClassifier(maxDepth=8, maxBins=64), onehot)
+        found = {r.cogid: list(r.word) for r in reconstruct.reconstruct(words, ["A", "B"], "P", tree).collect()}
+        assert found == gold
+    reverse = lambda *a, **k: reconstruct.feature_rows(*a, **k).withColumn("row", F.reverse("row"))
+    assert {r.cogid: list(r.word) for r in reconstruct.reconstruct(words, ["A", "B"], "P", rows_of=reverse).collect()} == gold
+    both = {r.cogid: r for r in reconstruct.fuzzy_reconstruct(words, ["A", "B"], "P", 3, output="wp").collect()}
+    assert set(both) == set(gold) and all(len(r.words) == 3 and len(r.percentiles) == 3 for r in both.values())
+    assert sum(r.words == [gold[c]] * 3 for c, r in both.items()) > 50
+    pairs = spark.createDataFrame([(["t", "a"], ["t"])], "predicted array<string>, attested array<string>")
+    assert reconstruct.mean_distance(pairs, distance=lambda a, b: F.abs(F.size(a) - F.size(b)) * 5).first()[0] == 5
+    with pytest.raises(ValueError):
+        reconstruct.fuzzy_reconstruct(words, ["A", "B"], "P", output="other")
+
+
 def test_sound_edit_distance(spark):
     rows = spark.createDataFrame([(["ts", "a", "x"], ["t", "a"]), ([], ["a"]), (["a"], ["a"])], "a array<string>, b array<string>")
     assert [r[0] for r in rows.select(sound_edit_distance("a", "b")).collect()] == [2, 1, 0]

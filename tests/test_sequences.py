@@ -1,4 +1,4 @@
-"""Column expressions over sound sequences, row by row against worked values."""
+"""Column expressions over sound sequences, row by row against worked values (fixed values: inputs and results)."""
 
 import pytest
 from pyspark.sql import functions as F
