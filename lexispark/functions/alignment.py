@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -135,14 +136,17 @@ def average_linkage(far: np.ndarray, sizes: np.ndarray, threshold: float) -> np.
     return head
 
 
-def maximal_cliques(nodes: list[int], edges: dict[int, set[int]]):
-    """Bron-Kerbosch with a pivot, without recursion."""
-    stack = [([], set(nodes), set())]
+def maximal_cliques(nodes: Iterable[int], edges: dict[int, set[int]], taken: tuple[int, ...] = (), closed: Iterable[int] = ()):
+    """Bron-Kerbosch with a pivot, without recursion: the maximal cliques of nodes and those taken already, which all are
+    linked to, that no closed node could join."""
+    stack = [(list(taken), set(nodes), set(closed))]
     while stack:
         taken, open_, closed = stack.pop()
         if not open_ and not closed:
             yield sorted(taken)
             continue
+        if not open_:
+            continue
         pivot = max(open_ | closed, key=lambda v: (len(edges[v] & open_), -v))
         for v in sorted(open_ - edges[pivot]):
             stack.append(([*taken, v], open_ & edges[v], closed & edges[v]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -90,9 +90,9 @@ def fit(rows: DataFrame, keys: list[str] | None = None, threshold: int = 1, miss
 
     Different (row, target) patterns are nodes; two are linked if they share `threshold` entries and contradict in
     none. Each maximal clique makes a consensus row, which votes with its size for its target (of cliques with the same
-    row and target the last in order counts). A node's row predicts what the consensus it is most often in does.
-    Patterns without a partner are in no clique. Cliques are listed per connected component; a component of more
-    than max_nodes is an error, not a cut.
+    row and target the largest counts). A node's row predicts what the consensus it is most often in does.
+    Patterns without a partner are in no clique. Cliques are listed per connected component; in one of more than max_nodes
+    they are listed node by node, each clique by its smallest node among that one's neighbours. The result is the same.
     """
     keys = keys or []
     nodes = rows.where("target is not null").select(*keys, F.concat("row", F.array("target")).alias("p")).distinct()
@@ -108,27 +108,54 @@ def fit(rows: DataFrame, keys: list[str] | None = None, threshold: int = 1, miss
     links = edges.join(parts, "node").select("component", "node", "other")
     kinds = "".join(f"{k} {rows.schema[k].dataType.simpleString()}, " for k in keys)
 
-    def cliques(key: tuple, held: pd.DataFrame, linked: pd.DataFrame) -> pd.DataFrame:
-        if len(held) > max_nodes:
-            raise ValueError(f"a component of {len(held)} patterns; raise threshold or max_nodes")
-        held = held.assign(text=held["p"].map(lambda x: "\t".join(x))).sort_values("text").reset_index(drop=True)
-        at = {n: i for i, n in enumerate(held["node"])}
+    def made(lead: tuple, patterns: list[list[str]], found: Iterable[list[int]]) -> pd.DataFrame:
+        out = []
+        for clique in found:
+            whole = list(patterns[clique[0]])
+            for i in clique[1:]:
+                whole = [y if x == missing else x for x, y in zip(whole, patterns[i])]
+            out += [(*lead, whole[:-1], whole[-1], len(clique), list(patterns[i])[:-1]) for i in clique]
+        return pd.DataFrame(out, columns=[*keys, "row", "target", "size", "member"])
+
+    def linked_sets(names: pd.Series, linked: pd.DataFrame) -> dict[int, set[int]]:
+        at = {n: i for i, n in enumerate(names)}
         beside: dict[int, set[int]] = {i: set() for i in at.values()}
         for a, b in zip(linked["node"], linked["other"]):
             beside[at[a]].add(at[b])
             beside[at[b]].add(at[a])
-        lead, out = tuple(held[k].iloc[0] for k in keys), []
-        for number, clique in enumerate(sorted(kernels.maximal_cliques(list(beside), beside))):
-            whole = list(held["p"].iloc[clique[0]])
-            for i in clique[1:]:
-                whole = [y if x == missing else x for x, y in zip(whole, held["p"].iloc[i])]
-            out += [(*lead, whole[:-1], whole[-1], len(clique), number, list(held["p"].iloc[i])[:-1]) for i in clique]
-        return pd.DataFrame(out, columns=[*keys, "row", "target", "size", "number", "member"])
-
-    schema = kinds + "row array<string>, target string, size int, number int, member array<string>"
-    grouped, links = materialise(grouped), materialise(links)
-    found = materialise(grouped.groupBy("component").cogroup(links.groupBy("component")).applyInPandas(cliques, schema))
-    votes = found.groupBy(*keys, "row", "target").agg(F.max_by("size", F.struct("number", "size")).alias("size"))
+        return beside
+
+    def cliques(held: pd.DataFrame, linked: pd.DataFrame) -> pd.DataFrame:
+        if not len(held):
+            return made((), [], [])
+        beside = linked_sets(held["node"], linked)
+        return made(tuple(held[k].iloc[0] for k in keys), list(held["p"]), kernels.maximal_cliques(list(beside), beside))
+
+    def cliques_of_one(held: pd.DataFrame, linked: pd.DataFrame) -> pd.DataFrame:
+        """Those of which the group's node is the smallest; held are its neighbours and itself."""
+        if not len(held):
+            return made((), [], [])
+        beside, names, own = linked_sets(held["node"], linked), list(held["node"]), held["home"].iloc[0]
+        me = names.index(own)
+        later, earlier = ([i for i, n in enumerate(names) if (n > own) == side and i != me] for side in (True, False))
+        return made(tuple(held[k].iloc[0] for k in keys), list(held["p"]), kernels.maximal_cliques(later, beside, (me,), earlier))
+
+    schema = kinds + "row array<string>, target string, size int, member array<string>"
+    large = materialise(parts.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > max_nodes).select("component"))
+    small = materialise(grouped.join(large, "component", "left_anti"))
+    links = materialise(links)
+    found = small.groupBy("component").cogroup(materialise(links.join(large, "component", "left_anti")).groupBy("component")).applyInPandas(cliques, schema)
+    big = materialise(links.join(large, "component", "left_semi").select("node", "other"))
+    if not big.isEmpty():
+        both = materialise(big.unionByName(big.select(F.col("other").alias("node"), F.col("node").alias("other"))))
+        home = both.select(F.col("node").alias("home"), F.col("other").alias("node")).unionByName(both.select(F.col("node").alias("home"), "node").distinct())
+        near = both.select(F.col("node").alias("home"), F.col("other").alias("node"))
+        inside = near.join(big, "node").join(near.select("home", F.col("node").alias("other")), ["home", "other"]).where("node > home or other > home")
+        held = materialise(home.join(nodes, "node").select("home", *keys, "node", "p"))
+        one = held.groupBy("home").cogroup(materialise(inside).groupBy("home")).applyInPandas(cliques_of_one, schema)
+        found = found.unionByName(one)
+    found = materialise(found)
+    votes = found.groupBy(*keys, "row", "target").agg(F.max("size").alias("size"))
     exact = votes.groupBy(*keys, "row").agg(F.min_by("target", F.struct(-F.col("size"), "target")).alias("prediction"), F.max("size").alias("size"))
     use = found.groupBy(*keys, "member", "row").agg(F.sum("size").alias("n")).groupBy(*keys, "member").agg(F.min_by("row", F.struct(-F.col("n"), "row")).alias("row"))
     of_nodes = use.join(exact, [*keys, "row"]).select(*keys, F.col("member").alias("row"), "prediction", "size")

@@ -286,6 +286,15 @@ def test_classifiers_rows_and_distances_can_be_given(spark):
         reconstruct.fuzzy_reconstruct(words, ["A", "B"], "P", output="other")
 
 
+def test_cliques_node_by_node(spark):
+    """A component beyond max_nodes gives the model that it gives as a whole."""
+    rng = random.Random(7)
+    rows = [(k, [rng.choice(["a", "b", "Ø", "Ø"]) for _ in range(5)], rng.choice("xy")) for k in range(60)]
+    frame = spark.createDataFrame(rows, "cogid long, row array<string>, target string")
+    model = lambda n: sorted(map(str, reconstruct.fit(frame, max_nodes=n).collect()))
+    assert model(3) == model(5000) and len(model(5000)) > 30
+
+
 def test_sound_edit_distance(spark):
     rows = spark.createDataFrame([(["ts", "a", "x"], ["t", "a"]), ([], ["a"]), (["a"], ["a"])], "a array<string>, b array<string>")
     assert [r[0] for r in rows.select(sound_edit_distance("a", "b")).collect()] == [2, 1, 0]
