@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexispark.functions.numbering import number_rows, running_total
 from lexispark.functions.sequences import GAP, MISSING, second_of_slash
+from lexispark.functions.storage import materialise
 from lexispark.operators.components import connected_components
 
 
@@ -118,14 +119,16 @@ def colexified(morphemes: DataFrame, langs: list[str], ref: str = "crossid", mis
 
     Sets are tried from the one in most doculects down (ties by cogid): each takes in the later ones that share a word
     with it, and differ in none, and grows by them. Only sets that a chain of equal words of a doculect connects
-    can come together, so each such component is worked on by itself.
+    can come together, so each such component is worked on by itself; sets with equal alignments in all doculects stand there
+    once, with their smallest cogid, and go where that one goes.
     """
     word = F.array_join(F.filter(F.transform("alignment", second_of_slash), lambda x: x != GAP), " ")
     keyed = morphemes.select("cogid", "doculect", word.alias("word")).distinct()
     low = keyed.groupBy("doculect", "word").agg(F.min("cogid").alias("low"))
     parts = connected_components(keyed.join(low, ["doculect", "word"]), "cogid", "low")
     sets = expanded(morphemes.join(parts.select(F.col("node").alias("cogid")), "cogid", "left_semi"), langs, missing)
-    sets = sets.join(parts.withColumnRenamed("node", "cogid"), "cogid")
+    sets = materialise(sets.join(parts.withColumnRenamed("node", "cogid"), "cogid"))
+    kinds = materialise(sets.groupBy("component", "rows").agg(F.min("cogid").alias("cogid"), F.max("refs").alias("refs")))
 
     def absorb(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["refs", "cogid"], ascending=[False, True])
@@ -144,5 +147,7 @@ def colexified(morphemes: DataFrame, langs: list[str], ref: str = "crossid", mis
             queue = rest
         return pd.DataFrame(out, columns=["cogid", "taken"])
 
-    found = sets.groupBy("component").applyInPandas(absorb, "cogid long, taken long")
+    heads = materialise(kinds.groupBy("component").applyInPandas(absorb, "cogid long, taken long"))
+    heads = kinds.withColumnRenamed("cogid", "kind").join(heads.withColumnRenamed("cogid", "kind"), "kind")
+    found = sets.select("cogid", "component", "rows").join(heads.select("component", "rows", "taken"), ["component", "rows"]).select("cogid", "taken")
     return morphemes.join(found, "cogid", "left").withColumn(ref, F.coalesce("taken", "cogid")).drop("taken")
