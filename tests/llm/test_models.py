@@ -207,6 +207,52 @@ def test_pipeline(spark, docs, tmp_path):
     assert full <= 1
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage on what the one before it kept, against plain loops over the same documents; run() reads each stage's result
+    from where it was written, so none runs twice."""
+    from test_counts_and_packing import check_pieces, plain_mix
+    from test_duplicates import components, jaccard_links, plain_kept
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stages, held = dict(corpus_pipeline.STAGES), [docs]
+    for k, stage in enumerate(list(stages.values())[:4]):
+        stage(spark, held[-1], sf).write.parquet(str(tmp_path / str(k)))
+        held.append(spark.read.parquet(str(tmp_path / str(k))))
+    texts = [{r.doc_id: r.text for r in d.select("doc_id", "text").collect()} for d in held[:4]]
+
+    samples = L.training_chains(docs)
+    model = L.train(samples)
+    model.known, model.least = L.calibrate(samples)
+    judged = dict(zip(texts[0], model.judge(list(texts[0].values()))))
+    assert set(texts[1]) == {i for i, (lang, score, near) in judged.items() if lang != "und" and score >= 0.3 and near >= model.least}
+    assert texts[2] == plain_kept(list(texts[1].items()))
+    low = components(list(texts[2]), jaccard_links(list(texts[2].items())))
+    assert set(texts[3]) == {i for i in texts[2] if low[i] == i}
+
+    rows = [(r.doc_id, r.text, r.source) for r in held[3].collect()]
+    size, target = plain_mix(rows)
+    mixed = [(r.doc_id, r.text, r.source) for r in held[4].collect()]
+    count = {i: sum(r[0] == i for r in mixed) for i, _, _ in rows}
+    assert max(count.values()) <= 2
+    for s in size:
+        words = {i: len((t or "").split()) for i, t, x in rows if x == s}
+        assert abs(sum(n * count[i] for i, n in words.items()) - target[s]) <= max(words.values()) / 2 + 1
+    check_pieces(mixed, stages["packing"](spark, held[4], sf).collect(), 2048)
+
+    seen = []
+    spy = lambda f: lambda s, d, sf_dir: seen.append(d.inputFiles()) or f(s, d, sf_dir)
+    pieces = corpus_pipeline.run
+    old = corpus_pipeline.STAGES
+    corpus_pipeline.STAGES = [(name, spy(f)) for name, f in old]
+    try:
+        found = pieces(spark, sf).agg(F.sum("length").alias("n")).first().n
+    finally:
+        corpus_pipeline.STAGES = old
+    assert len(seen) == 5 and all("/stage-" in f for files in seen[1:] for f in files)
+    assert found == stages["packing"](spark, held[4], sf).agg(F.sum("length").alias("n")).first().n
+
+
 def test_junk_and_unlearned_languages_go(spark, docs):
     import random
 
