@@ -63,7 +63,7 @@ def fewest_matches(n: int, similarity: Fraction = SIMILARITY, tolerance: float =
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, node, bands): node names the shingle set (128 bits), null for texts without words."""
+    """(doc_id, mark, name, bands): 128 bits that name the shingle set, null for texts without words."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = np.arange(VALUES // ROWS, dtype=np.uint64)
@@ -83,11 +83,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low[:, j])
                 bands.append(key.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("mark"), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "mark", "node", "bands"]
+                [batch.column("doc_id"), batch.column("mark"), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "mark", "name", "bands"]
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(sketch, "doc_id long, mark long, node binary, bands array<long>")
+    return rows.mapInArrow(sketch, "doc_id long, mark long, name binary, bands array<long>")
 
 
 def candidate_groups(classes: DataFrame, tile: int | None = None) -> DataFrame:
@@ -199,23 +199,25 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = SIMILARITY, toleranc
     shingle; null texts and texts without words link with nothing; a null doc_id is no class's id unless all are null.
     """
     made = stored(sketches(docs), "sketches")
-    classes = made.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("one"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("one")
+    classes = made.where("name is not null").groupBy("name").agg(one, F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # written down, a number stays
     groups = candidate_groups(classes)
     wanted = classes.select("node", "copies", "one.doc_id", "one.mark")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     needed = groups.select("node").distinct().join(wanted, "node")
     texts = needed.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.xxhash64("text"))).select("node", "copies", "text")
     rows = groups.join(texts, "node").select("leader", "tile_a", "tile_b", "node", "tile", "copies", "leaders", "text")
-    found = by_group(rows, ["leader", "tile_a", "tile_b"], lambda k, r: _compare(k, r, similarity, tolerance), "node binary, links long, root binary")
+    found = by_group(rows, ["leader", "tile_a", "tile_b"], lambda k, r: _compare(k, r, similarity, tolerance), "node long, links long, root long")
     found = materialise(found)
     parts = connected_components(found.select("node", "root"), "node", "root")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    known = classes.select("node", "copies", "one").join(links, "node", "left").join(parts, "node", "left")
+    known = classes.select("node", "name", "copies", "one").join(links, "node", "left").join(parts, "node", "left")
     known = known.withColumn("component", F.coalesce("component", "node"))
     least = known.groupBy("component").agg(F.min("one").alias("least"))
-    known = known.join(least, "component").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("least.doc_id").alias("class_id"), F.col("least.mark").alias("class_mark"))
-    out = made.select("doc_id", "mark", "node").join(known, "node", "left")
-    alone = F.col("node").isNull()
+    known = known.join(least, "component").select("name", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("least.doc_id").alias("class_id"), F.col("least.mark").alias("class_mark"))
+    out = made.select("doc_id", "mark", "name").join(known, "name", "left")
+    alone = F.col("name").isNull()
     return out.select(
         "doc_id", "mark", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("mark")).otherwise(F.col("class_mark")).alias("class_mark"),
