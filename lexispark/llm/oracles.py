@@ -102,5 +102,104 @@ with base as (
 select b.doc_id, b.size, m.source_size::bigint as source_size, m.target,
     (b.size * (m.repeats + case when m.more then 1 else 0 end))::bigint as taken
 from base b join marked m on b.source is not distinct from m.source and b.h = m.h
+""",
+    "op11_source_divergence": r"""
+with d as (
+    select row_number() over () as doc, coalesce(lang, '') as lang, coalesce(source, '') as source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms
+    from documents
+), w as (select doc, lang, source, unnest(terms) as term from d),
+k as (select lang, term from w group by all having count(distinct doc) >= 10),
+g as (select distinct lang, source from d),
+v as (select lang, count(*) as v from k group by lang),
+c as (select lang, source, term, count(*) as n from w semi join k using (lang, term) group by all),
+full_rows as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n from g join k using (lang) left join c using (lang, source, term)),
+p as (
+    select lang, source, term, n, 1 + (1000000000::hugeint * (n + 2)) // (sum(n) over (partition by lang, source) + 2 * v) as p from full_rows join v using (lang)
+), q as (
+    select lang, term, 1 + (1000000000::hugeint * (n + 2)) // (sum(n) over (partition by lang) + 2 * v) as q
+    from (select lang, term, sum(n) as n from c group by all) join v using (lang)
+), pairs as (
+    select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+    from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+), both_parts as (
+    select a.lang, a.source, 'pair' as part, b.source as item, coalesce(x.value, 0)::bigint as value
+    from g a join g b on a.lang = b.lang and a.source <> b.source left join pairs x on x.lang = a.lang and x.source = a.source and x.item = b.source
+    union all
+    select lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::bigint from p join q using (lang, term) where n > 0 and p > q
+)
+select * from (
+    select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from both_parts
+) where part = 'pair' or rank <= 10
+""",
+    "op12_quality_rules": rf"""
+with d as (select row_number() over () as doc, doc_id, coalesce(text, '') as text, {_WORDS} as ws from documents),
+lines as (select doc, unnest(string_split(text, chr(10))) as line from d),
+by_lines as (select doc, count(*) as n_lines, count(distinct line) as different from lines where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc),
+windows as (select doc, i, array_to_string(ws[i : i + 4], ' ') as g from d, unnest(range(1, len(ws) - 3)) as t(i)),
+again as (select doc, g from windows group by all having count(*) > 1),
+covered as (select w.doc, count(distinct w.i + j) as n from windows w join again using (doc, g), unnest(range(0, 5)) as t(j) group by w.doc),
+most as (select doc, max(n) as n from (select doc, w, count(*) as n from (select doc, unnest(ws) as w from d) group by all) group by doc),
+counted as (
+    select doc_id, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
+        coalesce(n_lines - different, 0)::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words, coalesce(n_lines, 0) as n_lines, coalesce(m.n, 0) as n_most,
+        len(regexp_extract_all(text, '[A-Z]')) as n_upper, len(regexp_extract_all(text, '[a-z]')) as n_lower,
+        len(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]')) as n_letters, len(regexp_extract_all(text, '!')) as n_marks
+    from d left join by_lines using (doc) left join covered c using (doc) left join most m using (doc)
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+    not (n_words < 10 or 100 * n_repeat_words > 20 * n_words or word_chars > 20 * n_words or 2 * word_chars < 3 * n_words or 10 * n_symbols > n_words
+        or 100 * n_dup_lines > 30 * n_lines or (n_upper > n_lower and n_upper > 20) or 10 * n_marks > 3 * n_words or 10 * n_letters < 6 * word_chars
+        or (5 * n_most > 2 * n_words and n_words >= 20)) as kept
+from counted
+""",
+    "op13_conversation_repair": r"""
+with recursive crc as (
+    select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as crc
+), keyed as (
+    select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, xor(4294967295, list_reduce(
+        list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda x: ord(x)::bigint)),
+        lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8))) % 20 as kind
+    from conversations, crc
+), harmed as (
+    select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+        case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+    from keyed, unnest(range(case kind when 0 then 0 when 3 then 2 else 1 end))
+), placed as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare from harmed
+), judged as (
+    select *, case when bare = '' then 'blank' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+        when right(bare, 1) not in ('.', '!', '?') then 'truncated' end as fault, left(role, 1) as initial, lag(left(role, 1)) over (partition by conv_id order by i) as before
+    from placed
+), walked as (
+    select conv_id, count(*) + 1 as i, [
+        {'c': 0, 'a': '', 'r': []::varchar[]}, {'c': 6, 'a': 'II', 'r': ['user:', 'assistant:']}, {'c': 3, 'a': 'I', 'r': ['assistant:']}, {'c': 0, 'a': '', 'r': []::varchar[]}
+    ] as w from judged group by conv_id
+    union all
+    select conv_id, i, list_transform([2, 2, 3, 2], lambda t, q: list_sort([v[q], {'c': v[t + 1].c + 3, 'a': 'I' || v[t + 1].a, 'r': list_prepend(case t when 2 then 'user:' else 'assistant:' end, v[t + 1].r)}])[1])
+    from (
+        select conv_id, i, list_transform([2, 2, 3, 2], lambda t, q: list_sort([u[q], {'c': u[t + 1].c + 3, 'a': 'I' || u[t + 1].a, 'r': list_prepend(case t when 2 then 'user:' else 'assistant:' end, u[t + 1].r)}])[1]) as v
+        from (
+            select w.conv_id, j.i, list_transform([2, 2, 3, 2], lambda t, q: list_sort([
+                {'c': w[q].c + 4, 'a': 'D' || w[q].a, 'r': w[q].r},
+                {'c': case when fault in ('blank', 'duplicate') then 1000000 else 0 end + case when fault = 'truncated' then 3 else 0 end
+                    + case when (q = 1 and initial = 's') then w[2].c when (q in (1, 2, 4) and initial = 'u') then w[3].c when (q = 3 and initial = 'a') then w[4].c else 1000000 end,
+                 'a': 'K' || case when initial = 's' then w[2].a when initial = 'u' then w[3].a else w[4].a end,
+                 'r': list_prepend(role || ':' || text, case when initial = 's' then w[2].r when initial = 'u' then w[3].r else w[4].r end)},
+                {'c': case when fault in ('blank', 'duplicate') then 1000000 else 0 end + case when fault = 'truncated' then 3 else 0 end + 3 + w[t + 1].c,
+                 'a': 'R' || w[t + 1].a, 'r': list_prepend(case t when 2 then 'user:' else 'assistant:' end || text, w[t + 1].r)}
+            ])[1]) as u
+            from walked w join judged j on j.conv_id is not distinct from w.conv_id and j.i = w.i - 1
+        )
+    )
+), best as (select conv_id, w[1] as b from walked where i = 1),
+summed as (
+    select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count_if(fault = 'blank') as blank, count_if(fault = 'duplicate') as duplicate,
+        count_if(fault = 'truncated') as truncated, count_if(before is not null and before || initial not in ('su', 'ua', 'au')) as illegal
+    from judged group by conv_id
+)
+select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+    coalesce(illegal, 0)::bigint as illegal, coalesce(b.c, 0)::bigint as cost, coalesce(b.a, '') as audit, sha256(coalesce(array_to_string(b.r, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join best on best.conv_id is not distinct from c.conv_id left join summed s on s.conv_id is not distinct from c.conv_id
 """,
 }
