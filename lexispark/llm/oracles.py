@@ -144,12 +144,13 @@ counted as (
     select doc_id, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
         coalesce(n_lines - different, 0)::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words, coalesce(n_lines, 0) as n_lines, coalesce(m.n, 0) as n_most,
         len(regexp_extract_all(text, '[A-Z]')) as n_upper, len(regexp_extract_all(text, '[a-z]')) as n_lower,
-        len(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]')) as n_letters, len(regexp_extract_all(text, '!')) as n_marks
+        len(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]')) as n_letters, len(regexp_extract_all(text, '!')) as n_marks,
+        len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) as n_stutter
     from d left join by_lines using (doc) left join covered c using (doc) left join most m using (doc)
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
     not (n_words < 10 or 100 * n_repeat_words > 20 * n_words or word_chars > 20 * n_words or 2 * word_chars < 3 * n_words or 10 * n_symbols > n_words
-        or 100 * n_dup_lines > 30 * n_lines or (n_upper > n_lower and n_upper > 20) or 10 * n_marks > 3 * n_words or 10 * n_letters < 6 * word_chars
+        or 2 * n_dup_lines > n_lines or (n_upper > n_lower and n_upper > 20) or 10 * n_marks > 3 * n_words or 10 * n_letters < 4 * word_chars or 10 * n_stutter > 3 * n_words
         or (5 * n_most > 2 * n_words and n_words >= 20)) as kept
 from counted
 """,

@@ -12,6 +12,7 @@ from __future__ import annotations
 import time
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from operator import eq
 from typing import NamedTuple
 
 import numpy as np
@@ -106,6 +107,7 @@ MEASURES: dict[str, Callable[[Texts, np.ndarray], Sequence[int]]] = {
     "n_letters": _each(lambda t, i: len(t.texts[i].translate(None, _NOT_LETTERS + _CONTINUED))),
     "n_marks": _each(lambda t, i: t.texts[i].count(b"!")),
     "n_lines": _each(lambda t, i: sum(1 for line in t.texts[i].split(b"\n") if line.strip(_SPACES))),
+    "n_stutter": _each(lambda t, i: sum(map(eq, t.words(i), t.words(i)[1:]))),
     "n_most": _each(lambda t, i: max(Counter(t.words(i)).values(), default=0)),
 }
 
@@ -128,11 +130,12 @@ RULES = BASE + (
     Rule("long words", ("n_words", "word_chars"), lambda n, c: c > 20 * n),
     Rule("short words", ("n_words", "word_chars"), lambda n, c: 2 * c < 3 * n),
     Rule("symbols", ("n_words", "n_symbols"), lambda n, s: 10 * s > n),
-    Rule("repeated lines", ("n_lines", "n_dup_lines"), lambda n, d: 100 * d > 30 * n),
+    Rule("repeated lines", ("n_lines", "n_dup_lines"), lambda n, d: 2 * d > n),
     Rule("capitals", ("n_upper", "n_lower"), lambda u, low: (u > low) & (u > 20)),
     Rule("marks", ("n_words", "n_marks"), lambda n, m: 10 * m > 3 * n),
-    Rule("few letters", ("word_chars", "n_letters"), lambda c, m: 10 * m < 6 * c),
+    Rule("few letters", ("word_chars", "n_letters"), lambda c, m: 10 * m < 4 * c),
     Rule("one word", ("n_words", "n_most"), lambda n, m: (5 * m > 2 * n) & (n >= 20)),
+    Rule("stutter", ("n_words", "n_stutter"), lambda n, s: 10 * s > 3 * n),
 )
 
 
