@@ -10,7 +10,7 @@ from lexispark.llm.queries import QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "labels"):
+    for t in ("documents", "embeddings", "labels", "conversations"):
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     found = QUERIES[name](spark, sf_dir)
     columns = sorted(found.columns)
