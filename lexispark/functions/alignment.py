@@ -1,39 +1,13 @@
-"""Small kernels for aligning a few sound sequences; Spark deals the groups out."""
+"""Small kernels for single groups: plain alignment, flat clusters, cliques; Spark deals the groups out."""
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterable
-from functools import lru_cache
 
 import numpy as np
 
-from lexispark.functions.phonology import FRICATIVES, GLIDES, LIQUIDS, NASALS, TONES, VOWELS
 
-
-def sound_kind(sound: str) -> str:
-    """Vowel V, tone T, or the manner of a consonant; used to score matches."""
-    own = sound.split("/")[1] if "/" in sound else sound
-    letters = [c for c in own if c in TONES or unicodedata.category(c)[0] == "L"]
-    c = letters[0] if letters else "?"
-    for kind, held in (("V", VOWELS), ("T", TONES), ("J", GLIDES), ("L", LIQUIDS), ("N", NASALS), ("F", FRICATIVES)):
-        if c in held:
-            return kind
-    return "P"
-
-
-@lru_cache(maxsize=1 << 16)
-def similarity(a: str, b: str) -> float:
-    """1 for equal sounds, less for sounds of one kind, below 0 across vowels, consonants and tones."""
-    if a == b:
-        return 1.0
-    x, y = sound_kind(a), sound_kind(b)
-    if x == y:
-        return 0.4
-    return -0.2 if (x in "VT") == (y in "VT") and not (x in "VT" and x != y) else -1.0
-
-
-def align(a: list[str], b: list[str], score=similarity, gap: float = -0.5, ends_free: bool = False) -> tuple[list[str], list[str], float]:
+def align(a: list[str], b: list[str], score, gap: float = -0.5, ends_free: bool = False) -> tuple[list[str], list[str], float]:
     """Needleman-Wunsch: two gapped sequences and their score; with ends_free gaps at either end cost nothing."""
     n, m = len(a), len(b)
     best = [[0.0] * (m + 1) for _ in range(n + 1)]
@@ -62,14 +36,6 @@ def align(a: list[str], b: list[str], score=similarity, gap: float = -0.5, ends_
     return x[::-1], y[::-1], best[n][m]
 
 
-def distance(a: list[str], b: list[str], score=similarity, gap: float = -0.5, ends_free: bool = False) -> float:
-    """1 - 2 x score / (score of either with itself), at least 0: 0 for equal sequences."""
-    if not a or not b:
-        return 1.0
-    own = sum(score(x, x) for x in a) + sum(score(x, x) for x in b)
-    return max(0.0, 1 - 2 * align(a, b, score, gap, ends_free)[2] / own)
-
-
 def edit_distance(a: list[str], b: list[str], normalized: bool = False) -> float:
     """Levenshtein distance over sounds, if wanted divided by the longer length."""
     row = list(range(len(b) + 1))
@@ -81,40 +47,15 @@ def edit_distance(a: list[str], b: list[str], normalized: bool = False) -> float
     return row[-1] / max(len(a), len(b), 1) if normalized else row[-1]
 
 
-def align_many(sequences: list[list[str]], gap: float = -0.5) -> list[list[str]]:
-    """Progressive alignment: the closest groups of sequences are joined first, columns scored by their mean similarity."""
-    groups = [([i], [[s] for s in seq]) for i, seq in enumerate(sequences)]
-    if not groups:
-        return []
-
-    def mean(p: list[str], q: list[str]) -> float:
-        pairs = [(x, y) for x in p for y in q if x != "-" and y != "-"]
-        open_ = len(p) * len(q) - len(pairs)
-        return (sum(similarity(x, y) for x, y in pairs) + open_ * gap / 2) / (len(p) * len(q))
-
-    far = {(i, j): distance(sequences[i], sequences[j], gap=gap) for i in range(len(sequences)) for j in range(i)}
-    while len(groups) > 1:
-        spread = lambda g, h: sum(far[max(x, y), min(x, y)] for x in g[0] for y in h[0]) / (len(g[0]) * len(h[0]))
-        _, i, j = min((spread(groups[i], groups[j]), i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
-        (a, p), (b, q) = groups[i], groups[j]
-        at, bt = list(map(tuple, p)), list(map(tuple, q))
-        x, y, _ = align(at, bt, lambda u, v: mean(u, v), gap)
-        blank = lambda c, n: ["-"] * n if c == "-" else list(c)
-        groups[i] = (a + b, [blank(u, len(a)) + blank(v, len(b)) for u, v in zip(x, y)])
-        del groups[j]
-    order, columns = groups[0]
-    rows = [[] for _ in order]
-    for place, which in enumerate(order):
-        rows[which] = [c[place] for c in columns]
-    return rows
-
-
-def average_linkage(far: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
+def flat_clusters(far: np.ndarray, sizes: np.ndarray, threshold: float, linkage: str = "upgma", apart: np.ndarray | None = None) -> np.ndarray:
     """For items of some size each, with a matrix of distances, the first item of their flat cluster.
 
-    The closest two clusters are joined, ties by first items, while their mean distance is within the threshold.
+    The closest two clusters are joined, ties by first items, while their distance is within the threshold: upgma: the mean over
+    their items, single: the least, complete: the greatest. Clusters that hold two items which are `apart` are never joined.
     """
     far, sizes, head = far.astype(float).copy(), sizes.astype(float).copy(), np.arange(len(far))
+    if apart is not None:
+        far[apart] = np.inf
     np.fill_diagonal(far, np.inf)
     near = far.argmin(1) if len(far) else head
     while len(far) > 1:
@@ -123,10 +64,15 @@ def average_linkage(far: np.ndarray, sizes: np.ndarray, threshold: float) -> np.
         if not low[i] <= threshold:
             break
         i, j = sorted((i, int(near[i])))
-        mean = (sizes[i] * far[i] + sizes[j] * far[j]) / (sizes[i] + sizes[j])
+        if linkage == "upgma":
+            joined = (sizes[i] * far[i] + sizes[j] * far[j]) / (sizes[i] + sizes[j])
+        else:  # what is apart from one of the two is apart from both
+            joined = np.maximum(far[i], far[j])
+            if linkage == "single":
+                joined = np.where(np.isinf(joined), joined, np.minimum(far[i], far[j]))
         sizes[i] += sizes[j]
         head[head == j] = i
-        far[i], far[:, i] = mean, mean
+        far[i], far[:, i] = joined, joined
         far[j], far[:, j], far[i, i] = np.inf, np.inf, np.inf
         stale = (near == i) | (near == j)
         stale[[i, j]] = True

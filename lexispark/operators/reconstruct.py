@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions import alignment as kernels
+from lexispark.functions import phonetics
 from lexispark.functions.numbering import number_rows
 from lexispark.functions.phonology import prosody
 from lexispark.functions.sequences import GAP, MISSING, UNKNOWN, alignment_to_tokens, clean_sound, sound_edit_distance, spread_classes
@@ -19,11 +20,11 @@ from lexispark.operators.metrics import bcubed
 from lexispark.operators.prepare import ungap
 
 
-def align_sets(morphemes: DataFrame, keys: list[str]) -> DataFrame:
+def align_sets(morphemes: DataFrame, keys: list[str], tree: str = "upgma", gop: float = -1.0, extend: float = 0.5) -> DataFrame:
     """The first morpheme per group and doculect with clean tokens and an alignment computed group by group.
 
     A group is one cognate set: its size is the number of doculects, not of rows. Groups with equal lists of tokens
-    are aligned once.
+    are aligned once, by the sound classes and prosodic weights of phonetics, in the order of a guide tree (upgma or nj).
     """
     first = morphemes.groupBy(*keys, "doculect").agg(F.min_by("tokens", F.struct("id", "m_idx")).alias("tokens"), F.min("id").alias("id"))
     clean = first.withColumn("tokens", F.filter(F.transform("tokens", clean_sound), lambda t: t != GAP)).where(F.size("tokens") > 0)
@@ -34,7 +35,7 @@ def align_sets(morphemes: DataFrame, keys: list[str]) -> DataFrame:
 
     @F.pandas_udf("array<array<string>>")
     def aligned(groups: pd.Series) -> pd.Series:
-        return groups.map(lambda lists: kernels.align_many([list(r) for r in lists]))
+        return groups.map(lambda lists: phonetics.align_many([list(r) for r in lists], gop, extend, tree))
 
     made = sets.join(kinds.withColumn("alms", aligned("lists")), "lists")
     cells = made.select(*keys, F.posexplode(F.arrays_zip("rows", "alms")).alias("i", "z"))
