@@ -98,3 +98,33 @@ def maximal_cliques(nodes: Iterable[int], edges: dict[int, set[int]], taken: tup
             stack.append(([*taken, v], open_ & edges[v], closed & edges[v]))
             open_ = open_ - {v}
             closed = closed | {v}
+
+
+def cliques_with(node: int, links: list[int], open_: int, closed: int):
+    """The maximal cliques of a node with some of the open nodes that no closed node could join, as maximal_cliques.
+
+    links has for each node those it is linked to, and sets are the bits of whole numbers; all open and closed nodes are linked to node.
+    """
+
+    def members(bits: int):
+        while bits:
+            low = bits & -bits
+            yield low.bit_length() - 1
+            bits ^= low
+
+    stack = [([node], open_, closed)]
+    while stack:
+        taken, open_, closed = stack.pop()
+        if not open_:
+            if not closed:
+                yield taken
+            continue
+        pivot, most = 0, -1
+        for v in members(open_ | closed):
+            n = (open_ & links[v]).bit_count()
+            if n > most:
+                pivot, most = v, n
+        for v in members(open_ & ~links[pivot]):
+            stack.append(([*taken, v], open_ & links[v], closed & links[v]))
+            open_ &= ~(1 << v)
+            closed |= 1 << v

@@ -121,28 +121,41 @@ def path(score: Sequence[Sequence[float]], gaps_a: Sequence[float], gaps_b: Sequ
     and that to one in the first.
     """
     n, m, low = len(gaps_a), len(gaps_b), float("-inf")
-    best = [[[low] * 3 for _ in range(m + 1)] for _ in range(n + 1)]
-    came = [[[0] * 3 for _ in range(m + 1)] for _ in range(n + 1)]
-    best[0][0][0] = 0.0
+    width = m + 1
+    best: list[tuple[float, float, float]] = []
+    came: list[tuple[int, int, int]] = []
     for i in range(n + 1):
-        for j in range(m + 1):
-            here, back = best[i][j], came[i][j]
+        edge = ends_free and i in (0, n)
+        for j in range(width):
+            if not i and not j:
+                best.append((0.0, low, low))
+                came.append((0, 0, 0))
+                continue
+            match = up = left = low
+            a = b = c = 0
             if i and j:
-                before = best[i - 1][j - 1]
-                k = max((0, 1, 2), key=lambda s: (before[s], -s))
-                here[0], back[0] = before[k] + score[i - 1][j - 1], k
-            for state, before, price, free in ((1, best[i - 1][j] if i else None, gaps_a[i - 1] if i else 0.0, j in (0, m)), (2, best[i][j - 1] if j else None, gaps_b[j - 1] if j else 0.0, i in (0, n))):
-                if before is None:
-                    continue
-                price = 0.0 if ends_free and free else price
-                ways = [before[s] + (price * extend if s == state else price) for s in (0, 1, 2)]
-                k = max((0, 1, 2), key=lambda s: (ways[s], -s))
-                if ways[k] > low:
-                    here[state], back[state] = ways[k], k
-    state = max((0, 1, 2), key=lambda s: (best[n][m][s], -s))
-    total, i, j, out = best[n][m][state], n, m, []
+                x, y, z = best[-width - 1]
+                a = 0 if x >= y and x >= z else 1 if y >= z else 2
+                match = (x, y, z)[a] + score[i - 1][j - 1]
+            if i:
+                x, y, z = best[-width]
+                price = 0.0 if ends_free and j in (0, m) else gaps_a[i - 1]
+                x, y, z = x + price, y + price * extend, z + price
+                b = 0 if x >= y and x >= z else 1 if y >= z else 2
+                up = (x, y, z)[b]
+            if j:
+                x, y, z = best[-1]
+                price = 0.0 if edge else gaps_b[j - 1]
+                x, y, z = x + price, y + price, z + price * extend
+                c = 0 if x >= y and x >= z else 1 if y >= z else 2
+                left = (x, y, z)[c]
+            best.append((match, up, left))
+            came.append((a, b, c))
+    x, y, z = best[-1]
+    state = 0 if x >= y and x >= z else 1 if y >= z else 2
+    total, i, j, out = best[-1][state], n, m, []
     while i or j:
-        k = came[i][j][state]
+        k = came[i * width + j][state]
         out.append((i - 1 if state != 2 else None, j - 1 if state != 1 else None))
         i, j, state = i - (state != 2), j - (state != 1), k
     return out[::-1], total
@@ -247,51 +260,74 @@ def guide_tree(far: np.ndarray, tree: str = "upgma") -> list[tuple[int, int]]:
     """
     if tree not in ("upgma", "nj"):
         raise ValueError("tree must be upgma or nj")
-    far, heads, sizes, out = far.astype(float).copy(), list(range(len(far))), {i: 1 for i in range(len(far))}, []
+    far = [[float(x) for x in row] for row in far]
+    heads, sizes, out = list(range(len(far))), [1] * len(far), []
     while len(heads) > 1:
-        rest = {i: sum(far[i, j] for j in heads) for i in heads}
-        pull = lambda i, j: far[i, j] if tree == "upgma" or len(heads) < 3 else (len(heads) - 2) * far[i, j] - rest[i] - rest[j]
-        _, i, j = min((round(pull(i, j), 9), i, j) for at, i in enumerate(heads) for j in heads[at + 1 :])
+        if tree == "upgma" or len(heads) < 3:
+            _, i, j = min((round(far[i][j], 9), i, j) for at, i in enumerate(heads) for j in heads[at + 1 :])
+        else:
+            rest = {i: sum(far[i][j] for j in heads) for i in heads}
+            _, i, j = min((round((len(heads) - 2) * far[i][j] - rest[i] - rest[j], 9), i, j) for at, i in enumerate(heads) for j in heads[at + 1 :])
         for k in heads:
             if k not in (i, j):
-                mean = (sizes[i] * far[i, k] + sizes[j] * far[j, k]) / (sizes[i] + sizes[j]) if tree == "upgma" else (far[i, k] + far[j, k] - far[i, j]) / 2
-                far[i, k] = far[k, i] = mean
+                far[i][k] = far[k][i] = (sizes[i] * far[i][k] + sizes[j] * far[j][k]) / (sizes[i] + sizes[j]) if tree == "upgma" else (far[i][k] + far[j][k] - far[i][j]) / 2
         sizes[i] += sizes[j]
         heads.remove(j)
         out.append((i, j))
     return out
 
 
-def align_many(words: Sequence[Sequence[str]], gop: float = -1.0, extend: float = 0.5, tree: str = "upgma") -> list[list[str]]:
-    """Progressive alignment: words, then columns of words, are joined in the order of the guide tree.
+Column = tuple[tuple[str, str], ...]
+
+
+@lru_cache(maxsize=1 << 18)
+def _columns_alike(p: Column, q: Column, gop: float) -> float:
+    """The mean over the pairs of two columns' entries; a sound against a gap has half the price of a gap."""
+    total = 0.0
+    for x in p:
+        for y in q:
+            if x[1] and y[1]:
+                total += alike(x, y)
+            elif x[1] or y[1]:
+                total += gop * WEIGHTS[x[1] or y[1]] / 2
+    return total / (len(p) * len(q))
+
+
+@lru_cache(maxsize=1 << 16)
+def _column_price(p: Column, gop: float) -> float:
+    return gop * sum(WEIGHTS[place] for _, place in p if place) / len(p)
+
+
+def far_apart(words: Sequence[Sequence[Sequence[str]]], gop: float = -1.0, extend: float = 0.5) -> list[np.ndarray]:
+    """For lists of words the matrix of their distances, each different pair aligned once for all lists."""
+    lists = [[tuple(w) for w in held] for held in words]
+    pairs: dict[tuple, int] = {}
+    places = [[pairs.setdefault((held[i], held[j]), len(pairs)) for i in range(len(held)) for j in range(i)] for held in lists]
+    known = distances([a for a, _ in pairs], [b for _, b in pairs], gop, extend)
+    out = []
+    for held, at in zip(lists, places):
+        far, (one, other) = np.zeros((len(held), len(held))), np.tril_indices(len(held), -1)
+        far[one, other] = far[other, one] = known[at] if at else 0.0
+        out.append(far)
+    return out
+
+
+def align_many(words: Sequence[Sequence[str]], gop: float = -1.0, extend: float = 0.5, tree: str = "upgma", far: np.ndarray | None = None) -> list[list[str]]:
+    """Progressive alignment: words, then columns of words, are joined in the order of the guide tree of their distances.
 
     Two columns score the mean over their pairs of sounds, half the price of a gap for a sound against a gap; a gap against a column
     has the mean price of its sounds.
     """
     if not words:
         return []
-    n = len(words)
-    far, (one, other) = np.zeros((n, n)), np.tril_indices(n, -1)
-    far[one, other] = far[other, one] = distances([words[i] for i in one], [words[j] for j in other], gop, extend)
-    # A column is a list of (sound, place) for the words of its group, ("-", "") for a gap.
-    groups = {i: ([i], [[(s, p)] for s, p in zip(w, profile(w))]) for i, w in enumerate(words)}
-
-    def mean(p: list, q: list) -> float:
-        total = 0.0
-        for x, a in p:
-            for y, b in q:
-                if x == "-" or y == "-":
-                    total += 0.0 if x == y else gop * WEIGHTS[a or b] / 2
-                else:
-                    total += alike((x, a), (y, b))
-        return total / (len(p) * len(q))
-
-    price = lambda column: gop * sum(WEIGHTS[p] for s, p in column if s != "-") / len(column)
+    far = far_apart([words], gop, extend)[0] if far is None else far
+    # A column is a (sound, place) for each word of its group, ("-", "") for a gap.
+    groups = {i: ([i], [((s, p),) for s, p in zip(w, profile(w))]) for i, w in enumerate(words)}
     for i, j in guide_tree(far, tree):
         (a, p), (b, q) = groups[i], groups.pop(j)
-        way, _ = path([[mean(x, y) for y in q] for x in p], [price(x) for x in p], [price(y) for y in q], extend)
-        blank = lambda members: [("-", "")] * len(members)
-        groups[i] = (a + b, [(p[x] if x is not None else blank(a)) + (q[y] if y is not None else blank(b)) for x, y in way])
+        way, _ = path([[_columns_alike(x, y, gop) for y in q] for x in p], [_column_price(x, gop) for x in p], [_column_price(y, gop) for y in q], extend)
+        none_a, none_b = (("-", ""),) * len(a), (("-", ""),) * len(b)
+        groups[i] = (a + b, [(p[x] if x is not None else none_a) + (q[y] if y is not None else none_b) for x, y in way])
     order, columns = groups[0]
     rows: list[list[str]] = [[] for _ in words]
     for place, which in enumerate(order):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,8 +15,7 @@ from lexispark.functions import phonetics
 from lexispark.functions.numbering import number_rows
 from lexispark.functions.phonology import prosody
 from lexispark.functions.sequences import GAP, MISSING, UNKNOWN, alignment_to_tokens, clean_sound, sound_edit_distance, spread_classes
-from lexispark.functions.storage import materialise
-from lexispark.operators.components import connected_components
+from lexispark.functions.storage import materialise, stored
 from lexispark.operators.metrics import bcubed
 from lexispark.operators.prepare import ungap
 
@@ -35,7 +35,8 @@ def align_sets(morphemes: DataFrame, keys: list[str], tree: str = "upgma", gop:
 
     @F.pandas_udf("array<array<string>>")
     def aligned(groups: pd.Series) -> pd.Series:
-        return groups.map(lambda lists: phonetics.align_many([list(r) for r in lists], gop, extend, tree))
+        lists = [[list(r) for r in held] for held in groups]
+        return pd.Series([phonetics.align_many(held, gop, extend, tree, far) for held, far in zip(lists, phonetics.far_apart(lists, gop, extend))])
 
     made = sets.join(kinds.withColumn("alms", aligned("lists")), "lists")
     cells = made.select(*keys, F.posexplode(F.arrays_zip("rows", "alms")).alias("i", "z"))
@@ -86,14 +87,16 @@ def training_rows(morphemes: DataFrame, langs: list[str], target: str, keys: lis
     return rows_of(aligned, langs, keys, target, **features)
 
 
-def fit(rows: DataFrame, keys: list[str] | None = None, threshold: int = 1, missing: str = MISSING, max_nodes: int = 5000) -> DataFrame:
+def fit(rows: DataFrame, keys: list[str] | None = None, threshold: int = 1, missing: str = MISSING) -> DataFrame:
     """(keys, row, prediction, exact, size): the classifier of training rows (row, target), one per value of keys.
 
     Different (row, target) patterns are nodes; two are linked if they share `threshold` entries and contradict in
     none. Each maximal clique makes a consensus row, which votes with its size for its target (of cliques with the same
     row and target the largest counts). A node's row predicts what the consensus it is most often in does.
-    Patterns without a partner are in no clique. Cliques are listed per connected component; in one of more than max_nodes
-    they are listed node by node, each clique by its smallest node among that one's neighbours. The result is the same.
+    Patterns without a partner are in no clique.
+
+    Nodes are ordered by their number of links, and each lists the cliques in which it comes first, from the patterns it is linked to,
+    in a task of its own. So a pattern that fits thousands of others lists next to nothing: they come before it.
     """
     keys = keys or []
     nodes = rows.where("target is not null").select(*keys, F.concat("row", F.array("target")).alias("p")).distinct()
@@ -103,90 +106,111 @@ def fit(rows: DataFrame, keys: list[str] | None = None, threshold: int = 1, miss
     near = cells.join(other, [*keys, "col", "x"]).where("node < other").groupBy("node", "other").agg(F.count("*").alias("n")).where(F.col("n") >= threshold)
     p, q = nodes.select("node", F.col("p").alias("a")), nodes.select(F.col("node").alias("other"), F.col("p").alias("b"))
     clash = F.exists(F.arrays_zip("a", "b"), lambda z: (z["a"] != z["b"]) & (z["a"] != missing) & (z["b"] != missing))
-    edges = materialise(near.join(p, "node").join(q, "other").where(~clash).select("node", "other"))
-    parts = connected_components(edges, "node", "other")
-    grouped = parts.join(nodes, "node").select("component", *keys, "node", "p")
-    links = edges.join(parts, "node").select("component", "node", "other")
+    edges = near.join(p, "node").join(q, "other").where(~clash).select("node", "other")
+    both = materialise(edges.unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other"))))
+    degrees = both.groupBy("node").agg(F.count("*").alias("links"))
+    of = lambda n: degrees.select(F.col("node").alias(n), F.col("links").alias(f"{n}_links"))
+    later = F.struct("other_links", "other") > F.struct("home_links", "home")
+    beside = both.withColumnRenamed("node", "home").join(of("home"), "home").join(of("other"), "other").select("home", F.col("other").alias("node"), later.alias("later"))
+    first = beside.groupBy("home").agg(F.max("later").alias("any")).where("any").select("home")
+    own = first.select("home", F.col("home").alias("node"), F.lit(None).cast("boolean").alias("later"))
+    held = beside.join(first, "home", "left_semi").unionByName(own).join(nodes, "node").select("home", *keys, "node", "later", "p")
     kinds = "".join(f"{k} {rows.schema[k].dataType.simpleString()}, " for k in keys)
 
-    def made(lead: tuple, patterns: list[list[str]], found: Iterable[list[int]]) -> pd.DataFrame:
-        out = []
-        for clique in found:
-            whole = list(patterns[clique[0]])
-            for i in clique[1:]:
-                whole = [y if x == missing else x for x, y in zip(whole, patterns[i])]
-            out += [(*lead, whole[:-1], whole[-1], len(clique), list(patterns[i])[:-1]) for i in clique]
-        return pd.DataFrame(out, columns=[*keys, "row", "target", "size", "member"])
-
-    def linked_sets(names: pd.Series, linked: pd.DataFrame) -> dict[int, set[int]]:
-        at = {n: i for i, n in enumerate(names)}
-        beside: dict[int, set[int]] = {i: set() for i in at.values()}
-        for a, b in zip(linked["node"], linked["other"]):
-            beside[at[a]].add(at[b])
-            beside[at[b]].add(at[a])
-        return beside
-
-    def cliques(held: pd.DataFrame, linked: pd.DataFrame) -> pd.DataFrame:
-        if not len(held):
-            return made((), [], [])
-        beside = linked_sets(held["node"], linked)
-        return made(tuple(held[k].iloc[0] for k in keys), list(held["p"]), kernels.maximal_cliques(list(beside), beside))
-
-    def cliques_of_one(held: pd.DataFrame, linked: pd.DataFrame) -> pd.DataFrame:
-        """Those of which the group's node is the smallest; held are its neighbours and itself."""
-        if not len(held):
-            return made((), [], [])
-        beside, names, own = linked_sets(held["node"], linked), list(held["node"]), held["home"].iloc[0]
-        me = names.index(own)
-        later, earlier = ([i for i, n in enumerate(names) if (n > own) == side and i != me] for side in (True, False))
-        return made(tuple(held[k].iloc[0] for k in keys), list(held["p"]), kernels.maximal_cliques(later, beside, (me,), earlier))
-
-    schema = kinds + "row array<string>, target string, size int, member array<string>"
-    large = materialise(parts.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > max_nodes).select("component"))
-    small = materialise(grouped.join(large, "component", "left_anti"))
-    links = materialise(links)
-    found = small.groupBy("component").cogroup(materialise(links.join(large, "component", "left_anti")).groupBy("component")).applyInPandas(cliques, schema)
-    big = materialise(links.join(large, "component", "left_semi").select("node", "other"))
-    if not big.isEmpty():
-        both = materialise(big.unionByName(big.select(F.col("other").alias("node"), F.col("node").alias("other"))))
-        home = both.select(F.col("node").alias("home"), F.col("other").alias("node")).unionByName(both.select(F.col("node").alias("home"), "node").distinct())
-        near = both.select(F.col("node").alias("home"), F.col("other").alias("node"))
-        inside = near.join(big, "node").join(near.select("home", F.col("node").alias("other")), ["home", "other"]).where("node > home or other > home")
-        held = materialise(home.join(nodes, "node").select("home", *keys, "node", "p"))
-        one = held.groupBy("home").cogroup(materialise(inside).groupBy("home")).applyInPandas(cliques_of_one, schema)
-        found = found.unionByName(one)
-    found = materialise(found)
+    def listed(held: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values("node", ignore_index=True)
+        names = [missing, *sorted({x for q in held["p"] for x in q} - {missing})]
+        number = {x: i for i, x in enumerate(names)}
+        codes = np.array([[number[x] for x in q] for q in held["p"]])
+        me, after = np.flatnonzero(held["later"].isna()), np.flatnonzero(held["later"].eq(True))
+        there = codes != 0
+        links = []
+        for i in range(len(codes)):  # as bits
+            common = there & there[i]
+            fits = ((common & (codes == codes[i])).sum(1) >= threshold) & ~(common & (codes != codes[i])).any(1)
+            fits[i] = False
+            links.append(int.from_bytes(np.packbits(fits, bitorder="little").tobytes(), "little"))
+        bits = lambda some: sum(1 << int(i) for i in some)
+        before = set(range(len(codes))) - set(after.tolist()) - set(me.tolist())
+        lead, ids, out = [held[k].iloc[0] for k in keys], held["node"].tolist(), []
+        for clique in kernels.cliques_with(int(me[0]), links, bits(after), bits(before)):
+            whole = [names[c] for c in codes[clique].max(0).tolist()]
+            out.append((*lead, whole[:-1], whole[-1], len(clique), [ids[i] for i in clique]))
+        return pd.DataFrame(out, columns=[*keys, "row", "target", "size", "members"])
+
+    found = held.groupBy("home").applyInPandas(listed, kinds + "row array<string>, target string, size int, members array<long>")
+    found = stored(found.withColumn("rid", F.xxhash64(*keys, "row")), "cliques")
     votes = found.groupBy(*keys, "row", "target").agg(F.max("size").alias("size"))
     exact = votes.groupBy(*keys, "row").agg(F.min_by("target", F.struct(-F.col("size"), "target")).alias("prediction"), F.max("size").alias("size"))
-    use = found.groupBy(*keys, "member", "row").agg(F.sum("size").alias("n")).groupBy(*keys, "member").agg(F.min_by("row", F.struct(-F.col("n"), "row")).alias("row"))
-    of_nodes = use.join(exact, [*keys, "row"]).select(*keys, F.col("member").alias("row"), "prediction", "size")
-    fresh = exact.join(of_nodes.select(*keys, "row"), [*keys, "row"], "left_anti")
+    exact = materialise(exact.withColumn("rid", F.xxhash64(*keys, "row")))
+    # A row may stand in several nodes, with other targets: what it is most often in counts over all of them.
+    mine = nodes.select(*keys, "node", F.slice("p", 1, F.size("p") - 1).alias("row")).withColumn("member", F.xxhash64(*keys, "row"))
+    uses = found.select(F.explode("members").alias("node"), "rid", "size").join(mine.select("node", "member"), "node")
+    uses = materialise(uses.groupBy("member", "rid").agg(F.sum("size").alias("n")))
+    most = uses.groupBy("member").agg(F.max("n").alias("n"))
+    best = uses.join(most, ["member", "n"]).join(exact, "rid").groupBy("member").agg(F.min_by(F.struct("prediction", "size"), "row").alias("best"))
+    of_nodes = mine.select(*keys, "row", "member").distinct().join(best, "member").select(*keys, "row", "best.prediction", "best.size")
+    fresh = exact.join(of_nodes.select(*keys, "row"), [*keys, "row"], "left_anti").select(*keys, "row", "prediction", "size")
     consensus = exact.select(*keys, "row").withColumn("consensus", F.lit(True))
     return of_nodes.unionByName(fresh).join(consensus, [*keys, "row"], "left").withColumn("consensus", F.coalesce("consensus", F.lit(False)))
 
 
-def predict(rows: DataFrame, model: DataFrame, keys: list[str] | None = None, model_keys: list[str] | None = None, missing: str = MISSING, unknown: str = UNKNOWN) -> DataFrame:
+#: Rows of a block of questions and of one of consensus rows that a task compares.
+BLOCK = 20_000
+
+
+def predict(rows: DataFrame, model: DataFrame, keys: list[str] | None = None, model_keys: list[str] | None = None, missing: str = MISSING, unknown: str = UNKNOWN, block: int = BLOCK) -> DataFrame:
     """rows (keys, pos, row) with prediction.
 
     A known row gets its prediction. Otherwise, of the consensus rows that share an entry (the last feature doesn't
     open candidates), one without contradiction scores its matches plus the width, another its matches less its
     contradictions; the best with a score other than 0 decides, ties by row; with none the sound is unknown.
+
+    The different rows that aren't known are compared with the consensus rows block by block, as arrays; a task sends on the best of its
+    block for each question, so candidates never become rows.
     """
     keys, model_keys = keys or ["cogid"], model_keys or []
     ask = rows.select(*model_keys, "row").distinct()
     known = ask.join(model.select(*model_keys, "row", "prediction"), [*model_keys, "row"])
-    new = ask.join(known.select(*model_keys, "row"), [*model_keys, "row"], "left_anti")
-    width = F.size("row")
-    cells = new.select(*model_keys, "row", F.posexplode("row").alias("col", "x")).where((F.col("x") != missing) & (F.col("col") < width - 1))
-    held = model.where("consensus").select(*model_keys, F.col("row").alias("other"), "prediction")
-    index = held.select(*model_keys, "other", "prediction", F.posexplode("other").alias("col", "x")).where(F.col("x") != missing)
-    found = cells.join(index, [*model_keys, "col", "x"]).select(*model_keys, "row", "other", "prediction").distinct()
-    zipped = F.filter(F.arrays_zip(F.col("row").alias("a"), F.col("other").alias("b")), lambda z: (z["a"] != missing) & (z["b"] != missing))
-    same = F.size(F.filter(zipped, lambda z: z["a"] == z["b"]))
-    differ = F.size(zipped) - same
-    found = found.withColumn("score", F.when(differ == 0, same + F.size("row")).otherwise(same - differ)).where("score <> 0")
-    best = found.groupBy(*model_keys, "row").agg(F.min_by("prediction", F.struct(-F.col("score"), "other")).alias("prediction"))
-    table = known.unionByName(best)
+    new = materialise(ask.join(known.select(*model_keys, "row"), [*model_keys, "row"], "left_anti").withColumn("ask", F.xxhash64(*model_keys, "row")))
+    held = materialise(model.where("consensus").select(*model_keys, F.col("row").alias("other"), "prediction"))
+    new, held, each = new.withColumn("_all", F.lit(0)), held.withColumn("_all", F.lit(0)), [*model_keys, "_all"]
+    count = lambda df, name: df.groupBy(*each).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = materialise(count(new, "asks").join(count(held, "helds"), each))  # a row for each model
+    spread = lambda df, own, of, name, other: (
+        df.join(F.broadcast(sizes), each).withColumn(name, F.pmod(F.xxhash64(of), own).cast("int")).withColumn(other[0], F.explode(F.sequence(F.lit(0), F.col(other[1]) - 1))).drop("asks", "helds")
+    )
+    asked = spread(new, F.col("asks"), "row", "ablock", ("hblock", "helds"))
+    known_rows = spread(held, F.col("helds"), "other", "hblock", ("ablock", "asks"))
+    group = [*each, "ablock", "hblock"]
+
+    def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(held):
+            return pd.DataFrame({"ask": [], "score": [], "other": [], "prediction": []})
+        held = held.assign(other=[list(x) for x in held["other"]]).sort_values("other", ignore_index=True)
+        number = {missing: 0}
+        coded = [np.array([[number.setdefault(x, len(number)) for x in r] for r in df], np.int32) for df in (held["other"], asked["row"])]
+        columns, width = np.ascontiguousarray(coded[0].T), coded[0].shape[1]
+        out = []
+        for i, row in zip(asked["ask"], coded[1].tolist()):
+            same, opened, both = (np.zeros(len(held), np.int16) for _ in range(3))
+            for c, x in enumerate(row):
+                if x:
+                    hit = columns[c] == x
+                    same += hit
+                    both += columns[c] != 0
+                    if c < width - 1:
+                        opened += hit
+            score = np.where(both == same, same + width, 2 * same - both)
+            score[(opened == 0) | (score == 0)] = -32768
+            k = int(score.argmax())
+            if score[k] > -32768:
+                out.append((i, int(score[k]), held["other"][k], held["prediction"][k]))
+        return pd.DataFrame(out, columns=["ask", "score", "other", "prediction"])
+
+    found = asked.groupBy(*group).cogroup(known_rows.groupBy(*group)).applyInPandas(best, "ask long, score int, other array<string>, prediction string")
+    found = found.groupBy("ask").agg(F.min_by("prediction", F.struct(-F.col("score"), "other")).alias("prediction"))
+    table = known.unionByName(new.join(found, "ask").select(*model_keys, "row", "prediction"))
     return rows.join(table, [*model_keys, "row"], "left").withColumn("prediction", F.coalesce("prediction", F.lit(unknown)))
 
 

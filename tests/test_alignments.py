@@ -212,7 +212,7 @@ def test_equal_words_share_a_set(spark):
         words[i + 1] = [rng.choice("ABCD"), rng.choice("xyz"), rng.choice("FG"), rng.choice(pool)]
     rows = wordlist_from_rows(spark, words)
     for method in ("sca", "edit", "lexstat"):
-        found = borrowing.internal_cognates(rows, method).collect()
+        found = borrowing.internal_cognates(rows, method, runs=100).collect()
         assert len(found) == 150
         by_word, by_set = defaultdict(set), defaultdict(set)
         for r in found:
@@ -250,7 +250,7 @@ def test_partial_cognates_have_an_id_for_each_morpheme(spark):
     forms = ["p a t + k u", "p a t", "k u + p a t", "s i m + n o"]
     words = {0: ["doculect", "concept", "family", "tokens"]} | {i + 1: ["ABCD"[i], "x", "F", w] for i, w in enumerate(forms)}
     for method in ("sca", "edit", "lexstat"):
-        ids = {r.id: list(r.autocogids) for r in borrowing.internal_cognates(wordlist_from_rows(spark, words), method, partial=True).collect()}
+        ids = {r.id: list(r.autocogids) for r in borrowing.internal_cognates(wordlist_from_rows(spark, words), method, partial=True, runs=100).collect()}
         assert [len(ids[i]) for i in (1, 2, 3, 4)] == [2, 1, 2, 2]
         assert ids[1][0] == ids[2][0] == ids[3][1] and ids[1][1] == ids[3][0] and not set(ids[4]) & set(ids[1])
 
@@ -287,13 +287,61 @@ def test_classifiers_rows_and_distances_can_be_given(spark):
         reconstruct.fuzzy_reconstruct(words, ["A", "B"], "P", output="other")
 
 
-def test_cliques_node_by_node(spark):
-    """A component beyond max_nodes gives the model that it gives as a whole."""
-    rng = random.Random(7)
-    rows = [(k, [rng.choice(["a", "b", "Ø", "Ø"]) for _ in range(5)], rng.choice("xy")) for k in range(60)]
+def plain_model(patterns):
+    """row: (prediction, size, consensus) of (row, target) patterns, from all maximal cliques."""
+    nodes = sorted({(*row, target) for row, target in patterns})
+    fits = lambda a, b: any(x == y != "Ø" for x, y in zip(a, b)) and all(x == y or "Ø" in (x, y) for x, y in zip(a, b))
+    edges = {i: {j for j, b in enumerate(nodes) if i != j and fits(a, b)} for i, a in enumerate(nodes)}
+    votes, uses = defaultdict(int), defaultdict(lambda: defaultdict(int))
+    for clique in A.maximal_cliques([i for i in edges if edges[i]], edges):
+        whole = tuple(next((nodes[i][c] for i in clique if nodes[i][c] != "Ø"), "Ø") for c in range(len(nodes[0])))
+        votes[whole] = max(votes[whole], len(clique))
+        for i in clique:
+            uses[nodes[i][:-1]][whole[:-1]] += len(clique)
+    exact = {}
+    for whole, n in sorted(votes.items(), key=lambda v: (-v[1], v[0][-1])):
+        exact.setdefault(whole[:-1], (whole[-1], n))
+    out = {row: (*exact[row], True) for row in exact}
+    for row, found in uses.items():
+        out[row] = (*exact[min(found, key=lambda r: (-found[r], r))], row in exact)
+    return out
+
+
+def plain_prediction(row, model, width):
+    if row in model:
+        return model[row][0]
+    best = []
+    for other, (prediction, _, consensus) in model.items():
+        pairs = [(x, y) for x, y in zip(row, other) if "Ø" not in (x, y)]
+        same = sum(x == y for x, y in pairs)
+        score = same + width if same == len(pairs) else 2 * same - len(pairs)
+        if consensus and score and any(x == y != "Ø" for x, y in zip(row[:-1], other)):
+            best.append((-score, other, prediction))
+    return min(best)[2] if best else "?"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_classifier_against_all_cliques(spark, seed):
+    """The model of random patterns, some of which fit nearly all others, and what it predicts in blocks of any size."""
+    rng = random.Random(seed)
+    some = lambda: [rng.choice(["a", "b", "c", "Ø", "Ø"]) for _ in range(5)]
+    rows = [(k, some() if k % 9 else ["Ø"] * 4 + ["a"], rng.choice("xy")) for k in range(90)] + [(90, ["Ø"] * 5, "x")]
     frame = spark.createDataFrame(rows, "cogid long, row array<string>, target string")
-    model = lambda n: sorted(map(str, reconstruct.fit(frame, max_nodes=n).collect()))
-    assert model(3) == model(5000) and len(model(5000)) > 30
+    model = reconstruct.fit(frame).persist()
+    want = plain_model([(tuple(r), t) for _, r, t in rows])
+    assert {tuple(r.row): (r.prediction, r.size, r.consensus) for r in model.collect()} == want
+    asked = spark.createDataFrame([(k, 0, some()) for k in range(200)], "cogid long, pos int, row array<string>")
+    for block in (7, 20_000):
+        for r in reconstruct.predict(asked, model, block=block).collect():
+            assert r.prediction == plain_prediction(tuple(r.row), want, 5)
+
+
+def test_a_pattern_that_fits_thousands(spark):
+    """A hub: all others have a sound of their own beside the common one, so cliques are pairs with the hub."""
+    rows = [(k, ["a", "Ø", f"s{k}"], "x") for k in range(1200)] + [(1200, ["a", "Ø", "Ø"], "x")]
+    model = reconstruct.fit(spark.createDataFrame(rows, "cogid long, row array<string>, target string"))
+    found = {tuple(r.row): (r.prediction, r.size) for r in model.collect()}
+    assert len(found) == 1201 and set(found.values()) == {("x", 2)}
 
 
 def test_sound_edit_distance(spark):
