@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lexispark.functions.numbering import number_rows
 from lexispark.functions.sequences import GAP, MISSING, mismatches
-from lexispark.operators.sites import compatible_pairs, fitting, score_patterns
+from lexispark.operators.fits import fitting, sounds_of_fitting
+from lexispark.operators.sites import compatible_pairs, score_patterns
 
 
 def _cover(codes: np.ndarray, gap: int, order: np.ndarray, threshold: int) -> list[tuple[list[int], np.ndarray]]:
@@ -111,7 +112,7 @@ def fuzziness(clustered: DataFrame, threshold: int = 1) -> DataFrame:
     """One row: clusters that a site fits (see sites_to_patterns), per site that fits any; counted pattern by pattern."""
     kinds = clustered.groupBy("struct", "pattern").agg(F.count("*").alias("n"))
     heads = clustered.select("struct", F.col("consensus").alias("pattern")).distinct()
-    held = fitting(kinds, heads, {"heads": F.count("*")}, threshold).groupBy("struct", "pattern").agg(F.sum("heads").alias("heads"))
+    held = fitting(kinds, heads, {"heads": None}, threshold=threshold)
     return held.join(kinds, ["struct", "pattern"]).agg((F.sum(F.col("heads") * F.col("n")) / F.sum("n")).alias("fuzziness"))
 
 
@@ -123,14 +124,10 @@ def purity(clustered: DataFrame, missing: str = MISSING) -> DataFrame:
     themselves, so patterns are compared, with their numbers of sites, and no edge between sites is ever made.
     """
     kinds = clustered.groupBy("struct", "pattern", "consensus").agg(F.count("*").alias("n"))
-    left = kinds.select("struct", F.col("pattern").alias("l_pattern"))
-    right = kinds.select("struct", F.col("pattern").alias("r_pattern"), "consensus", "n")
-    pairs = compatible_pairs(left, right.select("struct", "r_pattern")).join(right, ["struct", "r_pattern"])
-    near = pairs.withColumn("n", F.col("n") - (F.col("l_pattern") == F.col("r_pattern")).cast("long")).where("n > 0")
-    near = near.groupBy("struct", "l_pattern", "consensus").agg(F.sum("n").alias("n"))
-    counts = near.select("struct", "l_pattern", "n", F.posexplode("consensus").alias("col", "sound")).groupBy("struct", "l_pattern", "col", "sound").agg(F.sum("n").alias("n"))
-    columns = counts.groupBy("struct", "l_pattern", "col").agg((F.sqrt(F.sum(F.when(F.col("sound") != missing, F.col("n") * F.col("n")).otherwise(0))) / F.sum("n")).alias("p"))
-    per = columns.groupBy("struct", F.col("l_pattern").alias("pattern")).agg(F.avg("p").alias("p"))
+    counts = sounds_of_fitting(kinds, kinds, "n", "consensus", but_itself=True, missing=missing)
+    squares = F.sum(F.when(F.col("sound") != missing, F.col("weight") * F.col("weight")).otherwise(0))
+    columns = counts.groupBy("struct", "pattern", "col").agg((F.sqrt(squares) / F.sum("weight")).alias("p"))
+    per = columns.groupBy("struct", "pattern").agg(F.avg("p").alias("p"))
     joined = kinds.join(per, ["struct", "pattern"], "left")
     return joined.agg((F.sum(F.coalesce("p", F.lit(0.0)) * F.col("n")) / F.sum("n")).alias("purity"))
 
@@ -257,13 +254,9 @@ def ranked_predictions(clustered: DataFrame, langs: list[str], missing: str = MI
 
     A cluster of the site's structure counts with its size if it matches, doesn't conflict, and fills any missing entry.
     """
-    sizes = clusters(clustered).select("struct", F.col("consensus").alias("r_pattern"), "size")
-    left = clustered.select("struct", F.col("pattern").alias("l_pattern"))
-    pairs = compatible_pairs(left, sizes.select("struct", "r_pattern")).join(sizes, ["struct", "r_pattern"])
-    cell = F.posexplode(F.arrays_zip(F.col("l_pattern").alias("own"), F.col("r_pattern").alias("other"))).alias("lang", "c")
-    filled = pairs.select("struct", "l_pattern", "size", cell).where((F.col("c.own") == missing) & (F.col("c.other") != missing))
-    votes = filled.groupBy("struct", "l_pattern", "lang", F.col("c.other").alias("sound")).agg(F.sum("size").alias("weight"))
-    return clustered.select("cogid", "pos", "struct", F.col("pattern").alias("l_pattern")).join(votes, ["struct", "l_pattern"]).select("cogid", "pos", "lang", "sound", "weight")
+    sizes = clusters(clustered).select("struct", F.col("consensus").alias("pattern"), "size")
+    votes = sounds_of_fitting(clustered, sizes, "size", filled=True, missing=missing).withColumnRenamed("col", "lang")
+    return clustered.select("cogid", "pos", "struct", "pattern").join(votes, ["struct", "pattern"]).select("cogid", "pos", "lang", "sound", "weight")
 
 
 def predict_words(clustered: DataFrame, langs: list[str], samples: int = 3, missing: str = MISSING) -> DataFrame:

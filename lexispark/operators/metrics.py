@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.operators.sites import fitting
+from lexispark.operators.fits import fitting
 
 
 def bcubed(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
@@ -55,7 +55,7 @@ def regularity(clustered: DataFrame, threshold: int = 3, word_threshold: float =
         F.count_if(big).alias("regular_patterns"), F.count_if(~big).alias("irregular_patterns"), F.count("*").alias("patterns"),
         F.coalesce(F.sum(F.when(big, F.col("size"))), F.lit(0)).alias("regular_sites"), F.coalesce(F.sum(F.when(~big, F.col("size"))), F.lit(0)).alias("irregular_sites"), F.sum("size").alias("sites"),
     )
-    best = fitting(clustered, sizes.withColumnRenamed("consensus", "pattern"), {"size": F.max("size")}).groupBy("struct", "pattern").agg(F.max("size").alias("size"))
+    best = fitting(clustered, sizes.withColumnRenamed("consensus", "pattern"), {}, {"size": "size"})
     best = clustered.select("cogid", "pos", "struct", "pattern").join(best, ["struct", "pattern"])
     sets = best.groupBy("cogid").agg(F.avg(big.cast("double")).alias("share"))
     width = clustered.select("cogid", F.posexplode("pattern").alias("lang", "x")).where(F.col("x") != missing).groupBy("cogid").agg(F.count_distinct("lang").alias("refs"))

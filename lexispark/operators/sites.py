@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions.sequences import GAP, MISSING, mismatches, spread_classes
+from lexispark.operators.fits import fitting
 
 
 def alignments(morphemes: DataFrame, least: int = 2) -> DataFrame:
@@ -87,29 +88,6 @@ def compatible_pairs(left: DataFrame, right: DataFrame, threshold: int = 1, miss
     return ok.withColumnRenamed("n", "matches")
 
 
-def fitting(left: DataFrame, right: DataFrame, measures: dict[str, Column], threshold: int = 1, missing: str = MISSING, gap: str = GAP) -> DataFrame:
-    """(struct, pattern, matches, measures): for the different patterns on the left, measures over the rows on the right
-    whose patterns fit them: no mismatch and at least `threshold` matches. One row per pattern and set of doculects.
-
-    Two patterns don't mismatch if they are equal where both are attested. So each is cut down to every set of doculects
-    that some pattern of the other side attests, and equal cuts are joined, after the right side is summed up: patterns
-    times sets of rows, not patterns squared. What they match in depends on the cut alone.
-    """
-    mask = F.array_join(F.transform("pattern", lambda x: F.when(x != missing, "1").otherwise("0")), "")
-
-    def cuts(rows: DataFrame, other: DataFrame, own: str, seen: str) -> DataFrame:
-        masks = other.select("struct", mask.alias(seen)).distinct()
-        cut = F.transform("pattern", lambda x, i: F.when(F.substring(F.col(seen), i + 1, F.lit(1)) == "1", x).otherwise(missing))
-        both = rows.withColumn(own, mask).join(masks, "struct").withColumn("cells", cut)
-        both = both.withColumn("matches", F.size(F.filter("cells", lambda x: ~x.isin(missing, gap)))).where(F.col("matches") >= threshold)
-        return both.withColumn("cut", F.array_join("cells", "\t")).drop("cells")
-
-    keys = ["struct", "left_mask", "right_mask", "cut"]
-    held = cuts(right, left, "right_mask", "left_mask").groupBy(*keys).agg(*[c.alias(n) for n, c in measures.items()])
-    asked = cuts(left.select("struct", "pattern").distinct(), right, "left_mask", "right_mask")
-    return asked.join(held, keys).select("struct", "pattern", "matches", *measures)
-
-
 def site_graph(sites: DataFrame, missing: str = MISSING, gap: str = GAP) -> DataFrame:
     """Edges (cogid_a, pos_a, cogid_b, pos_b), each once: sites of one structure that match and don't conflict."""
     left = sites.select("struct", F.col("pattern").alias("l_pattern"))
@@ -123,7 +101,7 @@ def site_graph(sites: DataFrame, missing: str = MISSING, gap: str = GAP) -> Data
 def site_degrees(sites: DataFrame, missing: str = MISSING, gap: str = GAP) -> DataFrame:
     """(cogid, pos, neighbours) of the sites that have any in the site graph, counted pattern by pattern."""
     kinds = sites.groupBy("struct", "pattern").agg(F.count("*").alias("n"))
-    near = fitting(kinds, kinds, {"n": F.sum("n")}, 1, missing, gap).groupBy("struct", "pattern").agg(F.sum("n").alias("n"))
+    near = fitting(kinds, kinds, {"n": "n"}, missing=missing, gap=gap)
     own = F.exists("pattern", lambda x: ~x.isin(missing, gap)).cast("long")
     near = near.select("struct", "pattern", (F.col("n") - own).alias("neighbours")).where("neighbours > 0")
     return sites.select("cogid", "pos", "struct", "pattern").join(near, ["struct", "pattern"]).select("cogid", "pos", "neighbours")
@@ -195,16 +173,9 @@ def upper_bound(sites: DataFrame, missing: str = MISSING) -> DataFrame:
     """One row: the largest number of sites that conflict with a site (mismatch or other structure), among those that
     have a partner of their structure without a mismatch.
 
-    Two patterns don't mismatch if they are equal where both are attested. So each pattern is cut down to every set of
-    doculects that some pattern of its structure attests, and equal cuts are counted: patterns times sets of rows, not
-    patterns squared. A pattern is a partner of its own copies.
+    A pattern is a partner of its own copies.
     """
-    mask = F.transform("pattern", lambda x: x != missing)
-    kinds = sites.groupBy("struct", "pattern").agg(F.count("*").alias("n")).withColumn("mask", mask)
-    masks = kinds.select("struct", F.col("mask").alias("other")).distinct()
-    cut = F.zip_with("pattern", "other", lambda x, seen: F.when(seen, x).otherwise(missing))
-    cuts = kinds.join(masks, "struct").select("struct", "pattern", "n", "mask", "other", cut.alias("cut"))
-    held = cuts.groupBy("struct", F.col("mask").alias("other"), F.col("other").alias("mask"), "cut").agg(F.sum("n").alias("partners"))
-    fine = cuts.join(held, ["struct", "mask", "other", "cut"]).groupBy("struct", "pattern").agg(F.sum("partners").alias("fine"))
+    kinds = sites.groupBy("struct", "pattern").agg(F.count("*").alias("n"))
+    fine = fitting(kinds, kinds, {"fine": "n"}, threshold=0, missing=missing)
     total = kinds.agg(F.sum("n").alias("total"))
     return fine.where("fine > 1").join(total).agg(F.max(F.col("total") - F.col("fine")).alias("upper_bound"))

@@ -2,12 +2,16 @@
 
 import itertools
 import random
+from collections import Counter, defaultdict
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lexispark.functions.sequences import GAP, MISSING
 from lexispark.operators import clusters as K
+from lexispark.operators import fits as T
 from lexispark.operators import metrics as M
 from lexispark.operators import sites as S
 from lexispark.operators.components import connected_components
@@ -174,20 +178,81 @@ def test_clusters_against_plain_cover(spark):
     assert got == naive_clusters(rows)
 
 
-def test_fitting_against_all_pairs(spark):
-    """Sets of doculects and cuts give what comparing every pattern with every other gives."""
-    rng = random.Random(6)
-    rows = [(rng.choice("cv"), tuple(rng.choice(["a", "b", GAP, MISSING, MISSING]) for _ in range(5)), rng.randint(1, 9)) for _ in range(200)]
+def pairs_that_fit(rows, threshold=1):
+    """Places of rows (struct, pattern, ...) that fit, with their matches."""
+    for i, (s, p, *_) in enumerate(rows):
+        for j, (t, q, *_) in enumerate(rows):
+            same = sum(a == b and a not in (MISSING, GAP) for a, b in zip(p, q))
+            if s == t and same >= threshold and all(a == b or MISSING in (a, b) for a, b in zip(p, q)):
+                yield i, j, same
+
+
+def random_patterns(seed, n=200, sounds=("a", "b", GAP, MISSING, MISSING), width=5):
+    rng = random.Random(seed)
+    return [(rng.choice("cv"), tuple(rng.choice(sounds) for _ in range(width)), rng.randint(1, 9)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("threshold", [0, 1, 2])
+def test_fitting_against_all_pairs(spark, threshold):
+    """Blocks by the sound of one doculect give what comparing every pattern with every other gives."""
+    rows = random_patterns(6)
+    frame = spark.createDataFrame([(s, list(p), n) for s, p, n in rows], "struct string, pattern array<string>, n long")
+    found = T.fitting(frame, frame, {"n": "n", "rows": None}, {"top": "n"}, threshold)
+    got = {(r.struct, tuple(r.pattern)): (r.n, r.rows, r.top, r.matched) for r in found.collect()}
+    near = defaultdict(list)
+    for i, j, same in pairs_that_fit(rows, threshold):
+        near[i].append((rows[j][2], same))
+    assert got == {rows[i][:2]: (sum(n for n, _ in x), len(x), max(n for n, _ in x), sum(m for _, m in x)) for i, x in near.items()}
+
+
+@pytest.mark.parametrize("block", [3, 17])
+def test_blocks_of_any_size(spark, block):
+    """Each pair of patterns that fits meets in just one pair of blocks."""
+    rows = random_patterns(7, 90)
+    frame = spark.createDataFrame([(s, list(p), i) for i, (s, p, _) in enumerate(rows)], "struct string, pattern array<string>, n long")
+    both = lambda asked, held: pd.DataFrame([(i, j) for i in asked["n"] for j in held["n"]], columns=["i", "j"]).astype("int64")
+    met = Counter((r.i, r.j) for r in T.meet(frame, frame, both, "i long, j long", block=block).collect())
+    assert max(met.values()) == 1 and {(i, j) for i, j, _ in pairs_that_fit(rows)} <= set(met)
+
+
+def test_many_doculects(spark):
+    """4,000 patterns over 20 doculects, of which few attest the same."""
+    rows = random_patterns(8, 4000, ("a", "b", "c", "d", "e", GAP, MISSING, MISSING, MISSING), 20)
     frame = spark.createDataFrame([(s, list(p), n) for s, p, n in rows], "struct string, pattern array<string>, n long")
-    for threshold in (1, 2):
-        found = S.fitting(frame, frame, {"n": F.sum("n"), "top": F.max("n")}, threshold).groupBy("struct", "pattern").agg(F.sum("n").alias("n"), F.max("top").alias("top"), F.sum(F.col("matches") * 0 + 1))
-        got = {(r.struct, tuple(r.pattern)): (r.n, r.top) for r in found.collect()}
-        want = {}
-        for s, p, _ in rows:
-            near = [n for t, q, n in rows if s == t and all(a == b or MISSING in (a, b) for a, b in zip(p, q)) and sum(a == b and a not in (MISSING, GAP) for a, b in zip(p, q)) >= threshold]
-            if near:
-                want[s, p] = (sum(near), max(near))
-        assert got == want
+    got = {(r.struct, tuple(r.pattern)): r.n for r in T.fitting(frame, frame, {"n": "n"}).collect()}
+    codes = np.array([[["\0", GAP, "a", "b", "c", "d", "e"].index("\0" if x == MISSING else x) for x in p] for _, p, _ in rows])
+    kind, n = np.array([s == "c" for s, *_ in rows]), np.array([r[2] for r in rows])
+    for i in range(0, 4000, 100):
+        there = (codes != 0) & (codes[i] != 0)
+        fit = (kind == kind[i]) & ~(there & (codes != codes[i])).any(1) & ((codes == codes[i]) & (codes > 1)).any(1)
+        assert got.get(rows[i][:2], 0) == n[fit].sum()
+
+
+def test_purity_and_predictions_against_all_pairs(spark):
+    """Both from every pair of patterns, over clusters of which each holds several patterns."""
+    rng = random.Random(9)
+    sites, fill = [], {}
+    for i, (s, p, _) in enumerate(random_patterns(9, 120, ("a", "b", "c", GAP, MISSING, MISSING), 4)):
+        whole = tuple(x if x != MISSING else rng.choice(["a", "b", MISSING]) for x in p)
+        sites.append((i, 0, s, p, fill.setdefault((s, p), whole)))
+    frame = spark.createDataFrame([(c, k, s, list(p), list(w)) for c, k, s, p, w in sites], "cogid long, pos int, struct string, pattern array<string>, consensus array<string>")
+    near = defaultdict(list)
+    for i, j, _ in pairs_that_fit([(s, p) for _, _, s, p, _ in sites]):
+        if i != j:
+            near[i].append(sites[j][4])
+    share = lambda x: sum(n * n for k, n in Counter(x).items() if k != MISSING) ** 0.5 / len(x)
+    want = sum(sum(share([w[c] for w in near[i]]) for c in range(4)) / 4 if near[i] else 0 for i in range(120)) / 120
+    assert abs(K.purity(frame).first()[0] - want) < 1e-9
+    heads = Counter((s, w) for *_, s, _, w in sites)
+    votes = Counter()
+    for c, k, s, p, _ in sites:
+        for (t, w), n in heads.items():
+            if s == t and any(a == b and a not in (MISSING, GAP) for a, b in zip(p, w)) and all(a == b or MISSING in (a, b) for a, b in zip(p, w)):
+                for lang, (a, b) in enumerate(zip(p, w)):
+                    if a == MISSING != b:
+                        votes[c, k, lang, b] += n
+    found = K.ranked_predictions(frame, list("ABCD")).collect()
+    assert {(r.cogid, r.pos, r.lang, r.sound): r.weight for r in found} == dict(votes) and len(found) == len(votes)
 
 
 def test_components(spark):
