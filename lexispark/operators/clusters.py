@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexispark.functions.numbering import number_rows
 from lexispark.functions.sequences import GAP, MISSING, mismatches
+from lexispark.functions.storage import materialise
 from lexispark.operators.fits import fitting, sounds_of_fitting
 from lexispark.operators.sites import compatible_pairs, score_patterns
 
@@ -123,7 +124,7 @@ def purity(clustered: DataFrame, missing: str = MISSING) -> DataFrame:
     mean over columns; a site without neighbours has 0. Sites of one pattern have the same neighbours but for
     themselves, so patterns are compared, with their numbers of sites, and no edge between sites is ever made.
     """
-    kinds = clustered.groupBy("struct", "pattern", "consensus").agg(F.count("*").alias("n"))
+    kinds = materialise(clustered.groupBy("struct", "pattern", "consensus").agg(F.count("*").alias("n")))
     counts = sounds_of_fitting(kinds, kinds, "n", "consensus", but_itself=True, missing=missing)
     squares = F.sum(F.when(F.col("sound") != missing, F.col("weight") * F.col("weight")).otherwise(0))
     columns = counts.groupBy("struct", "pattern", "col").agg((F.sqrt(squares) / F.sum("weight")).alias("p"))

@@ -44,6 +44,7 @@ def _compared(a: np.ndarray, b: np.ndarray, threshold: int):
 
 def meet(left: DataFrame, right: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, missing: str = MISSING, block: int = BLOCK) -> DataFrame:
     """work(some of left, some of right) for blocks in which every pair that may fit meets once. left and right have struct and pattern."""
+    left, right = materialise(left), materialise(right)
     cells = right.select("struct", F.posexplode("pattern").alias("at", "x")).where(F.col("x") != missing).groupBy("struct", "at").agg(F.count("*").alias("n"))
     best = small_enough(cells.groupBy("struct").agg(F.max_by("at", F.struct("n", -F.col("at"))).alias("at")))
     placed = lambda df: df.join(best, "struct", "left").withColumn("own", F.get("pattern", F.coalesce("at", F.lit(0)))).drop("at")

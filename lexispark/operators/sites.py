@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions.sequences import GAP, MISSING, mismatches, spread_classes
+from lexispark.functions.storage import materialise
 from lexispark.operators.fits import fitting
 
 
@@ -100,7 +101,7 @@ def site_graph(sites: DataFrame, missing: str = MISSING, gap: str = GAP) -> Data
 
 def site_degrees(sites: DataFrame, missing: str = MISSING, gap: str = GAP) -> DataFrame:
     """(cogid, pos, neighbours) of the sites that have any in the site graph, counted pattern by pattern."""
-    kinds = sites.groupBy("struct", "pattern").agg(F.count("*").alias("n"))
+    kinds = materialise(sites.groupBy("struct", "pattern").agg(F.count("*").alias("n")))
     near = fitting(kinds, kinds, {"n": "n"}, missing=missing, gap=gap)
     own = F.exists("pattern", lambda x: ~x.isin(missing, gap)).cast("long")
     near = near.select("struct", "pattern", (F.col("n") - own).alias("neighbours")).where("neighbours > 0")
@@ -175,7 +176,7 @@ def upper_bound(sites: DataFrame, missing: str = MISSING) -> DataFrame:
 
     A pattern is a partner of its own copies.
     """
-    kinds = sites.groupBy("struct", "pattern").agg(F.count("*").alias("n"))
+    kinds = materialise(sites.groupBy("struct", "pattern").agg(F.count("*").alias("n")))
     fine = fitting(kinds, kinds, {"fine": "n"}, threshold=0, missing=missing)
     total = kinds.agg(F.sum("n").alias("total"))
     return fine.where("fine > 1").join(total).agg(F.max(F.col("total") - F.col("fine")).alias("upper_bound"))

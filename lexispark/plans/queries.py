@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.functions.sequences import alignment_to_tokens, bleu, clean_sound, gap_count, is_subsequence, matches, mismatches, unjoin
-from lexispark.operators import borrowing, clusters, cognates, fits, metrics, prepare, reconstruct, sites, trimming
+from lexispark.functions.storage import materialise
+from lexispark.operators import borrowing, clusters, cognates, metrics, prepare, reconstruct, sites, trimming
+from lexispark.operators.fits import fitting
 from lexispark.plans.derived import CLUSTERS, LANGS, SQL, fits, morphemes, partial, words
 from lexispark.plans.experiments import correspondence_patterns, leave_out, leave_out_summary, prediction_report
 
@@ -137,8 +139,8 @@ near as (
 
 @query(_PAIRS + "select struct, array_to_string(p, ' ') as pattern, count(*)::bigint as partners, sum(matched)::bigint as matched from pairs group by all")
 def compatible_patterns(spark, sf_dir):
-    kinds = _sites(spark, sf_dir).select("struct", "pattern").distinct()
-    return fits.fitting(kinds, kinds, {"partners": None}).select("struct", text("pattern").alias("pattern"), "partners", "matched")
+    kinds = materialise(_sites(spark, sf_dir).select("struct", "pattern").distinct())
+    return fitting(kinds, kinds, {"partners": None}).select("struct", text("pattern").alias("pattern"), "partners", "matched")
 
 
 @query(_PAIRS + "select s.cogid, s.pos, (sum(k.n) - 1)::bigint as neighbours from sites s join pairs p on p.struct = s.struct and p.p = s.pattern join kinds k on k.struct = p.struct and k.pattern = p.q group by all having sum(k.n) > 1")
