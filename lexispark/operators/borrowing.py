@@ -253,7 +253,7 @@ def internal_cognates(
         raise ValueError("cluster_method must be upgma, single, complete or mcl")
     ref = ref or ("autocogids" if partial else "autocogid")
     key = ["family", "concept", "doculect", "tokens"]
-    kinds = words.groupBy(*key).agg(F.count("*").alias("n"), F.min("id").alias("word"))
+    kinds = materialise(words.groupBy(*key).agg(F.count("*").alias("n"), F.min("id").alias("word")))
     whole = F.array(F.col("tokens"))
     parts = F.transform(F.split(F.array_join("tokens", " "), r"(?:^| )[+](?: |$)"), lambda x: F.filter(F.split(x, " "), lambda t: t != ""))
     nodes = kinds.select(*key[:3], "n", "word", F.posexplode(parts if partial else whole).alias("m", "tokens"))

@@ -389,15 +389,23 @@ def mean_distance(pairs: DataFrame, normalized: bool = False, predicted: str = "
     return filled.agg(F.avg(distance("p", "a") if distance else sound_edit_distance("p", "a", normalized)).alias("distance"))
 
 
-def bcubed_f(pairs: DataFrame, predicted: str = "predicted", attested: str = "attested") -> DataFrame:
-    """One row: the B-cubed F of aligned predicted and attested sounds over all pairs."""
+def _by_identity(a: list[str], b: list[str]) -> tuple[list[str], list[str]]:
+    left, right, _ = kernels.align(a, b, lambda s, t: 1.0 if s == t else -1.0, -1.0)
+    return left, right
+
+
+def bcubed_f(pairs: DataFrame, predicted: str = "predicted", attested: str = "attested", aligner: Callable[[list[str], list[str]], tuple[list[str], list[str]]] = _by_identity) -> DataFrame:
+    """One row: the B-cubed F of aligned predicted and attested sounds over all pairs.
+
+    aligner gives two words with gaps, of the same length; by default equal sounds score 1, others and gaps -1.
+    """
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for x, y in zip(batch["p"], batch["a"]):
                 x, y = ([UNKNOWN] if z is None or not len(z) else list(z) for z in (x, y))
-                left, right, _ = kernels.align(x, y, lambda s, t: 1.0 if s == t else -1.0, -1.0)
+                left, right = aligner(x, y)
                 out += list(zip(left, right))
             yield pd.DataFrame(out, columns=["p", "a"])
 

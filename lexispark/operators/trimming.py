@@ -70,10 +70,10 @@ def trim(alignments: DataFrame, strategy: str = "gap-oriented", threshold: float
     return alignments.join(kept, "cogid").withColumn("alignment", F.transform("kept", lambda p: F.get("alignment", p))).drop("kept")
 
 
-def trim_random(alignments: DataFrame, seed: int = 0, strategy: str = "gap-oriented", threshold: float = 0.5, skeletons: tuple[str, ...] = ("CV", "VC"), exclude: str = "_+", gap: str = GAP) -> DataFrame:
-    """The alignments with as many sites of each class as trimming leaves, chosen by a seeded hash of (cogid, pos)."""
+def trim_random(alignments: DataFrame, seed: int = 0, strategy: str = "gap-oriented", threshold: float = 0.5, skeletons: tuple[str, ...] = ("CV", "VC"), exclude: str = "_+", gap: str = GAP, strict: bool = True) -> DataFrame:
+    """The alignments with as many sites of each class as trimming (with these options) leaves, chosen by a seeded hash of (cogid, pos)."""
     sites = site_table(alignments, gap)
-    kept = kept_sites(sites, strategy, threshold, skeletons, True, exclude).select("cogid", F.explode("kept").alias("pos"))
+    kept = kept_sites(sites, strategy, threshold, skeletons, strict, exclude).select("cogid", F.explode("kept").alias("pos"))
     quota = kept.join(sites, ["cogid", "pos"]).groupBy("cogid", "class").agg(F.count("*").alias("quota"))
     order = Window.partitionBy("cogid", "class").orderBy(F.md5(F.concat_ws(" ", F.lit(str(seed)), F.col("cogid").cast("string"), F.col("pos").cast("string"))), "pos")
     drawn = sites.withColumn("rank", F.row_number().over(order)).join(quota, ["cogid", "class"]).where("rank <= quota")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.functions.sequences import alignment_to_tokens, bleu, clean_sound, gap_count, is_subsequence, matches, mismatches, unjoin
-from lexispark.functions.storage import materialise
+from lexispark.functions.storage import materialise, stored
 from lexispark.operators import borrowing, clusters, cognates, metrics, prepare, reconstruct, sites, trimming
 from lexispark.operators.fits import fitting
 from lexispark.plans.derived import CLUSTERS, LANGS, SQL, fits, morphemes, partial, words
@@ -643,13 +643,13 @@ def colexified_sets(spark, sf_dir):
 
 @query()
 def internal_cognates(spark, sf_dir):
-    return borrowing.internal_cognates(words(spark, sf_dir), "lexstat").select("id", "autocogid")
+    return borrowing.internal_cognates(stored(words(spark, sf_dir), "words"), "lexstat").select("id", "autocogid")
 
 
 @query()
 def borrowed_sets(spark, sf_dir):
     rows = words(spark, sf_dir)
-    return borrowing.external_cognates(borrowing.internal_cognates(rows, "sca")).select("id", "autocogid", "autoborid")
+    return borrowing.external_cognates(stored(borrowing.internal_cognates(stored(rows, "words"), "sca"), "cognates")).select("id", "autocogid", "autoborid")
 
 
 _BCUBED = """, x as (select concept, cogid as a, word as b from words), ab as (select concept, a, b, count(*) as n from x group by all),

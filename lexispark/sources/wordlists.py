@@ -50,6 +50,17 @@ def wordlist_from_rows(spark: SparkSession, rows: dict[int, list]) -> DataFrame:
     return _typed(spark.createDataFrame(data, T.StructType(fields)))
 
 
+def load_wordlist(spark: SparkSession, source: str | dict[int, list] | DataFrame) -> DataFrame:
+    """A wordlist from the path of a file, from rows, or as it is if it is a DataFrame; anything else is an error."""
+    if isinstance(source, DataFrame):
+        return source
+    if isinstance(source, str):
+        return read_wordlist(spark, source)
+    if isinstance(source, dict):
+        return wordlist_from_rows(spark, source)
+    raise ValueError("a wordlist is a path, a dict of rows or a DataFrame")
+
+
 def write_tsv(df: DataFrame, path: str) -> None:
     """Tab-separated with a header; arrays are joined by spaces."""
     cells = [F.array_join(F.col(f.name).cast("array<string>"), " ").alias(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name) for f in df.schema.fields]
