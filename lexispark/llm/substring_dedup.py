@@ -6,16 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.functions.storage import stored
+from lexispark.functions.storage import materialise, stored
 from lexispark.llm.textnum import window_hashes, word_hashes
 
 #: Words of a window, bytes of text in a reference block, and bytes of text whose windows share a bucket of the index.
 SPAN, BLOCK, BUCKET = 13, 6 << 20, 24 << 20
 #: Bytes of passages compared with a source in one task, and places of a window up to which they are tried one by one.
 PART, FEW = 4 << 20, 32
+#: Hashes shared by unequal windows that are sent to every task.
+SENT = 200_000
 PLACES = "places array<struct<doc:long,mark:long,start:int>>"
 
 
@@ -182,9 +185,11 @@ def cut_repeats(docs: DataFrame, span: int = SPAN, block_bytes: int = BLOCK, buc
     the source turns out not to have are compared by their words with all windows of that hash, so none is missed.
 
     Null text has no words; null doc_id keeps all its words and counts for no other; rows with equal doc_id don't cut each
-    other; an empty table gives no rows.
+    other; an empty table gives no rows. Rows with a null in either are done where they are read and lie in no block, however many.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    alone = rows.where("doc_id is null or text is null")
+    rows = rows.where("doc_id is not null and text is not null")
     total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks, buckets = int(total // block_bytes) + 1, int(total // bucket_bytes) + 1
     rows = rows.select(
@@ -196,6 +201,13 @@ def cut_repeats(docs: DataFrame, span: int = SPAN, block_bytes: int = BLOCK, buc
     )
     held = rows.groupBy("block")
 
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "length", "source", "position")]))
+        for batch in batches:
+            texts = [_words(t) for t in batch.column("text").to_pylist()]
+            columns = {"n_words": pa.array([len(w) for w in texts], pa.int64()), "n_removed": pa.array([0] * len(texts), pa.int64()), "spans": pa.array([[]] * len(texts), kind), "text": pa.array([_text(w) for w in texts], pa.string())}
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns.values()], ["doc_id", *columns])
+
     def ask(frame: pd.DataFrame) -> pd.DataFrame:
         block, number = _Block(frame, span, bits), int(frame["block"].iloc[0])
         short = (block.unique >> np.uint64(32)).astype(np.uint32)
@@ -328,22 +340,29 @@ def cut_repeats(docs: DataFrame, span: int = SPAN, block_bytes: int = BLOCK, buc
     factors = stored(both.mapInPandas(factor, schema), "factors")
     found = proposed.drop("passage", "home").join(factors.select("source", "key", "factors"), ["source", "key"])
     found = found.select("block", "places", "source", "factors")
-    again = factors.select(F.explode("missed").alias("hash")).distinct()
+    again = materialise(factors.select(F.explode("missed").alias("hash")).distinct())
     if not again.isEmpty():
         found = found.unionByName(_by_words(rows, again, span, bits))
     schema = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,length:long,source:long,position:long>>, text string"
-    return held.cogroup(found.groupBy("block")).applyInPandas(cut, schema)
+    return held.cogroup(found.groupBy("block")).applyInPandas(cut, schema).unionByName(alone.mapInArrow(whole, schema))
 
 
 def _by_words(rows: DataFrame, hashes: DataFrame, span: int, bits: int) -> DataFrame:
-    """(block, places, source, factors) of the windows with one of the hashes, compared by their words."""
+    """(block, places, source, factors) of the windows with one of the hashes, compared by their words.
+
+    Up to SENT hashes go to the tasks, which only write out windows that have one of them; more are joined.
+    """
+    sent = np.sort(np.array([r[0] for r in hashes.limit(SENT + 1).collect()], np.int64))
+    known = sent if len(sent) <= SENT else None
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for block, doc, mark, text in zip(*(batch[c] for c in ("block", "doc", "mark", "text"))):
-                words = _words(text)
-                out += [(block, doc, mark, i, int(h), _text(words[i : i + span])) for i, h in enumerate(_windows(text, span, bits).view(np.int64))]
+                found, words = _windows(text, span, bits).view(np.int64), None
+                for i in range(len(found)) if known is None else np.flatnonzero(np.isin(found, known)).tolist():
+                    words = words or _words(text)
+                    out.append((block, doc, mark, i, int(found[i]), _text(words[i : i + span])))
             yield pd.DataFrame(out, columns=["block", "doc", "mark", "start", "hash", "window"])
 
     all_ = rows.where("known").select("block", "doc", "mark", "text").mapInPandas(windows, "block int, doc long, mark long, start int, hash long, window string")

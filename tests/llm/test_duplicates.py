@@ -51,8 +51,9 @@ def split(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
-def test_substrings(spark):
-    for seed, block, bits in ((1, 6 << 20, 64), (2, 2000, 64), (3, 2000, 7)):
+def test_substrings(spark, monkeypatch):
+    for seed, block, bits, sent in ((1, 6 << 20, 64, 9), (2, 2000, 64, 9), (3, 2000, 7, 200_000), (3, 2000, 7, 0)):
+        monkeypatch.setattr(D, "SENT", sent)
         rows = documents(seed)
         first = {}
         for i, t in rows:
@@ -100,6 +101,11 @@ def test_substrings_of_odd_tables(spark):
     long = " ".join(f"w{i}" for i in range(20))
     found = sorted((tuple(r)[:3] for r in cut_repeats(table(spark, [(5, long), (5, long), (None, long), (9, long)])).collect()), key=str)
     assert found == sorted([(5, 20, 0), (5, 20, 0), (None, 20, 0), (9, 20, 20)], key=str)
+    # very many rows without an id or a text, and an id that a double can't hold
+    big = (1 << 53) + 1
+    found = cut_repeats(table(spark, [(None, long)] * 20_000 + [(7, None)] * 20_000 + [(big, None), (8, long), (big + 1, long)]), block_bytes=20_000)
+    got = found.groupBy("doc_id", "n_words", "n_removed", "text").count().collect()
+    assert {tuple(r) for r in got} == {(None, 20, 0, long, 20_000), (7, 0, 0, "", 20_000), (big, 0, 0, "", 1), (8, 20, 0, long, 1), (big + 1, 20, 20, "", 1)}
 
 
 def plain_lines(rows, run=3):
