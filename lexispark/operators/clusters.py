@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -109,28 +111,28 @@ def sites_to_patterns(clustered: DataFrame, threshold: int = 1) -> DataFrame:
     return clustered.select("cogid", "pos", "struct", F.col("pattern").alias("l_pattern")).join(pairs, ["struct", "l_pattern"]).select("cogid", "pos", "struct", F.col("r_pattern").alias("consensus"), "matches")
 
 
-def fuzziness(clustered: DataFrame, threshold: int = 1) -> DataFrame:
-    """One row: clusters that a site fits (see sites_to_patterns), per site that fits any; counted pattern by pattern."""
-    kinds = clustered.groupBy("struct", "pattern").agg(F.count("*").alias("n"))
+def fuzziness(clustered: DataFrame, threshold: int = 1, keys: Sequence[str] = ()) -> DataFrame:
+    """One row (or one for each value of keys, which must have structures of their own): clusters that a site fits (see sites_to_patterns), per site that fits any; counted pattern by pattern."""
+    kinds = clustered.groupBy(*keys, "struct", "pattern").agg(F.count("*").alias("n"))
     heads = clustered.select("struct", F.col("consensus").alias("pattern")).distinct()
     held = fitting(kinds, heads, {"heads": None}, threshold=threshold)
-    return held.join(kinds, ["struct", "pattern"]).agg((F.sum(F.col("heads") * F.col("n")) / F.sum("n")).alias("fuzziness"))
+    return held.join(kinds, ["struct", "pattern"]).groupBy(*keys).agg((F.sum(F.col("heads") * F.col("n")) / F.sum("n")).alias("fuzziness"))
 
 
-def purity(clustered: DataFrame, missing: str = MISSING) -> DataFrame:
-    """One row: over all clustered sites, how uniform the clusters of their neighbours in the site graph are.
+def purity(clustered: DataFrame, missing: str = MISSING, keys: Sequence[str] = ()) -> DataFrame:
+    """One row (or one for each value of keys, which must have structures of their own): over all clustered sites, how uniform the clusters of their neighbours in the site graph are.
 
     Per column sqrt(sum of squared counts of sounds) / neighbours, missing entries counted in the neighbours only; the
     mean over columns; a site without neighbours has 0. Sites of one pattern have the same neighbours but for
     themselves, so patterns are compared, with their numbers of sites, and no edge between sites is ever made.
     """
-    kinds = materialise(clustered.groupBy("struct", "pattern", "consensus").agg(F.count("*").alias("n")))
+    kinds = materialise(clustered.groupBy(*keys, "struct", "pattern", "consensus").agg(F.count("*").alias("n")))
     counts = sounds_of_fitting(kinds, kinds, "n", "consensus", but_itself=True, missing=missing)
     squares = F.sum(F.when(F.col("sound") != missing, F.col("weight") * F.col("weight")).otherwise(0))
     columns = counts.groupBy("struct", "pattern", "col").agg((F.sqrt(squares) / F.sum("weight")).alias("p"))
     per = columns.groupBy("struct", "pattern").agg(F.avg("p").alias("p"))
     joined = kinds.join(per, ["struct", "pattern"], "left")
-    return joined.agg((F.sum(F.coalesce("p", F.lit(0.0)) * F.col("n")) / F.sum("n")).alias("purity"))
+    return joined.groupBy(*keys).agg((F.sum(F.coalesce("p", F.lit(0.0)) * F.col("n")) / F.sum("n")).alias("purity"))
 
 
 def irregular_patterns(clustered: DataFrame, accepted: int = 2, limit: int = 1, missing: str = MISSING) -> DataFrame:
@@ -282,8 +284,8 @@ def predict_words(clustered: DataFrame, langs: list[str], samples: int = 3, miss
     return words.select("cogid", name.alias("doculect"), F.transform("w", lambda s: s["sound"]).alias("word"), "purity")
 
 
-def mean_site_score(sites: DataFrame, clustered: DataFrame, mode: str = "pairs") -> DataFrame:
-    """One row: the mean over sites of the score of their cluster; lone sites count 0."""
+def mean_site_score(sites: DataFrame, clustered: DataFrame, mode: str = "pairs", keys: Sequence[str] = ()) -> DataFrame:
+    """One row (or one for each value of keys, which must have structures of their own): the mean over sites of the score of their cluster; lone sites count 0."""
     keyed = clustered.withColumn("key", F.xxhash64("struct", "consensus"))
     scores = score_patterns(keyed, ["key"], mode)
-    return keyed.join(scores, "key").agg(F.avg(F.greatest("score", F.lit(0.0))).alias("score"))
+    return keyed.join(scores, "key").groupBy(*keys).agg(F.avg(F.greatest("score", F.lit(0.0))).alias("score"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,9 +76,9 @@ def coverage(words: DataFrame) -> DataFrame:
     return words.groupBy("doculect").agg(F.count_distinct("concept").alias("concepts"))
 
 
-def alphabet(words: DataFrame) -> DataFrame:
-    """(doculect, sounds): different sounds."""
-    return words.select("doculect", F.explode("tokens").alias("s")).groupBy("doculect").agg(F.count_distinct("s").alias("sounds"))
+def alphabet(words: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, doculect, sounds): different sounds."""
+    return words.select(*keys, "doculect", F.explode("tokens").alias("s")).groupBy(*keys, "doculect").agg(F.count_distinct("s").alias("sounds"))
 
 
 def structure_summary(clustered: DataFrame) -> DataFrame:
@@ -85,19 +87,19 @@ def structure_summary(clustered: DataFrame) -> DataFrame:
     return sizes.groupBy("struct").agg(F.count_if(F.col("size") > 1).alias("regular"), F.count_if(F.col("size") == 1).alias("singletons"))
 
 
-def dataset_summary(clustered: DataFrame) -> DataFrame:
-    """One row: sites, patterns, singletons, and the share of sites that aren't singletons."""
-    sizes = clustered.groupBy("struct", "consensus").agg(F.count("*").alias("size"))
-    return sizes.agg(F.sum("size").alias("sites"), F.count("*").alias("patterns"), F.count_if(F.col("size") == 1).alias("singletons")).withColumn("coverage", (F.col("sites") - F.col("singletons")) / F.col("sites"))
+def dataset_summary(clustered: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One row (or one for each value of keys): sites, patterns, singletons, and the share of sites that aren't singletons."""
+    sizes = clustered.groupBy(*keys, "struct", "consensus").agg(F.count("*").alias("size"))
+    return sizes.groupBy(*keys).agg(F.sum("size").alias("sites"), F.count("*").alias("patterns"), F.count_if(F.col("size") == 1).alias("singletons")).withColumn("coverage", (F.col("sites") - F.col("singletons")) / F.col("sites"))
 
 
-def hit_rate(predicted: DataFrame, gold: DataFrame) -> DataFrame:
-    """(doculect, accuracy, words) from predicted (cogid, doculect, word) and gold (cogid, doculect, alignment).
+def hit_rate(predicted: DataFrame, gold: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, doculect, accuracy, words) from predicted (keys, cogid, doculect, word) and gold (cogid, doculect, alignment).
 
     A position whose k-th alternative is right scores 1/k; the mean over positions, then over words.
     """
     both = predicted.join(gold, ["cogid", "doculect"])
-    cells = both.select("cogid", "doculect", F.posexplode(F.arrays_zip(F.col("word").alias("p"), F.col("alignment").alias("g"))).alias("pos", "c"))
+    cells = both.select(*keys, "cogid", "doculect", F.posexplode(F.arrays_zip(F.col("word").alias("p"), F.col("alignment").alias("g"))).alias("pos", "c"))
     at = F.array_position(F.split("c.p", r"\|"), F.col("c.g"))
-    words = cells.groupBy("cogid", "doculect").agg(F.avg(F.when(at > 0, 1 / at).otherwise(0.0)).alias("score"))
-    return words.groupBy("doculect").agg(F.avg("score").alias("accuracy"), F.count("*").alias("words"))
+    words = cells.groupBy(*keys, "cogid", "doculect").agg(F.avg(F.when(at > 0, 1 / at).otherwise(0.0)).alias("score"))
+    return words.groupBy(*keys, "doculect").agg(F.avg("score").alias("accuracy"), F.count("*").alias("words"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,10 +110,10 @@ def site_degrees(sites: DataFrame, missing: str = MISSING, gap: str = GAP) -> Da
     return sites.select("cogid", "pos", "struct", "pattern").join(near, ["struct", "pattern"]).select("cogid", "pos", "neighbours")
 
 
-def density(words: DataFrame, ref: str = "cogid") -> DataFrame:
-    """One row: 1 - the mean over concepts of distinct cognate sets per word."""
-    per = words.groupBy("concept").agg((F.count_distinct(ref) / F.count("*")).alias("share"))
-    return per.agg((1 - F.avg("share")).alias("density"))
+def density(words: DataFrame, ref: str = "cogid", keys: Sequence[str] = ()) -> DataFrame:
+    """One row (or one for each value of keys): 1 - the mean over concepts of distinct cognate sets per word."""
+    per = words.groupBy(*keys, "concept").agg((F.count_distinct(ref) / F.count("*")).alias("share"))
+    return per.groupBy(*keys).agg((1 - F.avg("share")).alias("density"))
 
 
 def score_patterns(rows: DataFrame, keys: list[str], mode: str = "coverage", pattern: str = "pattern", missing: str = MISSING) -> DataFrame:
@@ -170,13 +172,14 @@ def consensus(rows: DataFrame, keys: list[str], pattern: str = "pattern", missin
     )
 
 
-def upper_bound(sites: DataFrame, missing: str = MISSING) -> DataFrame:
+def upper_bound(sites: DataFrame, missing: str = MISSING, keys: Sequence[str] = ()) -> DataFrame:
     """One row: the largest number of sites that conflict with a site (mismatch or other structure), among those that
     have a partner of their structure without a mismatch.
 
-    A pattern is a partner of its own copies.
+    A pattern is a partner of its own copies. With keys, each of whose values has structures of its own, a row for each.
     """
-    kinds = materialise(sites.groupBy("struct", "pattern").agg(F.count("*").alias("n")))
-    fine = fitting(kinds, kinds, {"fine": "n"}, threshold=0, missing=missing)
-    total = kinds.agg(F.sum("n").alias("total"))
-    return fine.where("fine > 1").join(total).agg(F.max(F.col("total") - F.col("fine")).alias("upper_bound"))
+    kinds = materialise(sites.groupBy(*keys, "struct", "pattern").agg(F.count("*").alias("n")))
+    fine = fitting(kinds, kinds, {"fine": "n"}, threshold=0, missing=missing).where("fine > 1")
+    total = kinds.groupBy(*keys).agg(F.sum("n").alias("total"))
+    both = fine.join(kinds.select(*keys, "struct").distinct(), "struct").join(total, list(keys)) if keys else fine.join(total)
+    return both.groupBy(*keys).agg(F.max(F.col("total") - F.col("fine")).alias("upper_bound"))
