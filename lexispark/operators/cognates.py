@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -114,6 +116,42 @@ def merged(a: list[list[str]], b: list[list[str]], missing: str = MISSING, gap:
     return [list(r) for r in zip(*out)]
 
 
+def absorbed(sets: list[list[list[str]]], missing: str = MISSING, gap: str = GAP) -> list[int]:
+    """For expanded alignments in order, the place of the one that takes each in: the first that is left takes in, in order, the later
+    ones that share a word with what it has become by then and differ in none.
+
+    What may share a word is looked up by doculect and word, so a set is compared with those alone.
+    """
+
+    def words(rows: list[list[str]]) -> set[tuple]:
+        return {(k, tuple(s for s in r if s != gap)) for k, r in enumerate(rows) if missing not in r}
+
+    index: dict[tuple, list[int]] = {}
+    for at, rows in enumerate(sets):
+        for w in words(rows):
+            index.setdefault(w, []).append(at)
+    heads = [-1] * len(sets)
+    for head, rows in enumerate(sets):
+        if heads[head] >= 0:
+            continue
+        heads[head], asked, queue, waiting, at = head, set(), set(), [], head
+        while True:
+            for w in words(rows) - asked:
+                asked.add(w)
+                for other in index[w] if w in index else ():
+                    if other > at and heads[other] < 0 and other not in queue:
+                        queue.add(other)
+                        heapq.heappush(waiting, other)
+            grown = False
+            while waiting and not grown:
+                at = heapq.heappop(waiting)
+                if shared_words(rows, sets[at], missing, gap) >= 1:
+                    rows, heads[at], grown = merged(rows, sets[at], missing, gap), head, True
+            if not grown:
+                break
+    return heads
+
+
 def colexified(morphemes: DataFrame, langs: list[str], ref: str = "crossid", missing: str = MISSING) -> DataFrame:
     """The morphemes with a column for the cognate set that takes theirs in across meanings.
 
@@ -132,20 +170,9 @@ def colexified(morphemes: DataFrame, langs: list[str], ref: str = "crossid", mis
 
     def absorb(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["refs", "cogid"], ascending=[False, True])
-        queue = [(c, [list(r) for r in rows]) for c, rows in zip(frame["cogid"], frame["rows"])]
-        out = []
-        while queue:
-            head, rows = queue.pop(0)
-            out.append((head, head))
-            rest = []
-            for other, more in queue:
-                if shared_words(rows, more, missing) >= 1:
-                    rows = merged(rows, more, missing)
-                    out.append((other, head))
-                else:
-                    rest.append((other, more))
-            queue = rest
-        return pd.DataFrame(out, columns=["cogid", "taken"])
+        ids = frame["cogid"].tolist()
+        heads = absorbed([[list(r) for r in rows] for rows in frame["rows"]], missing)
+        return pd.DataFrame({"cogid": ids, "taken": [ids[h] for h in heads]})
 
     heads = materialise(kinds.groupBy("component").applyInPandas(absorb, "cogid long, taken long"))
     heads = kinds.withColumnRenamed("cogid", "kind").join(heads.withColumnRenamed("cogid", "kind"), "kind")
