@@ -38,16 +38,20 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Like materialise, but as Parquet, so that later readers can skip columns they don't need.
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else has.
 
     The tables of an application lie in one folder, spark-<application id>, which goes with a temporary folder at exit; in
     a folder that was set, it is left to whoever set it, as a result may still be read from there.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/spark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/spark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Like materialise, but as Parquet (see new_path), so that later readers can skip columns they don't need."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Most rows of a table that is sent to every executor.

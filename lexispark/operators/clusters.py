@@ -4,98 +4,71 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions.numbering import number_rows
 from lexispark.functions.sequences import GAP, MISSING, mismatches
 from lexispark.functions.storage import materialise
+from lexispark.operators.cover import BLOCK, greedy_cover
 from lexispark.operators.fits import fitting, sounds_of_fitting
 from lexispark.operators.sites import compatible_pairs, score_patterns
 
 
-def _cover(codes: np.ndarray, gap: int, order: np.ndarray, threshold: int) -> list[tuple[list[int], np.ndarray]]:
-    """Greedy cover: the first pattern takes in every later one that fits what it has become, then the next, and so on.
-
-    So each pattern goes to the first head before it that it fits: patterns times heads, all heads at once. 0 is missing.
-    """
-    heads, taken = np.zeros((64, codes.shape[1]), codes.dtype), []
-    for i in order:
-        row, now = codes[i], heads[: len(taken)]
-        same = now == row
-        known = (now > 0) & (row > 0)
-        fits = (same | ~known).all(1) & ((same & known & (row != gap)).sum(1) >= threshold)
-        at = int(fits.argmax()) if len(taken) else 0
-        if len(taken) and fits[at]:
-            heads[at] = np.where(now[at] > 0, now[at], row)
-            taken[at].append(i)
-            continue
-        if len(taken) == len(heads):
-            heads = np.concatenate([heads, np.zeros_like(heads)])
-        heads[len(taken)] = row
-        taken.append([i])
-    return [(m, heads[k]) for k, m in enumerate(taken)]
-
-
-def _fill_score(rows: np.ndarray, weights: np.ndarray, mode: str) -> float:
-    """score_patterns of one cluster whose different patterns come with numbers of sites; they never conflict here."""
-    n, width = int(weights.sum()), rows.shape[1]
-    if n <= 1:
-        return -1.0
-    full = rows > 0
-    fill, columns = full.sum(1), (full * weights[:, None]).sum(0)
-    if mode == "coverage":
-        return columns.sum() / width / n
-    if mode == "ranked":
-        ranks = np.arange(width, 0, -1)
-        return (np.sort(columns)[::-1] * ranks).sum() / ranks.sum() / n
-    if mode == "squared":
-        return float(((fill / width) ** 2 * weights).sum() / n)
-    pairs = (fill * (fill - 1) / 2 * weights).sum() + (columns * (columns - 1) / 2).sum()
-    return pairs / n / max(1, (columns > 0).sum()) / width
-
-
-def cluster_sites(sites: DataFrame, threshold: int = 1, mode: str = "pairs", missing: str = MISSING, gap: str = GAP) -> DataFrame:
+def _fill_score(mode: str, width: int) -> Column:
+    """score_patterns of a cluster from what _fill sums up; its patterns never conflict. -1 for a lone site."""
+    ranks = F.sequence(F.lit(1), F.lit(width))
+    weighed = F.aggregate(F.zip_with(F.array_sort("filled"), ranks, lambda a, b: a * b), F.lit(0).cast("long"), lambda a, x: a + x)
+    cells = F.aggregate("filled", F.lit(0).cast("long"), lambda a, x: a + x)
+    pairs = F.col("row_pairs") + F.aggregate("filled", F.lit(0.0), lambda a, x: a + x * (x - 1) / 2)
+    score = {
+        "coverage": cells / F.lit(width) / F.col("n"),
+        "ranked": weighed / F.lit(width * (width + 1) // 2) / F.col("n"),
+        "squared": F.col("squares") / F.lit(width * width) / F.col("n"),
+        "pairs": pairs / F.col("n") / F.greatest(F.lit(1), F.size(F.filter("filled", lambda x: x > 0))) / F.lit(width),
+    }[mode]
+    return F.when(F.col("n") <= 1, -1.0).otherwise(score)
+
+
+def _fill(missing: str) -> list[Column]:
+    """Sums over the sites of a pattern that score a cluster: sites by filled column, pairs of filled cells, squared fill."""
+    fill = F.size(F.filter("pattern", lambda x: x != missing)).cast("long")
+    return [
+        F.transform("pattern", lambda x: F.when(x != missing, F.col("n")).otherwise(F.lit(0))).alias("filled"),
+        (fill * (fill - 1) / 2 * F.col("n")).alias("row_pairs"),
+        (fill * fill * F.col("n")).alias("squares"),
+    ]
+
+
+def cluster_sites(sites: DataFrame, threshold: int = 1, mode: str = "pairs", missing: str = MISSING, gap: str = GAP, block: int = BLOCK) -> DataFrame:
     """(cogid, pos, struct, pattern, consensus): each site with the consensus of the cluster it falls into.
 
-    Clusters never mix structures, so structures are dealt out; a task sees the different patterns of one, each once with
-    its number of sites, not the sites. Within a structure, patterns start sorted by (score, size) downwards, ties by the
-    smallest (cogid, pos); the head takes in, in order, all that fit the consensus it has grown to; then the next head.
-    Passes repeat until no two clusters fit by the same threshold. Clusters that end with equal consensus are one.
+    Clusters never mix structures. Within a structure, patterns start sorted by (score, size) downwards, ties by the
+    smallest (cogid, pos); the head takes in, in order, all that fit the consensus it has grown to; then the next head
+    (greedy_cover, in blocks). Passes repeat, ties going by the order of heads, until no two clusters fit by the same threshold.
+    Clusters that end with equal consensus are one. Each different pattern counts once with its number of sites, and what
+    scores a cluster is summed up, so no task sees sites, members or a whole structure.
     """
     if mode not in ("ranked", "pairs", "squared", "coverage"):
         raise ValueError("mode must be ranked, pairs, squared or coverage")
+    sites = materialise(sites.select("cogid", "pos", "struct", "pattern"))
     kinds = sites.groupBy("struct", "pattern").agg(F.count("*").alias("n"), F.min(F.struct("cogid", "pos")).alias("first"))
-    kinds = kinds.select("struct", F.array_join("pattern", "\t").alias("pattern"), "n", "first.cogid", "first.pos")
-
-    def cover(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["cogid", "pos"], kind="stable").reset_index(drop=True)
-        rows = [p.split("\t") for p in frame["pattern"]]
-        names = sorted({x for r in rows for x in r} - {missing, gap})
-        code = {missing: 0, gap: 1} | {x: i + 2 for i, x in enumerate(names)}
-        base = np.array([[code[x] for x in r] for r in rows])
-        weights = frame["n"].to_numpy()
-        members, heads = [[i] for i in range(len(rows))], base
-        while True:
-            score = [(_fill_score(base[m], weights[m], mode), weights[m].sum()) for m in members]
-            order = np.array(sorted(range(len(members)), key=lambda i: (-score[i][0], -score[i][1])), int)
-            found = _cover(heads, 1, order, threshold)
-            joined: dict[tuple, list[int]] = {}
-            for taken, now in found:
-                joined.setdefault(tuple(now), []).extend(j for i in taken for j in members[i])
-            stable = len(joined) == len(members)
-            heads, members = np.array(list(joined), base.dtype), list(joined.values())
-            if stable:
-                break
-        back = {v: k for k, v in code.items()}
-        out = [(frame["struct"].iloc[0], frame["pattern"].iloc[i], "\t".join(back[c] for c in head)) for head, m in zip(heads.tolist(), members) for i in m]
-        return pd.DataFrame(out, columns=["struct", "pattern", "consensus"])
-
-    made = kinds.groupBy("struct").applyInPandas(cover, "struct string, pattern string, consensus string")
-    made = made.select("struct", F.split("pattern", "\t").alias("pattern"), F.split("consensus", "\t").alias("consensus"))
-    return sites.join(made, ["struct", "pattern"]).select("cogid", "pos", "struct", "pattern", "consensus")
+    now = materialise(kinds.select("struct", "pattern", "n", F.struct("first.cogid", "first.pos").alias("tie"), *_fill(missing)))
+    of = now.select("struct", "pattern", F.col("pattern").alias("consensus"))
+    before, width = now.agg(F.count("*"), F.max(F.size("pattern"))).first()
+    while before:
+        ranked = now.withColumns({"score": -_fill_score(mode, width), "size": -F.col("n")})
+        placed, heads = greedy_cover(ranked, ["score", "size", "tie"], threshold, missing, gap, block)
+        step = materialise(placed.join(heads, ["struct", "stage", "head"]).select("struct", "pattern", "consensus", F.struct("stage", "head").alias("tie")))
+        filled = F.array(*[F.sum(F.get("filled", F.lit(i))) for i in range(width)]).alias("filled")
+        merged = now.drop("tie").join(step, ["struct", "pattern"]).groupBy("struct", "consensus")
+        now = materialise(merged.agg(F.sum("n").alias("n"), F.min("tie").alias("tie"), filled, F.sum("row_pairs").alias("row_pairs"), F.sum("squares").alias("squares")).withColumnRenamed("consensus", "pattern"))
+        left = now.count()
+        if left == before:
+            break
+        before = left
+        of = materialise(of.withColumnRenamed("consensus", "was").join(step.select("struct", F.col("pattern").alias("was"), "consensus"), ["struct", "was"]).select("struct", "pattern", "consensus"))
+    return sites.join(of, ["struct", "pattern"]).select("cogid", "pos", "struct", "pattern", "consensus")
 
 
 def clusters(clustered: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from lexispark.operators import fits as T
 from lexispark.operators import metrics as M
 from lexispark.operators import sites as S
 from lexispark.operators.components import connected_components
+from lexispark.operators.cover import take_in
 from lexispark.operators.prepare import add_structure
 from lexispark.sources.wordlists import doculects, morphemes, wordlist_from_rows, write_tsv, read_wordlist
 
@@ -165,17 +166,60 @@ def naive_clusters(sites, threshold=1):
     return sorted(out)
 
 
-def test_clusters_against_plain_cover(spark):
-    rng = random.Random(4)
+def random_sites(seed, n=120):
+    rng = random.Random(seed)
     rows = []
-    for i in range(120):
+    for i in range(n):
         base = [rng.choice("abc") for _ in range(6)]
         rows.append((rng.choice("cv"), (i, 0), tuple(MISSING if rng.random() < 0.4 else GAP if rng.random() < 0.1 else x for x in base)))
-    rows = [r for r in rows if set(r[2]) != {MISSING}]
+    return [r for r in rows if set(r[2]) != {MISSING}]
+
+
+@pytest.mark.parametrize("block, threshold", [(K.BLOCK, 1), (K.BLOCK, 2), (7, 1), (20, 2)])
+def test_clusters_against_plain_cover(spark, block, threshold):
+    """The same clusters, site by site, whatever the size of blocks and stages."""
+    rows = random_sites(4)
     sites = spark.createDataFrame([(k[0], k[1], s, list(p)) for s, k, p in rows], "cogid long, pos int, struct string, pattern array<string>")
-    found = K.cluster_sites(sites)
+    found = K.cluster_sites(sites, threshold, block=block).cache()
     got = sorted((r.struct, tuple(r.consensus), r.size) for r in K.clusters(found).collect())
-    assert got == naive_clusters(rows)
+    assert got == naive_clusters(rows, threshold)
+    for r in found.collect():
+        assert all(x in (MISSING, y) for x, y in zip(r.pattern, r.consensus))
+    assert found.count() == len(rows)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_stages_and_blocks_take_in_as_one_by_one(seed):
+    """Blocks that meet the stages in order leave the heads, and each pattern at the head, that one long run does."""
+    rng = np.random.default_rng(seed)
+    codes, size = rng.integers(0, 4, (150, 5)), int(rng.integers(1, 40))
+    heads, places = take_in(codes, codes[:0], len(codes), 1)
+    stages, found = [], np.full(len(codes), -1)
+    for low in range(0, len(codes), size):
+        left = np.arange(low, min(low + size, len(codes)))
+        for s in range(len(codes)):
+            if not len(left):
+                break
+            if s == len(stages):
+                stages.append(codes[:0])
+            stages[s], at = take_in(codes[left], stages[s], size, 1)
+            found[left[at >= 0]] = s * size + at[at >= 0]
+            left = left[at < 0]
+    assert (np.concatenate(stages) == heads).all() and (found == places).all()
+
+
+@pytest.mark.parametrize("mode", ["ranked", "pairs", "squared", "coverage"])
+def test_clusters_are_ordered_by_their_score(spark, mode):
+    """What is summed up for a cluster scores it as all its patterns do."""
+    rows = random_sites(5, 80)
+    sites = spark.createDataFrame([(k[0], k[1], s, list(p)) for s, k, p in rows], "cogid long, pos int, struct string, pattern array<string>")
+    found = K.cluster_sites(sites, mode=mode).cache()
+    want = {(r.struct, tuple(r.consensus)): r.score for r in S.score_patterns(found, ["struct", "consensus"], mode).collect()}
+    kinds = found.groupBy("struct", "consensus", "pattern").agg(F.count("*").alias("n")).select("*", *K._fill(MISSING))
+    filled = F.array(*[F.sum(F.get("filled", F.lit(i))) for i in range(6)]).alias("filled")
+    sums = kinds.groupBy("struct", "consensus").agg(F.sum("n").alias("n"), filled, F.sum("row_pairs").alias("row_pairs"), F.sum("squares").alias("squares"))
+    got = {(r.struct, tuple(r.consensus)): r.s for r in sums.select("struct", "consensus", K._fill_score(mode, 6).alias("s")).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
 def pairs_that_fit(rows, threshold=1):
