@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lexispark.functions.numbering import number_rows
 from lexispark.functions.sequences import GAP, MISSING
-from lexispark.functions.storage import materialise, new_path
+from lexispark.functions.storage import new_path
 
 #: Patterns of a block, and heads of a stage.
 BLOCK = 4_096
@@ -55,7 +55,9 @@ def greedy_cover(patterns: DataFrame, order: list[str], threshold: int = 1, miss
     numbered = number_rows(patterns.select("struct", "pattern", *order), ["struct", *order], start=0)
     first = numbered.groupBy("struct").agg(F.min("number").alias("first"))
     numbered = numbered.join(first, "struct").select("struct", (F.col("number") - F.col("first")).alias("number"), "pattern")
-    numbered = materialise(numbered.withColumn("block", F.floor(F.col("number") / block)))
+    path = new_path(spark, "cover")
+    numbered.withColumn("block", F.floor(F.col("number") / block)).write.partitionBy("block").parquet(f"{path}/blocks")  # a round reads its own
+    numbered = spark.read.schema("struct string, number long, pattern array<string>, block long").parquet(f"{path}/blocks")
     structs, last = numbered.agg(F.count_distinct("struct"), F.max("block")).first()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -75,18 +77,18 @@ def greedy_cover(patterns: DataFrame, order: list[str], threshold: int = 1, miss
         ]
         return pd.concat([x for x in out if len(x)]).assign(struct=struct)[["struct", "stage", "number", "head", "pattern", "kind"]]
 
-    path, at, standing = new_path(spark, "cover"), 0, None
+    at, standing = 0, None
     while True:
         rows = numbered.where(F.col("block") == at).select("struct", F.lit(0).alias("stage"), "number", F.lit(-1).cast("long").alias("head"), "pattern", F.lit(_PASSED).alias("kind"))
         rows = rows.unionByName(standing) if standing is not None else rows
         tasks = max(1, min(parts, structs * (at + 1)))
         done = rows.repartition(tasks, "struct", "stage").groupBy("struct", "stage").applyInPandas(work, f"{_ROWS}, kind int")
-        done.write.partitionBy("kind").parquet(f"{path}/round={at}")
-        found = spark.read.schema(f"{_ROWS}, kind int").parquet(f"{path}/round={at}")
+        done.write.partitionBy("kind").parquet(f"{path}/rounds/round={at}")
+        found = spark.read.schema(f"{_ROWS}, kind int").parquet(f"{path}/rounds/round={at}")
         standing, at = found.where(F.col("kind") != _TAKEN), at + 1
         if at > (last or 0) and standing.where(F.col("kind") == _PASSED).isEmpty():
             break
-    every = spark.read.schema(f"{_ROWS}, round int, kind int").parquet(path)
+    every = spark.read.schema(f"{_ROWS}, round int, kind int").parquet(f"{path}/rounds")
     taken = every.where(F.col("kind") == _TAKEN).select("struct", "number", "stage", "head")
     heads = found.where(F.col("kind") == _HEAD).select("struct", "stage", F.col("number").alias("head"), F.col("pattern").alias("consensus"))
     return numbered.join(taken, ["struct", "number"]).select("struct", "pattern", "stage", "head"), heads
