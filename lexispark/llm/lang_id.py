@@ -383,7 +383,8 @@ def held_out(doc_id: Column) -> Column:
 def training_chains(docs: DataFrame, per_language: int = DOCS, per_doc: int = CHAINS) -> list[tuple[str, list[str]]]:
     """A bounded sample of labelled documents that aren't held out, as chains spread over each whole text.
 
-    Every language gets into it, a rare one with all its documents; the driver holds a count for each.
+    Every language gets into it, a rare one with all its documents; the driver holds a count for each. Documents are drawn by
+    id and text together, and rows equal in both are one, so neither an id nor a text that stands often brings more.
     """
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -391,7 +392,7 @@ def training_chains(docs: DataFrame, per_language: int = DOCS, per_doc: int = CH
         return []
     wanted = min(per_language, max(FEWEST, SHARED // len(counts)))
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, wanted / n))]), F.col("lang"))
-    picked = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share
+    picked = F.pmod(F.xxhash64("doc_id", "text", F.lit("train")), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share
 
     def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -404,7 +405,7 @@ def training_chains(docs: DataFrame, per_language: int = DOCS, per_doc: int = CH
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string())))], ["doc_id", "lang", "s", "words"])
 
     found = rows.where(picked).select("doc_id", "lang", "text").mapInArrow(chains, "doc_id long, lang string, s long, words array<string>")
-    return [(r.lang, list(r.words)) for r in sorted(found.collect(), key=lambda r: (r.doc_id, r.s))]
+    return [(r.lang, list(r.words)) for r in sorted(found.distinct().collect(), key=lambda r: (r.doc_id, r.s, r.lang, r.words))]
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -78,6 +78,18 @@ def test_language_accuracy(spark, docs):
     assert right[1] > 150 and right[0] > 0.97
 
 
+@pytest.mark.parametrize("ids", ["one", "many"])
+def test_sample_of_much_repeated_rows(spark, ids):
+    """Very many rows of one id, with one text or with texts of their own, bring no more than the sample's bound."""
+    own = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("word number "), F.col("id") if ids == "many" else F.lit("")).alias("text"), F.lit("xx").alias("lang"))
+    rest = spark.range(10, 30).select(F.col("id").alias("doc_id"), F.concat(F.lit("other text "), "id").alias("text"), F.lit("yy").alias("lang"))
+    docs = own.unionByName(rest).withColumn("source", F.lit("s"))
+    found = L.training_chains(docs, per_language=50)
+    assert len([x for x, _ in found if x == "xx"]) <= (1 if ids == "one" else 100) and found == L.training_chains(docs.repartition(3), per_language=50)
+    free = {r.doc_id for r in rest.where(~L.held_out(F.col("doc_id"))).collect()}
+    assert sum(x == "yy" for x, _ in found) == len(free)
+
+
 def test_language_of_switched_text():
     de, en = [["der", "hund", "schläft", "nicht", "und", "ich"]] * 8, [["the", "dog", "sleeps", "where", "and", "why"]] * 8
     model = L.train([("de", w) for w in de] + [("en", w) for w in en])
