@@ -43,7 +43,7 @@ def skeletons(morphemes: DataFrame, gap: str = GAP) -> DataFrame:
     """(cogid, skeleton): per alignment column the class of its first sound (+ if none), as an array."""
     rows = morphemes.select("cogid", "id", F.posexplode("alignment").alias("pos", "x"))
     first = rows.groupBy("cogid", "pos").agg(F.min_by("x", F.when(F.col("x") != gap, F.col("id"))).alias("x"))
-    kind = F.coalesce(sound_class(F.col("x")), F.lit("+"))
+    kind = F.when(F.col("x").isNull(), "+").otherwise(sound_class(F.col("x")))
     columns = first.groupBy("cogid").agg(F.array_sort(F.collect_list(F.struct("pos", kind.alias("c")))).alias("s"))
     return columns.select("cogid", F.transform("s", lambda s: s["c"]).alias("skeleton"))
 

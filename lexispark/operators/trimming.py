@@ -15,7 +15,7 @@ def site_table(alignments: DataFrame, gap: str = GAP) -> DataFrame:
     rows = alignments.select("cogid", "id", F.posexplode("alignment").alias("pos", "x"))
     first = F.min_by("x", F.when(F.col("x") != gap, F.col("id")))
     out = rows.groupBy("cogid", "pos").agg(F.avg((F.col("x") == gap).cast("int")).alias("ratio"), first.alias("x"))
-    return out.select("cogid", "pos", "ratio", F.coalesce(sound_class(F.col("x")), F.lit("+")).alias("class"))
+    return out.select("cogid", "pos", "ratio", F.when(F.col("x").isNull(), "+").otherwise(sound_class(F.col("x"))).alias("class"))
 
 
 def kept_sites(sites: DataFrame, strategy: str = "gap-oriented", threshold: float = 0.5, skeletons: tuple[str, ...] = ("CV", "VC"), strict: bool = True, exclude: str = "_+") -> DataFrame:

@@ -50,6 +50,15 @@ def test_trimming(spark, matrix, options, first):
     assert " ".join(got.alignment) == first
 
 
+def test_columns_of_gaps_are_markers(spark):
+    """A column without a sound always goes, also where no skeleton is left to keep."""
+    rows = rows_of(spark, ["xl-"])
+    assert [r["class"] for r in trimming.site_table(rows).orderBy("pos").collect()] == ["C", "C", "+"]
+    assert prepare.skeletons(rows).first()["skeleton"] == ["C", "C", "+"]
+    for found in (trimming.trim(rows), trimming.trim(rows, "core-oriented"), trimming.trim_random(rows)):
+        assert found.first()["alignment"] == ["x", "l"]
+
+
 def test_random_trimming_keeps_classes(spark):
     rows = rows_of(spark, ["toxta-", "to-tir", "to-t-r", "do--ar"])
     classes = lambda df: sorted(r["class"] for r in trimming.site_table(df).collect())
