@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 GAP, MISSING, UNKNOWN = "-", "Ø", "?"
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where value is computed once: what stands in a lambda is otherwise computed for each item, wherever it stands."""
+    return F.transform(F.array(value), f)[0]
+
+
 def second_of_slash(sound: Column) -> Column:
     """The part after the first slash of a/b; a sound without a slash as it is."""
     parts = F.split(sound, "/")
@@ -85,8 +92,9 @@ def bleu(word: Column, reference: Column, n: int = 4, weights: list[float] | Non
 
 def spread_classes(structure: Column, alignment: Column, gap: str = GAP) -> Column:
     """Classes of the ungapped sounds laid out over the alignment; gaps stay gaps."""
-    filled = lambda i: F.size(F.filter(F.slice(alignment, 1, i + 1), lambda x: x != gap))
-    return F.transform(alignment, lambda x, i: F.when(x == gap, gap).otherwise(F.get(structure, filled(i) - 1)))
+    filled = lambda a, i: F.size(F.filter(F.slice(a, 1, i + 1), lambda x: x != gap))
+    laid = lambda a, s: F.transform(a, lambda x, i: F.when(x == gap, gap).otherwise(F.get(s, filled(a, i) - 1)))
+    return bound(alignment, lambda a: bound(structure, lambda s: laid(a, s)))
 
 
 def template_places(structure: Column, template: str) -> Column:

@@ -83,3 +83,16 @@ def test_classes(spark):
     with pytest.raises(ValueError):
         structure(arr("a"), "none")
     assert value(spark, S.spread_classes(arr("c v"), arr("p - a"))) == ["c", "-", "v"]
+
+
+def test_sonority_is_looked_up_once(spark):
+    """Letters of a long word come from one pass over its sounds, also where they are laid out over an alignment."""
+    import time
+
+    n, begun = 300, time.time()
+    tokens = F.array(*[F.lit(x) for x in "spa" * (n // 3)])
+    laid = value(spark, S.spread_classes(prosody(F.transform(tokens, lambda x: x)), F.concat(F.array(F.lit("-")), tokens)))
+    assert laid == ["-", *"CCV", *"cCV" * (n // 3 - 1)]
+    assert time.time() - begun < 60
+    plan = spark.range(1).select(prosody(F.split("id", "")).alias("p"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace") == 1
