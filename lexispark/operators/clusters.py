@@ -225,14 +225,18 @@ def pattern_table(morphemes: DataFrame, clustered: DataFrame, langs: list[str],
     return out.orderBy(F.desc("structure"), F.desc(langs[at]), F.desc("frequency"), "id")
 
 
+def _votes(clustered: DataFrame, missing: str = MISSING) -> DataFrame:
+    """(struct, pattern, lang, sound, weight): for each missing entry of the different patterns what fitting clusters propose."""
+    sizes = clusters(clustered).select("struct", F.col("consensus").alias("pattern"), "size")
+    return sounds_of_fitting(clustered, sizes, "size", filled=True, missing=missing).withColumnRenamed("col", "lang")
+
+
 def ranked_predictions(clustered: DataFrame, langs: list[str], missing: str = MISSING) -> DataFrame:
     """(cogid, pos, lang, sound, weight): for each missing entry of a site the sounds that fitting clusters propose.
 
     A cluster of the site's structure counts with its size if it matches, doesn't conflict, and fills any missing entry.
     """
-    sizes = clusters(clustered).select("struct", F.col("consensus").alias("pattern"), "size")
-    votes = sounds_of_fitting(clustered, sizes, "size", filled=True, missing=missing).withColumnRenamed("col", "lang")
-    return clustered.select("cogid", "pos", "struct", "pattern").join(votes, ["struct", "pattern"]).select("cogid", "pos", "lang", "sound", "weight")
+    return clustered.select("cogid", "pos", "struct", "pattern").join(_votes(clustered, missing), ["struct", "pattern"]).select("cogid", "pos", "lang", "sound", "weight")
 
 
 def predict_words(clustered: DataFrame, langs: list[str], samples: int = 3, missing: str = MISSING) -> DataFrame:
@@ -240,21 +244,29 @@ def predict_words(clustered: DataFrame, langs: list[str], samples: int = 3, miss
 
     Position purity is sqrt(sum of squared shares of the proposed sounds), 0 without any (then Ø); ties by sound.
     """
-    best = Window.partitionBy("cogid", "pos", "lang").orderBy(F.desc("weight"), "sound")
-    votes = ranked_predictions(clustered, langs, missing)
-    share = F.col("weight") / F.sum("weight").over(Window.partitionBy("cogid", "pos", "lang"))
-    votes = votes.withColumn("share", share).withColumn("rank", F.row_number().over(best))
-    cells = votes.groupBy("cogid", "pos", "lang").agg(
+    return predict_samples(clustered, langs, {"word": samples}, missing)
+
+
+def predict_samples(clustered: DataFrame, langs: list[str], samples: dict[str, int], missing: str = MISSING) -> DataFrame:
+    """(cogid, doculect, words, purity): as predict_words, with a column for each number of sounds asked for.
+
+    What is proposed depends on the pattern alone, so it is ranked once for all sites with that pattern.
+    """
+    entry = ["struct", "pattern", "lang"]
+    share = F.col("weight") / F.sum("weight").over(Window.partitionBy(*entry))
+    votes = _votes(clustered, missing).withColumn("share", share).withColumn("rank", F.row_number().over(Window.partitionBy(*entry).orderBy(F.desc("weight"), "sound")))
+    best = lambda n: F.array_sort(F.collect_list(F.when(F.col("rank") <= n, F.struct("rank", "sound"))))
+    cells = votes.groupBy(*entry).agg(
         F.sqrt(F.sum(F.col("share") * F.col("share"))).alias("purity"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= samples, F.struct("rank", "sound")))), lambda s: s["sound"]), "|").alias("sound"),
+        *(F.array_join(F.transform(best(n), lambda s: s["sound"]), "|").alias(name) for name, n in samples.items()),
     )
     wide = clustered.select("cogid", "pos", F.posexplode("pattern").alias("lang", "sound"))
     absent = wide.groupBy("cogid", "lang").agg(F.max(F.col("sound") != missing).alias("there")).where("not there").select("cogid", "lang")
-    slots = clustered.select("cogid", "pos").join(absent, "cogid").join(cells, ["cogid", "pos", "lang"], "left")
-    slots = slots.select("cogid", "lang", "pos", F.coalesce("sound", F.lit(missing)).alias("sound"), F.coalesce("purity", F.lit(0.0)).alias("purity"))
+    slots = clustered.select("cogid", "pos", "struct", "pattern").join(absent, "cogid").join(cells, entry, "left")
+    slots = slots.select("cogid", "lang", "pos", *(F.coalesce(n, F.lit(missing)).alias(n) for n in samples), F.coalesce("purity", F.lit(0.0)).alias("purity"))
     name = F.element_at(F.array(*[F.lit(t) for t in langs]), F.col("lang") + 1)
-    words = slots.groupBy("cogid", "lang").agg(F.array_sort(F.collect_list(F.struct("pos", "sound"))).alias("w"), F.avg("purity").alias("purity"))
-    return words.select("cogid", name.alias("doculect"), F.transform("w", lambda s: s["sound"]).alias("word"), "purity")
+    words = slots.groupBy("cogid", "lang").agg(F.array_sort(F.collect_list(F.struct("pos", *samples))).alias("w"), F.avg("purity").alias("purity"))
+    return words.select("cogid", name.alias("doculect"), *(F.col(f"w.{n}").alias(n) for n in samples), "purity")
 
 
 def mean_site_score(sites: DataFrame, clustered: DataFrame, mode: str = "pairs", keys: Sequence[str] = ()) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.functions.storage import materialise
-from lexispark.operators.clusters import cluster_sites, fuzziness, mean_site_score, predict_words, purity
+from lexispark.operators.clusters import cluster_sites, fuzziness, mean_site_score, predict_samples, predict_words, purity
 from lexispark.operators.metrics import alphabet, dataset_summary, hit_rate
 from lexispark.operators.prepare import shrink_alignments
 from lexispark.operators.sites import density, get_sites, upper_bound
@@ -25,11 +25,9 @@ def prediction_report(morphemes: DataFrame, langs: list[str], minrefs: int = 3)
     cognates are the words of the set; flag is '?' where some sound can't be predicted.
     """
     found = correspondence_patterns(morphemes, langs, minrefs)
-    out = None
-    for n, name in ((1, "one_best"), (2, "two_best"), (3, "three_best")):
-        words = predict_words(found, langs, n)
-        part = words.select("cogid", "doculect", F.array_join("word", " ").alias(name), *(["purity", F.when(F.array_contains("word", "Ø"), "?").otherwise("").alias("flag")] if n == 1 else []))
-        out = part if out is None else out.join(part, ["cogid", "doculect"])
+    names = {"one_best": 1, "two_best": 2, "three_best": 3}
+    made = predict_samples(found, langs, names)
+    out = made.select("cogid", "doculect", *(F.array_join(n, " ").alias(n) for n in names), "purity", F.when(F.array_contains("one_best", "Ø"), "?").otherwise("").alias("flag"))
     said = F.concat(F.col("doculect"), F.lit(" "), F.array_join("tokens", " "))
     about = morphemes.groupBy("cogid").agg(F.array_join(F.array_sort(F.collect_set("concept")), " / ").alias("concepts"), F.array_join(F.array_sort(F.collect_set(said)), ", ").alias("cognates"))
     return out.join(about, "cogid").select("cogid", "doculect", "concepts", "cognates", "one_best", "two_best", "three_best", "purity", "flag")

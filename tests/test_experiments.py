@@ -46,3 +46,11 @@ def test_subset(spark, words):
     few = E.leave_out_summary(words, LANGS, runs=1, subset=0.5).first()
     every = E.leave_out_summary(words, LANGS, runs=1).first()
     assert 0 < few.removed < every.removed and 0 < few.sites < every.sites
+
+
+def test_report_compares_patterns_once(spark, sf_dir, monkeypatch):
+    """One, two and three best sounds come from one comparison of the patterns."""
+    compared, real = [], K.sounds_of_fitting
+    monkeypatch.setattr(K, "sounds_of_fitting", lambda *a, **k: compared.append(1) or real(*a, **k))
+    E.prediction_report(morphemes(spark, sf_dir).where("cogid <= 40"), LANGS)
+    assert len(compared) == 1
