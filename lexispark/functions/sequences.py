@@ -117,9 +117,13 @@ def align_to_template(tokens: Column, structure: Column, template: str, gap: str
 
     Fails if tokens and classes differ in number, if there are more tokens than slots, or if a class has no slot.
     """
-    bad = (F.size(tokens) != F.size(structure)) | (F.size(tokens) > len(template)) | F.exists(structure, lambda c: ~c.isin(*template))
-    placed = F.transform(template_places(structure, template), lambda p: F.when(p == 0, gap).otherwise(F.get(tokens, p - 1)))
-    return F.when(bad, F.raise_error(F.lit("tokens and structure don't fit the template")).cast("array<string>")).otherwise(placed)
+
+    def placed(t: Column, s: Column) -> Column:
+        bad = (F.size(t) != F.size(s)) | (F.size(t) > len(template)) | F.exists(s, lambda c: ~c.isin(*template))
+        slots = F.transform(template_places(s, template), lambda p: F.when(p == 0, gap).otherwise(F.get(t, p - 1)))
+        return F.when(bad, F.raise_error(F.lit("tokens and structure don't fit the template")).cast("array<string>")).otherwise(slots)
+
+    return bound(tokens, lambda t: bound(structure, lambda s: placed(t, s)))
 
 
 def shrink(tokens: Column, structure: Column, converter: dict[str, str]) -> Column:

@@ -72,9 +72,8 @@ def shrink_template(words: DataFrame, converter: dict[str, str] | None = None) -
 
 def shrink_alignments(rows: DataFrame, keys: list[str], column: str = "alignment", gap: str = GAP) -> DataFrame:
     """The rows without the positions in which all rows of their group have a gap."""
-    cells = rows.select(*keys, F.posexplode(column).alias("pos", "x"))
-    used = cells.groupBy(*keys, "pos").agg(F.max(F.col("x") != gap).alias("used")).where("used")
-    used = used.groupBy(*keys).agg(F.array_sort(F.collect_list("pos")).alias("used"))
+    cells = rows.select(*keys, F.posexplode(column).alias("pos", "x")).where(F.col("x") != gap)
+    used = cells.select(*keys, "pos").distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("pos")).alias("used"))
     out = rows.join(used, keys, "left")
     return out.withColumn(column, F.transform(F.coalesce("used", F.expr("cast(array() as array<int>)")), lambda p: F.get(F.col(column), p))).drop("used")
 

@@ -96,3 +96,12 @@ def test_sonority_is_looked_up_once(spark):
     assert time.time() - begun < 60
     plan = spark.range(1).select(prosody(F.split("id", "")).alias("p"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_replace") == 1
+
+
+def test_template_computes_sounds_and_classes_once(spark):
+    made = S.align_to_template(F.split("t", " "), F.split(F.upper("k"), " "), "cvc")
+    rows = spark.createDataFrame([("p a", "c v"), ("a t", "v c")], "t string, k string")
+    plan = rows.select(made.alias("a"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(t") == 1 and plan.count("upper(k") == 1
+    lower = S.align_to_template(F.split("t", " "), F.split("k", " "), "cvc")
+    assert [r.a for r in rows.select(lower.alias("a")).collect()] == [["p", "a", "-"], ["-", "a", "t"]]
