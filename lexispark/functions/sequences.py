@@ -92,9 +92,9 @@ def bleu(word: Column, reference: Column, n: int = 4, weights: list[float] | Non
 
 def spread_classes(structure: Column, alignment: Column, gap: str = GAP) -> Column:
     """Classes of the ungapped sounds laid out over the alignment; gaps stay gaps."""
-    filled = lambda a, i: F.size(F.filter(F.slice(a, 1, i + 1), lambda x: x != gap))
-    laid = lambda a, s: F.transform(a, lambda x, i: F.when(x == gap, gap).otherwise(F.get(s, filled(a, i) - 1)))
-    return bound(alignment, lambda a: bound(structure, lambda s: laid(a, s)))
+    places = F.filter(F.transform(alignment, lambda x, i: F.when(x != gap, i)), lambda i: i.isNotNull())  # of the sounds
+    laid = lambda a, s, at: F.transform(a, lambda x, i: F.when(x == gap, gap).otherwise(F.get(s, (F.array_position(at, i) - 1).cast("int"))))
+    return bound(alignment, lambda a: bound(structure, lambda s: bound(places, lambda at: laid(a, s, at))))
 
 
 def template_places(structure: Column, template: str) -> Column:

@@ -12,15 +12,28 @@ from lexispark.functions.storage import materialise
 from lexispark.operators.fits import fitting
 
 
+def _firsts(morphemes: DataFrame) -> DataFrame:
+    """One morpheme per cogid and doculect (the smallest id), with refs, the number of doculects of the cogid, and words: its
+    different ids, counted up to 2. The words are read once, and a cogid has a row for each doculect where its rows meet."""
+    columns = [F.col(c) for c in morphemes.columns if c not in ("cogid", "doculect")]
+    first = morphemes.groupBy("cogid", "doculect").agg(F.min_by(F.struct(*columns), F.struct("id", "m_idx")).alias("_row"), F.min("id").alias("_low"), F.max("id").alias("_high"))
+    whole = Window.partitionBy("cogid")
+    low, high = F.min("_low").over(whole), F.max("_high").over(whole)
+    words = F.when(low.isNull(), 0).when(low == high, 1).otherwise(2)
+    first = first.select("cogid", "doculect", "_row.*", F.count("doculect").over(whole).alias("refs"), words.alias("words"))
+    return first.where("cogid is not null and doculect is not null")
+
+
 def alignments(morphemes: DataFrame, least: int = 2) -> DataFrame:
     """One morpheme per cogid and doculect (the smallest id), of cogids with at least `least` words.
 
     Adds refs, the number of doculects of the cogid.
     """
-    words = morphemes.groupBy("cogid").agg(F.count_distinct("id").alias("words"), F.count_distinct("doculect").alias("refs"))
-    first = morphemes.groupBy("cogid", "doculect").agg(F.min(F.struct("id", "m_idx")).alias("first"))
-    rows = morphemes.join(first, ["cogid", "doculect"]).where(F.struct("id", "m_idx") == F.col("first")).drop("first")
-    return rows.join(words.where(F.col("words") >= least).drop("words"), "cogid")
+    rows = _firsts(morphemes)
+    if least > 2:
+        words = morphemes.groupBy("cogid").agg(F.count_distinct("id").alias("words"))
+        rows = rows.drop("words").join(words, "cogid")
+    return rows.where(F.col("words") >= least).drop("words")
 
 
 def reflex(sound: Column, irregular: str = "!?", missing: str = MISSING) -> Column:
@@ -37,17 +50,28 @@ def bad_structures(morphemes: DataFrame, gap: str = GAP) -> DataFrame:
 
 def cells(morphemes: DataFrame, langs: list[str], gap: str = GAP, irregular: str = "!?", missing: str = MISSING) -> DataFrame:
     """(cogid, pos, lang, id, sound, class, refs): one row per entry of each alignment; positions start at 0."""
-    place = F.create_map(*[F.lit(x) for i, t in enumerate(langs) for x in (t, i)]) if langs else F.lit(None).cast("map<string,int>")
-    rows = alignments(morphemes).withColumn("lang", F.element_at(place, F.col("doculect")))
+    rows = alignments(morphemes).withColumn("lang", _place(langs))
     rows = rows.withColumn("spread", spread_classes(F.col("structure"), F.col("alignment"), gap))
     rows = rows.select("cogid", "refs", "lang", "id", F.posexplode(F.arrays_zip("alignment", "spread")).alias("pos", "cell"))
     return rows.select("cogid", "pos", "lang", "id", reflex(F.col("cell.alignment"), irregular, missing).alias("sound"), F.col("cell.spread").alias("class"), "refs")
 
 
-def pattern_of(width: int, missing: str = MISSING) -> Column:
-    """Aggregate of (lang, sound) rows: an array over all doculects, missing where there is none."""
-    held = F.map_from_entries(F.collect_list(F.struct("lang", "sound")))
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at(held, i), F.lit(missing)))
+def _place(langs: list[str]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for i, t in enumerate(langs) for x in (t, i)]) if langs else F.lit(None).cast("map<string,int>"), F.col("doculect"))
+
+
+def _columns(rows: DataFrame, width: int, missing: str, *more: str) -> DataFrame:
+    """(cogid, pos, pattern, more): the columns of each cogid, from rows (doculect's place lang, sounds, more arrays), one per cogid and place.
+
+    The rows of a cogid come together as whole arrays, so a group has a row for each doculect and not one for each sound.
+    """
+    names = ["sounds", *more]
+    held = F.map_from_entries(F.collect_list(F.when(F.col("lang").isNotNull(), F.struct("lang", F.struct(*names)))))
+    sets = rows.groupBy("cogid").agg(F.max(F.size("sounds")).alias("n"), held.alias("held")).where("n > 0")
+    laid = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.element_at("held", i))
+    sets = sets.select("cogid", "n", laid.alias("laid")).select("cogid", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos"), *(F.col(f"laid.{n}").alias(n) for n in names))
+    pattern = F.transform("sounds", lambda a: F.coalesce(F.get(a, F.col("pos")), F.lit(missing)))
+    return sets.select("cogid", "pos", pattern.alias("pattern"), *(F.transform(n, lambda a: F.get(a, F.col("pos"))).alias(n) for n in more))
 
 
 def get_sites(morphemes: DataFrame, langs: list[str], minrefs: int = 3, gap: str = GAP, irregular: str = "!?", missing: str = MISSING, check: bool = True) -> DataFrame:
@@ -56,22 +80,23 @@ def get_sites(morphemes: DataFrame, langs: list[str], minrefs: int = 3, gap: str
     struct is the class of the first doculect that has a sound there ('+' if none has). A group has at most one row
     per doculect. With check, a word whose structure doesn't fit its alignment is an error. No words give no sites.
     """
+    morphemes = morphemes.select("id", "m_idx", "doculect", "cogid", "alignment", "structure")
     if check:
         fits = F.size("structure") == F.size(F.filter("alignment", lambda x: x != gap))
         wrong = F.raise_error(F.concat(F.lit("alignment and structure do not match in "), F.col("id").cast("string"))).cast("int")
         morphemes = morphemes.where(F.when(fits, F.lit(1)).otherwise(wrong) == 1)
-    rows = cells(morphemes, langs, gap, irregular, missing).where(F.col("refs") >= minrefs)
-    kind = F.min_by(F.col("class"), F.when(F.col("class") != gap, F.col("lang")))
-    return rows.groupBy("cogid", "pos").agg(F.coalesce(kind, F.lit("+")).alias("struct"), pattern_of(len(langs), missing).alias("pattern"))
+    rows = alignments(morphemes).where(F.col("refs") >= minrefs)
+    sounds = F.transform("alignment", lambda x: reflex(x, irregular, missing))
+    rows = rows.select("cogid", _place(langs).alias("lang"), sounds.alias("sounds"), spread_classes(F.col("structure"), F.col("alignment"), gap).alias("classes"))
+    kind = F.get(F.filter("classes", lambda c: c != gap), F.lit(0))
+    return _columns(rows, len(langs), missing, "classes").select("cogid", "pos", F.coalesce(kind, F.lit("+")).alias("struct"), "pattern")
 
 
 def all_sites(morphemes: DataFrame, langs: list[str], gap: str = GAP, irregular: str = "!?", missing: str = MISSING) -> DataFrame:
     """(cogid, pos, pattern) of every cogid; words that stand alone in theirs give their tokens, one site each."""
-    shared = cells(morphemes, langs, gap, irregular, missing).groupBy("cogid", "pos").agg(pattern_of(len(langs), missing).alias("pattern"))
-    alone = morphemes.join(alignments(morphemes).select("cogid").distinct(), "cogid", "left_anti")
-    place = F.create_map(*[F.lit(x) for i, t in enumerate(langs) for x in (t, i)])
-    sound = alone.select("cogid", F.element_at(place, F.col("doculect")).alias("lang"), F.posexplode("tokens").alias("pos", "sound"))
-    return shared.unionByName(sound.groupBy("cogid", "pos").agg(pattern_of(len(langs), missing).alias("pattern")))
+    rows = _firsts(morphemes.select("id", "m_idx", "doculect", "cogid", "tokens", "alignment"))
+    sounds = F.when(F.col("words") > 1, F.transform("alignment", lambda x: reflex(x, irregular, missing))).otherwise(F.col("tokens"))
+    return _columns(rows.select("cogid", _place(langs).alias("lang"), sounds.alias("sounds")), len(langs), missing)
 
 
 def compatible_pairs(left: DataFrame, right: DataFrame, threshold: int = 1, missing: str = MISSING, gap: str = GAP) -> DataFrame:
