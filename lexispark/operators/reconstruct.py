@@ -297,15 +297,18 @@ def reconstruct(morphemes: DataFrame, langs: list[str], target: str, classifier=
 
 def one_hot(rows: DataFrame, width: int, column: str = "row") -> DataFrame:
     """The rows with onehot: per column one entry for each value seen there and one for any other."""
+    rows = materialise(rows)
     seen = rows.select(F.posexplode(column).alias("col", "x")).groupBy("col").agg(F.array_sort(F.collect_set("x")).alias("values"))
-    book = seen.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("col", "values"))).alias("book"))
+    seen = seen.withColumn("codes", F.transform("values", lambda v: F.concat(F.transform("values", lambda w: (w == v).cast("int")), F.array(F.lit(0)))))
+    other = F.concat(F.transform("values", lambda v: F.lit(0)), F.array(F.lit(1)))
+    entry = F.struct(F.map_from_arrays("values", "codes").alias("codes"), other.alias("other"))
+    book = seen.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("col", entry))).alias("book"))
 
     def encode(x: Column, i: Column) -> Column:
-        values = F.element_at("book", i)
-        hits = F.transform(values, lambda v: (v == x).cast("int"))
-        return F.concat(hits, F.array((~F.array_contains(values, x)).cast("int")))
+        of = F.element_at("book", i)
+        return F.coalesce(F.element_at(of["codes"], x), of["other"])
 
-    return rows.join(book).withColumn("onehot", F.flatten(F.transform(column, encode))).drop("book")
+    return rows.join(F.broadcast(book)).withColumn("onehot", F.flatten(F.transform(column, encode))).drop("book")
 
 
 def random_splits(morphemes: DataFrame, target: str, splits: int = 10, retain: float = 0.9, seed: int = 0) -> DataFrame:

@@ -13,6 +13,7 @@ from lexispark.functions.sequences import GAP, MISSING
 from lexispark.operators import clusters as K
 from lexispark.operators import fits as T
 from lexispark.operators import metrics as M
+from lexispark.operators import reconstruct as R
 from lexispark.operators import sites as S
 from lexispark.operators.components import connected_components
 from lexispark.operators.cover import take_in
@@ -344,3 +345,17 @@ def test_empty_wordlist(spark):
     words = spark.createDataFrame([], "id long, m_idx int, doculect string, concept string, cogid long, tokens array<string>, alignment array<string>, structure array<string>")
     sites = S.get_sites(words, ["a", "b"])
     assert sites.count() == 0 and K.cluster_sites(sites).count() == 0
+
+
+def test_sites_read_the_words_once(spark, tmp_path):
+    """Neither sites nor one-hot rows make their input anew for each thing they ask of it."""
+    rows = [(c * 10 + i, 0, f"L{i}", c, [x, "a", "-"][: 3 - c % 2], [x, "a"], ["c", "v"]) for c in range(4) for i, x in enumerate("ptk")]
+    spark.createDataFrame([*rows, (99, 0, "L1", 9, ["-"], ["s", "o"], [])], "id long, m_idx int, doculect string, cogid long, alignment array<string>, tokens array<string>, structure array<string>").write.parquet(f"{tmp_path}/words")
+    words, langs = spark.read.parquet(f"{tmp_path}/words"), ["L0", "L1", "L2"]
+    scans = lambda df: df._jdf.queryExecution().sparkPlan().toString().count("FileScan")
+    sites, every = S.get_sites(words, langs), S.all_sites(words, langs)
+    assert scans(sites) == scans(every) == 1
+    assert scans(R.one_hot(sites.withColumnRenamed("pattern", "row"), 3)) == 0
+    found = {(r.cogid, r.pos): (r.struct, "".join(r.pattern)) for r in sites.collect()}
+    assert found == {(c, p): [("c", "ptk"), ("v", "aaa"), ("+", "---")][p] for c in range(4) for p in range(3 - c % 2)}
+    assert {(r.pos, "".join(r.pattern)) for r in every.where("cogid = 9").collect()} == {(0, "ØsØ"), (1, "ØoØ")}
