@@ -432,7 +432,7 @@ def regularity(spark, sf_dir):
 )
 def regularity_of_unclustered_sites(spark, sf_dir):
     """Each different pattern as a cluster of its own: many more heads than clustering leaves."""
-    found = _sites(spark, sf_dir).withColumn("consensus", F.col("pattern"))
+    found = materialise(_sites(spark, sf_dir)).withColumn("consensus", F.col("pattern"))
     return metrics.regularity(found).select("regular_patterns", "patterns", "regular_sites", "sites", "regular_words", "words")
 
 
