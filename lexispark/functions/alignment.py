@@ -106,12 +106,6 @@ def cliques_with(node: int, links: list[int], open_: int, closed: int):
     links has for each node those it is linked to, and sets are the bits of whole numbers; all open and closed nodes are linked to node.
     """
 
-    def members(bits: int):
-        while bits:
-            low = bits & -bits
-            yield low.bit_length() - 1
-            bits ^= low
-
     stack = [([node], open_, closed)]
     while stack:
         taken, open_, closed = stack.pop()
@@ -119,12 +113,53 @@ def cliques_with(node: int, links: list[int], open_: int, closed: int):
             if not closed:
                 yield taken
             continue
-        pivot, most = 0, -1
-        for v in members(open_ | closed):
+        size, pivot, most, rest = open_.bit_count(), 0, -1, closed
+        while rest and most < size:
+            low = rest & -rest
+            rest ^= low
+            v = low.bit_length() - 1
             n = (open_ & links[v]).bit_count()
             if n > most:
                 pivot, most = v, n
-        for v in members(open_ & ~links[pivot]):
+        if most == size:  # a closed node could join whatever comes
+            continue
+        rest, every = open_, []
+        while rest:
+            low = rest & -rest
+            rest ^= low
+            v = low.bit_length() - 1
+            n = (open_ & links[v]).bit_count()
+            if n == size - 1:
+                every.append(v)
+            elif n > most:
+                pivot, most = v, n
+        if every:  # linked to all other open nodes, they are in each clique
+            for v in every:
+                open_ ^= 1 << v
+                closed &= links[v]
+            stack.append(([*taken, *every], open_, closed))
+            continue
+        rest = open_ & ~links[pivot]
+        while rest:
+            low = rest & -rest
+            rest ^= low
+            v = low.bit_length() - 1
             stack.append(([*taken, v], open_ & links[v], closed & links[v]))
-            open_ &= ~(1 << v)
-            closed |= 1 << v
+            open_ ^= low
+            closed |= low
+
+
+def links_as_bits(codes: np.ndarray, threshold: int, rows: int = 256) -> list[int]:
+    """For each pattern those that share `threshold` entries with it and contradict it in none, as the bits of a whole number; 0 is missing.
+
+    Entries are counted by products of matrices, for some rows at a time.
+    """
+    there = (codes != 0).astype(np.float32)
+    cells = np.concatenate([(c[:, None] == np.unique(c[c != 0])[None, :]) for c in codes.T], 1).astype(np.float32)
+    out = []
+    for low in range(0, len(codes), rows):
+        same = cells[low : low + rows] @ cells.T
+        fits = (same >= threshold) & (same == there[low : low + rows] @ there.T)
+        fits[np.arange(len(fits)), np.arange(low, low + len(fits))] = False
+        out += [int.from_bytes(b.tobytes(), "little") for b in np.packbits(fits, axis=1, bitorder="little")]
+    return out

@@ -24,11 +24,11 @@ BLOCK, ROWS = 4_000, 256
 _KEY = ["struct", "key"]
 
 
-def _coded(patterns: pd.Series, number: dict[str, int]) -> np.ndarray:
+def coded(patterns: pd.Series, number: dict[str, int]) -> np.ndarray:
     return np.array([[number.setdefault(x, len(number)) for x in p] for p in patterns], np.int32)
 
 
-def _compared(a: np.ndarray, b: np.ndarray, threshold: int):
+def compared(a: np.ndarray, b: np.ndarray, threshold: int):
     """(places in a, fits, matches) for some rows of a at a time; codes are 0 for missing, 1 for a gap."""
     columns = np.ascontiguousarray(b.T)
     for low in range(0, len(a), ROWS):
@@ -81,10 +81,10 @@ def fitting(left: DataFrame, right: DataFrame, sums: dict[str, str | None], maxi
 
     def work(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         number = {missing: 0, gap: 1}
-        b, a = _coded(held["pattern"], number), _coded(asked["pattern"], number)
+        b, a = coded(held["pattern"], number), coded(asked["pattern"], number)
         weights = np.stack([held[f"_{n}"].to_numpy(np.float64) for n in sums], 1) if sums else np.zeros((len(held), 0))
         out = []
-        for rows, fits, same in _compared(a, b, threshold) if len(a) and len(b) else ():
+        for rows, fits, same in compared(a, b, threshold) if len(a) and len(b) else ():
             any_ = fits.any(1)
             values = [(fits * same).sum(1, dtype=np.int64), *(fits.astype(np.float64) @ weights).T.round().astype(np.int64)]
             values += [np.where(fits, held[f"_{n}"].to_numpy()[None, :], np.iinfo(np.int64).min).max(1) for n in maxima]
@@ -108,7 +108,7 @@ def sounds_of_fitting(left: DataFrame, right: DataFrame, weight: str, spread: st
 
     def work(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         number = {missing: 0, gap: 1}
-        b, a = _coded(held["pattern"], number), _coded(asked["pattern"], number)
+        b, a = coded(held["pattern"], number), coded(asked["pattern"], number)
         shown: dict[tuple[int, str], int] = {}
         at = np.array([[shown.setdefault((c, x), len(shown)) for c, x in enumerate(p)] for p in held["_spread"]])
         w, out = held["_w"].to_numpy(np.float64), []
@@ -118,7 +118,7 @@ def sounds_of_fitting(left: DataFrame, right: DataFrame, weight: str, spread: st
             ones[np.arange(len(b))[:, None], at] = 1
             names = list(shown)
             column, blank = np.array([c for c, _ in names]), np.array([x == missing for _, x in names])
-        for rows, fits, _ in _compared(a, b, threshold) if len(a) and len(b) else ():
+        for rows, fits, _ in compared(a, b, threshold) if len(a) and len(b) else ():
             sums = fits.astype(np.float64) @ heavy
             if but_itself:
                 itself = fits & (a[rows][:, None, :] == b[None, :, :]).all(2)

@@ -16,6 +16,7 @@ from lexispark.functions.numbering import number_rows
 from lexispark.functions.phonology import prosody
 from lexispark.functions.sequences import GAP, MISSING, UNKNOWN, alignment_to_tokens, clean_sound, sound_edit_distance, spread_classes
 from lexispark.functions.storage import materialise, stored
+from lexispark.operators.fits import coded, compared, meet
 from lexispark.operators.metrics import bcubed
 from lexispark.operators.prepare import ungap
 
@@ -87,6 +88,24 @@ def training_rows(morphemes: DataFrame, langs: list[str], target: str, keys: lis
     return rows_of(aligned, langs, keys, target, **features)
 
 
+def linked(nodes: DataFrame, keys: list[str], threshold: int = 1, missing: str = MISSING) -> DataFrame:
+    """(node, other), both ways: patterns (keys, node, p) of one value of keys that share `threshold` entries (one at least), gaps too, and
+    contradict each other in none. They are compared block by block as arrays (fits.meet), so what only shares an entry is no row."""
+    named = nodes.select(F.array(F.lit(""), *(F.col(k).cast("string") for k in keys)).alias("struct"), F.col("p").alias("pattern"), "node")
+
+    def work(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        number, out = {missing: 0, object(): 1}, [np.zeros((2, 0), np.int64)]  # no code stands for a gap
+        b, a = coded(held["pattern"], number), coded(asked["pattern"], number)
+        mine, others = asked["node"].to_numpy(np.int64), held["node"].to_numpy(np.int64)
+        for rows, fits, _ in compared(a, b, max(1, threshold)) if len(a) and len(b) else ():
+            i, k = np.nonzero(fits)
+            out.append(np.stack([mine[rows][i], others[k]]))
+        pairs = np.concatenate(out, 1)
+        return pd.DataFrame(pairs[:, pairs[0] != pairs[1]].T, columns=["node", "other"])
+
+    return meet(named, named, work, "node long, other long", missing)
+
+
 def fit(rows: DataFrame, keys: list[str] | None = None, threshold: int = 1, missing: str = MISSING) -> DataFrame:
     """(keys, row, prediction, exact, size): the classifier of training rows (row, target), one per value of keys.
 
@@ -100,21 +119,16 @@ def fit(rows: DataFrame, keys: list[str] | None = None, threshold: int = 1, miss
     """
     keys = keys or []
     nodes = rows.where("target is not null").select(*keys, F.concat("row", F.array("target")).alias("p")).distinct()
-    nodes = materialise(nodes.withColumn("node", F.xxhash64(*keys, "p")))
-    cells = nodes.select(*keys, "node", F.posexplode("p").alias("col", "x")).where(F.col("x") != missing)
-    other = cells.withColumnRenamed("node", "other")
-    near = cells.join(other, [*keys, "col", "x"]).where("node < other").groupBy("node", "other").agg(F.count("*").alias("n")).where(F.col("n") >= threshold)
-    p, q = nodes.select("node", F.col("p").alias("a")), nodes.select(F.col("node").alias("other"), F.col("p").alias("b"))
-    clash = F.exists(F.arrays_zip("a", "b"), lambda z: (z["a"] != z["b"]) & (z["a"] != missing) & (z["b"] != missing))
-    edges = near.join(p, "node").join(q, "other").where(~clash).select("node", "other")
-    both = materialise(edges.unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other"))))
+    own = F.slice("p", 1, F.size("p") - 1)
+    nodes = materialise(nodes.withColumn("node", F.xxhash64(*keys, "p")).withColumn("member", F.xxhash64(*keys, own)))
+    both = materialise(linked(nodes, keys, threshold, missing))
     degrees = both.groupBy("node").agg(F.count("*").alias("links"))
     of = lambda n: degrees.select(F.col("node").alias(n), F.col("links").alias(f"{n}_links"))
     later = F.struct("other_links", "other") > F.struct("home_links", "home")
     beside = both.withColumnRenamed("node", "home").join(of("home"), "home").join(of("other"), "other").select("home", F.col("other").alias("node"), later.alias("later"))
     first = beside.groupBy("home").agg(F.max("later").alias("any")).where("any").select("home")
-    own = first.select("home", F.col("home").alias("node"), F.lit(None).cast("boolean").alias("later"))
-    held = beside.join(first, "home", "left_semi").unionByName(own).join(nodes, "node").select("home", *keys, "node", "later", "p")
+    itself = first.select("home", F.col("home").alias("node"), F.lit(None).cast("boolean").alias("later"))
+    held = beside.join(first, "home", "left_semi").unionByName(itself).join(nodes, "node").select("home", *keys, "node", "member", "later", "p")
     kinds = "".join(f"{k} {rows.schema[k].dataType.simpleString()}, " for k in keys)
 
     def listed(held: pd.DataFrame) -> pd.DataFrame:
@@ -123,16 +137,10 @@ def fit(rows: DataFrame, keys: list[str] | None = None, threshold: int = 1, miss
         number = {x: i for i, x in enumerate(names)}
         codes = np.array([[number[x] for x in q] for q in held["p"]])
         me, after = np.flatnonzero(held["later"].isna()), np.flatnonzero(held["later"].eq(True))
-        there = codes != 0
-        links = []
-        for i in range(len(codes)):  # as bits
-            common = there & there[i]
-            fits = ((common & (codes == codes[i])).sum(1) >= threshold) & ~(common & (codes != codes[i])).any(1)
-            fits[i] = False
-            links.append(int.from_bytes(np.packbits(fits, bitorder="little").tobytes(), "little"))
+        links = kernels.links_as_bits(codes, threshold)
         bits = lambda some: sum(1 << int(i) for i in some)
         before = set(range(len(codes))) - set(after.tolist()) - set(me.tolist())
-        lead, ids, out = [held[k].iloc[0] for k in keys], held["node"].tolist(), []
+        lead, ids, out = [held[k].iloc[0] for k in keys], held["member"].tolist(), []
         for clique in kernels.cliques_with(int(me[0]), links, bits(after), bits(before)):
             whole = [names[c] for c in codes[clique].max(0).tolist()]
             out.append((*lead, whole[:-1], whole[-1], len(clique), [ids[i] for i in clique]))
@@ -144,12 +152,12 @@ def fit(rows: DataFrame, keys: list[str] | None = None, threshold: int = 1, miss
     exact = votes.groupBy(*keys, "row").agg(F.min_by("target", F.struct(-F.col("size"), "target")).alias("prediction"), F.max("size").alias("size"))
     exact = materialise(exact.withColumn("rid", F.xxhash64(*keys, "row")))
     # A row may stand in several nodes, with other targets: what it is most often in counts over all of them.
-    mine = nodes.select(*keys, "node", F.slice("p", 1, F.size("p") - 1).alias("row")).withColumn("member", F.xxhash64(*keys, "row"))
-    uses = found.select(F.explode("members").alias("node"), "rid", "size").join(mine.select("node", "member"), "node")
+    mine = nodes.select(*keys, own.alias("row"), "member")
+    uses = found.select(F.explode("members").alias("member"), "rid", "size")
     uses = materialise(uses.groupBy("member", "rid").agg(F.sum("size").alias("n")))
     most = uses.groupBy("member").agg(F.max("n").alias("n"))
     best = uses.join(most, ["member", "n"]).join(exact, "rid").groupBy("member").agg(F.min_by(F.struct("prediction", "size"), "row").alias("best"))
-    of_nodes = mine.select(*keys, "row", "member").distinct().join(best, "member").select(*keys, "row", "best.prediction", "best.size")
+    of_nodes = mine.distinct().join(best, "member").select(*keys, "row", "best.prediction", "best.size")
     fresh = exact.join(of_nodes.select(*keys, "row"), [*keys, "row"], "left_anti").select(*keys, "row", "prediction", "size")
     consensus = exact.select(*keys, "row").withColumn("consensus", F.lit(True))
     return of_nodes.unionByName(fresh).join(consensus, [*keys, "row"], "left").withColumn("consensus", F.coalesce("consensus", F.lit(False)))

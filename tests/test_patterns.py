@@ -359,3 +359,22 @@ def test_sites_read_the_words_once(spark, tmp_path):
     found = {(r.cogid, r.pos): (r.struct, "".join(r.pattern)) for r in sites.collect()}
     assert found == {(c, p): [("c", "ptk"), ("v", "aaa"), ("+", "---")][p] for c in range(4) for p in range(3 - c % 2)}
     assert {(r.pos, "".join(r.pattern)) for r in every.where("cogid = 9").collect()} == {(0, "ØsØ"), (1, "ØoØ")}
+
+
+def test_links_of_patterns_in_blocks(spark):
+    """Links are found in blocks, both ways, by two tables alone: entries alike and none against, gaps counting as entries."""
+    from lexispark.functions import alignment
+
+    draw = random.Random(3)
+    held = sorted({(k, tuple(draw.choice("ab-Ø") for _ in range(5))) for k in range(2) for _ in range(150)})
+    rows = spark.createDataFrame([(k, n, list(p)) for n, (k, p) in enumerate(held)], "split int, node long, p array<string>")
+    fits = lambda a, b, t: sum(x == y != "Ø" for x, y in zip(a, b)) >= t and all(x == y or "Ø" in (x, y) for x, y in zip(a, b))
+    for threshold in (1, 2):
+        wanted = {(i, j) for i, (k, p) in enumerate(held) for j, (m, q) in enumerate(held) if i != j and k == m and fits(p, q, threshold)}
+        got = [tuple(r) for r in R.linked(rows, ["split"], threshold).collect()]
+        assert len(got) == len(set(got)) and set(got) == wanted
+        codes = np.array([["Øab-".index(x) for x in p] for k, p in held if k == 0])
+        own = {(i, j) for i, j in wanted if max(i, j) < len(codes)}
+        for size in (256, 7):
+            bits = alignment.links_as_bits(codes, threshold, size)
+            assert {(i, j) for i in range(len(codes)) for j in range(len(codes)) if bits[i] >> j & 1} == own
