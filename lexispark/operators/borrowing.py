@@ -16,12 +16,14 @@ from lexispark.functions import alignment as kernels
 from lexispark.functions import phonetics
 from lexispark.functions.numbering import number_rows
 from lexispark.functions.sequences import sound_edit_distance
-from lexispark.functions.storage import materialise
+from lexispark.functions.storage import materialise, small_enough
 from lexispark.operators.components import connected_components
 from lexispark.operators.markov import markov_clusters
 
 #: Parts into which the word pairs of two doculects are dealt, and random words of a doculect that one row of the generator makes.
 PARTS, DRAWN = 8, 500
+#: What a task gets: rows of the generator, pairs of words to align, pairs to score by correspondences, pairs of nodes.
+ROWS, ALIGNED, SCORED, LINKED = 4, 4000, 1000, 100_000
 _PAIR = ["family", "da", "db"]
 _CELL = ["x", "p", "y", "q"]
 
@@ -37,6 +39,18 @@ class Mode(NamedTuple):
 MODES = (Mode("global"), Mode("overlap"))
 
 
+def _tasks(n: int, each: int) -> int:
+    """Tasks for n rows. Spark joins small partitions by their bytes, but few short words can be many pairs that take long to align,
+    and its number of shuffle partitions, which follows the whole input, would be too many for them."""
+    return max(1, -(-n // each))
+
+
+def _dealt(rows: DataFrame, each: int) -> DataFrame:
+    """The rows, written down and dealt out evenly, about `each` a task."""
+    held = materialise(rows)
+    return held.repartition(_tasks(held.count(), each))
+
+
 def _distances(pairs: DataFrame, mode: Mode = Mode()) -> DataFrame:
     """pairs (…, a, b) with far: the alignment distance of two sound sequences."""
 
@@ -99,10 +113,10 @@ def random_words(kinds: DataFrame, runs: int, seed: int = 0) -> DataFrame:
 
     cells = kinds.select("family", "doculect", F.explode(steps("tokens", "n")).alias("s")).groupBy("family", "doculect", "s.f", "s.t").agg(F.sum("s.n").alias("n"))
     # The chain of a doculect has a row for each two of its sounds, however many words it has.
-    chains = cells.groupBy("family", "doculect").agg(F.array_sort(F.collect_list(F.struct("f", "t", "n"))).alias("chain"))
+    chains = materialise(cells.groupBy("family", "doculect").agg(F.array_sort(F.collect_list(F.struct("f", "t", "n"))).alias("chain")))
     parts = chains.withColumn("low", F.explode(F.sequence(F.lit(0), F.lit(max(runs - 1, 0)), F.lit(DRAWN))))
-    shuffled = parts.repartition(int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions")), "family", "doculect", "low")
-    return shuffled.mapInPandas(draw, kinds.select("family", "doculect", F.lit(0).alias("run"), "tokens").schema)
+    dealt = parts.repartition(_tasks(chains.count() * _tasks(runs, DRAWN), ROWS))
+    return dealt.mapInPandas(draw, kinds.select("family", "doculect", F.lit(0).alias("run"), "tokens").schema)
 
 
 def correspondences(
@@ -131,7 +145,7 @@ def correspondences(
     # Of a doculect with itself, the next run's words: a word would else meet itself.
     other = side("b").withColumn("run", F.when(F.col("run") == 0, runs - 1).otherwise(F.col("run") - 1))
     met = size.select(*_PAIR).join(side("a"), ["family", "da"]).join(other, ["family", "db", "run"])
-    chance = _counted(met.groupBy(*_PAIR, "a", "b").agg(F.count("*").alias("n")), modes).withColumnRenamed("n", "chance")
+    chance = _counted(_dealt(met.groupBy(*_PAIR, "a", "b").agg(F.count("*").alias("n")), ALIGNED), modes).withColumnRenamed("n", "chance")
     cells = attested.join(chance, [*_PAIR, *_CELL], "full").join(size, _PAIR)
     expected = F.coalesce("chance", F.lit(0.0)) * F.col("size") / F.lit(float(max(runs, 1)))
     cells = cells.withColumn("odds", F.log2((F.coalesce("attested", F.lit(0.0)) + smooth) / (expected + smooth)))
@@ -194,7 +208,8 @@ def _by_correspondences(pairs: DataFrame, kinds: DataFrame, mode: Mode, ratio: t
     asked = materialise(pairs.withColumn("part", F.pmod(F.xxhash64("a", "b"), F.lit(PARTS)).cast("int")))
     known = table.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     schema = StructType([*asked.schema.fields, StructField("score", DoubleType())])
-    scored = asked.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInPandas(score, schema).drop("part")
+    n = _tasks(asked.count(), SCORED)
+    scored = asked.repartition(n, *keys).groupBy(*keys).cogroup(known.repartition(n, *keys).groupBy(*keys)).applyInPandas(score, schema).drop("part")
     own = F.coalesce("own_a", F.lit(0.0)) + F.coalesce("own_b", F.lit(0.0))
     far = F.when(F.col("a") == F.col("b"), 0.0).when(own <= 0, 1.0).otherwise(F.least(F.greatest(1 - 2 * F.col("score") / own, F.lit(0.0)), F.lit(1.0)))
     return scored.withColumn("far", far).drop("score", "own_a", "own_b")
@@ -210,7 +225,7 @@ def _clustered(pairs: DataFrame, threshold: float, method: str) -> DataFrame:
         edges = near.select(F.col("ka").alias("u"), F.col("kb").alias("v"), (1 - F.col("far")).alias("weight"))
         found = markov_clusters(edges)
         return found.select("node", F.col("cluster").alias("head"))
-    parts = materialise(connected_components(near.select("ka", "kb"), "ka", "kb"))
+    parts = small_enough(connected_components(near.select("ka", "kb"), "ka", "kb"))
     whose = lambda s: parts.select(F.col("node").alias(f"k{s}"), F.col("component").alias(f"c{s}"))
     inside = pairs.join(whose("a"), "ka").join(whose("b"), "kb").where("ca = cb").drop("cb")
 
@@ -224,7 +239,7 @@ def _clustered(pairs: DataFrame, threshold: float, method: str) -> DataFrame:
         heads = kernels.flat_clusters(far, sizes, threshold, method, word[:, None] == word[None, :])
         return pd.DataFrame({"node": names, "head": names[heads]})
 
-    return inside.groupBy("ca").applyInPandas(cluster, "node long, head long")
+    return inside.repartition(_tasks(pairs.count(), LINKED), "ca").groupBy("ca").applyInPandas(cluster, "node long, head long")
 
 
 def internal_cognates(
@@ -258,17 +273,23 @@ def internal_cognates(
     parts = F.transform(F.split(F.array_join("tokens", " "), r"(?:^| )[+](?: |$)"), lambda x: F.filter(F.split(x, " "), lambda t: t != ""))
     nodes = kinds.select(*key[:3], "n", "word", F.posexplode(parts if partial else whole).alias("m", "tokens"))
     nodes = materialise(number_rows(nodes, ["word", "m", "family", "concept"], "node"))
-    side = lambda s: nodes.select("family", "concept", F.col("doculect").alias(f"d{s}"), F.col("tokens").alias(s), F.col("n").alias(f"n{s}"), F.col("node").alias(f"k{s}"), F.col("word").alias(f"w{s}"), F.col("m").alias(f"m{s}"))
+    # A word of a doculect goes by its first node, so that pairs, of which each meaning has its own, carry no sounds.
+    forms = small_enough(nodes.groupBy("family", "doculect", "tokens").agg(F.min("node").alias("form")))
+    met = nodes.groupBy("family", "concept").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0)).cast("long")).first()[0]
+    coded = nodes.join(forms, ["family", "doculect", "tokens"]).repartition(_tasks(met, LINKED), "family", "concept")
+    side = lambda s: coded.select("family", "concept", F.col("doculect").alias(f"d{s}"), F.col("form").alias(f"f{s}"), F.col("n").alias(f"n{s}"), F.col("node").alias(f"k{s}"), F.col("word").alias(f"w{s}"), F.col("m").alias(f"m{s}"))
     pairs = side("a").join(side("b"), ["family", "concept"]).where(F.struct("da", "wa") < F.struct("db", "wb"))
-    different = pairs.groupBy(*_PAIR, "a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("n"))
+    spelt = lambda s: forms.select(*(["family"] if s == "a" else []), F.col("doculect").alias(f"d{s}"), F.col("tokens").alias(s), F.col("form").alias(f"f{s}"))
+    different = pairs.groupBy("fa", "fb").agg(F.sum(F.col("na") * F.col("nb")).alias("n")).join(spelt("a"), "fa").join(spelt("b"), "fb")
+    different = _dealt(different, ALIGNED)
     if method == "lexstat":
-        far = _by_correspondences(materialise(different), nodes, mode, ratio, vscale, restricted_chars, runs=runs, seed=seed, smooth=smooth, modes=modes)
+        far = _by_correspondences(different, nodes, mode, ratio, vscale, restricted_chars, runs=runs, seed=seed, smooth=smooth, modes=modes)
     elif method == "sca":
         far = _distances(different, mode)
     else:
         far = different.withColumn("far", sound_edit_distance("a", "b", normalized=True))
-    far = materialise(far.select(*_PAIR, "a", "b", "far"))
-    pairs = pairs.join(far, [*_PAIR, "a", "b"]).select("ka", "kb", "na", "nb", "wa", "wb", "ma", "mb", "far")
+    far = small_enough(far.select("fa", "fb", "far"))
+    pairs = pairs.join(far, ["fa", "fb"]).select("ka", "kb", "na", "nb", "wa", "wb", "ma", "mb", "far")
     if partial:
         best = lambda mine, other: F.row_number().over(Window.partitionBy("wa", "wb", mine).orderBy("far", F.abs(F.col("ma") - F.col("mb")), other))
         pairs = pairs.withColumn("ra", best("ka", "kb")).withColumn("rb", best("kb", "ka"))
@@ -281,7 +302,7 @@ def internal_cognates(
     flat = materialise(flat.select("word", "m", "node", "head"))
     order = number_rows(flat.groupBy("head").agg(F.min("node").alias("first")), ["first"], "number")
     found = flat.join(order.select("head", "number"), "head").groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "number"))), lambda z: z["number"]).alias("_ids"))
-    named = kinds.select(*key, "word").join(found, "word").drop("word")
+    named = small_enough(kinds.select(*key, "word").join(found, "word").drop("word"))
     out = words.join(named, key)
     return out.withColumn(ref, F.col("_ids") if partial else F.col("_ids")[0]).drop("_ids")
 
@@ -302,7 +323,7 @@ def external_cognates(words: DataFrame, cognates: str = "autocogid", ref: str =
     rows = materialise(rows.groupBy("concept", F.col(cognates).alias("c"), "set_family", "tokens").agg(F.count("*").alias("n")))
     side = lambda s: rows.select("concept", F.col("c").alias(f"c{s}"), F.col("set_family").alias(f"f{s}"), F.col("tokens").alias(s), F.col("n").alias(f"n{s}"))
     pairs = side("a").join(side("b"), "concept").where("ca < cb and fa <> fb")
-    far = materialise(_distances(pairs.select("a", "b").distinct(), Mode(align_mode, gop, extend)))
+    far = materialise(_distances(_dealt(pairs.select("a", "b").distinct(), ALIGNED), Mode(align_mode, gop, extend)))
     n = F.col("na") * F.col("nb")
     means = pairs.join(far, ["a", "b"]).groupBy("concept", "ca", "cb").agg((F.sum(n * F.col("far")) / F.sum(n)).alias("far")).where(F.col("far") <= threshold)
     key = lambda c: F.xxhash64("concept", c)

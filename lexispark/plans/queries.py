@@ -641,15 +641,19 @@ def colexified_sets(spark, sf_dir):
     return cognates.colexified(morphemes(spark, sf_dir), LANGS).select("id", "crossid")
 
 
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What cognates are found from, written down once: the derived words without alignments and structures."""
+    return stored(words(spark, sf_dir).select("id", "doculect", "concept", "family", "tokens"), "words")
+
+
 @query()
 def internal_cognates(spark, sf_dir):
-    return borrowing.internal_cognates(stored(words(spark, sf_dir), "words"), "lexstat").select("id", "autocogid")
+    return borrowing.internal_cognates(_written(spark, sf_dir), "lexstat").select("id", "autocogid")
 
 
 @query()
 def borrowed_sets(spark, sf_dir):
-    rows = words(spark, sf_dir)
-    return borrowing.external_cognates(stored(borrowing.internal_cognates(stored(rows, "words"), "sca"), "cognates")).select("id", "autocogid", "autoborid")
+    return borrowing.external_cognates(stored(borrowing.internal_cognates(_written(spark, sf_dir), "sca"), "cognates")).select("id", "autocogid", "autoborid")
 
 
 _BCUBED = """, x as (select concept, cogid as a, word as b from words), ab as (select concept, a, b, count(*) as n from x group by all),

@@ -224,3 +224,23 @@ def test_borrowings(spark, mode):
     members = Counter(reach.values())
     order = {k: n for n, k in enumerate(sorted(k for k, m in members.items() if m > 1), 1)}
     assert {r.id: r.loans for r in found} == {r.id: order.get(reach[r.concept, r.sets], 0) for r in found} and order
+
+
+def test_tasks_follow_the_number_of_rows(spark, monkeypatch):
+    """Not Spark's shuffle partitions, which grow with the whole input, nor the bytes of a few short words, which are many pairs."""
+    rng = random.Random(5)
+    pool = ["".join(rng.choice("ptkmns") + rng.choice("aiu") for _ in range(2)) for _ in range(9)]
+    rows = wordlist(spark, [("ABCD"[i % 4], f"c{i % 7}", "FG"[i % 4 // 2], " ".join(rng.choice(pool))) for i in range(200)])
+    want = {method: sorted((r.id, r.autocogid) for r in B.internal_cognates(rows, method, runs=600).collect()) for method in ("sca", "lexstat")}
+    kinds, usual = tables(spark)[1], spark.conf.get("spark.sql.shuffle.partitions")
+    aligned, seen = B._distances, []
+    monkeypatch.setattr(B, "_distances", lambda pairs, *mode: seen.append(pairs.rdd.getNumPartitions()) or aligned(pairs, *mode))
+    for name in ("ALIGNED", "SCORED", "LINKED"):
+        monkeypatch.setattr(B, name, 20)
+    spark.conf.set("spark.sql.shuffle.partitions", "30")
+    try:
+        assert B.random_words(kinds, 4 * B.DRAWN).rdd.getNumPartitions() == 2
+        assert all(sorted((r.id, r.autocogid) for r in B.internal_cognates(rows, method, runs=600).collect()) == want[method] for method in want)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    assert seen and min(seen) > 4
