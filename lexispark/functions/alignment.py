@@ -163,3 +163,173 @@ def links_as_bits(codes: np.ndarray, threshold: int, rows: int = 256) -> list[in
         fits[np.arange(len(fits)), np.arange(low, low + len(fits))] = False
         out += [int.from_bytes(b.tobytes(), "little") for b in np.packbits(fits, axis=1, bitorder="little")]
     return out
+
+
+def as_bits(flat: np.ndarray) -> np.ndarray:
+    """True and false as the bits of 64-bit words, the first the lowest of the first word."""
+    return np.packbits(np.pad(flat, (0, -len(flat) % 64)), bitorder="little").view(np.uint64)
+
+
+def consensus_rows(codes: np.ndarray, kinds: np.ndarray, fixed: dict[int, int], limit: int = 50_000):
+    """The consensus rows of all maximal cliques, for patterns of one kind each that are linked if they contradict each other in no column.
+
+    codes has the columns of the patterns, 0 for missing. A clique of one kind is then what its consensus row holds: all patterns that
+    have no other entry, and no further pattern fits. So rows are made column by column, all that are begun alike at once: an entry
+    goes on with the patterns that have it or none, no entry with those that have none there (the others that fit so far must each
+    be contradicted later on). fixed: only rows with these entries in these columns, for which codes needs the patterns that fit them.
+
+    Yields (rows, {kind: (patterns of the kind, place in rows, members, size)}): of each clique the place of its row, its members as
+    bits, and their number, two at least. No row comes twice, and its cliques of all kinds come together. Rows begun are cut into blocks
+    of about limit, so that what is held doesn't grow with their number.
+    """
+    top = int(codes.max(initial=0)) + 1
+    often = np.argsort(-(codes != 0).sum(0), kind="stable").tolist()
+    order = [*fixed, *(j for j in often if j not in fixed)]
+    of, begun = {}, {}
+    for kind in np.unique(kinds).tolist():
+        own = np.flatnonzero(kinds == kind)
+        mine = codes[own]
+        having = [{v: as_bits(c == v) for v in np.unique(c).tolist()} for c in mine.T]
+        everyone = as_bits(np.ones(len(own), bool))
+        lacking = [h.pop(0, np.zeros_like(everyone)) for h in having]
+        support = np.zeros((len(order), top, len(everyone)), np.uint64)
+        support[:, 0] = everyone  # no entry needs none that has it
+        for j, h in enumerate(having):
+            for v, bits in h.items():
+                support[j, v] = bits
+        later = [as_bits((mine[:, order[i + 1 :]] != 0).any(1)) for i in range(len(order))]
+        of[kind] = own, having, lacking, support, later
+        begun[kind] = np.zeros(1, np.int64), everyone[None], np.zeros_like(everyone)[None]
+    stack = [(0, np.zeros((1, len(order)), np.int64), begun)]
+    while stack:
+        level, rows, begun = stack.pop()
+        if level == len(order):
+            found = {}
+            for kind, (place, members, _) in begun.items():
+                size = np.bitwise_count(members).sum(1, dtype=np.int64)
+                if (size > 1).any():
+                    found[kind] = of[kind][0], place[size > 1], members[size > 1], size[size > 1]
+            if found:
+                yield rows, found
+            continue
+        j, longer = order[level], {}
+        for kind, (place, members, against) in begun.items():
+            _, having, lacking, support, later = of[kind]
+            parts = []
+            for v in [fixed[j]] if j in fixed else [0, *having[j]]:
+                if v and v not in having[j]:
+                    continue
+                fits = lacking[j] | having[j][v] if v else lacking[j]
+                inside = members & fits
+                outside = against & fits if v else against | (members & ~fits)
+                good = (inside & support[j, v]).any(1) & ~(outside & ~later[level]).any(1)
+                for k in order[:level]:
+                    some = np.flatnonzero(good)
+                    good[some] = (inside[some] & support[k, rows[place[some], k]]).any(1)
+                if good.any():
+                    parts.append((place[good] * top + v, inside[good], outside[good]))
+            if parts:
+                longer[kind] = [np.concatenate(p) for p in zip(*parts)]
+        if not longer:
+            continue
+        named = np.unique(np.concatenate([place for place, _, _ in longer.values()]))
+        rows = rows[named // top]
+        rows[:, j] = named % top
+        longer = {kind: (np.searchsorted(named, place), *rest) for kind, (place, *rest) in longer.items()}
+        count = np.cumsum(sum(np.bincount(place, minlength=len(rows)) for place, _, _ in longer.values()))
+        ends = np.unique([*np.searchsorted(count, np.arange(limit, count[-1], limit)) + 1, len(rows)])
+        for low, high in zip([0, *ends.tolist()], ends.tolist()):
+            block = {}
+            for kind, (place, *rest) in longer.items():
+                some = slice(None) if len(ends) == 1 else (place >= low) & (place < high)
+                if len(place[some]):
+                    block[kind] = place[some] - low, *(x[some] for x in rest)
+            stack.append((level + 1, rows[low:high], block))
+
+
+def most_used(asked: np.ndarray, n: int, found: dict, rows: int, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """For each of n questions (asked has the question of each pattern), the greatest sum of sizes of the cliques of one row that hold a
+    pattern of it, and the first such row's place; found is as of consensus_rows, with places in `rows` rows."""
+    bit = lambda members, at: members[:, at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
+    most, best = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for own, place, members, size in found.values():  # in one kind the largest clique counts
+        order, left = np.lexsort((place, -size)), as_bits(np.ones(len(own), bool))
+        for low in range(0, len(order), chunk):
+            some = order[low : low + chunk]
+            new = np.bitwise_or.reduce(members[some], 0) & left
+            if new.any():
+                at = np.flatnonzero(np.unpackbits(new.view(np.uint8), bitorder="little"))
+                first, q = some[bit(members[some], at).argmax(0)], asked[own[at]]
+                more = (size[first] > most[q]) | ((size[first] == most[q]) & (place[first] < best[q]))
+                most[q[more]], best[q[more]] = size[first[more]], place[first[more]]
+                left &= ~new
+    kinds = sum(np.bincount(place, minlength=rows) for _, place, _, _ in found.values())
+    several, questions = np.flatnonzero(kinds > 1), np.flatnonzero(np.bincount(asked, minlength=n) > 1)
+    line = np.full(n, -1)
+    line[questions] = np.arange(len(questions))
+    for low in range(0, len(several) if len(questions) else 0, chunk):  # where a row has cliques of several kinds, they add up
+        those = several[low : low + chunk]
+        sums = np.zeros((len(questions), len(those)), np.int64)
+        for own, place, members, size in found.values():
+            some, at = np.flatnonzero(np.isin(place, those)), np.flatnonzero(line[asked[own]] >= 0)
+            sums[np.ix_(line[asked[own[at]]], np.searchsorted(those, place[some]))] += (bit(members[some], at).astype(np.int64) * size[some, None]).T
+        first = sums.argmax(1)
+        value, place = sums[np.arange(len(questions)), first], those[first]
+        more = (value > most[questions]) | ((value == most[questions]) & (place < best[questions]))
+        most[questions[more]], best[questions[more]] = value[more], place[more]
+    return most, best
+
+
+def with_partner(codes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Which patterns another one of their kind contradicts in no column; 0 is missing."""
+    out = np.zeros(len(codes), bool)
+    for kind in np.unique(kinds):
+        own = np.flatnonzero(kinds == kind)
+        fits = np.repeat(as_bits(np.ones(len(own), bool))[None], len(own), 0)
+        for column in codes[own].T:
+            for v in np.unique(column[column != 0]):
+                fits[column == v] &= as_bits((column == v) | (column == 0))
+        out[own] = np.bitwise_count(fits).sum(1, dtype=np.int64) > 1
+    return out
+
+
+def places(rows: np.ndarray, sought: np.ndarray) -> np.ndarray:
+    """For each row sought its place in rows, which are all different; -1 for those that aren't there."""
+    by = np.random.default_rng(0).integers(1, 2**62, rows.shape[1])
+    held, asked = (x.astype(np.int64) * by for x in (rows, sought))
+    held, asked = held.sum(1), asked.sum(1)
+    some = np.flatnonzero(np.isin(held, asked))  # few others by chance
+    at = dict(zip(map(tuple, rows[some].tolist()), some.tolist()))
+    return np.array([at.get(tuple(r), -1) for r in sought.tolist()], np.int64)
+
+
+def best_rows(asked: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row asked the best score among rows held and the first place that has it; -1 as a place if there is none. 0 is missing.
+
+    The same row scores most. Others that share an entry (the last column's opens none) score, without contradiction, their matches
+    plus the width, else matches less contradictions, if that isn't 0.
+    """
+    width = held.shape[1]
+    kind = np.int8 if width < 60 else np.int16
+    none = np.iinfo(kind).min
+    there, hits, common = [(c != 0).astype(kind) for c in held.T], {}, {}
+    zero = np.zeros(len(held), kind)
+    scores, at = np.full(len(asked), none, np.int64), places(held, asked)
+    scores[at >= 0] = 2 * width + 1
+    for i in np.flatnonzero(at < 0).tolist():
+        row = asked[i].tolist()
+        filled = tuple(c for c, x in enumerate(row) if x)
+        if filled not in common:
+            common[filled] = sum((there[c] for c in filled), zero)
+        for c in filled:
+            if (c, row[c]) not in hits:
+                hits[c, row[c]] = (held[:, c] == row[c]).astype(kind)
+        opened = sum((hits[c, row[c]] for c in filled if c < width - 1), zero)
+        same = opened + hits[width - 1, row[-1]] if row[-1] else opened
+        both = common[filled]
+        score = np.where(both == same, same + kind(width), same + same - both)
+        score[(opened == 0) | (score == 0)] = none
+        k = int(score.argmax())
+        if score[k] > none:
+            scores[i], at[i] = score[k], k
+    return scores, at

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from lexispark.functions import phonetics
 from lexispark.functions.numbering import number_rows
 from lexispark.functions.phonology import prosody
 from lexispark.functions.sequences import GAP, MISSING, UNKNOWN, alignment_to_tokens, clean_sound, sound_edit_distance, spread_classes
-from lexispark.functions.storage import materialise, stored
+from lexispark.functions.storage import materialise, small_enough, stored
 from lexispark.operators.fits import coded, compared, meet
 from lexispark.operators.metrics import bcubed
 from lexispark.operators.prepare import ungap
@@ -106,19 +108,147 @@ def linked(nodes: DataFrame, keys: list[str], threshold: int = 1, missing: str =
     return meet(named, named, work, "node long, other long", missing)
 
 
-def fit(rows: DataFrame, keys: list[str] | None = None, threshold: int = 1, missing: str = MISSING) -> DataFrame:
-    """(keys, row, prediction, exact, size): the classifier of training rows (row, target), one per value of keys.
+class Model(NamedTuple):
+    """What the classifier by patterns has learned: known (keys, row, prediction, size, consensus), the rows of the patterns that have a
+    partner, and blocks (keys, names, rows, predictions, sizes), the other consensus rows, up to BLOCK of one value of keys in a row of
+    the table: names are the sounds, missing first, rows and predictions numbers of names and sizes numbers, all of 32 bits.
+    """
 
-    Different (row, target) patterns are nodes; two are linked if they share `threshold` entries and contradict in
-    none. Each maximal clique makes a consensus row, which votes with its size for its target (of cliques with the same
-    row and target the largest counts). A node's row predicts what the consensus it is most often in does.
-    Patterns without a partner are in no clique.
+    known: DataFrame
+    blocks: DataFrame | None
+
+
+#: Rows of a block of questions and of one of consensus rows that a task compares; pairs of blocks of a task.
+BLOCK, PAIRS = 20_000, 4
+#: Patterns of which a task lists the consensus rows at once.
+GROUP = 20_000
+_NAMES = ["names", "rows", "predictions", "sizes"]
+_BLOCKS = "names array<string>, rows binary, predictions binary, sizes binary"
+
+
+def _coded_texts(texts: pa.ChunkedArray, names: list[str] | None = None, missing: str = MISSING) -> tuple[np.ndarray, list[str]]:
+    """Lists of one length as rows of numbers of names, missing being 0; where names are given, -1 for any other."""
+    flat = pa.chunked_array([c.flatten() for c in texts.chunks], pa.string()).combine_chunks().dictionary_encode()
+    seen = flat.dictionary.to_pylist()
+    names = names or [missing, *sorted(set(seen) - {missing})]
+    number = {x: i for i, x in enumerate(names)}
+    codes = np.array([number.get(x, -1) for x in seen], np.int64)[flat.indices.to_numpy(zero_copy_only=False)]
+    return codes.reshape(len(texts), -1), names
+
+
+def _texts(codes: np.ndarray, names: list[str]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1) * codes.shape[1], pa.int32()), pa.array(names, pa.string()).take(pa.array(codes.ravel())))
+
+
+def _in_order(rows: np.ndarray, names: list[str]) -> np.ndarray:
+    """Places of rows of numbers in the order of their names."""
+    rank = np.zeros(len(names), np.int64)
+    rank[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+    return np.lexsort(rank[rows].T[::-1])
+
+
+def _block(rows: np.ndarray, predictions: np.ndarray, sizes: np.ndarray, names: list[str]) -> list:
+    return [names, *(np.ascontiguousarray(x, np.int32).tobytes() for x in (rows, predictions, sizes))]
+
+
+def _unpacked(batch: pa.RecordBatch, i: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(names, rows, predictions, sizes) of a block."""
+    rows, predictions, sizes = (np.frombuffer(batch[c][i].as_buffer(), np.int32) for c in _NAMES[1:])
+    return batch["names"][i].as_py(), rows.reshape(len(sizes), -1), predictions, sizes
+
+
+def _dealt(nodes: DataFrame, keys: list[str], most: int, missing: str) -> tuple[DataFrame, int]:
+    """(keys, p, fixed) and the number of groups (keys, fixed): what a consensus row has in some columns is fixed, and the group has the
+    patterns that fit that. Groups are cut by the column that most patterns attest, and by further ones while they have more than `most`."""
+    cells = nodes.select(*keys, F.posexplode(F.slice("p", 1, F.size("p") - 1)).alias("at", "x")).where(F.col("x") != missing)
+    order = cells.groupBy(*keys, "at").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "at"))).alias("order"))
+    order = small_enough(order.withColumn("order", F.transform("order", lambda z: z["at"])))
+    held = nodes.select(*keys, "p").join(order, keys or None).withColumn("fixed", F.array().cast("array<struct<at:int,x:string>>"))
+    level = 0
+    while True:
+        at = F.get("order", F.lit(level))
+        x = F.get("p", at)
+        sizes = materialise(held.groupBy(*keys, "fixed").agg(F.count("*").alias("n"), F.collect_set(x).alias("values")))
+        large = sizes.where(F.size("values") > 0).where(F.col("n") > (most if level else 0)).select(*keys, "fixed", "values")
+        if large.isEmpty():
+            return held.select(*keys, "p", "fixed"), sizes.count()
+        one = lambda v: F.struct(at.alias("at"), v.alias("x"))
+        held = held.join(small_enough(large), [*keys, "fixed"], "left").withColumn("_x", x)
+        fits = F.filter("values", lambda v: (F.col("_x") == missing) | (v == F.col("_x")) | (v == missing))
+        longer = F.transform(fits, lambda v: F.concat("fixed", F.array(one(v))))
+        held = held.withColumn("fixed", F.explode(F.coalesce(longer, F.array("fixed")))).drop("values", "_x")
+        level += 1
+
+
+def _fit_rows(nodes: DataFrame, keys: list[str], missing: str, most: int = GROUP, block: int = BLOCK) -> Model:
+    """fit for patterns that have a target and link by it: two of one target are linked unless they contradict each other.
+
+    So a maximal clique is all patterns that its consensus row holds, and rows are listed (kernels.consensus_rows) instead of sets of
+    patterns. A group of patterns fixes what the row has in a column or more, so a row has its cliques of all targets in one task, which
+    sends on the row, and for each pattern's row the consensus it is most often in.
+    """
+    held, groups = _dealt(nodes, keys, most, missing)
+    kinds = "".join(f"{k} {nodes.schema[k].dataType.simpleString()}, " for k in keys)
+    texts, columns = pa.list_(pa.string()), ["row", "prediction", "size", "n", "best", *_NAMES]
+    types = [texts, pa.string(), pa.int32(), pa.int64(), texts, texts, pa.binary(), pa.binary(), pa.binary()]
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(list(batches))
+        codes, names = _coded_texts(held["p"], missing=missing)
+        fixed = {z["at"]: z["x"] for z in held["fixed"][0].as_py()}
+        if not set(fixed.values()) <= set(names):  # nothing is left that has it
+            return
+        fixed = {j: names.index(x) for j, x in fixed.items()}
+        codes, targets = codes[:, :-1], codes[:, -1]
+        rows, asked = np.unique(codes, axis=0, return_inverse=True)
+        linked = np.zeros(len(rows), bool)
+        linked[asked[kernels.with_partner(codes, targets)]] = True
+        lead = [held[k][:1].combine_chunks() for k in keys]
+
+        def batch(n: int, *values) -> pa.RecordBatch:
+            filled = [v if isinstance(v, pa.Array) else pa.nulls(n, t) if v is None else pa.array(v, t) for v, t in zip(values, types)]
+            return pa.record_batch([*(x.take(pa.array(np.zeros(n, np.int64))) for x in lead), *filled], [*keys, *columns])
+
+        for found, cliques in kernels.consensus_rows(codes, targets, fixed):
+            order = _in_order(found, names)
+            back = np.empty_like(order)
+            back[order] = np.arange(len(order))
+            found, size, target = found[order], np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+            cliques = {kind: (own, back[place], members, sizes) for kind, (own, place, members, sizes) in cliques.items()}
+            for kind in sorted(cliques, key=names.__getitem__):
+                _, place, _, sizes = cliques[kind]
+                more = sizes > size[place]
+                size[place[more]], target[place[more]] = sizes[more], kind
+            n, best = kernels.most_used(asked, len(rows), cliques, len(found))
+            use = np.flatnonzero(n)
+            to = best[use]
+            yield batch(len(use), _texts(rows[use], names), [names[x] for x in target[to].tolist()], size[to], n[use], _texts(found[to], names), *[None] * 4)
+            fresh, at = size > 0, kernels.places(found, rows[linked])
+            at = at[at >= 0]
+            at = at[fresh[at]]
+            if len(at):  # rows of patterns, which predict what they are most often in
+                yield batch(len(at), _texts(found[at], names), None, None, np.full(len(at), -1), *[None] * 5)
+            fresh[at] = False
+            fresh = np.flatnonzero(fresh)
+            for low in range(0, len(fresh), block):
+                some = fresh[low : low + block]
+                yield batch(1, *[None] * 5, *([x] for x in _block(found[some], target[some], size[some], names)))
+
+    schema = f"{kinds}row array<string>, prediction string, size int, n long, best array<string>, {_BLOCKS}"
+    tasks = max(1, min(groups, 4 * nodes.sparkSession.sparkContext.defaultParallelism))
+    found = stored(held.repartition(tasks, *keys, "fixed").groupBy(*keys, "fixed").applyInArrow(listed, schema), "consensus")
+    uses = found.where("rows is null").groupBy(*keys, "row")
+    best = F.min_by(F.struct("prediction", "size"), F.struct((-F.col("n")).alias("n"), "best"))
+    known = uses.agg(best.alias("b"), F.max(F.col("n") < 0).alias("consensus")).select(*keys, "row", "b.prediction", "b.size", "consensus")
+    return Model(materialise(known), found.where("rows is not null").select(*keys, *_NAMES))
+
+
+def _fit_cliques(nodes: DataFrame, keys: list[str], threshold: int, missing: str) -> DataFrame:
+    """fit for links of any kind.
 
     Nodes are ordered by their number of links, and each lists the cliques in which it comes first, from the patterns it is linked to,
     in a task of its own. So a pattern that fits thousands of others lists next to nothing: they come before it.
     """
-    keys = keys or []
-    nodes = rows.where("target is not null").select(*keys, F.concat("row", F.array("target")).alias("p")).distinct()
     own = F.slice("p", 1, F.size("p") - 1)
     nodes = materialise(nodes.withColumn("node", F.xxhash64(*keys, "p")).withColumn("member", F.xxhash64(*keys, own)))
     both = materialise(linked(nodes, keys, threshold, missing))
@@ -129,7 +259,7 @@ def fit(rows: DataFrame, keys: list[str] | None = None, threshold: int = 1, miss
     first = beside.groupBy("home").agg(F.max("later").alias("any")).where("any").select("home")
     itself = first.select("home", F.col("home").alias("node"), F.lit(None).cast("boolean").alias("later"))
     held = beside.join(first, "home", "left_semi").unionByName(itself).join(nodes, "node").select("home", *keys, "node", "member", "later", "p")
-    kinds = "".join(f"{k} {rows.schema[k].dataType.simpleString()}, " for k in keys)
+    kinds = "".join(f"{k} {nodes.schema[k].dataType.simpleString()}, " for k in keys)
 
     def listed(held: pd.DataFrame) -> pd.DataFrame:
         held = held.sort_values("node", ignore_index=True)
@@ -163,11 +293,60 @@ def fit(rows: DataFrame, keys: list[str] | None = None, threshold: int = 1, miss
     return of_nodes.unionByName(fresh).join(consensus, [*keys, "row"], "left").withColumn("consensus", F.coalesce("consensus", F.lit(False)))
 
 
-#: Rows of a block of questions and of one of consensus rows that a task compares.
-BLOCK = 20_000
+def _learned(rows: DataFrame, keys: list[str], threshold: int = 1, missing: str = MISSING) -> Model:
+    nodes = materialise(rows.where("target is not null").select(*keys, F.concat("row", F.array("target")).alias("p")).distinct())
+    if threshold == 1 and nodes.where(F.element_at("p", -1) == missing).isEmpty():
+        return _fit_rows(nodes, keys, missing)
+    return Model(_fit_cliques(nodes, keys, threshold, missing), None)
+
+
+def fit(rows: DataFrame, keys: list[str] | None = None, threshold: int = 1, missing: str = MISSING) -> DataFrame:
+    """(keys, row, prediction, size, consensus): the classifier of training rows (row, target), one per value of keys.
 
+    Different (row, target) patterns are nodes; two are linked if they share `threshold` entries and contradict in
+    none. Each maximal clique makes a consensus row, which votes with its size for its target (of cliques with the same
+    row and target the largest counts). A node's row predicts what the consensus it is most often in does.
+    Patterns without a partner are in no clique.
+    """
+    keys = keys or []
+    known, blocks = _learned(rows, keys, threshold, missing)
+    if blocks is None:
+        return known
 
-def predict(rows: DataFrame, model: DataFrame, keys: list[str] | None = None, model_keys: list[str] | None = None, missing: str = MISSING, unknown: str = UNKNOWN, block: int = BLOCK) -> DataFrame:
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                names, codes, predictions, sizes = _unpacked(batch, i)
+                n = len(codes)
+                lead = [batch[k].take(pa.array(np.full(n, i))) for k in keys]
+                values = [_texts(codes, names), pa.array(names, pa.string()).take(pa.array(predictions)), pa.array(sizes), pa.array(np.ones(n, bool))]
+                yield pa.record_batch([*lead, *values], [*keys, "row", "prediction", "size", "consensus"])
+
+    return known.unionByName(blocks.mapInArrow(unpacked, known.schema))
+
+
+def _packed(rows: DataFrame, keys: list[str], block: int, missing: str) -> DataFrame:
+    """Blocks, as of a Model, of consensus rows (keys, row, prediction, size)."""
+    kinds = "".join(f"{k} {rows.schema[k].dataType.simpleString()}, " for k in keys)
+    rows = materialise(rows.select(*keys, "row", "prediction", "size").withColumn("_all", F.lit(0)))
+    parts = small_enough(rows.groupBy(*keys, "_all").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")))
+    rows = rows.join(parts, [*keys, "_all"]).withColumn("part", F.pmod(F.xxhash64("row"), "parts").cast("int"))
+
+    def pack(held: pa.Table) -> pa.Table:
+        codes, names = _coded_texts(held["row"], missing=missing)
+        targets = [x for x in set(held["prediction"].to_pylist()) if x not in names]
+        names = [*names, *targets]
+        number = {x: i for i, x in enumerate(names)}
+        order = _in_order(codes, names)
+        predictions = np.array([number[x] for x in held["prediction"].to_pylist()])
+        values = _block(codes[order], predictions[order], held["size"].to_numpy()[order], names)
+        types = [pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary()]
+        return pa.table([*(held[k][:1] for k in keys), *(pa.array([v], t) for v, t in zip(values, types))], [*keys, *_NAMES])
+
+    return rows.groupBy(*keys, "part").applyInArrow(pack, kinds + _BLOCKS)
+
+
+def predict(rows: DataFrame, model: DataFrame | Model, keys: list[str] | None = None, model_keys: list[str] | None = None, missing: str = MISSING, unknown: str = UNKNOWN, block: int = BLOCK) -> DataFrame:
     """rows (keys, pos, row) with prediction.
 
     A known row gets its prediction. Otherwise, of the consensus rows that share an entry (the last feature doesn't
@@ -178,45 +357,33 @@ def predict(rows: DataFrame, model: DataFrame, keys: list[str] | None = None, mo
     block for each question, so candidates never become rows.
     """
     keys, model_keys = keys or ["cogid"], model_keys or []
+    model = model if isinstance(model, Model) else Model(model, None)
     ask = rows.select(*model_keys, "row").distinct()
-    known = ask.join(model.select(*model_keys, "row", "prediction"), [*model_keys, "row"])
+    known = ask.join(model.known.select(*model_keys, "row", "prediction"), [*model_keys, "row"])
     new = materialise(ask.join(known.select(*model_keys, "row"), [*model_keys, "row"], "left_anti").withColumn("ask", F.xxhash64(*model_keys, "row")))
-    held = materialise(model.where("consensus").select(*model_keys, F.col("row").alias("other"), "prediction"))
-    new, held, each = new.withColumn("_all", F.lit(0)), held.withColumn("_all", F.lit(0)), [*model_keys, "_all"]
-    count = lambda df, name: df.groupBy(*each).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-    sizes = materialise(count(new, "asks").join(count(held, "helds"), each))  # a row for each model
-    spread = lambda df, own, of, name, other: (
-        df.join(F.broadcast(sizes), each).withColumn(name, F.pmod(F.xxhash64(of), own).cast("int")).withColumn(other[0], F.explode(F.sequence(F.lit(0), F.col(other[1]) - 1))).drop("asks", "helds")
-    )
-    asked = spread(new, F.col("asks"), "row", "ablock", ("hblock", "helds"))
-    known_rows = spread(held, F.col("helds"), "other", "hblock", ("ablock", "asks"))
-    group = [*each, "ablock", "hblock"]
-
-    def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(held):
-            return pd.DataFrame({"ask": [], "score": [], "other": [], "prediction": []})
-        held = held.assign(other=[list(x) for x in held["other"]]).sort_values("other", ignore_index=True)
-        number = {missing: 0}
-        coded = [np.array([[number.setdefault(x, len(number)) for x in r] for r in df], np.int32) for df in (held["other"], asked["row"])]
-        columns, width = np.ascontiguousarray(coded[0].T), coded[0].shape[1]
-        out = []
-        for i, row in zip(asked["ask"], coded[1].tolist()):
-            same, opened, both = (np.zeros(len(held), np.int16) for _ in range(3))
-            for c, x in enumerate(row):
-                if x:
-                    hit = columns[c] == x
-                    same += hit
-                    both += columns[c] != 0
-                    if c < width - 1:
-                        opened += hit
-            score = np.where(both == same, same + width, 2 * same - both)
-            score[(opened == 0) | (score == 0)] = -32768
-            k = int(score.argmax())
-            if score[k] > -32768:
-                out.append((i, int(score[k]), held["other"][k], held["prediction"][k]))
-        return pd.DataFrame(out, columns=["ask", "score", "other", "prediction"])
-
-    found = asked.groupBy(*group).cogroup(known_rows.groupBy(*group)).applyInPandas(best, "ask long, score int, other array<string>, prediction string")
+    each = [*model_keys, "_all"]
+    asked = new.withColumn("_all", F.lit(0))
+    parts = small_enough(asked.groupBy(*each).agg(F.ceil(F.count("*") / block).cast("int").alias("parts")))
+    asked = asked.join(parts, each).groupBy(*each, F.pmod("ask", "parts").alias("part")).agg(F.collect_list(F.struct("ask", "row")).alias("asks")).drop("part")
+    held = _packed(model.known.where("consensus"), model_keys, block, missing)
+    held = (held if model.blocks is None else held.unionByName(model.blocks)).withColumn("_all", F.lit(0))
+    pairs = held.join(asked, each).select("names", "rows", "predictions", "sizes", "asks")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                names, codes, predictions, _ = _unpacked(batch, i)
+                asks = batch["asks"][i].values
+                asked, _ = _coded_texts(pa.chunked_array([asks.field("row")]), names)
+                score, at = kernels.best_rows(asked, codes)
+                found = np.flatnonzero(at >= 0)
+                ids = asks.field("ask").take(pa.array(found))
+                to = at[found]
+                prediction = pa.array(names, pa.string()).take(pa.array(predictions[to]))
+                yield pa.record_batch([ids, pa.array(score[found], pa.int32()), _texts(codes[to], names), prediction], ["ask", "score", "other", "prediction"])
+
+    n = small_enough(held.groupBy(*each).agg(F.count("*").alias("n"))).join(asked.groupBy(*each).agg(F.count("*").alias("m")), each).agg(F.sum(F.col("n") * F.col("m"))).first()[0]
+    found = pairs.repartition(max(1, -(-(n or 0) // PAIRS))).mapInArrow(best, "ask long, score int, other array<string>, prediction string")
     found = found.groupBy("ask").agg(F.min_by("prediction", F.struct(-F.col("score"), "other")).alias("prediction"))
     table = known.unionByName(new.join(found, "ask").select(*model_keys, "row", "prediction"))
     return rows.join(table, [*model_keys, "row"], "left").withColumn("prediction", F.coalesce("prediction", F.lit(unknown)))
@@ -236,10 +403,10 @@ class Patterns:
     def __init__(self, threshold: int = 1) -> None:
         self.threshold = threshold
 
-    def fit(self, rows: DataFrame, keys: list[str]) -> DataFrame:
-        return fit(rows, keys, self.threshold)
+    def fit(self, rows: DataFrame, keys: list[str]) -> Model:
+        return _learned(rows, keys, self.threshold)
 
-    def predict(self, rows: DataFrame, model: DataFrame, keys: list[str], model_keys: list[str]) -> DataFrame:
+    def predict(self, rows: DataFrame, model: Model, keys: list[str], model_keys: list[str]) -> DataFrame:
         return predict(rows, model, keys, model_keys)
 
 
@@ -297,7 +464,7 @@ def reconstruct(morphemes: DataFrame, langs: list[str], target: str, classifier=
     classifier is an object with fit and predict (by default Patterns), rows_of a function like feature_rows that makes
     rows of alignments, for training and for what is asked.
     """
-    classifier, rows_of = classifier or Patterns(), rows_of or feature_rows
+    classifier, rows_of, morphemes = classifier or Patterns(), rows_of or feature_rows, materialise(morphemes)
     model = classifier.fit(training_rows(morphemes, langs, target, rows_of=rows_of, **features), [])
     aligned = align_sets(morphemes.where(F.col("doculect") != target), ["cogid"])
     return words_of(classifier.predict(rows_of(aligned, langs, ["cogid"], **features), model, ["cogid"], []))
@@ -341,7 +508,7 @@ def fuzzy_reconstruct(morphemes: DataFrame, langs: list[str], target: str, split
     """
     if output not in ("percentiles", "words", "wp"):
         raise ValueError("output must be percentiles, words or wp")
-    classifier, rows_of = classifier or Patterns(), rows_of or feature_rows
+    classifier, rows_of, morphemes = classifier or Patterns(), rows_of or feature_rows, materialise(morphemes)
     drawn = random_splits(morphemes, target, splits, retain, seed)
     model = classifier.fit(training_rows(drawn, langs, target, ["split", "cogid"], rows_of=rows_of, **features), ["split"])
     aligned = align_sets(morphemes.where(F.col("doculect") != target), ["cogid"])

@@ -376,6 +376,69 @@ def test_a_pattern_that_fits_thousands(spark):
     assert len(found) == 1201 and set(found.values()) == {("x", 2)}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_consensus_rows_against_all_cliques(seed):
+    """Listed whole or by what a column or two have, in blocks of any size: each clique once, with its members and their number."""
+    rng = np.random.default_rng(seed)
+    codes = np.unique(np.where(rng.random((90, 6)) < 0.5, rng.integers(1, 4, (90, 6)), 0), axis=0)
+    kinds = rng.integers(1, 4, len(codes))
+    whole = np.concatenate([codes, kinds[:, None]], 1)
+    edges = {i: {j for j in range(len(whole)) if b >> j & 1} for i, b in enumerate(A.links_as_bits(whole, 1))}
+    want = {tuple(c) for c in A.maximal_cliques([i for i in edges if edges[i]], edges)}
+    assert A.with_partner(codes, kinds).tolist() == [bool(edges[i]) for i in edges]
+    fixings = [[{}], [{2: x} for x in range(4)], [{2: x, 4: y} for x in range(4) for y in range(4)]]
+    for limit, ways in itertools.product((50_000, 5), fixings):
+        got, seen = [], set()
+        for fixed in ways:
+            some = np.flatnonzero(np.all([(codes[:, j] == x) | (codes[:, j] == 0) | (x == 0) for j, x in fixed.items()] or [np.ones(len(codes), bool)], 0))
+            for rows, found in A.consensus_rows(codes[some], kinds[some], fixed, limit):
+                assert not seen & (new := set(map(tuple, rows.tolist()))) and len(new) == len(rows)
+                seen |= new
+                totals = {}
+                for kind, (own, place, members, size) in found.items():
+                    for p, bits, n in zip(place, members, size):
+                        clique = some[own[np.flatnonzero(np.unpackbits(bits.view(np.uint8), bitorder="little"))]]
+                        assert len(clique) == n and (codes[clique].max(0) == rows[p]).all() and set(kinds[clique]) == {kind}
+                        got.append(tuple(clique.tolist()))
+                        for q in {tuple(codes[i]) for i in clique}:
+                            totals[q, p] = totals.get((q, p), 0) + n
+                asked = np.unique(codes[some], axis=0, return_inverse=True)
+                most, best = A.most_used(asked[1], len(asked[0]), found, len(rows), 3)
+                for q, n, p in zip(map(tuple, asked[0].tolist()), most, best):
+                    assert (n, -p if n else 0) == max([(m, -k) for (r, k), m in totals.items() if r == q], default=(0, 0))
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("missing", [False, True])
+def test_a_model_for_each_key(spark, missing):
+    """Groups of any size and blocks of any length; a target may be missing, so that patterns of one target need not share it."""
+    rng = random.Random(5)
+    some = lambda k: ([rng.choice(["ŋ", "b", "à", "Ø", "Ø"]) for _ in range(4)], rng.choice("xyØ" if missing else "xyz"), k)
+    rows = [some(k % 2) for k in range(140)]
+    frame = spark.createDataFrame(rows, "row array<string>, target string, split int")
+    asked = spark.createDataFrame([(n, 0, some(0)[0], k) for n in range(40) for k in range(2)], "cogid long, pos int, row array<string>, split int")
+    want = [plain_model([(tuple(r), t) for r, t, k in rows if k == split]) for split in range(2)]
+    models = [reconstruct._learned(frame, ["split"])]
+    if not missing:
+        nodes = frame.select("split", F.concat("row", F.array("target")).alias("p")).distinct()
+        models += [reconstruct._fit_rows(nodes, ["split"], "Ø", most, block) for most, block in ((20, 7), (1, 20_000))]
+    for model in models:
+        for r in reconstruct.predict(asked, model, ["cogid", "split"], ["split"], block=11).collect():
+            assert r.prediction == plain_prediction(tuple(r.row), want[r.split], 4)
+    got = {(r.split, tuple(r.row)): (r.prediction, r.size, r.consensus) for r in reconstruct.fit(frame, ["split"]).collect()}
+    assert got == {(k, row): x for k in range(2) for row, x in want[k].items()}
+
+
+def test_rows_of_many_cliques_come_in_blocks(spark):
+    """Patterns of one sound each: any choice of a sound a column is a clique, 46,656 in all, and none is a row of a table."""
+    rows = [(["Ø"] * c + [f"{c}{x}"] + ["Ø"] * (5 - c), "t") for c in range(6) for x in range(6)]
+    model = reconstruct.Patterns().fit(spark.createDataFrame(rows, "row array<string>, target string"), [])
+    assert model.known.count() == 36 and model.blocks.count() <= 12
+    assert model.blocks.select(F.sum(F.length("sizes") / 4)).first()[0] == 6**6
+    asked = spark.createDataFrame([(1, 0, ["00", "11", "25", "x", "Ø", "50"])], "cogid long, pos int, row array<string>")
+    assert [r.prediction for r in reconstruct.Patterns().predict(asked, model, ["cogid"], []).collect()] == ["t"]
+
+
 def test_sound_edit_distance(spark):
     rows = spark.createDataFrame([(["ts", "a", "x"], ["t", "a"]), ([], ["a"]), (["a"], ["a"])], "a array<string>, b array<string>")
     assert [r[0] for r in rows.select(sound_edit_distance("a", "b")).collect()] == [2, 1, 0]
