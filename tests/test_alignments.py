@@ -14,6 +14,7 @@ from lexispark.functions.numbering import number_rows
 from lexispark.functions.sequences import sound_edit_distance
 from lexispark.operators import borrowing, cognates, prepare, reconstruct, trimming
 from lexispark.operators.sites import alignments
+from lexispark.plans import derived
 from lexispark.sources.wordlists import morphemes, wordlist_from_rows
 
 
@@ -439,6 +440,27 @@ def test_rows_of_many_cliques_come_in_blocks(spark):
     assert [r.prediction for r in reconstruct.Patterns().predict(asked, model, ["cogid"], []).collect()] == ["t"]
 
 
+def test_words_by_split_against_all_cliques(spark, sf_dir, monkeypatch):
+    """The words of each split are those that all cliques of its patterns give, though no clique is a row of the model."""
+    rows, models = derived.morphemes(spark, sf_dir).where("cogid <= 60").checkpoint(), []
+    learn = reconstruct.Patterns.fit
+    monkeypatch.setattr(reconstruct.Patterns, "fit", lambda self, *a: models.append(learn(self, *a)) or models[-1])
+    found = reconstruct.fuzzy_reconstruct(rows, derived.LANGS[1:], "L0", 2, output="words").collect()
+    trained = defaultdict(list)
+    for r in reconstruct.training_rows(reconstruct.random_splits(rows, "L0", 2), derived.LANGS[1:], "L0", ["split", "cogid"]).where("target is not null").collect():
+        trained[r.split].append((tuple(r.row), r.target))
+    want, listed = {}, 0
+    asked = reconstruct.feature_rows(reconstruct.align_sets(rows.where("doculect <> 'L0'"), ["cogid"]), derived.LANGS[1:], ["cogid"]).orderBy("cogid", "pos").collect()
+    for split, patterns in trained.items():
+        model = plain_model(patterns)
+        listed += sum(consensus for _, _, consensus in model.values())
+        known = {row: plain_prediction(row, model, 7) for row in {tuple(r.row) for r in asked}}
+        for r in asked:
+            want.setdefault((r.cogid, split), []).append(known[tuple(r.row)])
+    assert {(r.cogid, r.split): list(r.word) for r in found} == want
+    assert 2 * models[0].blocks.count() < listed
+
+
 def test_sound_edit_distance(spark):
     rows = spark.createDataFrame([(["ts", "a", "x"], ["t", "a"]), ([], ["a"]), (["a"], ["a"])], "a array<string>, b array<string>")
     assert [r[0] for r in rows.select(sound_edit_distance("a", "b")).collect()] == [2, 1, 0]
